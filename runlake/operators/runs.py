@@ -79,9 +79,9 @@ def transition_violations(transitions: DataFrame) -> DataFrame:
 
 
 def status_counts(status_events: DataFrame, statuses: Sequence[str] = STATUSES) -> DataFrame:
-    """Status writes per day, one column per status (fixed list: no pass to
+    """Status writes per day (``day`` = timestamp of its start), one column per status (fixed list: no pass to
     discover pivot values), plus failure rate = failed / (success + failed)."""
-    g = (status_events.withColumn("day", F.to_date("ts"))
+    g = (status_events.withColumn("day", F.date_trunc("day", F.col("ts")))
          .groupBy("day").pivot("run_status", list(statuses)).agg(F.count(F.lit(1))))
     g = g.fillna(0, subset=list(statuses))
     done = F.col("success") + F.col("failed")

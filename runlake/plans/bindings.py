@@ -91,7 +91,8 @@ def run_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fixed derivation of schedules from parts.
 #   deployed: parts of size 40 or less; requested: parts of size over 10
 #   name: p_name-p_partkey; command: run --select model_<brand number>
-#   the requested command of a PROMO part is a build instead of a run
+#   the requested command of a PROMO part is a build instead of a run, and a
+#   STANDARD part asks with the --select=<model> form
 #   cron text by part type:
 #     ECONOMY  <size mod 60> <key mod 24> * * *
 #     SMALL    */15 <key mod 24> * * 1-5
@@ -130,10 +131,25 @@ def deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def requested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """requested(name, command, schedule)."""
     b = _sched_base(spark, sf_dir).filter(F.col("p_size") > 10)
-    cmd = F.when(F.col("p_type") == "PROMO", F.replace(F.col("command"), F.lit("run "), F.lit("build ")))
+    cmd = (F.when(F.col("p_type") == "PROMO", F.replace(F.col("command"), F.lit("run "), F.lit("build ")))
+           .when(F.col("p_type") == "STANDARD", F.replace(F.col("command"), F.lit("--select "), F.lit("--select="))))
     return b.select("name", F.coalesce(cmd, F.col("command")).alias("command"), "schedule")
 
 
+def scheduler_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deployed parts as raw scheduler jobs: full job path, description with
+    the marker prefix (SMALL parts lack it), state PAUSED for LARGE parts."""
+    b = _sched_base(spark, sf_dir).filter(F.col("p_size") <= 40)
+    desc = F.when(F.col("p_type") == "SMALL", F.col("command")).otherwise(
+        F.concat(F.lit("[dbt-server job] "), F.col("command")))
+    return b.select(F.concat(F.lit("projects/runlake/locations/europe-west1/jobs/"), F.col("name")).alias("job_name"),
+                    desc.alias("description"),
+                    F.when(F.col("p_type") == "LARGE", "PAUSED").otherwise("ENABLED").alias("state"),
+                    "schedule", F.lit("UTC").alias("time_zone"),
+                    F.concat(F.lit("https://runner.example/schedule/"), F.col("p_partkey").cast("string"),
+                             F.lit("/start")).alias("uri"))
+
+
 # ---------------------------------------------------------------- B-graph
 # Fixed derivation of a pipeline graph from parts: node p_partkey, parent
 # floor(p_partkey / 2) for keys above 1 (a binary tree with roots 0 and 1).

@@ -110,3 +110,127 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(peak, "run_id").select(
         "run_id", "n_lines", "n_errors", "max_severity_rank", _ntz("first_ts"), _ntz("finish_ts"),
         "finished", "succeeded", "duration_s")
+
+
+# ---------------------------------------------------------------- runs
+from runlake.functions import commands as C  # noqa: E402
+from runlake.operators import runs as R  # noqa: E402
+from runlake.operators import schedules as S  # noqa: E402
+
+B_STATE_FIELDS = ("run_status", "user_command", "log_starting_byte")
+
+
+@register
+def status_compaction(spark, sf_dir):
+    return R.compact(B.run_events(spark, sf_dir), B_STATE_FIELDS)
+
+
+@register
+def status_transitions(spark, sf_dir):
+    return R.status_transitions(B.status_events(spark, sf_dir))
+
+
+@register
+def status_pivot(spark, sf_dir):
+    return R.status_counts(B.status_events(spark, sf_dir)).withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@register
+def live_runs(spark, sf_dir):
+    return R.live_runs(R.compact(B.run_events(spark, sf_dir), B_STATE_FIELDS))
+
+
+@register
+def version_mismatch(spark, sf_dir):
+    s = B.table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_nationkey").alias("nationkey"),
+        F.concat(F.lit("1."), F.pmod("s_nationkey", F.lit(4)).cast("string")).alias("client_version"))
+    n = B.table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("nationkey"),
+        F.concat(F.lit("1."), F.col("n_regionkey").cast("string")).alias("server_version"))
+    return R.version_mismatches(s, n, "nationkey")
+
+
+# ---------------------------------------------------------------- schedules
+HORIZON = ("2024-01-01", "2024-01-31")
+
+
+@register
+def schedule_diff(spark, sf_dir):
+    return S.schedule_diff(B.deployed(spark, sf_dir), B.requested(spark, sf_dir), "always")
+
+
+@register
+def schedule_diff_fields(spark, sf_dir):
+    return S.schedule_diff(B.deployed(spark, sf_dir), B.requested(spark, sf_dir), "fields")
+
+
+@register
+def apply_plan(spark, sf_dir):
+    dep, req = B.deployed(spark, sf_dir), B.requested(spark, sf_dir)
+    plan = S.schedule_diff(dep, req, "fields")
+    return S.apply_plan(dep, req, plan, target="prod").select("name", "command", "schedule")
+
+
+@register
+def describe_schedules(spark, sf_dir):
+    d = S.describe_schedules(B.deployed(spark, sf_dir), B.requested(spark, sf_dir).select("name"))
+    return d.select("name", "found", "command", "schedule", "message")
+
+
+@register
+def delete_outcomes(spark, sf_dir):
+    _, out = S.delete_schedules(B.deployed(spark, sf_dir), B.requested(spark, sf_dir).select("name"),
+                                where="runlake/europe-west1")
+    return out
+
+
+@register
+def active_schedules(spark, sf_dir):
+    d = S.list_schedules(B.scheduler_jobs(spark, sf_dir))
+    return d.select("name", "command", "schedule", "timezone", "target",
+                    C.folder_name(F.lit("2024-01-01"), F.col("name")).alias("folder"),
+                    C.job_id(F.col("name")).alias("job_id"),
+                    C.schedule_name(F.lit(None).cast("string"), F.col("name")).alias("default_name"))
+
+
+@register
+def expand_cron(spark, sf_dir):
+    return S.expand_schedules(B.deployed(spark, sf_dir), *HORIZON).select("name", "schedule", "fire_ts")
+
+
+@register
+def materialise_fires(spark, sf_dir):
+    dep = B.deployed(spark, sf_dir)
+    fires = S.expand_schedules(dep, *HORIZON)
+    base = dep.select("name", F.concat(F.lit("base-"), F.col("name")).alias("run_id"),
+                      F.lit("scheduled").alias("run_status"), F.col("command").alias("user_command"),
+                      C.folder_name(F.lit("2024-01-01"), F.col("name")).alias("cloud_storage_folder"),
+                      F.lit(0).cast("bigint").alias("log_starting_byte"))
+    return S.materialise_fires(fires, base, "name")
+
+
+@register
+def fire_adherence(spark, sf_dir):
+    fires = S.expand_schedules(B.deployed(spark, sf_dir), *HORIZON).select("schedule_key", "fire_ts")
+    runs = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("schedule_key"), F.col("ts").alias("run_ts"))
+    return S.fire_adherence(fires, runs, "schedule_key").select(
+        "schedule_key", "fire_ts", "first_run_ts", "delay_s", "status")
+
+
+@register
+def retry_attempts(spark, sf_dir):
+    ev = B.table(spark, sf_dir, "events")
+    fires = ev.filter(F.col("event_type") == "error")
+    return S.retry_attempts(fires, ev, "user_id", ["ts", "event_id"], "ts", "event_id")
+
+
+@register
+def command_parse(spark, sf_dir):
+    r = B.requested(spark, sf_dir)
+    p = C.parse_command(F.col("command"))
+    strict = C.parse_command(F.col("command"), strict=True)
+    args = C.with_flag(C.with_flag(p["args"], C.SCHEDULE_FLAG, F.col("schedule")), C.SCHEDULE_NAME_FLAG, F.col("name"))
+    return r.select("name", "command", p["verb"].alias("verb"), p["selection"].alias("selection"),
+                    strict["selection"].alias("selection_strict"),
+                    F.array_join(args, " ").alias("submitted"))

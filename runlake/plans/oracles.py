@@ -168,3 +168,215 @@ FROM entries
 WHERE ts >= TIMESTAMP '2024-01-01 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00'
 GROUP BY ROLLUP (date_trunc('day', ts), severity, emitter)
 """
+
+# ---------------------------------------------------------------- runs
+ORACLES["status_compaction"] = _with(B_STATE) + """
+SELECT run_id, run_status, user_command, log_starting_byte FROM run_state
+"""
+
+ORACLES["status_transitions"] = _with(B_STATE) + """
+, t AS (
+  SELECT run_id, seq, ts, run_status,
+    lag(run_status) OVER (PARTITION BY run_id ORDER BY ts, seq) AS prev_status,
+    lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq) AS next_ts
+  FROM status_ev),
+allowed(a_prev, a_cur) AS (VALUES ('scheduled', 'running'), ('running', 'running'),
+  ('running', 'success'), ('running', 'failed'), ('success', 'running'))
+SELECT t.run_id, t.seq, t.ts, t.run_status, t.prev_status, t.next_ts,
+  CAST(epoch(t.next_ts) - epoch(t.ts) AS BIGINT) AS secs_in_status,
+  CASE WHEN t.prev_status IS NULL THEN t.run_status IN ('scheduled', 'running')
+       ELSE a.a_prev IS NOT NULL END AS allowed
+FROM t LEFT JOIN allowed a ON t.prev_status = a.a_prev AND t.run_status = a.a_cur
+"""
+
+ORACLES["status_pivot"] = _with(B_STATE) + """
+, g AS (
+  SELECT date_trunc('day', ts) AS day,
+    count(*) FILTER (WHERE run_status = 'scheduled') AS scheduled,
+    count(*) FILTER (WHERE run_status = 'running') AS running,
+    count(*) FILTER (WHERE run_status = 'success') AS success,
+    count(*) FILTER (WHERE run_status = 'failed') AS failed
+  FROM status_ev GROUP BY 1)
+SELECT *, CASE WHEN success + failed > 0 THEN round(failed / (success + failed), 4) END AS failure_rate FROM g
+"""
+
+ORACLES["live_runs"] = _with(B_STATE) + """
+SELECT run_id, run_status, user_command, log_starting_byte FROM run_state
+WHERE run_status IN ('pending', 'running')
+"""
+
+ORACLES["version_mismatch"] = """
+SELECT s.s_suppkey, s.s_nationkey AS nationkey, '1.' || CAST(s.s_nationkey % 4 AS VARCHAR) AS client_version,
+  '1.' || CAST(n.n_regionkey AS VARCHAR) AS server_version
+FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+WHERE '1.' || CAST(s.s_nationkey % 4 AS VARCHAR) IS DISTINCT FROM '1.' || CAST(n.n_regionkey AS VARCHAR)
+"""
+
+# ---------------------------------------------------------------- B-sched
+B_SCHED = """
+sched_base AS (
+  SELECT p_partkey, p_size, p_type, p_name || '-' || CAST(p_partkey AS VARCHAR) AS name,
+    'run --select ' || replace(lower(p_brand), 'brand#', 'model_') AS command,
+    CASE p_type
+      WHEN 'ECONOMY' THEN CAST(p_size % 60 AS VARCHAR) || ' ' || CAST(p_partkey % 24 AS VARCHAR) || ' * * *'
+      WHEN 'SMALL' THEN '*/15 ' || CAST(p_partkey % 24 AS VARCHAR) || ' * * 1-5'
+      WHEN 'MEDIUM' THEN CAST(p_size AS VARCHAR) || ' 9-17/4 * * *'
+      WHEN 'LARGE' THEN '0 ' || CAST(p_partkey % 24 AS VARCHAR) || ' 1,15 * *'
+      WHEN 'PROMO' THEN '30 6 * * 0,6'
+      ELSE CAST(p_size % 60 AS VARCHAR) || ' ' || CAST(p_partkey % 24 AS VARCHAR) || ' 4 * 6' END AS schedule
+  FROM part),
+deployed AS (
+  SELECT name, command, schedule, 'UTC' AS timezone, 'prod' AS target, p_partkey AS schedule_key
+  FROM sched_base WHERE p_size <= 40),
+requested AS (
+  SELECT name, CASE p_type WHEN 'PROMO' THEN replace(command, 'run ', 'build ')
+                           WHEN 'STANDARD' THEN replace(command, '--select ', '--select=')
+                           ELSE command END AS command, schedule
+  FROM sched_base WHERE p_size > 10)
+"""
+
+
+def _diff(fields: bool) -> str:
+    differs = ("(d.command IS DISTINCT FROM r.command OR d.schedule IS DISTINCT FROM r.schedule)"
+               if fields else "true")
+    return f"""
+diff AS (
+  SELECT COALESCE(r.name, d.name) AS name,
+    CASE WHEN d.name IS NULL THEN 'add' WHEN r.name IS NULL THEN 'delete'
+         WHEN {differs} THEN 'redeploy' END AS action,
+    COALESCE(r.command, d.command) AS command, COALESCE(r.schedule, d.schedule) AS schedule
+  FROM deployed d FULL OUTER JOIN requested r ON d.name = r.name)
+"""
+
+
+ORACLES["schedule_diff"] = _with(B_SCHED, _diff(False)) + """
+SELECT name, action, command, schedule,
+  CAST(CASE action WHEN 'add' THEN 1 WHEN 'delete' THEN 2 ELSE 3 END AS INTEGER) AS action_rank
+FROM diff WHERE action IS NOT NULL
+"""
+
+ORACLES["schedule_diff_fields"] = _with(B_SCHED, _diff(True)) + """
+SELECT name, action, command, schedule,
+  CAST(CASE action WHEN 'add' THEN 1 WHEN 'delete' THEN 2 ELSE 3 END AS INTEGER) AS action_rank
+FROM diff WHERE action IS NOT NULL
+"""
+
+ORACLES["apply_plan"] = _with(B_SCHED, _diff(True)) + """
+SELECT name, command, schedule FROM deployed d
+WHERE NOT EXISTS (SELECT 1 FROM diff p WHERE p.name = d.name AND p.action IN ('delete', 'add', 'redeploy'))
+UNION ALL
+SELECT r.name, r.command, r.schedule FROM requested r
+WHERE EXISTS (SELECT 1 FROM diff p WHERE p.name = r.name AND p.action IN ('add', 'redeploy'))
+"""
+
+ORACLES["describe_schedules"] = _with(B_SCHED) + """
+SELECT r.name, d.name IS NOT NULL AS found, d.command, d.schedule,
+  CASE WHEN d.name IS NOT NULL THEN d.name || ': ' || d.command || ' @ ' || d.schedule
+       ELSE 'Found no schedule named ''' || r.name || '''' END AS message
+FROM requested r LEFT JOIN deployed d ON r.name = d.name
+"""
+
+ORACLES["delete_outcomes"] = _with(B_SCHED) + """
+SELECT r.name, d.name IS NOT NULL AS deleted,
+  CASE WHEN d.name IS NOT NULL THEN 'Schedule ' || r.name || ' deleted'
+       ELSE 'Nothing to delete, schedule ' || r.name || ' does not exist or is disabled in runlake/europe-west1' END AS message
+FROM requested r LEFT JOIN deployed d ON r.name = d.name
+"""
+
+ORACLES["active_schedules"] = _with(B_SCHED) + """
+, jobs AS (
+  SELECT 'projects/runlake/locations/europe-west1/jobs/' || name AS job_name,
+    CASE WHEN p_type = 'SMALL' THEN command ELSE '[dbt-server job] ' || command END AS description,
+    CASE WHEN p_type = 'LARGE' THEN 'PAUSED' ELSE 'ENABLED' END AS state,
+    schedule, 'UTC' AS time_zone,
+    'https://runner.example/schedule/' || CAST(p_partkey AS VARCHAR) || '/start' AS uri
+  FROM sched_base WHERE p_size <= 40)
+SELECT split_part(job_name, '/', -1) AS name, replace(description, '[dbt-server job] ', '') AS command,
+  schedule, time_zone AS timezone, uri AS target,
+  '2024-01-01-' || split_part(job_name, '/', -1) AS folder,
+  'u' || replace(split_part(job_name, '/', -1), '-', '') AS job_id,
+  'dbt-server-' || split_part(job_name, '/', -1) AS default_name
+FROM jobs WHERE starts_with(description, '[dbt-server job] ') AND state = 'ENABLED'
+"""
+
+
+def _cron_field(f: str, lo: int, hi: int) -> str:
+    base = "split_part(it, '/', 1)"
+    return f"""list_sort(list_distinct(flatten(list_transform(string_split({f}, ','), lambda it:
+      generate_series(
+        CASE WHEN {base} = '*' THEN {lo} ELSE CAST(split_part({base}, '-', 1) AS INTEGER) END,
+        CASE WHEN {base} = '*' THEN {hi}
+             WHEN strpos({base}, '-') > 0 THEN CAST(split_part({base}, '-', 2) AS INTEGER)
+             WHEN strpos(it, '/') > 0 THEN {hi}
+             ELSE CAST(split_part({base}, '-', 1) AS INTEGER) END,
+        CASE WHEN strpos(it, '/') > 0 THEN CAST(split_part(it, '/', 2) AS INTEGER) ELSE 1 END)))))"""
+
+
+FIRES = f"""
+cron AS (
+  SELECT *, {_cron_field("split_part(schedule, ' ', 1)", 0, 59)} AS c_min,
+    {_cron_field("split_part(schedule, ' ', 2)", 0, 23)} AS c_hour,
+    {_cron_field("split_part(schedule, ' ', 3)", 1, 31)} AS c_day,
+    {_cron_field("split_part(schedule, ' ', 4)", 1, 12)} AS c_month,
+    list_transform({_cron_field("split_part(schedule, ' ', 5)", 0, 7)}, lambda x: x % 7) AS c_wday,
+    starts_with(split_part(schedule, ' ', 3), '*') OR starts_with(split_part(schedule, ' ', 5), '*') AS any_star
+  FROM deployed),
+days AS (SELECT CAST(d AS DATE) AS d FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) g(d)),
+fire_days AS (
+  SELECT c.*, days.d FROM cron c, days
+  WHERE list_contains(c.c_month, month(days.d))
+    AND CASE WHEN c.any_star THEN list_contains(c.c_day, day(days.d)) AND list_contains(c.c_wday, dayofweek(days.d))
+             ELSE list_contains(c.c_day, day(days.d)) OR list_contains(c.c_wday, dayofweek(days.d)) END),
+fires AS (
+  SELECT name, schedule, schedule_key, command,
+    CAST(d AS TIMESTAMP) + to_hours(CAST(h AS BIGINT)) + to_minutes(CAST(m AS BIGINT)) AS fire_ts
+  FROM (SELECT *, unnest(c_hour) AS h FROM fire_days) x, unnest(x.c_min) AS u(m))
+"""
+
+ORACLES["expand_cron"] = _with(B_SCHED, FIRES) + """
+SELECT name, schedule, fire_ts FROM fires
+"""
+
+ORACLES["materialise_fires"] = _with(B_SCHED, FIRES) + """
+SELECT f.name, f.fire_ts, 'base-' || f.name AS base_run_id, 'scheduled' AS run_status,
+  f.command AS user_command, '2024-01-01-' || f.name AS cloud_storage_folder,
+  CAST(0 AS BIGINT) AS log_starting_byte,
+  sha256(f.name || '|' || strftime(f.fire_ts, '%Y-%m-%dT%H:%M:%S')) AS run_id
+FROM fires f
+"""
+
+ORACLES["fire_adherence"] = _with(B_SCHED, FIRES) + """
+, runs AS (SELECT user_id AS schedule_key, ts AS run_ts FROM events),
+matched AS (
+  SELECT r.schedule_key, f.fire_ts, min(r.run_ts) AS first_run_ts
+  FROM runs r ASOF JOIN fires f ON r.schedule_key = f.schedule_key AND r.run_ts >= f.fire_ts
+  GROUP BY r.schedule_key, f.fire_ts)
+SELECT f.schedule_key, f.fire_ts, m.first_run_ts,
+  CAST(floor(epoch(m.first_run_ts)) AS BIGINT) - CAST(floor(epoch(f.fire_ts)) AS BIGINT) AS delay_s,
+  CASE WHEN m.first_run_ts IS NOT NULL THEN 'ran' ELSE 'missed' END AS status
+FROM fires f LEFT JOIN matched m ON f.schedule_key = m.schedule_key AND f.fire_ts = m.fire_ts
+"""
+
+ORACLES["retry_attempts"] = """
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
+SELECT f.user_id, f.event_id AS fire_event_id, CAST(a.rn - f.rn AS BIGINT) AS attempt,
+  a.event_id AS attempt_event_id, epoch_us(a.ts) - epoch_us(f.ts) AS delay_us
+FROM e f JOIN e a ON a.user_id = f.user_id AND a.rn BETWEEN f.rn + 1 AND f.rn + 3
+WHERE f.event_type = 'error' AND a.ts <= f.ts + INTERVAL 120 SECOND
+"""
+
+ORACLES["command_parse"] = _with(B_SCHED) + """
+, a AS (SELECT name, command, schedule, string_split(trim(command), ' ') AS args FROM requested),
+b AS (
+  SELECT *, list_position(args, '--select') AS pos,
+    list_filter(args, lambda x: starts_with(x, '--select=') AND length(x) > 9) AS eq,
+    CASE WHEN list_contains(args, '--schedule') THEN args ELSE list_concat(args, ['--schedule', schedule]) END AS a1
+  FROM a)
+SELECT name, command, args[1] AS verb,
+  CASE WHEN pos > 0 THEN args[pos + 1] WHEN list_contains(args, '--select=') THEN '' ELSE '*' END AS selection,
+  CASE WHEN pos > 0 THEN args[pos + 1] WHEN len(eq) > 0 THEN substr(eq[1], 10)
+       WHEN list_contains(args, '--select=') THEN '' ELSE '*' END AS selection_strict,
+  array_to_string(CASE WHEN list_contains(a1, '--schedule-name') THEN a1
+                       ELSE list_concat(a1, ['--schedule-name', name]) END, ' ') AS submitted
+FROM b
+"""
