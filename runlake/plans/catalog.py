@@ -234,3 +234,210 @@ def command_parse(spark, sf_dir):
     return r.select("name", "command", p["verb"].alias("verb"), p["selection"].alias("selection"),
                     strict["selection"].alias("selection_strict"),
                     F.array_join(args, " ").alias("submitted"))
+
+
+# ---------------------------------------------------------------- checks
+from runlake.operators import checks as K  # noqa: E402
+
+
+def _customer_with_nulls(spark, sf_dir):
+    # The tables hold no nulls; nation 3 is blanked to give not_null something to find.
+    c = B.table(spark, sf_dir, "customer")
+    return c.withColumn("c_nationkey", F.when(F.col("c_nationkey") != 3, F.col("c_nationkey")))
+
+
+@register
+def check_not_null(spark, sf_dir):
+    r = K.check_not_null(_customer_with_nulls(spark, sf_dir), "c_nationkey")
+    return r.select(F.lit("customer").alias("model"), F.lit("c_nationkey").alias("column"),
+                    F.lit("not_null").alias("check"), "failures", "rows", "status")
+
+
+@register
+def check_unique(spark, sf_dir):
+    r = K.check_unique(B.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+    return r.select(F.lit("lineitem").alias("model"), F.lit("l_orderkey,l_linenumber").alias("column"),
+                    F.lit("unique").alias("check"), "failures", "status")
+
+
+REPORT_CHECKS = [
+    ("customer", "c_nationkey", "not_null"),
+    ("customer", "c_name", "not_null"),
+    ("customer", "c_custkey", "unique"),
+    ("orders", "o_orderkey", "unique"),
+    ("orders", "o_custkey", "not_null"),
+    ("lineitem", "l_orderkey,l_linenumber", "unique"),
+    ("lineitem", "l_shipdate", "not_null"),
+]
+
+
+@register
+def check_report(spark, sf_dir):
+    models = {"customer": _customer_with_nulls(spark, sf_dir),
+              "orders": B.table(spark, sf_dir, "orders"),
+              "lineitem": B.table(spark, sf_dir, "lineitem")}
+    return K.run_checks(models, REPORT_CHECKS)
+
+
+@register
+def profile_columns(spark, sf_dir):
+    return K.profile(_customer_with_nulls(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- lineage
+from runlake.operators import lineage as G  # noqa: E402
+
+
+@register
+def dag_levels(spark, sf_dir):
+    return G.dag_levels(B.graph_nodes(spark, sf_dir), B.graph_edges(spark, sf_dir))
+
+
+@register
+def skip_propagation(spark, sf_dir):
+    failed = B.graph_nodes(spark, sf_dir).filter(F.col("p_size") == 1).select("node_id")
+    return G.skipped(B.graph_edges(spark, sf_dir), failed)
+
+
+@register
+def closure(spark, sf_dir):
+    start = B.graph_nodes(spark, sf_dir).filter(F.col("p_size") == 50).select("node_id")
+    return G.closure(B.graph_edges(spark, sf_dir), start, "up")
+
+
+@register
+def select_nodes(spark, sf_dir):
+    nodes = B.graph_nodes(spark, sf_dir)
+    names = (B.table(spark, sf_dir, "part").filter(F.col("p_size") == 25).select(F.col("p_name").alias("name"))
+             .unionByName(spark.createDataFrame([("no_such_model",)], "name string")))
+    return G.select_nodes(nodes, names).select("node_id", "name", "resource_type")
+
+
+@register
+def list_nodes(spark, sf_dir):
+    return G.list_nodes(B.graph_nodes(spark, sf_dir), ["seed", "snapshot"]).select("node_id", "resource_type", "name")
+
+
+def _node_results(spark, sf_dir):
+    # Fixed mapping of return flags to result status: N success, A fail, R error.
+    li = B.table(spark, sf_dir, "lineitem")
+    status = F.when(F.col("l_returnflag") == "N", "success").when(F.col("l_returnflag") == "A", "fail") \
+        .otherwise("error")
+    order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", status.alias("s"))
+    return li.select(F.concat(F.lit("n"), F.col("l_partkey").cast("string")).alias("node_id"),
+                     order.alias("order"), status.alias("status"))
+
+
+@register
+def retry_set(spark, sf_dir):
+    return G.retry_set(B.graph_nodes(spark, sf_dir), _node_results(spark, sf_dir)).select(
+        "node_id", "name", "resource_type")
+
+
+@register
+def seed_root_path(spark, sf_dir):
+    return G.fix_seed_root(B.graph_nodes(spark, sf_dir)).select("node_id", "resource_type", "root_path")
+
+
+# ---------------------------------------------------------------- settings, files
+from runlake.functions import settings as FS  # noqa: E402
+from runlake.operators import artifacts as A  # noqa: E402
+from runlake.operators import settings as ST  # noqa: E402
+
+
+@register
+def config_layers(spark, sf_dir):
+    r = ST.resolve_layers(B.settings(spark, sf_dir))
+    return r.select("scope", "key", "value", "priority",
+                    FS.model_config(F.col("value"), F.concat(F.lit("default_"), F.lower("key"))).alias("effective"))
+
+
+@register
+def kv_tombstones(spark, sf_dir):
+    return ST.kv_current(B.settings(spark, sf_dir))
+
+
+@register
+def map_overlay(spark, sf_dir):
+    c = B.table(spark, sf_dir, "customer")
+    user = F.create_map(F.lit("log_format"), F.lit("text"), F.lit("log_level"), F.lower("c_mktsegment"),
+                        F.lit("target"), F.when(F.col("c_acctbal") > 0, F.lit("prod")),
+                        F.lit("profiles_dir"), F.col("c_name"))
+    merged = FS.overlay(FS.clean_overrides(user, deny=["profiles_dir"]), FS.forced_options())
+    return c.select("c_custkey", F.explode(merged).alias("key", "value"))
+
+
+def _url_root(url):
+    return F.regexp_extract(url, r"^[a-z]+://[^/]+", 0)
+
+
+@register
+def path_prefix(spark, sf_dir):
+    p = B.table(spark, sf_dir, "pages").select("page_id", "url")
+    root = _url_root(F.col("url"))
+    rel = FS.rel_path(F.col("url"), root)
+    key = (F.when(F.col("url").startswith("https"), "manifest")
+           .when(F.col("url").endswith(".html"), "seeds_path").otherwise("log_path"))
+    value = F.when(F.col("url").endswith("#top"), rel).otherwise(F.regexp_replace(rel, "^/+", ""))
+    return p.select("page_id", root.alias("root"), rel.alias("rel_path"), FS.base_name(F.col("url")).alias("base_name"),
+                    key.alias("key"), FS.prefix_path(key, value, F.lit("/srv/project")).alias("value"))
+
+
+@register
+def artifact_collisions(spark, sf_dir):
+    f = B.files(spark, sf_dir)
+    files = f.select("path", "length",
+                     F.regexp_extract("path", r"^[a-z]+://[^/]+/([^/?#]*)", 1).alias("folder"),
+                     F.regexp_replace(FS.base_name(F.col("path")), r"[?#].*$", "").alias("base_name"))
+    return A.basename_collisions(files)
+
+
+@register
+def flatten_lists(spark, sf_dir):
+    s = B.table(spark, sf_dir, "supplier")
+    lists = s.select("s_suppkey", "s_nationkey", F.when(F.col("s_acctbal") >= 0, F.array(
+        F.col("s_name"), F.concat(F.col("s_name"), F.lit("-replica")))).alias("services"))
+    return A.flatten_lists(lists, "services").withColumn("pos", F.col("pos").cast("bigint"))
+
+
+# ---------------------------------------------------------------- history, ranking
+from runlake.functions.logs import node_result  # noqa: E402
+from runlake.operators import history as H  # noqa: E402
+
+
+@register
+def snapshot_history(spark, sf_dir):
+    o = B.table(spark, sf_dir, "orders")
+    return H.snapshot_from_changelog(o, "o_custkey", "o_orderdate", "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+def result_lines(spark, sf_dir):
+    """lineitem rows written as node-result log lines (fixed format):
+    '<line> of 7 <OK|PASS|FAIL q> model_<part> ... [<SUCCESS q|PASS|FAIL q> in <price/100>s]'"""
+    li = B.table(spark, sf_dir, "lineitem")
+    q = F.floor("l_quantity").cast("bigint").cast("string")
+    cents = F.floor("l_extendedprice").cast("bigint")
+    elapsed = F.concat((cents / 100).cast("bigint").cast("string"), F.lit("."),
+                       F.lpad(F.pmod(cents, F.lit(100)).cast("string"), 2, "0"))
+    flag = F.col("l_returnflag")
+    status = F.when(flag == "N", "OK").when(flag == "A", "PASS").otherwise(F.concat(F.lit("FAIL "), q))
+    result = F.when(flag == "N", F.concat(F.lit("SUCCESS "), q)).when(flag == "A", "PASS") \
+        .otherwise(F.concat(F.lit("FAIL "), q))
+    line = F.concat(F.col("l_linenumber").cast("string"), F.lit(" of 7 "), status, F.lit(" model_"),
+                    F.col("l_partkey").cast("string"), F.lit(" ... ["), result, F.lit(" in "), elapsed, F.lit("s]"))
+    return li.select(F.date_trunc("day", "l_shipdate").alias("day"), line.alias("line"))
+
+
+@register
+def node_results(spark, sf_dir):
+    r = result_lines(spark, sf_dir).select("day", node_result(F.col("line")).alias("r")).select("day", "r.*")
+    top = H.slowest_nodes(r, "day", 3, tiebreak=("node", "idx", "status", "failures", "result"))
+    return top.select("day", "rank", "idx", "total", "status", "failures", "node", "result", "elapsed")
+
+
+@register
+def top_revenue_runs(spark, sf_dir):
+    """Global top 10 runs by total order value (a top-k report)."""
+    o = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(
+        F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).alias("n_orders"))
+    return H.top_k(o, [F.col("total").desc(), F.col("run_id")], 10)

@@ -380,3 +380,233 @@ SELECT name, command, args[1] AS verb,
                        ELSE list_concat(a1, ['--schedule-name', name]) END, ' ') AS submitted
 FROM b
 """
+
+# ---------------------------------------------------------------- checks
+CUST_NULLS = """
+cust AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey <> 3 THEN c_nationkey END AS c_nationkey,
+  c_acctbal, c_mktsegment FROM customer)
+"""
+
+
+def _status(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN 'PASS' ELSE 'FAIL ' || CAST({x} AS VARCHAR) END"
+
+
+ORACLES["check_not_null"] = _with(CUST_NULLS) + f"""
+, c AS (SELECT count(*) FILTER (WHERE c_nationkey IS NULL) AS failures, count(*) AS rows FROM cust)
+SELECT 'customer' AS model, 'c_nationkey' AS column, 'not_null' AS "check", failures, rows,
+  {_status("failures")} AS status FROM c
+"""
+
+ORACLES["check_unique"] = f"""
+WITH d AS (SELECT count(*) AS failures FROM (
+  SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL
+  GROUP BY 1, 2 HAVING count(*) > 1))
+SELECT 'lineitem' AS model, 'l_orderkey,l_linenumber' AS column, 'unique' AS "check", failures,
+  {_status("failures")} AS status FROM d
+"""
+
+
+def _nn(model: str, src: str, col: str) -> str:
+    return (f"SELECT '{model}' AS model, '{col}' AS \"column\", 'not_null' AS chk, "
+            f"count(*) FILTER (WHERE {col} IS NULL) AS failures FROM {src}")
+
+
+def _uq(model: str, src: str, cols: str) -> str:
+    where = " AND ".join(f"{c} IS NOT NULL" for c in cols.split(","))
+    return (f"SELECT '{model}' AS model, '{cols}' AS \"column\", 'unique' AS chk, count(*) AS failures FROM "
+            f"(SELECT {cols} FROM {src} WHERE {where} GROUP BY {cols} HAVING count(*) > 1)")
+
+
+ORACLES["check_report"] = _with(CUST_NULLS) + f"""
+, r AS (
+  {_nn("customer", "cust", "c_nationkey")} UNION ALL {_nn("customer", "cust", "c_name")}
+  UNION ALL {_uq("customer", "cust", "c_custkey")} UNION ALL {_uq("orders", "orders", "o_orderkey")}
+  UNION ALL {_nn("orders", "orders", "o_custkey")}
+  UNION ALL {_uq("lineitem", "lineitem", "l_orderkey,l_linenumber")}
+  UNION ALL {_nn("lineitem", "lineitem", "l_shipdate")})
+SELECT chk || '_' || model || '_' || replace("column", ',', '_') AS name, model, "column", chk AS "check",
+  CAST(failures AS BIGINT) AS failures, {_status("failures")} AS status
+FROM r
+"""
+
+
+def _prof(col: str, numeric: bool) -> str:
+    lo = f"CAST(min({col}) AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    hi = f"CAST(max({col}) AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    los = "CAST(NULL AS VARCHAR)" if numeric else f"min({col})"
+    his = "CAST(NULL AS VARCHAR)" if numeric else f"max({col})"
+    return (f"SELECT '{col}' AS column, count(*) AS n_rows, count(*) FILTER (WHERE {col} IS NULL) AS n_nulls, "
+            f"count(DISTINCT {col}) AS n_distinct, {lo} AS min_num, {hi} AS max_num, {los} AS min_str, "
+            f"{his} AS max_str FROM cust")
+
+
+ORACLES["profile_columns"] = _with(CUST_NULLS) + " UNION ALL ".join([
+    _prof("c_custkey", True), _prof("c_name", False), _prof("c_nationkey", True),
+    _prof("c_acctbal", True), _prof("c_mktsegment", False)])
+
+# ---------------------------------------------------------------- B-graph
+B_GRAPH = """
+gnodes AS (
+  SELECT 'n' || CAST(p_partkey AS VARCHAR) AS node_id,
+    CASE p_type WHEN 'ECONOMY' THEN 'seed' WHEN 'LARGE' THEN 'test' WHEN 'PROMO' THEN 'snapshot'
+      ELSE 'model' END AS resource_type,
+    p_name AS name, '/projects/' || replace(lower(p_brand), 'brand#', 'p') AS root_path, p_partkey, p_size
+  FROM part),
+gedges AS (
+  SELECT 'n' || CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS VARCHAR) AS parent_id,
+    'n' || CAST(p_partkey AS VARCHAR) AS child_id
+  FROM part WHERE p_partkey > 1)
+"""
+
+ORACLES["dag_levels"] = "WITH RECURSIVE " + _with(B_GRAPH)[5:] + """
+, lv(node_id, level) AS (
+  SELECT node_id, 0 FROM gnodes WHERE node_id NOT IN (SELECT child_id FROM gedges)
+  UNION ALL
+  SELECT e.child_id, lv.level + 1 FROM lv JOIN gedges e ON e.parent_id = lv.node_id)
+SELECT node_id, CAST(max(level) AS INTEGER) AS level FROM lv GROUP BY node_id
+"""
+
+ORACLES["skip_propagation"] = "WITH RECURSIVE " + _with(B_GRAPH)[5:] + """
+, failed AS (SELECT node_id FROM gnodes WHERE p_size = 1),
+d(node_id, depth) AS (
+  SELECT e.child_id, 1 FROM gedges e JOIN failed f ON e.parent_id = f.node_id
+  UNION
+  SELECT e.child_id, d.depth + 1 FROM d JOIN gedges e ON e.parent_id = d.node_id)
+SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM d
+WHERE node_id NOT IN (SELECT node_id FROM failed) GROUP BY node_id
+"""
+
+ORACLES["closure"] = "WITH RECURSIVE " + _with(B_GRAPH)[5:] + """
+, start AS (SELECT node_id FROM gnodes WHERE p_size = 50),
+u(node_id, depth) AS (
+  SELECT e.parent_id, 1 FROM gedges e JOIN start s ON e.child_id = s.node_id
+  UNION
+  SELECT e.parent_id, u.depth + 1 FROM u JOIN gedges e ON e.child_id = u.node_id)
+SELECT node_id, CAST(min(depth) AS INTEGER) AS depth FROM u
+WHERE node_id NOT IN (SELECT node_id FROM start) GROUP BY node_id
+"""
+
+ORACLES["select_nodes"] = _with(B_GRAPH) + """
+SELECT node_id, name, resource_type FROM gnodes
+WHERE name IN (SELECT p_name FROM part WHERE p_size = 25 UNION ALL SELECT 'no_such_model')
+"""
+
+ORACLES["list_nodes"] = _with(B_GRAPH) + """
+SELECT node_id, resource_type, name FROM gnodes WHERE resource_type IN ('seed', 'snapshot')
+"""
+
+ORACLES["retry_set"] = _with(B_GRAPH) + """
+, res AS (
+  SELECT 'n' || CAST(l_partkey AS VARCHAR) AS node_id,
+    CASE l_returnflag WHEN 'N' THEN 'success' WHEN 'A' THEN 'fail' ELSE 'error' END AS status,
+    l_shipdate, l_orderkey, l_linenumber FROM lineitem),
+last AS (SELECT node_id, arg_max(status, (l_shipdate, l_orderkey, l_linenumber, status)) AS s FROM res GROUP BY node_id)
+SELECT node_id, name, resource_type FROM gnodes g
+WHERE NOT EXISTS (SELECT 1 FROM last l WHERE l.node_id = g.node_id AND l.s = 'success')
+"""
+
+ORACLES["seed_root_path"] = _with(B_GRAPH) + """
+SELECT node_id, resource_type, CASE WHEN resource_type = 'seed' THEN '.' ELSE root_path END AS root_path FROM gnodes
+"""
+
+# ---------------------------------------------------------------- settings, files
+B_SET = """
+settings AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS scope, c_mktsegment AS key,
+    CASE WHEN c_acctbal >= 0 THEN c_name END AS value, c_custkey AS priority, c_custkey AS seq,
+    CASE WHEN c_acctbal < 0 THEN 'delete' ELSE 'set' END AS op
+  FROM customer)
+"""
+
+ORACLES["config_layers"] = _with(B_SET) + """
+SELECT scope, key, arg_max(value, priority) FILTER (WHERE value IS NOT NULL) AS value,
+  max(priority) FILTER (WHERE value IS NOT NULL) AS priority,
+  COALESCE(arg_max(value, priority) FILTER (WHERE value IS NOT NULL), 'default_' || lower(key)) AS effective
+FROM settings GROUP BY scope, key
+"""
+
+ORACLES["kv_tombstones"] = _with(B_SET) + """
+, last AS (SELECT scope, key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM settings GROUP BY scope, key)
+SELECT scope, key, value FROM last WHERE op <> 'delete'
+"""
+
+ORACLES["map_overlay"] = """
+SELECT c_custkey, 'log_format' AS key, 'json' AS value FROM customer
+UNION ALL SELECT c_custkey, 'log_level', 'debug' FROM customer
+UNION ALL SELECT c_custkey, 'debug', 'true' FROM customer
+UNION ALL SELECT c_custkey, 'target', 'prod' FROM customer WHERE c_acctbal > 0
+"""
+
+ORACLES["path_prefix"] = """
+WITH p AS (
+  SELECT page_id, url, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS root FROM pages),
+q AS (
+  SELECT *, replace(url, root, '') AS rel_path, split_part(url, '/', -1) AS base_name,
+    CASE WHEN starts_with(url, 'https') THEN 'manifest' WHEN ends_with(url, '.html') THEN 'seeds_path'
+      ELSE 'log_path' END AS key FROM p),
+r AS (SELECT *, CASE WHEN ends_with(url, '#top') THEN rel_path ELSE regexp_replace(rel_path, '^/+', '') END AS v FROM q)
+SELECT page_id, root, rel_path, base_name, key,
+  CASE WHEN key IN ('manifest', 'extra_packages', 'seeds_path') AND v IS NOT NULL
+       THEN CASE WHEN starts_with(v, '/') THEN v ELSE '/srv/project/' || v END
+       ELSE v END AS value
+FROM r
+"""
+
+ORACLES["artifact_collisions"] = """
+WITH f AS (
+  SELECT url AS path, CAST(strlen(html) AS BIGINT) AS length,
+    regexp_extract(url, '^[a-z]+://[^/]+/([^/?#]*)', 1) AS folder,
+    regexp_replace(split_part(url, '/', -1), '[?#].*$', '') AS base_name
+  FROM pages)
+SELECT folder, base_name, count(*) AS n_files, min(path) AS first_path, max(path) AS last_path,
+  CAST(sum(length) AS BIGINT) AS total_bytes,
+  count(*) FILTER (WHERE ends_with(lower(base_name), '.csv')) AS n_csv
+FROM f GROUP BY folder, base_name HAVING count(*) > 1
+"""
+
+ORACLES["flatten_lists"] = """
+SELECT s_suppkey, s_nationkey, CAST(0 AS BIGINT) AS pos, s_name AS item FROM supplier WHERE s_acctbal >= 0
+UNION ALL
+SELECT s_suppkey, s_nationkey, CAST(1 AS BIGINT), s_name || '-replica' FROM supplier WHERE s_acctbal >= 0
+"""
+
+# ---------------------------------------------------------------- history, ranking
+ORACLES["snapshot_history"] = """
+WITH o AS (
+  SELECT o_custkey, o_orderdate, o_orderkey, o_orderstatus, o_orderpriority,
+    row_number() OVER w AS rn,
+    lag(o_orderstatus) OVER w AS p_status, lag(o_orderpriority) OVER w AS p_prio
+  FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+v AS (
+  SELECT * FROM o WHERE rn = 1 OR o_orderstatus IS DISTINCT FROM p_status OR o_orderpriority IS DISTINCT FROM p_prio)
+SELECT o_custkey, row_number() OVER w AS version, o_orderstatus, o_orderpriority,
+  o_orderdate AS valid_from, lead(o_orderdate) OVER w AS valid_to,
+  lead(o_orderdate) OVER w IS NULL AS is_current, o_orderkey AS from_seq
+FROM v WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+"""
+
+ORACLES["node_results"] = """
+WITH l AS (
+  SELECT date_trunc('day', l_shipdate) AS day, l_linenumber, l_partkey, l_returnflag,
+    CAST(floor(l_quantity) AS BIGINT) AS q, CAST(floor(l_extendedprice) AS BIGINT) AS cents
+  FROM lineitem),
+r AS (
+  SELECT day, CAST(l_linenumber AS BIGINT) AS idx, CAST(7 AS BIGINT) AS total,
+    CASE l_returnflag WHEN 'N' THEN 'OK' WHEN 'A' THEN 'PASS' ELSE 'FAIL' END AS status,
+    CASE WHEN l_returnflag IN ('N', 'A') THEN 0 ELSE q END AS failures,
+    'model_' || CAST(l_partkey AS VARCHAR) AS node,
+    CASE l_returnflag WHEN 'N' THEN 'SUCCESS ' || CAST(q AS VARCHAR) WHEN 'A' THEN 'PASS'
+      ELSE 'FAIL ' || CAST(q AS VARCHAR) END AS result,
+    CAST(CAST(cents // 100 AS VARCHAR) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS DOUBLE) AS elapsed
+  FROM l),
+k AS (
+  SELECT *, row_number() OVER (PARTITION BY day ORDER BY elapsed DESC NULLS LAST, node, idx, status, failures, result) AS rank
+  FROM r)
+SELECT day, rank, idx, total, status, failures, node, result, elapsed FROM k WHERE rank <= 3
+"""
+
+ORACLES["top_revenue_runs"] = """
+SELECT o_custkey AS run_id, round(sum(o_totalprice), 2) AS total, count(*) AS n_orders
+FROM orders GROUP BY o_custkey ORDER BY total DESC, run_id LIMIT 10
+"""
