@@ -441,3 +441,69 @@ def top_revenue_runs(spark, sf_dir):
     o = B.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(
         F.round(F.sum("o_totalprice"), 2).alias("total"), F.count(F.lit(1)).alias("n_orders"))
     return H.top_k(o, [F.col("total").desc(), F.col("run_id")], 10)
+
+
+# ---------------------------------------------------------------- sources, sinks, models
+from runlake.plans import models as M  # noqa: E402
+from runlake.session import scratch_path  # noqa: E402
+from runlake.sources import logs as SL  # noqa: E402
+from runlake.sources import seeds as SS  # noqa: E402
+from runlake.sources import state as SST  # noqa: E402
+from runlake.sources import tables as STB  # noqa: E402
+
+
+@register
+def seed_roundtrip(spark, sf_dir):
+    d = scratch_path(spark, "seeds")
+    B.table(spark, sf_dir, "nation").write.option("header", "true").csv(f"{d}/nation.csv")
+    return SS.load_seeds(spark, d)["nation"]
+
+
+@register
+def log_roundtrip(spark, sf_dir):
+    d = scratch_path(spark, "logs")
+    ev = B.log_events(spark, sf_dir)
+    SL.append_log_lines(ev.select("run_id", "line_no", "raw", F.to_date("ts").alias("run_date")), d)
+    return SL.read_log_lines(spark, d).select("run_id", "line_no", "raw")
+
+
+@register
+def log_text_roundtrip(spark, sf_dir):
+    d = scratch_path(spark, "logtext")
+    SL.write_log_text(B.log_lines(spark, sf_dir), d)
+    return SL.read_log_text(spark, d, run_id_from="partition").withColumn("run_id", F.col("run_id").cast("bigint"))
+
+
+@register
+def state_roundtrip(spark, sf_dir):
+    d = scratch_path(spark, "run_events")
+    SST.append_run_events(B.run_events(spark, sf_dir), d)
+    return R.compact(SST.read_run_events(spark, d), B_STATE_FIELDS)
+
+
+CHAIN = [
+    M.Model("recent_orders", """
+        WITH open_orders AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus = 'O'),
+             done_orders AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus = 'F')
+        SELECT * FROM open_orders UNION ALL SELECT * FROM done_orders""", materialized="table"),
+    M.Model("customer_orders", """
+        SELECT c.c_custkey, c.c_mktsegment, r.id FROM recent_orders r
+        JOIN customer c ON c.c_custkey = r.o_custkey WHERE c.c_mktsegment = 'BUILDING'""",
+            depends_on=("recent_orders",)),
+]
+
+
+@register
+def model_chain(spark, sf_dir):
+    for t in ("orders", "customer"):
+        B.table(spark, sf_dir, t).createOrReplaceTempView(t)
+    project = M.Project("chain", CHAIN)
+    root = scratch_path(spark, "models")
+    for m in CHAIN:
+        M.materialise(spark, m.name, spark.sql(m.sql), M.model_config(m, project), root)
+    return spark.table("customer_orders")
+
+
+@register
+def clone_check(spark, sf_dir):
+    return STB.clone_table(spark, B.table(spark, sf_dir, "region"), scratch_path(spark, "clone"), as_path=True)

@@ -610,3 +610,18 @@ ORACLES["top_revenue_runs"] = """
 SELECT o_custkey AS run_id, round(sum(o_totalprice), 2) AS total, count(*) AS n_orders
 FROM orders GROUP BY o_custkey ORDER BY total DESC, run_id LIMIT 10
 """
+
+# ---------------------------------------------------------------- sources, sinks, models
+ORACLES["seed_roundtrip"] = "SELECT * FROM nation"
+ORACLES["log_roundtrip"] = _with(B_LOG) + "SELECT run_id, line_no, raw FROM lines"
+ORACLES["log_text_roundtrip"] = _with(B_LOG) + "SELECT CAST(run_id AS BIGINT) AS run_id, line_no, raw FROM lines"
+ORACLES["state_roundtrip"] = _with(B_STATE) + "SELECT run_id, run_status, user_command, log_starting_byte FROM run_state"
+ORACLES["model_chain"] = """
+WITH recent_orders AS (
+  WITH open_orders AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus = 'O'),
+       done_orders AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus = 'F')
+  SELECT * FROM open_orders UNION ALL SELECT * FROM done_orders)
+SELECT c.c_custkey, c.c_mktsegment, r.id FROM recent_orders r
+JOIN customer c ON c.c_custkey = r.o_custkey WHERE c.c_mktsegment = 'BUILDING'
+"""
+ORACLES["clone_check"] = "SELECT * FROM region"

@@ -67,3 +67,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="runlake-ckpt-", dir=os.environ.get("RUNLAKE_SCRATCH", "/tmp"))
         spark.sparkContext.setCheckpointDir(path)
         return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new, unique folder below the shared checkpoint folder for written
+    intermediate tables (never a machine-local temp folder)."""
+    import uuid
+    return f"{checkpoint_dir(spark).rstrip('/')}/runlake-tables/{name}-{uuid.uuid4().hex}"
