@@ -507,3 +507,79 @@ def model_chain(spark, sf_dir):
 @register
 def clone_check(spark, sf_dir):
     return STB.clone_table(spark, B.table(spark, sf_dir, "region"), scratch_path(spark, "clone"), as_path=True)
+
+
+# ---------------------------------------------------------------- streaming
+from runlake.streaming import streams as SM  # noqa: E402
+
+
+def _events_stream(spark, sf_dir):
+    schema = B.table(spark, sf_dir, "events").schema
+    return SM.event_time(SM.read_stream(spark, sf_dir, schema, glob="events.parquet"))
+
+
+@register
+def stream_tail(spark, sf_dir):
+    d = scratch_path(spark, "tail")
+    ev = B.log_events(spark, sf_dir)
+    SL.append_log_lines(ev.select("run_id", "line_no", "raw", F.to_date("ts").alias("run_date")), f"{d}/src")
+    schema = spark.read.parquet(f"{d}/src").schema
+    q = SM.tail(SM.read_stream(spark, f"{d}/src", schema), f"{d}/out", f"{d}/cursor")
+    q.awaitTermination()
+    return spark.read.parquet(f"{d}/out").select("run_id", "line_no", "raw")
+
+
+@register
+def stream_status(spark, sf_dir):
+    d = scratch_path(spark, "status")
+    ev = B.run_events(spark, sf_dir)
+    early = ev.filter(F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz"))
+    late = ev.filter(F.col("ts") >= F.lit("1998-01-01").cast("timestamp_ntz"))
+    for part in (early, late):  # two arrivals, in time order
+        part.repartitionByRange(2, "run_id", "seq").write.mode("append").parquet(f"{d}/src")
+    src = SM.read_stream(spark, f"{d}/src", spark.read.parquet(f"{d}/src").schema, max_files=2)
+    q = SM.stream_state(src, f"{d}/state", f"{d}/cursor")
+    q.awaitTermination()
+    return SM.state_table(spark, f"{d}/state", B_STATE_FIELDS)
+
+
+@register
+def stream_windows(spark, sf_dir):
+    d = scratch_path(spark, "windows")
+    q = SM.stream_counts(_events_stream(spark, sf_dir), ["event_type"], "1 hour", None, "1 hour",
+                         f"{d}/out", f"{d}/cursor")
+    q.awaitTermination()
+    r = SM.latest_counts(spark, f"{d}/out", ["event_type"])
+    return r.select(_ntz("window_start"), _ntz("window_end"), "event_type", "n")
+
+
+@register
+def stream_sessions(spark, sf_dir):
+    d = scratch_path(spark, "sessions")
+    q = SM.stream_sessions(_events_stream(spark, sf_dir), ["user_id"], "30 minutes", "1 hour",
+                           f"{d}/out", f"{d}/cursor")
+    q.awaitTermination()
+    r = spark.read.parquet(f"{d}/out")
+    return r.select("user_id", _ntz("session_start"), _ntz("session_end"), "n_lines", _ntz("last_ts"))
+
+
+@register
+def stream_dedup(spark, sf_dir):
+    d = scratch_path(spark, "dedup")
+    fires = _events_stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
+    q = SM.stream_dedup(fires, ["user_id", "event_type", "hour"], "1 hour", f"{d}/out", f"{d}/cursor")
+    q.awaitTermination()
+    return spark.read.parquet(f"{d}/out").select("user_id", "event_type", _ntz("hour"))
+
+
+@register
+def stream_late(spark, sf_dir):
+    d = scratch_path(spark, "late")
+    ev = B.table(spark, sf_dir, "events")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    for part in (ev.filter(F.col("ts") >= cut), ev.filter(F.col("ts") < cut)):  # the early half arrives late
+        part.repartitionByRange(2, "ts", "event_id").write.mode("append").parquet(f"{d}/src")
+    src = SM.event_time(SM.read_stream(spark, f"{d}/src", ev.schema, max_files=2))
+    q = SM.late_gate(src, "ts", 3600, f"{d}/out", f"{d}/cursor")
+    q.awaitTermination()
+    return SM.late_marks(spark, f"{d}/out").select("batch_id", "num_input_rows", "late_rows")

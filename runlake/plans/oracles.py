@@ -625,3 +625,32 @@ SELECT c.c_custkey, c.c_mktsegment, r.id FROM recent_orders r
 JOIN customer c ON c.c_custkey = r.o_custkey WHERE c.c_mktsegment = 'BUILDING'
 """
 ORACLES["clone_check"] = "SELECT * FROM region"
+
+# ---------------------------------------------------------------- streaming (batch equivalents)
+ORACLES["stream_tail"] = _with(B_LOG) + "SELECT run_id, line_no, raw FROM lines"
+ORACLES["stream_status"] = _with(B_STATE) + "SELECT run_id, run_status, user_command, log_starting_byte FROM run_state"
+ORACLES["stream_windows"] = """
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  event_type, count(*) AS n
+FROM events GROUP BY 1, 2, 3
+"""
+ORACLES["stream_sessions"] = """
+WITH e AS (
+  SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev_ts FROM events),
+s AS (
+  SELECT user_id, ts, sum(CASE WHEN prev_ts IS NULL OR ts >= prev_ts + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+    OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sid
+  FROM e),
+g AS (
+  SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
+    count(*) AS n_lines, max(ts) AS last_ts
+  FROM s GROUP BY user_id, sid)
+SELECT * FROM g WHERE session_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+"""
+ORACLES["stream_dedup"] = "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events"
+ORACLES["stream_late"] = """
+SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS num_input_rows, CAST(0 AS BIGINT) AS late_rows
+FROM events WHERE ts >= TIMESTAMP '2024-01-15'
+UNION ALL
+SELECT CAST(1 AS BIGINT), count(*), count(*) FROM events WHERE ts < TIMESTAMP '2024-01-15'
+"""
