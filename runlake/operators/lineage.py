@@ -78,29 +78,41 @@ def closure(edges: DataFrame, start: DataFrame, direction: str = "down",
     """Nodes reachable in one or more steps from ``start`` (node_id), with the
     shortest distance ``depth``; start nodes themselves are not returned.
     ``direction='down'`` follows parent -> child, ``'up'`` child -> parent.
-    Terminates on cycles (visited nodes are never expanded twice)."""
+
+    Breadth-first: each round joins only the newest frontier with the edges
+    and anti-joins everything seen (a union of checkpointed frontiers), so
+    every node is expanded once and cycles end the walk."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
     src, dst = ("parent_id", "child_id") if direction == "down" else ("child_id", "parent_id")
     e = edges.select(F.col(src).alias("__src"), F.col(dst).alias("node_id")).distinct() \
         .persist(StorageLevel.MEMORY_AND_DISK)
     seeds = start.select("node_id").distinct()
-    visited = _ckpt(seeds.withColumn("depth", F.lit(0)))
-    frontier = visited
+    frontier = _ckpt(seeds.withColumn("depth", F.lit(0)))
+    rounds = [frontier]
     depth = 0
     while True:
         depth += 1
         if max_rounds is not None and depth > max_rounds:
             raise RuntimeError(f"closure did not finish in {max_rounds} rounds")
-        nxt = (frontier.select(F.col("node_id").alias("__src")).join(e, "__src")
-               .select("node_id").distinct())
-        new = _ckpt(nxt.join(visited, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = _union(rounds).select("node_id")
+        nxt = frontier.select(F.col("node_id").alias("__src")).join(e, "__src").select("node_id").distinct()
+        new = _ckpt(nxt.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        visited = _ckpt(visited.unionByName(new))
+        rounds.append(new)
         frontier = new
     e.unpersist()
-    return visited.join(seeds, "node_id", "left_anti")
+    return _union(rounds[1:], like=frontier).join(seeds, "node_id", "left_anti")
+
+
+def _union(parts: list[DataFrame], like: DataFrame | None = None) -> DataFrame:
+    if not parts:
+        return like.limit(0)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def skipped(edges: DataFrame, failed: DataFrame) -> DataFrame:
@@ -110,35 +122,37 @@ def skipped(edges: DataFrame, failed: DataFrame) -> DataFrame:
 
 def dag_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """Level of every node = length of the longest path from a root (a node
-    without parents). Frontier relaxation: a node is re-expanded only when its
-    level grew. Raises when rounds exceed ``max_rounds`` (default: number of
-    nodes), which only a cycle reachable from a root can cause. Nodes only
-    reachable through an unrooted cycle get a null level."""
+    without parents).
+
+    Round k holds the distinct nodes that some path of exactly k edges
+    reaches from a root; round k+1 is their children. A node's level is the
+    last round it appears in. Each round is one join of a checkpointed
+    frontier with the edges. A frontier that never empties means a cycle
+    reachable from a root: more rounds than nodes raises. Nodes reachable
+    only through an unrooted cycle get a null level."""
     spark = nodes.sparkSession
     checkpoint_dir(spark)
     e = edges.select("parent_id", "child_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
     ids = nodes.select("node_id").distinct()
     roots = ids.join(e.select(F.col("child_id").alias("node_id")), "node_id", "left_anti")
-    levels = _ckpt(roots.withColumn("level", F.lit(0)))
-    frontier = levels
-    limit = max_rounds if max_rounds is not None else None
-    rounds = 0
+    frontier = _ckpt(roots.withColumn("level", F.lit(0)))
+    rounds = [frontier]
+    limit = max_rounds
+    level = 0
     while True:
-        rounds += 1
-        if limit is None:
-            limit = ids.count() + 1
-        if rounds > limit:
+        level += 1
+        if limit is None and level > 64:
+            limit = ids.count() + 1  # only deep graphs pay for the count
+        if limit is not None and level > limit:
             raise RuntimeError("dag_levels: graph has a cycle reachable from a root")
-        cand = (frontier.join(e, frontier["node_id"] == e["parent_id"])
-                .groupBy(F.col("child_id").alias("node_id"))
-                .agg((F.max("level") + 1).alias("level")))
-        cur = levels.select("node_id", F.col("level").alias("__cur"))
-        better = _ckpt(cand.join(cur, "node_id", "left")
-                       .filter(F.col("__cur").isNull() | (F.col("level") > F.col("__cur")))
-                       .select("node_id", "level"))
-        if better.isEmpty():
+        nxt = (frontier.join(e, frontier["node_id"] == e["parent_id"])
+               .select(F.col("child_id").alias("node_id")).distinct()
+               .withColumn("level", F.lit(level)))
+        nxt = _ckpt(nxt)
+        if nxt.isEmpty():
             break
-        levels = _ckpt(levels.join(better.select("node_id"), "node_id", "left_anti").unionByName(better))
-        frontier = better
+        rounds.append(nxt)
+        frontier = nxt
     e.unpersist()
+    levels = _union(rounds).groupBy("node_id").agg(F.max("level").alias("level"))
     return ids.join(levels, "node_id", "left")

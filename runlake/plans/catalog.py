@@ -401,7 +401,7 @@ def flatten_lists(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- history, ranking
-from runlake.functions.logs import node_result  # noqa: E402
+from runlake.functions.logs import with_node_result  # noqa: E402
 from runlake.operators import history as H  # noqa: E402
 
 
@@ -430,7 +430,7 @@ def result_lines(spark, sf_dir):
 
 @register
 def node_results(spark, sf_dir):
-    r = result_lines(spark, sf_dir).select("day", node_result(F.col("line")).alias("r")).select("day", "r.*")
+    r = with_node_result(result_lines(spark, sf_dir), "line").select("day", "r.*")
     top = H.slowest_nodes(r, "day", 3, tiebreak=("node", "idx", "status", "failures", "result"))
     return top.select("day", "rank", "idx", "total", "status", "failures", "node", "result", "elapsed")
 
