@@ -23,12 +23,22 @@ def _names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
-    cond = None
-    for k in keys:
-        c = left[k].eqNullSafe(right[prefix + k])
-        cond = c if cond is None else cond & c
-    return cond
+def _attach_offsets(d: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``d`` has __chunk, __local and __tot (the chunk's total, computed in the
+    same window partitioning). Per key, prefix-sum the chunk totals on the
+    small table of distinct (key, chunk) and add the offset to ``__local``.
+
+    The distinct and the join both use (key, chunk), the partitioning ``d``
+    already has after its window, so the big side is not shuffled again;
+    only the offsets table moves (or is broadcast when AQE finds it small).
+    Rows with a null key are numbered within their chunk only.
+    """
+    totals = d.select(*keys, "__chunk", "__tot").dropDuplicates([*keys, "__chunk"])
+    w_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__chunk", F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0)).alias("__off"))
+    out = d.join(offsets, [*keys, "__chunk"], "left")
+    return (out.withColumn(name, (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local")).cast("bigint"))
+            .drop("__chunk", "__local", "__tot", "__off"))
 
 
 def prefix_sum(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str],
@@ -40,19 +50,13 @@ def prefix_sum(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column
     """
     keys = _names(keys)
     d = df.withColumn("__chunk", chunk).withColumn("__v", value)
-    w_local = Window.partitionBy(*keys, "__chunk").orderBy(*order)
+    w = Window.partitionBy(*keys, "__chunk")
     end = Window.currentRow if inclusive else -1
-    d = d.withColumn("__local", F.coalesce(
-        F.sum("__v").over(w_local.rowsBetween(Window.unboundedPreceding, end)), F.lit(0)))
-    totals = d.groupBy(*keys, "__chunk").agg(F.sum("__v").alias("__tot"))
-    w_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias("__o_" + k) for k in keys],
-                            F.col("__chunk").alias("__o___chunk"),
-                            F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0)).alias("__off"))
-    cond = _same_keys(d, offsets, keys + ["__chunk"], "__o_")
-    out = d.join(offsets, cond, "inner")
-    return (out.withColumn(name, (F.col("__off") + F.col("__local")).cast("bigint"))
-            .drop("__chunk", "__v", "__local", "__off", "__o___chunk", *["__o_" + k for k in keys]))
+    d = (d.withColumn("__local", F.coalesce(
+        F.sum("__v").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)), F.lit(0)))
+        .withColumn("__tot", F.sum("__v").over(w))
+        .drop("__v"))
+    return _attach_offsets(d, keys, name)
 
 
 def ordinal(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str],
@@ -60,18 +64,11 @@ def ordinal(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | s
     """``row_number() over (partition by keys order by order)`` as a bigint,
     computed per (key, chunk) plus the count of rows in earlier chunks."""
     keys = _names(keys)
-    d = df.withColumn("__chunk", chunk)
-    w_local = Window.partitionBy(*keys, "__chunk").orderBy(*order)
-    d = d.withColumn("__local", F.row_number().over(w_local))
-    totals = d.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__tot"))
-    w_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias("__o_" + k) for k in keys],
-                            F.col("__chunk").alias("__o___chunk"),
-                            F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0)).alias("__off"))
-    cond = _same_keys(d, offsets, keys + ["__chunk"], "__o_")
-    out = d.join(offsets, cond, "inner")
-    return (out.withColumn(name, (F.col("__off") + F.col("__local")).cast("bigint"))
-            .drop("__chunk", "__local", "__off", "__o___chunk", *["__o_" + k for k in keys]))
+    w = Window.partitionBy(*keys, "__chunk")
+    d = (df.withColumn("__chunk", chunk)
+         .withColumn("__local", F.row_number().over(w.orderBy(*order)))
+         .withColumn("__tot", F.count(F.lit(1)).over(w)))
+    return _attach_offsets(d, keys, name)
 
 
 def with_neighbour(df: DataFrame, keys: str | Sequence[str], ordinal_col: str,
@@ -83,7 +80,11 @@ def with_neighbour(df: DataFrame, keys: str | Sequence[str], ordinal_col: str,
     shifted = df.select(*[F.col(k).alias("__n_" + k) for k in keys],
                         (F.col(ordinal_col) + F.lit(offset)).alias("__n_ord"),
                         *[F.col(c).alias(prefix + c) for c in columns])
-    cond = _same_keys(df, shifted, keys, "__n_") & (df[ordinal_col] == shifted["__n_ord"])
+    cond = None
+    for k in keys:
+        c = df[k] == shifted["__n_" + k]
+        cond = c if cond is None else cond & c
+    cond = cond & (df[ordinal_col] == shifted["__n_ord"])
     return df.join(shifted, cond, "left").drop("__n_ord", *["__n_" + k for k in keys])
 
 
