@@ -162,29 +162,33 @@ def fire_adherence(fires: DataFrame, runs: DataFrame, key: str, tolerance_s: int
     """For each fire (key, fire_ts): the first run (key, run_ts) started at or
     after it and before the key's next fire, else ``missed``.
 
-    As-of match without a range join: fires and runs are merged per key in time
-    order (a fire sorts before a run at the same instant) and each run takes
-    the latest fire at or before it, a running max computed per (key, chunk of
-    time) plus the max of earlier chunks. Then one aggregation per fire.
+    As-of match without a range join and in one pass over each input: fires
+    and runs are merged per key in time order (a fire sorts before a run at
+    the same instant); every row takes the latest fire at or before it as a
+    running max computed per (key, chunk of time) plus the max of earlier
+    chunks; one aggregation per (key, latest fire) then gives each fire its
+    first run.
     """
+    ftype = fires.schema["fire_ts"].dataType
     f = fires.select(F.col(key).alias("__k"), F.col("fire_ts").alias("__t"), F.lit(0).alias("__kind"),
                      F.col("fire_ts").alias("__fire"))
-    r = runs.select(F.col(key).alias("__k"), F.col("run_ts").alias("__t"), F.lit(1).alias("__kind"),
-                    F.lit(None).cast(fires.schema["fire_ts"].dataType).alias("__fire"))
+    r = runs.select(F.col(key).alias("__k"), F.col("run_ts").cast(ftype).alias("__t"), F.lit(1).alias("__kind"),
+                    F.lit(None).cast(ftype).alias("__fire"))
     u = f.unionByName(r).withColumn("__chunk", F.date_trunc(chunk_unit, "__t"))
-    w_local = (Window.partitionBy("__k", "__chunk").orderBy("__t", "__kind")
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    u = u.withColumn("__local", F.max("__fire").over(w_local))
-    tops = u.groupBy("__k", "__chunk").agg(F.max("__fire").alias("__top"))
+    w = Window.partitionBy("__k", "__chunk")
+    u = (u.withColumn("__local", F.max("__fire").over(
+            w.orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+         .withColumn("__top", F.max("__fire").over(w)))
+    tops = u.select("__k", "__chunk", "__top").dropDuplicates(["__k", "__chunk"])
     w_prev = Window.partitionBy("__k").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(F.col("__k").alias("__k2"), F.col("__chunk").alias("__c2"),
-                       F.max("__top").over(w_prev).alias("__before"))
-    u = u.filter(F.col("__kind") == 1).join(
-        tops, (u["__k"] == tops["__k2"]) & (u["__chunk"] == tops["__c2"]), "inner")
-    u = u.withColumn("__last_fire", F.greatest("__local", "__before")).filter(F.col("__last_fire").isNotNull())
-    first = u.groupBy("__k", "__last_fire").agg(F.min("__t").alias("first_run_ts"))
-    first = first.select(F.col("__k").alias(key), F.col("__last_fire").alias("fire_ts"), "first_run_ts")
-    out = fires.select(key, "fire_ts").join(first, [key, "fire_ts"], "left")
+    tops = tops.select("__k", "__chunk", F.max("__top").over(w_prev).alias("__before"))
+    u = u.join(tops, ["__k", "__chunk"], "left").withColumn("__last", F.greatest("__local", "__before"))
+    g = (u.filter(F.col("__last").isNotNull())
+         .groupBy("__k", "__last")
+         .agg(F.min(F.when(F.col("__kind") == 1, F.col("__t"))).alias("first_run_ts"),
+              F.min("__kind").alias("__has_fire")))
+    out = g.filter(F.col("__has_fire") == 0).select(F.col("__k").alias(key), F.col("__last").alias("fire_ts"),
+                                                    "first_run_ts")
     delay = F.unix_timestamp("first_run_ts") - F.unix_timestamp("fire_ts")
     ok = F.col("first_run_ts").isNotNull()
     if tolerance_s is not None:

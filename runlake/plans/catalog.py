@@ -583,3 +583,33 @@ def stream_late(spark, sf_dir):
     q = SM.late_gate(src, "ts", 3600, f"{d}/out", f"{d}/cursor")
     q.awaitTermination()
     return SM.late_marks(spark, f"{d}/out").select("batch_id", "num_input_rows", "late_rows")
+
+
+BUILD_MODELS = CHAIN + [
+    M.Model("nation_customers", """
+        SELECT c.c_custkey, c.c_nationkey, n.n_name FROM customer c
+        JOIN nation_seed n ON c.c_nationkey = n.n_nationkey""", materialized="table",
+            depends_on=("nation_seed",)),
+    M.Model("building_nations", """
+        SELECT DISTINCT o.c_custkey, n.n_name FROM customer_orders o
+        JOIN nation_customers n ON o.c_custkey = n.c_custkey""", depends_on=("customer_orders", "nation_customers")),
+]
+BUILD_CHECKS = [
+    M.Check("recent_orders", "id", "unique"),
+    M.Check("customer_orders", "id", "not_null"),
+    M.Check("customer_orders", "c_custkey", "unique"),
+    M.Check("nation_customers", "c_custkey", "unique"),
+]
+
+
+@register
+def project_build(spark, sf_dir):
+    """Seed + models + checks over the driver tables in dependency
+    order; a failing check skips what is built on its model."""
+    for t in ("orders", "customer"):
+        B.table(spark, sf_dir, t).createOrReplaceTempView(t)
+    seeds = scratch_path(spark, "project-seeds")
+    B.table(spark, sf_dir, "nation").write.option("header", "true").csv(f"{seeds}/nation_seed.csv")
+    project = M.Project("driver", BUILD_MODELS, seeds_dir=seeds, checks=BUILD_CHECKS)
+    res = M.build(spark, project, scratch_path(spark, "project"))
+    return res.select("idx", "total", "node_id", "resource_type", "status", "failures", "rows", "result")

@@ -654,3 +654,53 @@ FROM events WHERE ts >= TIMESTAMP '2024-01-15'
 UNION ALL
 SELECT CAST(1 AS BIGINT), count(*), count(*) FROM events WHERE ts < TIMESTAMP '2024-01-15'
 """
+
+ORACLES["project_build"] = """
+WITH recent_orders AS (
+  SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus IN ('O', 'F')),
+customer_orders AS (
+  SELECT c.c_custkey, c.c_mktsegment, r.id FROM recent_orders r
+  JOIN customer c ON c.c_custkey = r.o_custkey WHERE c.c_mktsegment = 'BUILDING'),
+nation_customers AS (
+  SELECT c.c_custkey, c.c_nationkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey),
+f AS (
+  SELECT
+    (SELECT count(*) FROM (SELECT id FROM recent_orders GROUP BY id HAVING count(*) > 1)) AS u_recent,
+    (SELECT count(*) FROM customer_orders WHERE id IS NULL) AS nn_co,
+    (SELECT count(*) FROM (SELECT c_custkey FROM customer_orders GROUP BY c_custkey HAVING count(*) > 1)) AS u_co,
+    (SELECT count(*) FROM (SELECT c_custkey FROM nation_customers GROUP BY c_custkey HAVING count(*) > 1)) AS u_nc),
+nodes(node_id, resource_type, lvl, failures, rows, result) AS (
+  SELECT 'model.recent_orders', 'model', 0, 0, (SELECT count(*) FROM recent_orders),
+         'SELECT ' || CAST((SELECT count(*) FROM recent_orders) AS VARCHAR)
+  UNION ALL SELECT 'seed.nation_seed', 'seed', 0, 0, (SELECT count(*) FROM nation),
+         'INSERT ' || CAST((SELECT count(*) FROM nation) AS VARCHAR)
+  UNION ALL SELECT 'model.nation_customers', 'model', 1, 0, (SELECT count(*) FROM nation_customers),
+         'SELECT ' || CAST((SELECT count(*) FROM nation_customers) AS VARCHAR)
+  UNION ALL SELECT 'test.unique_recent_orders_id', 'test', 1, u_recent, NULL, NULL FROM f
+  UNION ALL SELECT 'model.customer_orders', 'model', 2, 0, NULL, 'CREATE VIEW'
+  UNION ALL SELECT 'test.unique_nation_customers_c_custkey', 'test', 2, u_nc, NULL, NULL FROM f
+  UNION ALL SELECT 'test.not_null_customer_orders_id', 'test', 3, nn_co, NULL, NULL FROM f
+  UNION ALL SELECT 'test.unique_customer_orders_c_custkey', 'test', 3, u_co, NULL, NULL FROM f
+  UNION ALL SELECT 'model.building_nations', 'model', 4, 0, NULL, 'CREATE VIEW'),
+ordered AS (SELECT *, row_number() OVER (ORDER BY lvl, node_id) AS idx FROM nodes),
+skips AS (
+  SELECT (SELECT failures FROM nodes WHERE node_id = 'test.not_null_customer_orders_id') > 0
+      OR (SELECT failures FROM nodes WHERE node_id = 'test.unique_customer_orders_c_custkey') > 0
+      OR (SELECT failures FROM nodes WHERE node_id = 'test.unique_nation_customers_c_custkey') > 0 AS skip_bn,
+    (SELECT failures FROM nodes WHERE node_id = 'test.unique_recent_orders_id') > 0 AS skip_co)
+SELECT CAST(idx AS BIGINT) AS idx, CAST(9 AS BIGINT) AS total, node_id, resource_type,
+  CASE WHEN (node_id = 'model.building_nations' AND (s.skip_bn OR s.skip_co))
+         OR (node_id IN ('model.customer_orders', 'test.not_null_customer_orders_id',
+                         'test.unique_customer_orders_c_custkey') AND s.skip_co) THEN 'SKIP'
+       WHEN resource_type = 'test' AND failures > 0 THEN 'FAIL ' || CAST(failures AS VARCHAR)
+       WHEN resource_type = 'test' THEN 'PASS' ELSE 'OK' END AS status,
+  CAST(CASE WHEN (node_id IN ('test.not_null_customer_orders_id', 'test.unique_customer_orders_c_custkey')
+                  AND s.skip_co) THEN 0 ELSE failures END AS BIGINT) AS failures,
+  CAST(rows AS BIGINT) AS rows,
+  CASE WHEN (node_id = 'model.building_nations' AND (s.skip_bn OR s.skip_co))
+         OR (node_id IN ('model.customer_orders', 'test.not_null_customer_orders_id',
+                         'test.unique_customer_orders_c_custkey') AND s.skip_co) THEN 'SKIP'
+       WHEN resource_type = 'test' AND failures > 0 THEN 'FAIL ' || CAST(failures AS VARCHAR)
+       WHEN resource_type = 'test' THEN 'PASS' ELSE result END AS result
+FROM ordered, skips s
+"""
