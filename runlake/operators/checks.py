@@ -68,11 +68,12 @@ def run_checks(models: Mapping[str, DataFrame], checks: Sequence[tuple[str, str,
                       status_text(F.col("failures")).alias("status"))
 
 
-def profile(df: DataFrame, approx: bool = False) -> DataFrame:
+def profile(df: DataFrame, approx: bool = True) -> DataFrame:
     """Per column: rows, nulls, distinct values, and min/max (numeric columns
     as double, others as text). One aggregation over the relation, then an
-    unpivot. ``approx=True`` uses HyperLogLog distinct counts instead of the
-    exact distinct (which Spark plans as one expand per column)."""
+    unpivot. Distinct counts are HyperLogLog sketches by default (mergeable
+    partial aggregates); ``approx=False`` gives exact counts, which Spark
+    plans as one expand of every row per column."""
     numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
     aggs, stack = [F.count(F.lit(1)).alias("n_rows")], []
     for i, (c, t) in enumerate(df.dtypes):

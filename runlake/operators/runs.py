@@ -45,6 +45,12 @@ def get_run(state: DataFrame, run_id) -> DataFrame:
     return state.filter(F.col("run_id") == F.lit(run_id))
 
 
+def lookup_runs(state: DataFrame, ids: DataFrame) -> DataFrame:
+    """Point lookups for a table of run ids (column run_id): a semi-join, so
+    the lookup side is never collected."""
+    return state.join(ids.select("run_id"), "run_id", "left_semi")
+
+
 def live_runs(state: DataFrame) -> DataFrame:
     """Runs a log tail keeps following: pending or running (scheduled is not)."""
     return state.filter(F.col("run_status").isin(*LIVE_STATUSES))

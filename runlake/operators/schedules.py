@@ -70,6 +70,16 @@ def order_plan(plan: DataFrame) -> DataFrame:
     return plan.orderBy("action_rank", "name")
 
 
+def plan_positions(plan: DataFrame) -> DataFrame:
+    """Print order as a ``position`` column (1-based). A global row number
+    without one-task windows: chunks of (action, first two letters of the
+    name) are numbered locally and offset by the counts of earlier chunks."""
+    chunk = F.struct(F.col("action_rank"), F.substring("name", 1, 2))
+    keyed = plan.withColumn("__all", F.lit(0))
+    out = ordinal(keyed, "__all", [F.col("action_rank"), F.col("name")], chunk, "position")
+    return out.drop("__all")
+
+
 def delete_schedules(deployed: DataFrame, names: DataFrame, where: str = "project/location") -> tuple[DataFrame, DataFrame]:
     """(remaining, outcomes) of deleting ``names`` (column ``name``); deleting
     an absent name is not an error, its outcome says nothing was deleted."""

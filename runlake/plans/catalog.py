@@ -140,6 +140,16 @@ def live_runs(spark, sf_dir):
     return R.live_runs(R.compact(B.run_events(spark, sf_dir), B_STATE_FIELDS))
 
 
+@register
+def run_lookup(spark, sf_dir):
+    """P6 for many ids at once: the state of the runs named by a lookup table
+    (here the runs of AUTOMOBILE customers), a semi-join on run_id."""
+    state = R.compact(B.run_events(spark, sf_dir), B_STATE_FIELDS)
+    ids = B.table(spark, sf_dir, "customer").filter(F.col("c_mktsegment") == "AUTOMOBILE") \
+        .select(F.col("c_custkey").alias("run_id"))
+    return R.lookup_runs(state, ids)
+
+
 @register
 def version_mismatch(spark, sf_dir):
     s = B.table(spark, sf_dir, "supplier").select(
@@ -165,6 +175,13 @@ def schedule_diff_fields(spark, sf_dir):
     return S.schedule_diff(B.deployed(spark, sf_dir), B.requested(spark, sf_dir), "fields")
 
 
+@register
+def plan_order(spark, sf_dir):
+    """The printed plan with its line position (adds, deletes, redeploys)."""
+    plan = S.schedule_diff(B.deployed(spark, sf_dir), B.requested(spark, sf_dir), "fields")
+    return S.plan_positions(plan).select("position", "action", "name")
+
+
 @register
 def apply_plan(spark, sf_dir):
     dep, req = B.deployed(spark, sf_dir), B.requested(spark, sf_dir)
@@ -281,7 +298,7 @@ def check_report(spark, sf_dir):
 
 @register
 def profile_columns(spark, sf_dir):
-    return K.profile(_customer_with_nulls(spark, sf_dir))
+    return K.profile(_customer_with_nulls(spark, sf_dir), approx=False)
 
 
 # ---------------------------------------------------------------- lineage

@@ -261,6 +261,17 @@ SELECT name, action, command, schedule,
 FROM diff WHERE action IS NOT NULL
 """
 
+ORACLES["plan_order"] = _with(B_SCHED, _diff(True)) + """
+SELECT row_number() OVER (ORDER BY CASE action WHEN 'add' THEN 1 WHEN 'delete' THEN 2 ELSE 3 END, name) AS position,
+  action, name
+FROM diff WHERE action IS NOT NULL
+"""
+
+ORACLES["run_lookup"] = _with(B_STATE) + """
+SELECT run_id, run_status, user_command, log_starting_byte FROM run_state
+WHERE run_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'AUTOMOBILE')
+"""
+
 ORACLES["apply_plan"] = _with(B_SCHED, _diff(True)) + """
 SELECT name, command, schedule FROM deployed d
 WHERE NOT EXISTS (SELECT 1 FROM diff p WHERE p.name = d.name AND p.action IN ('delete', 'add', 'redeploy'))
