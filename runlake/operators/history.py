@@ -33,7 +33,7 @@ def snapshot_from_changelog(changes: DataFrame, key: str, ts: str, seq: str, tra
     ``is_current`` marks the open version. Neighbours are equi-joins on
     skew-safe ordinals, so a key with a huge history is spread over tasks.
     """
-    chunk = chunk if chunk is not None else F.date_trunc("month", F.col(ts))
+    chunk = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
     d = ordinal(changes.select(key, ts, seq, *tracked), key, [F.col(ts), F.col(seq)], chunk, "__o")
     d = with_neighbour(d, key, "__o", list(tracked), 1, "__p_")
     same = None

@@ -62,9 +62,9 @@ def status_transitions(status_events: DataFrame, chunk: Column | None = None) ->
 
     ``status_events`` has (run_id, seq, ts, run_status). Order per run is (ts,
     seq). Neighbours come from equi-joins on (run_id, ordinal ± 1), so one hot
-    run does not become one task. ``chunk`` defaults to the month of ts.
+    run does not become one task. ``chunk`` defaults to the day of ts.
     """
-    chunk = chunk if chunk is not None else F.date_trunc("month", F.col("ts"))
+    chunk = chunk if chunk is not None else F.date_trunc("day", F.col("ts"))
     d = ordinal(status_events, "run_id", [F.col("ts"), F.col("seq")], chunk, "__ord")
     d = with_neighbour(d, "run_id", "__ord", ["run_status"], 1, "prev_")
     d = with_neighbour(d, "run_id", "__ord", ["ts"], -1, "next_")
