@@ -9,14 +9,15 @@ batch rewrites its own folder, so replays are idempotent).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from runlake.operators.runs import compact
+from runlake.operators.runs import LIVE_STATUSES, compact
 
 
 def _trigger(writer, trigger: str | None):
@@ -48,6 +49,27 @@ def tail(lines: DataFrame, sink: str, checkpoint: str, trigger: str | None = Non
     return _trigger(w.outputMode("append"), trigger).start()
 
 
+def follow(spark: SparkSession, source: str, schema: StructType, sink: str, checkpoint: str,
+           state: Callable[[], DataFrame], run_id, poll_seconds: float = 1.0,
+           max_polls: int | None = None) -> int:
+    """G1 with the runner's stop rule: tail a run's log until its status is
+    terminal. Each poll drains what arrived (``availableNow``) with this
+    consumer's cursor, then reads the run's status; only ``pending`` and
+    ``running`` keep the tail going (so does a run with no state yet), any
+    other status ends it after a last drain. Returns the number of polls."""
+    polls = 0
+    while True:
+        polls += 1
+        q = tail(read_stream(spark, source, schema).filter(F.col("run_id") == F.lit(run_id)), sink, checkpoint)
+        q.awaitTermination()
+        st = state().filter(F.col("run_id") == F.lit(run_id)).select("run_status").first()
+        if st is not None and st["run_status"] not in LIVE_STATUSES:
+            return polls
+        if max_polls is not None and polls >= max_polls:
+            return polls
+        time.sleep(poll_seconds)
+
+
 def versions(spark: SparkSession, root: str) -> DataFrame:
     """Versioned state folders ``v=<batch>`` below ``root`` (metadata only)."""
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

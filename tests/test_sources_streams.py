@@ -83,3 +83,20 @@ def test_summary_of_a_hot_run_is_combined_map_side(spark):
     s = L.run_summary(e).filter(F.col("run_id") == 7).first()
     assert s["n_lines"] == 5000 and not s["finished"]
     assert plan.count() == 20
+
+
+def test_follow_stops_when_run_is_terminal(spark):
+    d = scratch_path(spark, "t-follow")
+    lines = _lines(spark, n_hot=30).withColumn("run_date", F.to_date(F.lit("2024-01-01")))
+    SL.append_log_lines(lines, f"{d}/src")
+    schema = spark.read.parquet(f"{d}/src").schema
+    status = {"v": "running"}
+
+    def state():
+        return spark.createDataFrame([(7, status["v"])], "run_id bigint, run_status string")
+
+    polls = SM.follow(spark, f"{d}/src", schema, f"{d}/out", f"{d}/cursor", state, 7, poll_seconds=0, max_polls=2)
+    assert polls == 2  # still running: the tail keeps polling
+    status["v"] = "success"
+    assert SM.follow(spark, f"{d}/src", schema, f"{d}/out", f"{d}/cursor", state, 7, poll_seconds=0) == 1
+    assert spark.read.parquet(f"{d}/out").count() == 30  # only run 7, each line once
