@@ -127,7 +127,9 @@ def status_compaction(spark, sf_dir):
 
 @register
 def status_transitions(spark, sf_dir):
-    return R.status_transitions(B.status_events(spark, sf_dir))
+    # nullable integers leave as double so both engines hand back the same column type
+    t = R.status_transitions(B.status_events(spark, sf_dir))
+    return t.withColumn("secs_in_status", F.col("secs_in_status").cast("double"))
 
 
 @register
@@ -232,7 +234,7 @@ def fire_adherence(spark, sf_dir):
     fires = S.expand_schedules(B.deployed(spark, sf_dir), *HORIZON).select("schedule_key", "fire_ts")
     runs = B.table(spark, sf_dir, "events").select(F.col("user_id").alias("schedule_key"), F.col("ts").alias("run_ts"))
     return S.fire_adherence(fires, runs, "schedule_key").select(
-        "schedule_key", "fire_ts", "first_run_ts", "delay_s", "status")
+        "schedule_key", "fire_ts", "first_run_ts", F.col("delay_s").cast("double").alias("delay_s"), "status")
 
 
 @register
@@ -365,7 +367,7 @@ from runlake.operators import settings as ST  # noqa: E402
 @register
 def config_layers(spark, sf_dir):
     r = ST.resolve_layers(B.settings(spark, sf_dir))
-    return r.select("scope", "key", "value", "priority",
+    return r.select("scope", "key", "value", F.col("priority").cast("double").alias("priority"),
                     FS.model_config(F.col("value"), F.concat(F.lit("default_"), F.lower("key"))).alias("effective"))
 
 
@@ -629,4 +631,5 @@ def project_build(spark, sf_dir):
     B.table(spark, sf_dir, "nation").write.option("header", "true").csv(f"{seeds}/nation_seed.csv")
     project = M.Project("driver", BUILD_MODELS, seeds_dir=seeds, checks=BUILD_CHECKS)
     res = M.build(spark, project, scratch_path(spark, "project"))
-    return res.select("idx", "total", "node_id", "resource_type", "status", "failures", "rows", "result")
+    return res.select("idx", "total", "node_id", "resource_type", "status", "failures",
+                      F.col("rows").cast("double").alias("rows"), "result")

@@ -183,7 +183,7 @@ ORACLES["status_transitions"] = _with(B_STATE) + """
 allowed(a_prev, a_cur) AS (VALUES ('scheduled', 'running'), ('running', 'running'),
   ('running', 'success'), ('running', 'failed'), ('success', 'running'))
 SELECT t.run_id, t.seq, t.ts, t.run_status, t.prev_status, t.next_ts,
-  CAST(epoch(t.next_ts) - epoch(t.ts) AS BIGINT) AS secs_in_status,
+  CAST(CAST(epoch(t.next_ts) - epoch(t.ts) AS BIGINT) AS DOUBLE) AS secs_in_status,
   CASE WHEN t.prev_status IS NULL THEN t.run_status IN ('scheduled', 'running')
        ELSE a.a_prev IS NOT NULL END AS allowed
 FROM t LEFT JOIN allowed a ON t.prev_status = a.a_prev AND t.run_status = a.a_cur
@@ -363,7 +363,7 @@ matched AS (
   FROM runs r ASOF JOIN fires f ON r.schedule_key = f.schedule_key AND r.run_ts >= f.fire_ts
   GROUP BY r.schedule_key, f.fire_ts)
 SELECT f.schedule_key, f.fire_ts, m.first_run_ts,
-  CAST(floor(epoch(m.first_run_ts)) AS BIGINT) - CAST(floor(epoch(f.fire_ts)) AS BIGINT) AS delay_s,
+  CAST(CAST(floor(epoch(m.first_run_ts)) AS BIGINT) - CAST(floor(epoch(f.fire_ts)) AS BIGINT) AS DOUBLE) AS delay_s,
   CASE WHEN m.first_run_ts IS NOT NULL THEN 'ran' ELSE 'missed' END AS status
 FROM fires f LEFT JOIN matched m ON f.schedule_key = m.schedule_key AND f.fire_ts = m.fire_ts
 """
@@ -532,7 +532,7 @@ settings AS (
 
 ORACLES["config_layers"] = _with(B_SET) + """
 SELECT scope, key, arg_max(value, priority) FILTER (WHERE value IS NOT NULL) AS value,
-  max(priority) FILTER (WHERE value IS NOT NULL) AS priority,
+  CAST(max(priority) FILTER (WHERE value IS NOT NULL) AS DOUBLE) AS priority,
   COALESCE(arg_max(value, priority) FILTER (WHERE value IS NOT NULL), 'default_' || lower(key)) AS effective
 FROM settings GROUP BY scope, key
 """
@@ -707,7 +707,7 @@ SELECT CAST(idx AS BIGINT) AS idx, CAST(9 AS BIGINT) AS total, node_id, resource
        WHEN resource_type = 'test' THEN 'PASS' ELSE 'OK' END AS status,
   CAST(CASE WHEN (node_id IN ('test.not_null_customer_orders_id', 'test.unique_customer_orders_c_custkey')
                   AND s.skip_co) THEN 0 ELSE failures END AS BIGINT) AS failures,
-  CAST(rows AS BIGINT) AS rows,
+  CAST(rows AS DOUBLE) AS rows,
   CASE WHEN (node_id = 'model.building_nations' AND (s.skip_bn OR s.skip_co))
          OR (node_id IN ('model.customer_orders', 'test.not_null_customer_orders_id',
                          'test.unique_customer_orders_c_custkey') AND s.skip_co) THEN 'SKIP'
