@@ -61,6 +61,14 @@ def byte_offsets(spark, sf_dir):
     return L.with_byte_offsets(B.log_lines(spark, sf_dir)).select("run_id", "line_no", "n_bytes", "start_byte")
 
 
+@register
+def hot_run_offsets(spark, sf_dir):
+    """W1 when one run holds two fifths of all lines: numbering and byte
+    offsets stay exact while the hot run is cut into hourly chunks."""
+    lines = B.log_events(spark, sf_dir, hot=True).select("run_id", "line_no", "raw")
+    return L.with_byte_offsets(lines, lines_per_chunk=1024).select("run_id", "line_no", "n_bytes", "start_byte")
+
+
 def _cursors(lines: DataFrame) -> DataFrame:
     return lines.select("run_id").distinct().withColumn("cursor", F.col("run_id") * 100)
 

@@ -124,6 +124,13 @@ ORACLES["byte_offsets"] = _with(B_LOG, OFFSETS) + """
 SELECT run_id, line_no, n_bytes, start_byte FROM offs
 """
 
+ORACLES["hot_run_offsets"] = _with(B_LOG.replace(
+    "SELECT event_id, ts, user_id AS run_id,",
+    "SELECT event_id, ts, CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE user_id END AS run_id,"),
+    OFFSETS) + """
+SELECT run_id, line_no, n_bytes, start_byte FROM offs
+"""
+
 ORACLES["read_since"] = _with(B_LOG, OFFSETS) + """
 , cur AS (SELECT DISTINCT run_id, run_id * 100 AS cursor FROM lines)
 SELECT o.run_id, o.line_no, o.start_byte, c.cursor,
