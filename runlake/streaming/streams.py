@@ -2,9 +2,10 @@
 
 The runner tails a growing log by byte cursor, one poll a second, with one
 cursor shared by every reader. Here a stream's checkpoint is its cursor (one
-per consumer), sinks are append-only files, stateful results are merged per
-micro-batch with ``foreachBatch`` into a new versioned folder (a replayed
-batch rewrites its own folder, so replays are idempotent).
+per consumer) and sinks are append-only files. Stateful results keep their
+state in Spark's state store; ``foreachBatch`` sinks write each micro-batch
+under its own ``batch=<id>`` folder, so a replayed batch overwrites exactly
+what it wrote before.
 """
 
 from __future__ import annotations
@@ -70,42 +71,32 @@ def follow(spark: SparkSession, source: str, schema: StructType, sink: str, chec
         time.sleep(poll_seconds)
 
 
-def versions(spark: SparkSession, root: str) -> DataFrame:
-    """Versioned state folders ``v=<batch>`` below ``root`` (metadata only)."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select(F.regexp_extract("path", r"/v=(\d+)/", 1).cast("bigint").alias("v")).distinct())
-
-
-def latest_version(spark: SparkSession, root: str) -> DataFrame:
-    top = versions(spark, root).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{root}/v={top:012d}")
+def stream_state(events: DataFrame, target: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
+    """Last write per (run, field) of a run-event stream.
 
+    The running ``max_by`` lives in Spark's state store (checkpointed with
+    the query); in update mode each micro-batch emits only the (run, field)
+    pairs it changed, appended under ``batch=<id>`` (a replayed batch
+    overwrites its own folder). Work per batch follows the batch size, not
+    the size of the state table."""
+    agg = (events.groupBy("run_id", "field")
+           .agg(F.max_by(F.struct("seq", "ts", "value"), F.struct("ts", "seq")).alias("w")))
 
-def stream_state(events: DataFrame, target: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """Keep the last write per (run, field) of a run-event stream in a
-    versioned table: each micro-batch merges its events into the previous
-    version (one aggregation) and writes version ``v=<batch id>``."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        (batch.select("run_id", "field", "w.seq", "w.ts", "w.value", F.lit(batch_id).cast("bigint").alias("batch_id"))
+         .write.mode("overwrite").parquet(f"{target}/batch={batch_id:012d}"))
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cur = batch.select("run_id", "seq", "ts", "field", "value")
-        if batch_id > 0:
-            try:
-                cur = cur.unionByName(latest_version(spark, target))
-            except Exception:  # first version not written yet (empty batches before)
-                pass
-        last = (cur.groupBy("run_id", "field")
-                .agg(F.max_by(F.struct("seq", "ts", "value"), F.struct("ts", "seq")).alias("w"))
-                .select("run_id", "w.seq", "w.ts", "field", "w.value"))
-        last.write.mode("overwrite").parquet(f"{target}/v={batch_id:012d}")
-
-    w = events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    w = agg.writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
     return _trigger(w, trigger).start()
 
 
 def state_table(spark: SparkSession, target: str, fields: Sequence[str]) -> DataFrame:
-    """Compacted run state from the latest version of ``stream_state``."""
-    return compact(latest_version(spark, target), fields)
+    """Current run state: the latest emitted row per (run, field), pivoted."""
+    changes = spark.read.parquet(target)
+    last = (changes.groupBy("run_id", "field")
+            .agg(F.max_by(F.struct("seq", "ts", "value"), "batch_id").alias("w"))
+            .select("run_id", "w.seq", "w.ts", "field", "w.value"))
+    return compact(last, fields)
 
 
 def stream_counts(entries: DataFrame, keys: Sequence[str], size: str, slide: str | None, delay: str,
