@@ -144,14 +144,23 @@ def list_schedules(jobs: DataFrame, prefix: str = JOB_DESCRIPTION_PREFIX) -> Dat
 def expand_schedules(schedules: DataFrame, start: str, end: str, day_rule: str = "or") -> DataFrame:
     """Every fire time in [start, end) of each schedule's cron text, in UTC.
 
-    Each row generates its own fires (days, then hours, then minutes): no join
-    and no pairs beyond the output itself.
+    Cron texts repeat across schedules, so each distinct text is parsed once
+    into its fire days, hours and minutes (small arrays); the arrays join back
+    to the schedules on the text (AQE broadcasts them when small) and every
+    schedule row then generates its own fires with ``explode``: no pairs
+    beyond the output itself.
     """
-    c = parse_cron(F.col("schedule"))
-    d = schedules.withColumn("__cron", c).withColumn("__day", F.explode(fire_days(F.col("__cron"), start, end, day_rule)))
-    d = d.withColumn("__h", F.explode("__cron.hour")).withColumn("__m", F.explode("__cron.minute"))
+    texts = schedules.select("schedule").distinct().withColumn("__cron", parse_cron(F.col("schedule")))
+    texts = texts.select("schedule", fire_days(F.col("__cron"), start, end, day_rule).alias("__days"),
+                         F.col("__cron.hour").alias("__hours"), F.col("__cron.minute").alias("__mins"))
+    d = schedules.join(texts, "schedule", "inner")
+    # explode_outer + null filter: a plain explode lets the optimizer infer a
+    # size(__days) > 0 filter and push the whole parse below the distinct.
+    d = (d.withColumn("__day", F.explode_outer("__days")).withColumn("__h", F.explode_outer("__hours"))
+         .withColumn("__m", F.explode_outer("__mins"))
+         .filter(F.col("__day").isNotNull() & F.col("__h").isNotNull() & F.col("__m").isNotNull()))
     fire = F.make_timestamp_ntz(F.year("__day"), F.month("__day"), F.dayofmonth("__day"), "__h", "__m", F.lit(0))
-    return d.withColumn("fire_ts", fire).drop("__cron", "__day", "__h", "__m")
+    return d.withColumn("fire_ts", fire).drop("__days", "__hours", "__mins", "__day", "__h", "__m")
 
 
 def fire_run_id(name: Column, fire_ts: Column) -> Column:
