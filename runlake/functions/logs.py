@@ -68,6 +68,11 @@ def json_event(text: Column | str) -> Column:
     return F.from_json(_c(text), JSON_EVENT_SCHEMA)
 
 
+def to_json_event(level: Column | str, msg: Column | str) -> Column:
+    """JSON text of a log event with ``level`` and ``msg``."""
+    return F.to_json(F.struct(_c(level).alias("level"), _c(msg).alias("msg")))
+
+
 # Node-result lines look like
 #   "2 of 8 OK loaded seed file test.test_seed ... [INSERT 1 in 0.51s]"
 #   "3 of 8 FAIL 1 not_null_my_first_dbt_model_id ... [FAIL 1 in 0.30s]"

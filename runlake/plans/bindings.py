@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #   error -> ERROR, signup -> WARN, purchase -> INFO, click -> NOTICE, view -> DEBUG
 #   a signup worth 90 or more is written as WARNING, a name the lookup does not know
 #   emitter: job for signup and error, dbt for the rest
-def _severity(event_type: Column, value: Column) -> Column:
+def severity_of(event_type: Column, value: Column) -> Column:
     return (F.when((event_type == "signup") & (value >= 90), "WARNING")
             .when(event_type == "error", "ERROR")
             .when(event_type == "signup", "WARN")
@@ -45,7 +45,7 @@ def log_events(spark: SparkSession, sf_dir: str, chunk_unit: str = "hour", hot:
     run_id = F.when(F.col("event_type").isin("view", "click"), F.lit(0).cast("bigint")).otherwise(F.col("user_id")) \
         if hot else F.col("user_id")
     d = (ev.withColumn("run_id", run_id)
-         .withColumn("severity", _severity(F.col("event_type"), F.col("value")))
+         .withColumn("severity", severity_of(F.col("event_type"), F.col("value")))
          .withColumn("emitter", emitter)
          .withColumn("message", F.concat(F.lit("["), emitter, F.lit("] "), F.col("event_type"),
                                          F.lit(" "), F.col("props"))))

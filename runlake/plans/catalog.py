@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from runlake.functions import logs as LF
 from runlake.functions.logs import to_local
 from runlake.operators import logs as L
 from runlake.plans import bindings as B
@@ -39,6 +40,29 @@ def parse_logs(spark, sf_dir):
                     to_local(F.col("ts"), "Europe/Paris").cast("timestamp_ntz").alias("local_ts"))
 
 
+@register
+def flatten_newlines(spark, sf_dir):
+    """F3/F4 over whole document texts: JSON-format events (English documents
+    here) keep their text, text-format events get the runner prefix; both have
+    every newline flattened to two spaces."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    fmt = F.when(F.col("lang") == "en", "json").otherwise("text")
+    msg = LF.prefix_message(F.col("text"), fmt)
+    return d.select("doc_id", fmt.alias("log_format"), msg.alias("message"),
+                    F.length(msg).cast("bigint").alias("n_chars"))
+
+
+@register
+def json_fields(spark, sf_dir):
+    """fields of JSON text. Each event's props (``{"k": n}``) gives k, and
+    the event written as a JSON log event (level, msg) is read back."""
+    ev = B.table(spark, sf_dir, "events")
+    k = F.from_json("props", "k bigint")["k"]
+    level = F.lower(B.severity_of(F.col("event_type"), F.col("value")))
+    j = LF.json_event(LF.to_json_event(level, F.concat_ws(" ", "event_type", "props")))
+    return ev.select("event_id", k.alias("k"), j["level"].alias("level"), j["msg"].alias("msg"))
+
+
 @register
 def severity_rank(spark, sf_dir):
     known, _ = L.with_severity_rank(_entries(spark, sf_dir))

@@ -97,6 +97,25 @@ SELECT run_id, line_no, ts, severity, emitter, message,
 FROM entries
 """
 
+ORACLES["flatten_newlines"] = """
+WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'json' ELSE 'text' END AS log_format,
+  replace(text, chr(10), '  ') AS flat FROM documents)
+SELECT doc_id, log_format,
+  CASE WHEN log_format = 'json' THEN flat ELSE '[dbt] ' || flat END AS message,
+  CAST(length(CASE WHEN log_format = 'json' THEN flat ELSE '[dbt] ' || flat END) AS BIGINT) AS n_chars
+FROM d
+"""
+
+ORACLES["json_fields"] = """
+SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+  lower(CASE WHEN event_type = 'signup' AND value >= 90 THEN 'WARNING'
+             WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'signup' THEN 'WARN'
+             WHEN event_type = 'purchase' THEN 'INFO' WHEN event_type = 'click' THEN 'NOTICE'
+             ELSE 'DEBUG' END) AS level,
+  event_type || ' ' || props AS msg
+FROM events
+"""
+
 ORACLES["severity_rank"] = _with(B_LOG, SEVERITY_DIM) + """
 SELECT e.run_id, e.line_no, e.severity, CAST(s.lookup_rank AS INTEGER) AS severity_rank
 FROM entries e JOIN sev s ON upper(e.severity) = s.name
