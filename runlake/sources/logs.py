@@ -9,12 +9,14 @@ partitioned by run date, instead of rewriting a whole object per line.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.functions.logs import format_entry
 from runlake.operators.ordinal import ordinal
 
+LOG_LINES_SCHEMA = "run_id string, line_no bigint, raw string"
 # Fixed value: the first line of every new log.
 INIT_MESSAGE = "Init"
 RUN_ID_FROM_FILE = r"([^/]+?)(\.txt)?$"
@@ -29,7 +31,12 @@ def read_log_text(spark: SparkSession, path: str, run_id_from: str = "file") ->
     ``write_log_text`` writes). A missing or empty object yields no lines.
     """
     reader = spark.read.option("recursiveFileLookup", "true") if run_id_from == "file" else spark.read
-    df = reader.text(path)
+    try:
+        df = reader.text(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LOG_LINES_SCHEMA)
     run_id = (F.regexp_extract(F.col("_metadata.file_name"), RUN_ID_FROM_FILE, 1) if run_id_from == "file"
               else F.col("run_id").cast("string"))
     raw = df.select(run_id.alias("run_id"),
@@ -51,8 +58,14 @@ def write_log_text(lines: DataFrame, path: str, partitions: int | None = None) -
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """log_lines from the Parquet sink; partition pruning on run_date applies."""
-    return spark.read.parquet(path)
+    """log_lines from the Parquet sink; partition pruning on run_date applies.
+    A sink nothing was written to yet reads as empty."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], LOG_LINES_SCHEMA + ", run_date date")
 
 
 def init_lines(runs: DataFrame) -> DataFrame:

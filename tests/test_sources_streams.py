@@ -100,3 +100,9 @@ def test_follow_stops_when_run_is_terminal(spark):
     status["v"] = "success"
     assert SM.follow(spark, f"{d}/src", schema, f"{d}/out", f"{d}/cursor", state, 7, poll_seconds=0) == 1
     assert spark.read.parquet(f"{d}/out").count() == 30  # only run 7, each line once
+
+
+def test_missing_log_reads_as_no_lines(spark):
+    d = scratch_path(spark, "t-missing")
+    assert SL.read_log_text(spark, f"{d}/nothing-here").count() == 0
+    assert SL.read_log_lines(spark, f"{d}/no-sink").count() == 0
