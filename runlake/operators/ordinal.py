@@ -104,3 +104,16 @@ def top_k_per_group(df: DataFrame, keys: str | Sequence[str], order: Sequence[Co
     d = d.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= k).drop("__r", "__salt")
     w2 = Window.partitionBy(*keys).orderBy(*order)
     return d.withColumn(rank_name, F.row_number().over(w2).cast("bigint")).filter(F.col(rank_name) <= k)
+
+
+def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "position",
+                   partitions: int | None = None) -> DataFrame:
+    """1-based position of every row in ``order`` over the whole DataFrame,
+    without a one-task window: range partitioning on ``order`` cuts the rows
+    into balanced, contiguous ranges; rows are numbered inside their range and
+    offset by the counts of the ranges before it (one row per range)."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    d = (df.repartitionByRange(n, *order)
+         .withColumn("__all", F.lit(0))
+         .withColumn("__range", F.spark_partition_id()))
+    return ordinal(d, "__all", list(order), F.col("__range"), name).drop("__all", "__range")

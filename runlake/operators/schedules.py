@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.functions.cron import fire_days, parse_cron
-from runlake.operators.ordinal import ordinal
+from runlake.operators.ordinal import global_ordinal, ordinal
 
 # Fixed values of the schedule service.
 JOB_DESCRIPTION_PREFIX = "[dbt-server job] "
@@ -71,13 +71,9 @@ def order_plan(plan: DataFrame) -> DataFrame:
 
 
 def plan_positions(plan: DataFrame) -> DataFrame:
-    """Print order as a ``position`` column (1-based). A global row number
-    without one-task windows: chunks of (action, first two letters of the
-    name) are numbered locally and offset by the counts of earlier chunks."""
-    chunk = F.struct(F.col("action_rank"), F.substring("name", 1, 2))
-    keyed = plan.withColumn("__all", F.lit(0))
-    out = ordinal(keyed, "__all", [F.col("action_rank"), F.col("name")], chunk, "position")
-    return out.drop("__all")
+    """Print order as a ``position`` column (1-based), numbered with a
+    range-partitioned global ordinal rather than a one-task window."""
+    return global_ordinal(plan, [F.col("action_rank"), F.col("name")], "position")
 
 
 def delete_schedules(deployed: DataFrame, names: DataFrame, where: str = "project/location") -> tuple[DataFrame, DataFrame]:

@@ -117,3 +117,10 @@ def test_snapshot_steps_rebuild_history(spark):
              .select("o_custkey", "o_orderstatus"))
     open_rows = hist.filter(F.col("valid_to").isNull()).select("o_custkey", "o_orderstatus")
     assert open_rows.exceptAll(state).count() == 0 and state.exceptAll(open_rows).count() == 0
+
+
+def test_global_ordinal_equals_row_number(spark):
+    df = _skewed(spark)
+    got = O.global_ordinal(df, [F.col("v").desc(), F.col("k"), F.col("t")], "pos", partitions=7)
+    want = df.withColumn("pos", F.row_number().over(Window.orderBy(F.col("v").desc(), "k", "t")).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
