@@ -114,10 +114,12 @@ def apply_plan(deployed: DataFrame, requested: DataFrame, plan: DataFrame,
 
 def describe_schedules(deployed: DataFrame, names: DataFrame) -> DataFrame:
     """One row per asked name: the first deployed record with exactly that name
-    (smallest command, schedule on duplicates), else a not-found message."""
-    w = Window.partitionBy("name").orderBy("command", "schedule")
-    first = (deployed.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-             .withColumn("__found", F.lit(True)))
+    (smallest command, then schedule, on duplicates), else a not-found message.
+    The first match is a ``min_by`` aggregate, combined map-side."""
+    rec = F.struct(*[F.col(c) for c in deployed.columns if c != "name"])
+    first = (deployed.groupBy("name")
+             .agg(F.min_by(rec, F.struct("command", "schedule")).alias("__r"))
+             .select("name", "__r.*").withColumn("__found", F.lit(True)))
     j = names.select("name").join(first, "name", "left")
     found = F.coalesce(F.col("__found"), F.lit(False))
     msg = F.when(found, F.concat_ws("", F.col("name"), F.lit(": "), F.col("command"), F.lit(" @ "), F.col("schedule")))
