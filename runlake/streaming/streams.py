@@ -176,16 +176,3 @@ def late_gate(stream: DataFrame, ts: str, delay_seconds: int, target: str, check
 
 def late_marks(spark: SparkSession, target: str) -> DataFrame:
     return spark.read.parquet(f"{target}/marks")
-
-
-PROGRESS_SCHEMA = "batch_id bigint, num_input_rows bigint, rows_dropped_by_watermark bigint"
-
-
-def late_counts(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Input rows and rows dropped behind the watermark per micro-batch,
-    from the query's progress reports (driver-side metrics, one row a batch)."""
-    rows = []
-    for p in query.recentProgress:
-        dropped = sum(int(s.numRowsDroppedByWatermark) for s in p.stateOperators)
-        rows.append((int(p.batchId), int(p.numInputRows), dropped))
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)

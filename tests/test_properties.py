@@ -124,3 +124,21 @@ def test_global_ordinal_equals_row_number(spark):
     got = O.global_ordinal(df, [F.col("v").desc(), F.col("k"), F.col("t")], "pos", partitions=7)
     want = df.withColumn("pos", F.row_number().over(Window.orderBy(F.col("v").desc(), "k", "t")).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_small_lookups_and_reports(spark):
+    from runlake.operators.artifacts import seed_files
+    from runlake.sources.state import new_run_events
+    runs = spark.createDataFrame([("a", "run --select m"), ("b", "build")], "run_id string, user_command string") \
+        .withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
+    state = R.compact(new_run_events(runs))
+    a = R.get_run(state, "a").collect()
+    assert len(a) == 1 and a[0]["run_status"] == "scheduled" and a[0]["log_starting_byte"] == 0
+    assert a[0]["cloud_storage_folder"] == "" and a[0]["user_command"] == "run --select m"
+    assert R.live_runs(state).count() == 0  # scheduled is not followed
+    files = spark.createDataFrame([("x/a.CSV",), ("x/b.csv.gz",), ("x/c.csv",)], "base_name string")
+    assert [r[0] for r in seed_files(files).orderBy("base_name").collect()] == ["x/a.CSV", "x/c.csv"]
+    ev = spark.createDataFrame([(1, 1, "2024-01-01 00:00:00", "success"), (1, 2, "2024-01-01 00:00:01", "failed")],
+                               "run_id int, seq int, t string, run_status string").withColumn("ts", F.to_timestamp("t"))
+    bad = R.transition_violations(R.status_transitions(ev)).collect()
+    assert [(r["seq"], r["prev_status"], r["run_status"]) for r in bad] == [(1, None, "success"), (2, "success", "failed")]
