@@ -23,22 +23,33 @@ def _names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
 
+def _group(keys: list[str]) -> Column:
+    """(key..., chunk) as one non-null struct: windows partition and the offset
+    join matches on it, so null keys group like any value and the optimizer
+    infers no not-null filter for one side only (which would stop the two
+    branches over the same input from sharing their shuffle)."""
+    return F.struct(*[F.col(k) for k in keys], F.col("__chunk").alias("__chunk"))
+
+
 def _attach_offsets(d: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``d`` has __chunk, __local and __tot (the chunk's total, computed in the
-    same window partitioning). Per key, prefix-sum the chunk totals on the
-    small table of distinct (key, chunk) and add the offset to ``__local``.
-
-    The distinct and the join both use (key, chunk), the partitioning ``d``
-    already has after its window, so the big side is not shuffled again;
-    only the offsets table moves (or is broadcast when AQE finds it small).
-    Rows with a null key are numbered within their chunk only.
+    """``d`` has __g (the group struct), __chunk, __local and __tot (the
+    chunk's total, from the same window partitioning). Per key, prefix-sum the
+    chunk totals on the table of distinct groups and add the offset to
+    ``__local``.
+
+    The distinct and the join both use __g, the partitioning ``d`` already has
+    after its window, so the big side is not shuffled again; only the offsets
+    table (one narrow row per key and chunk) moves, or is broadcast when AQE
+    finds it small.
     """
-    totals = d.select(*keys, "__chunk", "__tot").dropDuplicates([*keys, "__chunk"])
-    w_chunks = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__chunk", F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0)).alias("__off"))
-    out = d.join(offsets, [*keys, "__chunk"], "left")
+    totals = d.select("__g", "__tot").dropDuplicates(["__g"])
+    key_struct = F.struct(*[F.col("__g")[k].alias(k) for k in keys])
+    w_chunks = (Window.partitionBy(key_struct).orderBy(F.col("__g")["__chunk"])
+                .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("__g", F.coalesce(F.sum("__tot").over(w_chunks), F.lit(0)).alias("__off"))
+    out = d.join(offsets, "__g", "left")
     return (out.withColumn(name, (F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local")).cast("bigint"))
-            .drop("__chunk", "__local", "__tot", "__off"))
+            .drop("__g", "__chunk", "__local", "__tot", "__off"))
 
 
 def prefix_sum(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str],
@@ -46,11 +57,11 @@ def prefix_sum(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column
     """Add ``name`` = running sum of ``value`` per ``keys`` along ``order``.
 
     ``inclusive=False`` sums strictly preceding rows (0 for the first row).
-    ``chunk`` must be non-null and non-decreasing along ``order`` within a key.
+    ``chunk`` must be non-decreasing along ``order`` within a key.
     """
     keys = _names(keys)
-    d = df.withColumn("__chunk", chunk).withColumn("__v", value)
-    w = Window.partitionBy(*keys, "__chunk")
+    d = df.withColumn("__chunk", chunk).withColumn("__v", value).withColumn("__g", _group(keys))
+    w = Window.partitionBy("__g")
     end = Window.currentRow if inclusive else -1
     d = (d.withColumn("__local", F.coalesce(
         F.sum("__v").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)), F.lit(0)))
@@ -64,9 +75,9 @@ def ordinal(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | s
     """``row_number() over (partition by keys order by order)`` as a bigint,
     computed per (key, chunk) plus the count of rows in earlier chunks."""
     keys = _names(keys)
-    w = Window.partitionBy(*keys, "__chunk")
-    d = (df.withColumn("__chunk", chunk)
-         .withColumn("__local", F.row_number().over(w.orderBy(*order)))
+    d = df.withColumn("__chunk", chunk).withColumn("__g", _group(keys))
+    w = Window.partitionBy("__g")
+    d = (d.withColumn("__local", F.row_number().over(w.orderBy(*order)))
          .withColumn("__tot", F.count(F.lit(1)).over(w)))
     return _attach_offsets(d, keys, name)
 
@@ -111,9 +122,14 @@ def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "position
     """1-based position of every row in ``order`` over the whole DataFrame,
     without a one-task window: range partitioning on ``order`` cuts the rows
     into balanced, contiguous ranges; rows are numbered inside their range and
-    offset by the counts of the ranges before it (one row per range)."""
+    offset by the counts of the ranges before it (one row per range).
+
+    The range-partitioned rows are checkpointed once into the shared folder:
+    range bounds come from sampling, so the numbering and the range counts
+    must read the same materialised ranges to agree."""
+    from runlake.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    d = (df.repartitionByRange(n, *order)
-         .withColumn("__all", F.lit(0))
-         .withColumn("__range", F.spark_partition_id()))
+    ranged = df.repartitionByRange(n, *order).checkpoint(eager=True)
+    d = ranged.withColumn("__all", F.lit(0)).withColumn("__range", F.spark_partition_id())
     return ordinal(d, "__all", list(order), F.col("__range"), name).drop("__all", "__range")

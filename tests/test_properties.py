@@ -142,3 +142,11 @@ def test_small_lookups_and_reports(spark):
                                "run_id int, seq int, t string, run_status string").withColumn("ts", F.to_timestamp("t"))
     bad = R.transition_violations(R.status_transitions(ev)).collect()
     assert [(r["seq"], r["prev_status"], r["run_status"]) for r in bad] == [(1, None, "success"), (2, "success", "failed")]
+
+
+def test_ordinal_numbers_null_keys_like_a_value(spark):
+    rows = [(None, i) for i in range(300)] + [(1, i) for i in range(5)]
+    df = spark.createDataFrame(rows, "k int, t int")
+    got = O.ordinal(df, "k", [F.col("t")], F.floor(F.col("t") / 50), "o")
+    want = df.withColumn("o", F.row_number().over(Window.partitionBy("k").orderBy("t")).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
