@@ -204,3 +204,22 @@ def test_settings_functions(spark):
                               "k string, v string")
     got = [r[0] for r in p.select(FS.prefix_path("k", "v", F.lit("proj"))).collect()]
     assert got == ["proj/target/m.json", "/abs", "x", None]
+
+
+def test_cron_step_forms(spark):
+    df = spark.createDataFrame([("5/20 1-5/2 */10 2-3 1-5",)], "s string")
+    r = df.select(cron.parse_cron(F.col("s")).alias("c")).first()["c"]
+    assert r["minute"] == [5, 25, 45] and r["hour"] == [1, 3, 5]
+    assert r["day"] == [1, 11, 21, 31] and r["month"] == [2, 3] and r["weekday"] == [1, 2, 3, 4, 5]
+    assert r["day_star"] and not r["weekday_star"]  # a field starting with * counts as unrestricted
+
+
+def test_snapshot_step_closes_changed_and_vanished_keys(spark):
+    from runlake.operators.history import snapshot
+    hist = spark.createDataFrame([(1, "a", "2024-01-01 00:00:00", None), (2, "b", "2024-01-01 00:00:00", None),
+                                  (3, "c", "2023-01-01 00:00:00", "2023-06-01 00:00:00")],
+                                 "k int, v string, f string, t string") \
+        .select("k", "v", F.to_timestamp("f").alias("valid_from"), F.to_timestamp("t").alias("valid_to"))
+    cur = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "k int, v string")
+    out = {(r["k"], r["v"], r["valid_to"] is None) for r in snapshot(cur, hist, "k", ["v"], "2024-02-01 00:00:00").collect()}
+    assert out == {(1, "a", True), (2, "b", False), (2, "B", True), (3, "c", False), (4, "d", True)}
