@@ -188,7 +188,11 @@ def log_counts(entries: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     end = F.date_add(F.to_date(F.lit(as_of)), 1)
     start = F.date_sub(F.to_date(F.lit(as_of)), days - 1)
     day = F.date_trunc("day", F.col("ts"))
-    recent = entries.filter((F.col("ts") >= start.cast("timestamp")) & (F.col("ts") < end.cast("timestamp")))
+    window = (F.col("ts") >= start.cast("timestamp")) & (F.col("ts") < end.cast("timestamp"))
+    if "run_date" in entries.columns:
+        # entries read from the date-partitioned sink: prune whole partitions too
+        window = window & (F.col("run_date") >= start) & (F.col("run_date") < end)
+    recent = entries.filter(window)
     return (recent.withColumn("day", day)
             .rollup("day", "severity", "emitter")
             .agg(F.count(F.lit(1)).alias("n_lines"), F.grouping_id().alias("gid")))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from runlake.operators.ordinal import ordinal
 from runlake.operators.runs import LIVE_STATUSES, compact
 
 
@@ -37,6 +38,30 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, glob: str |
     return r.parquet(path)
 
 
+def tail_text_logs(spark: SparkSession, path: str, sink: str, checkpoint: str,
+                   trigger: str | None = None) -> StreamingQuery:
+    """G1 over the runner's own layout, one text object ``<run_id>.txt`` per
+    run: each new object is read once (a file source never splits a file
+    across micro-batches), its lines numbered in object order inside
+    ``foreachBatch`` (where the batch is a static DataFrame) and written to
+    ``sink/batch=<id>`` as log_lines. Appends to an object already read are
+    not seen by a file source: live runs should write new objects or use the
+    Parquet sink."""
+    df = spark.readStream.option("recursiveFileLookup", "true").text(path).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(\.txt)?$", 1).alias("run_id"),
+        F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("__block"),
+        F.col("value").alias("raw"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        b = batch.withColumn("__pos", F.monotonically_increasing_id())
+        b = ordinal(b, "run_id", [F.col("__block"), F.col("__pos")], F.col("__block"), "line_no")
+        (b.select("run_id", "line_no", "raw", F.lit(batch_id).cast("bigint").alias("batch_id"))
+         .write.mode("overwrite").parquet(f"{sink}/batch={batch_id:012d}"))
+
+    w = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return _trigger(w, trigger).start()
+
+
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): reinterpret the UTC wall
     clock as an instant in the (UTC) session zone."""

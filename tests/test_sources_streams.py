@@ -11,6 +11,9 @@ from runlake.sources import logs as SL
 from runlake.sources.files import list_artifacts
 from runlake.sources.seeds import load_seeds
 from runlake.streaming import streams as SM
+from tests.conftest import FIXTURES
+
+FIX = os.path.join(FIXTURES, "logs")
 
 
 def _lines(spark, n_hot=5000):
@@ -106,3 +109,23 @@ def test_missing_log_reads_as_no_lines(spark):
     d = scratch_path(spark, "t-missing")
     assert SL.read_log_text(spark, f"{d}/nothing-here").count() == 0
     assert SL.read_log_lines(spark, f"{d}/no-sink").count() == 0
+
+
+def test_text_object_stream_reads_each_new_object_once(spark):
+    import shutil
+    d = scratch_path(spark, "t-textstream").replace("file:", "")
+    os.makedirs(f"{d}/in")
+    shutil.copy(os.path.join(FIX, "run-a.txt"), f"{d}/in/run-a.txt")
+    SM.tail_text_logs(spark, f"{d}/in", f"{d}/out", f"{d}/cursor").awaitTermination()
+    shutil.copy(os.path.join(FIX, "run-b.txt"), f"{d}/in/run-b.txt")
+    SM.tail_text_logs(spark, f"{d}/in", f"{d}/out", f"{d}/cursor").awaitTermination()
+    got = spark.read.parquet(f"{d}/out").select("run_id", "line_no", "raw")
+    want = SL.read_log_text(spark, FIX).filter(F.col("run_id").isin("run-a", "run-b"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_log_counts_prunes_by_run_date(spark):
+    lines = _lines(spark, n_hot=10).withColumn("run_date", F.to_date(F.lit("2024-01-01")))
+    e = L.parse_lines(lines).withColumn("run_date", F.to_date(F.lit("2024-01-01")))
+    assert L.log_counts(e, "2024-01-01", 1).filter("gid = 7").first()["n_lines"] == lines.count()
+    assert L.log_counts(e, "2023-12-01", 1).count() == 0  # nothing in the window: no rows at all
