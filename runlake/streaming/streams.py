@@ -10,6 +10,7 @@ what it wrote before.
 
 from __future__ import annotations
 
+import datetime
 import time
 from collections.abc import Callable, Sequence
 
@@ -191,7 +192,7 @@ def late_gate(stream: DataFrame, ts: str, delay_seconds: int, target: str, check
         stats = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("late"), F.max(ts).alias("mx")).first()
         batch.filter(~late).write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id:012d}")
         new_max = max([x for x in (prev_max, stats["mx"]) if x is not None], default=None)
-        watermark = None if prev_max is None else spark.range(1).select(wm.alias("w")).first()["w"]
+        watermark = None if prev_max is None else prev_max - datetime.timedelta(seconds=int(delay_seconds))
         spark.createDataFrame([(batch_id, stats["n"], stats["late"], watermark, new_max)], MARK_SCHEMA) \
             .write.mode("overwrite").parquet(f"{target}/marks/v={batch_id:012d}")
 
