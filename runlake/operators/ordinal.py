@@ -31,7 +31,18 @@ def _group(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys], F.col("__chunk").alias("__chunk"))
 
 
-def _attach_offsets(d: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _chunk_only_hot(df: DataFrame, keys: list[str], chunk: Column, hot_rows: int) -> DataFrame:
+    """Set __chunk to ``chunk`` for keys with more than ``hot_rows`` rows and to
+    null for the rest, so cold keys are numbered in a single group and need no
+    offset. The hot-key list is broadcast: at most N / hot_rows keys can pass
+    the threshold, whatever the data."""
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+           .filter(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias("__hot")))
+    d = df.join(F.broadcast(hot), keys, "left")
+    return d.withColumn("__chunk", F.when(F.col("__hot"), chunk)).drop("__hot")
+
+
+def _attach_offsets(d: DataFrame, keys: list[str], name: str, only_chunked: bool = False) -> DataFrame:
     """``d`` has __g (the group struct), __chunk, __local and __tot (the
     chunk's total, from the same window partitioning). Per key, prefix-sum the
     chunk totals on the table of distinct groups and add the offset to
@@ -43,6 +54,8 @@ def _attach_offsets(d: DataFrame, keys: list[str], name: str) -> DataFrame:
     finds it small.
     """
     totals = d.select("__g", "__tot").dropDuplicates(["__g"])
+    if only_chunked:  # cold keys (null chunk) form one group each: offset 0
+        totals = totals.filter(F.col("__g")["__chunk"].isNotNull())
     key_struct = F.struct(*[F.col("__g")[k].alias(k) for k in keys])
     w_chunks = (Window.partitionBy(key_struct).orderBy(F.col("__g")["__chunk"])
                 .rowsBetween(Window.unboundedPreceding, -1))
@@ -53,33 +66,41 @@ def _attach_offsets(d: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def prefix_sum(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str],
-               value: Column, chunk: Column, name: str, inclusive: bool = True) -> DataFrame:
+               value: Column, chunk: Column, name: str, inclusive: bool = True,
+               hot_rows: int | None = None) -> DataFrame:
     """Add ``name`` = running sum of ``value`` per ``keys`` along ``order``.
 
     ``inclusive=False`` sums strictly preceding rows (0 for the first row).
-    ``chunk`` must be non-decreasing along ``order`` within a key.
+    ``chunk`` must be non-decreasing along ``order`` within a key. With
+    ``hot_rows``, only keys holding more rows than that are chunked.
     """
     keys = _names(keys)
-    d = df.withColumn("__chunk", chunk).withColumn("__v", value).withColumn("__g", _group(keys))
+    d = df.withColumn("__chunk", chunk) if hot_rows is None else _chunk_only_hot(df, keys, chunk, hot_rows)
+    d = d.withColumn("__v", value).withColumn("__g", _group(keys))
     w = Window.partitionBy("__g")
     end = Window.currentRow if inclusive else -1
     d = (d.withColumn("__local", F.coalesce(
         F.sum("__v").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)), F.lit(0)))
         .withColumn("__tot", F.sum("__v").over(w))
         .drop("__v"))
-    return _attach_offsets(d, keys, name)
+    return _attach_offsets(d, keys, name, only_chunked=hot_rows is not None)
 
 
 def ordinal(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str],
-            chunk: Column, name: str = "ordinal") -> DataFrame:
+            chunk: Column, name: str = "ordinal", hot_rows: int | None = None) -> DataFrame:
     """``row_number() over (partition by keys order by order)`` as a bigint,
-    computed per (key, chunk) plus the count of rows in earlier chunks."""
+    computed per (key, chunk) plus the count of rows in earlier chunks.
+
+    ``hot_rows``: chunk only keys with more rows than that (one extra
+    aggregation on the keys); every other key is one group with no offset,
+    so for sparse data the offsets table shrinks to the hot keys' chunks."""
     keys = _names(keys)
-    d = df.withColumn("__chunk", chunk).withColumn("__g", _group(keys))
+    d = df.withColumn("__chunk", chunk) if hot_rows is None else _chunk_only_hot(df, keys, chunk, hot_rows)
+    d = d.withColumn("__g", _group(keys))
     w = Window.partitionBy("__g")
     d = (d.withColumn("__local", F.row_number().over(w.orderBy(*order)))
          .withColumn("__tot", F.count(F.lit(1)).over(w)))
-    return _attach_offsets(d, keys, name)
+    return _attach_offsets(d, keys, name, only_chunked=hot_rows is not None)
 
 
 def with_neighbour(df: DataFrame, keys: str | Sequence[str], ordinal_col: str,

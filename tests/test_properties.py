@@ -150,3 +150,15 @@ def test_ordinal_numbers_null_keys_like_a_value(spark):
     got = O.ordinal(df, "k", [F.col("t")], F.floor(F.col("t") / 50), "o")
     want = df.withColumn("o", F.row_number().over(Window.partitionBy("k").orderBy("t")).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_hot_rows_mode_equals_plain_windows(spark):
+    df = _skewed(spark)
+    got = O.ordinal(df, "k", [F.col("t"), F.col("v")], F.floor(F.col("t") / 100), "ord", hot_rows=100)
+    want = df.withColumn("ord", F.row_number().over(Window.partitionBy("k").orderBy("t", "v")).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+    got = O.prefix_sum(df, "k", [F.col("t")], F.col("v").cast("bigint"), F.floor(F.col("t") / 128), "s",
+                       inclusive=False, hot_rows=100)
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    want = df.withColumn("s", F.coalesce(F.sum(F.col("v").cast("bigint")).over(w), F.lit(0)).cast("bigint"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
