@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlake.operators.ordinal import ordinal, top_k_per_group, with_neighbour
+from runlake.operators.ordinal import HOT_ROWS, ordinal, top_k_per_group, with_neighbour
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -34,7 +34,8 @@ def snapshot_from_changelog(changes: DataFrame, key: str, ts: str, seq: str, tra
     skew-safe ordinals, so a key with a huge history is spread over tasks.
     """
     chunk = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
-    d = ordinal(changes.select(key, ts, seq, *tracked), key, [F.col(ts), F.col(seq)], chunk, "__o")
+    d = ordinal(changes.select(key, ts, seq, *tracked), key, [F.col(ts), F.col(seq)], chunk, "__o",
+                hot_rows=HOT_ROWS)
     d = with_neighbour(d, key, "__o", list(tracked), 1, "__p_")
     same = None
     for c in tracked:
@@ -42,7 +43,7 @@ def snapshot_from_changelog(changes: DataFrame, key: str, ts: str, seq: str, tra
         same = eq if same is None else same & eq
     first = F.col("__o") == 1
     versions = d.filter(first | ~same).select(key, ts, seq, *tracked)
-    v = ordinal(versions, key, [F.col(ts), F.col(seq)], chunk, "version")
+    v = ordinal(versions, key, [F.col(ts), F.col(seq)], chunk, "version", hot_rows=HOT_ROWS)
     v = with_neighbour(v, key, "version", [ts], -1, "__n_")
     return v.select(key, "version", *tracked, F.col(ts).alias("valid_from"),
                     F.col("__n_" + ts).alias("valid_to"),

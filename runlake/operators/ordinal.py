@@ -19,6 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Keys with more rows than this are cut into chunks by the changelog and log
+# operators; the rest are numbered in one window group each.
+HOT_ROWS = 10_000
+
+
 def _names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlake.operators.ordinal import ordinal, with_neighbour
+from runlake.operators.ordinal import HOT_ROWS, ordinal, with_neighbour
 
 # The fields of a run record and the statuses the job writes.
 STATE_FIELDS = ("run_status", "user_command", "log_starting_byte", "cloud_storage_folder")
@@ -65,7 +65,7 @@ def status_transitions(status_events: DataFrame, chunk: Column | None = None) ->
     run does not become one task. ``chunk`` defaults to the day of ts.
     """
     chunk = chunk if chunk is not None else F.date_trunc("day", F.col("ts"))
-    d = ordinal(status_events, "run_id", [F.col("ts"), F.col("seq")], chunk, "__ord")
+    d = ordinal(status_events, "run_id", [F.col("ts"), F.col("seq")], chunk, "__ord", hot_rows=HOT_ROWS)
     d = with_neighbour(d, "run_id", "__ord", ["run_status"], 1, "prev_")
     d = with_neighbour(d, "run_id", "__ord", ["ts"], -1, "next_")
     spark = status_events.sparkSession

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.functions.cron import fire_days, parse_cron
-from runlake.operators.ordinal import global_ordinal, ordinal
+from runlake.operators.ordinal import HOT_ROWS, global_ordinal, ordinal
 
 # Fixed values of the schedule service.
 JOB_DESCRIPTION_PREFIX = "[dbt-server job] "
@@ -225,7 +225,7 @@ def retry_attempts(fires: DataFrame, events: DataFrame, key: str, order: Sequenc
     an equi-join, so no pairs are formed beyond the output.
     """
     ev = ordinal(events.select(key, ts, event_id), key, [F.col(c) for c in order],
-                 F.date_trunc(chunk_unit, F.col(ts)), "__ord")
+                 F.date_trunc(chunk_unit, F.col(ts)), "__ord", hot_rows=HOT_ROWS)
     fire_ids = fires.select(F.col(event_id).alias("__fid"))
     fr = ev.join(fire_ids, ev[event_id] == fire_ids["__fid"], "left_semi")
     fr = fr.select(F.col(key).alias("__fk"), F.col(event_id).alias("fire_event_id"), F.col(ts).alias("__fts"),

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.functions.logs import format_entry
-from runlake.operators.ordinal import ordinal
+from runlake.operators.ordinal import HOT_ROWS, ordinal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,7 @@ def log_events(spark: SparkSession, sf_dir: str, chunk_unit: str = "hour", hot:
     # Only runs with more than 10,000 lines are cut into time chunks; the rest
     # are numbered in one window group each and need no offset join.
     d = ordinal(d, "run_id", [F.col("ts"), F.col("event_id")], F.date_trunc(chunk_unit, F.col("ts")), "line_no",
-                hot_rows=10_000)
+                hot_rows=HOT_ROWS)
     return d.withColumn("raw", format_entry(F.col("ts"), F.col("severity"), F.col("message")))
 
 
