@@ -74,3 +74,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     intermediate tables (never a machine-local temp folder)."""
     import uuid
     return f"{checkpoint_dir(spark).rstrip('/')}/runlake-tables/{name}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, as
+    ``spark-submit --py-files`` would; the driver serves the archive itself."""
+    import shutil
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="runlake-package-")
+    archive = shutil.make_archive(os.path.join(folder, "runlake-package"), "zip",
+                                  os.path.dirname(package), os.path.basename(package))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
