@@ -12,6 +12,7 @@ from runlake.llm.decontam import contamination
 from runlake.llm.exact_dedup import exact_duplicates
 from runlake.llm.packing import pack_documents
 from runlake.llm.token_files import token_files
+from runlake.llm.toxicity import score_documents, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,6 +79,15 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = train(docs, table(spark, sf_dir, "labels"))
+    return score_documents(docs, network).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files(table(spark, sf_dir, "documents"))
