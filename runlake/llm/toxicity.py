@@ -35,7 +35,7 @@ WINDOW, STEP = 32, 24
 WORD_ROWS = GRAM_ROWS = 1 << 15
 WORD_DIM = GRAM_DIM = 8
 HIDDEN, ATTENTION = 12, 8
-MAX_DOCUMENTS, MAX_CHARS = 3000, 40_000
+MAX_DOCUMENTS, MAX_CHARS = 2400, 20_000
 EPOCHS = 5
 #: Gradient steps of an epoch, at least: few labels are passed over more often.
 LEAST_STEPS = 90
@@ -103,7 +103,7 @@ class Batch:
         end = (base + n)[self.doc]
         at = begin[:, None] + np.arange(WINDOW)
         ids = np.append(ids, 0)
-        self.windows = np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)], 0)
+        self.windows = np.where(at < end[:, None], ids[np.minimum(at, len(ids) - 1)], 0).astype(np.int32)
 
 
 class Network:
@@ -223,24 +223,24 @@ class Network:
         if not len(texts) or toxic in (0, len(labels)):
             return
         ws = Words(batch.distinct)
-        # in how many texts of either label does a word, or an n-gram, occur
-        pairs = np.unique(np.stack([np.repeat(batch.doc, WINDOW), batch.windows.ravel()]), axis=1)
-        pairs = pairs[:, pairs[1] > 0]
-        word, doc = pairs[1] - 1, pairs[0]
-
-        def odds(rows, docs, size):
-            both = np.unique(rows.astype(np.int64) * len(labels) + docs)
-            rows, docs = both // len(labels), both % len(labels)
-            t = np.bincount(rows, weights=labels[docs], minlength=size)
-            n = np.bincount(rows, minlength=size)
-            base = toxic / len(labels)
-            return (np.log((t + 20 * base) / (n - t + 20 * (1 - base)) * (1 - base) / base)).astype(np.float32)
-
-        self.p["word"][:, 0] = odds(ws.rows[word], doc, WORD_ROWS)
-        n = ws.count[word]
-        take = np.repeat(ws.at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        self.p["gram"][:, 0] = odds(ws.grams[take], np.repeat(doc, n), GRAM_ROWS)
-        prior = np.append(0, self.p["word"][ws.rows, 0] + ws.gram_mean(self.p["gram"][:, :1])[:, 0])
+        # in how many texts of either label a word, or an n-gram, occurs
+        base = float(toxic / len(labels))
+        seen = {"word": np.zeros((2, WORD_ROWS)), "gram": np.zeros((2, GRAM_ROWS))}
+        for lo in range(0, len(texts), 100):
+            a, b = np.searchsorted(batch.doc, [lo, lo + 100])
+            both = np.unique(np.repeat(batch.doc[a:b], WINDOW) * (len(ws.rows) + 1) + batch.windows[a:b].ravel())
+            doc, word = both // (len(ws.rows) + 1), both % (len(ws.rows) + 1) - 1
+            doc, word = doc[word >= 0], word[word >= 0]
+            n = ws.count[word]
+            take = np.repeat(ws.at[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            for name, rows, docs, size in (("word", ws.rows[word], doc, WORD_ROWS),
+                                           ("gram", ws.grams[take].astype(np.int64), np.repeat(doc, n), GRAM_ROWS)):
+                once = np.unique(docs * size + rows)
+                for y in (0, 1):
+                    seen[name][y] += np.bincount((once % size)[labels[once // size] == y], minlength=size)
+        for name, (clean, bad) in seen.items():
+            self.p[name][:, 0] = np.log((bad + 20 * base) / (clean + 20 * (1 - base)) * (1 - base) / base)
+        prior = np.append(np.float32(0), self.p["word"][ws.rows, 0] + ws.gram_mean(self.p["gram"][:, :1])[:, 0])
         rank = np.sort(prior[batch.windows], axis=1)[:, -3:].sum(axis=1)
         weight = np.where(labels > 0, np.sqrt(len(labels) / (2 * toxic)), 1).astype(np.float32)
         first = np.flatnonzero(np.diff(batch.doc, prepend=-1))
