@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from runlake.llm.common import table
 from runlake.llm.decontam import contamination
 from runlake.llm.exact_dedup import exact_duplicates
+from runlake.llm.jaccard import near_duplicates
 from runlake.llm.packing import pack_documents
 from runlake.llm.token_files import token_files
 from runlake.llm.toxicity import score_documents, train
@@ -23,6 +24,12 @@ def query(fn):
     return fn
 
 
+@query
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"))
