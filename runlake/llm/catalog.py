@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.llm.common import table
+from runlake.llm.common import stored, table
 from runlake.llm.decontam import contamination
 from runlake.llm.exact_dedup import exact_duplicates
 from runlake.llm.jaccard import near_duplicates
 from runlake.llm.packing import pack_documents
+from runlake.llm.repeats import repeated_passages
+from runlake.llm.secret_scan import BASE, scan_secrets
 from runlake.llm.token_files import token_files
 from runlake.llm.toxicity import score_documents, train
+from runlake.llm.url_filter import host_rule, judge_urls, pattern_rule
+from runlake.llm.warc import audit, copy_files, record_table, shared_folder, write_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,12 +29,65 @@ def query(fn):
     return fn
 
 
+# The rules of the query, and patterns of this library for urls that none of them fits.
+URL_RULES = [host_rule("allow", "com", "/"), host_rule("block", "example.com", "/en/"),
+             host_rule("allow", "www.example.com", "/en/"), host_rule("block", "net", "/es/"),
+             host_rule("block", "net", "/fr/")]
+URL_PATTERNS = [pattern_rule("block", p) for p in ("/ads/", "/login/", "/cart/", "sessionid=", "/calendar/*/day/")]
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_urls(table(spark, sf_dir, "pages"), URL_RULES + URL_PATTERNS)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op1_url_filter"] = """
+WITH u AS (
+    SELECT page_id, coalesce(url, '') AS url,
+           CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest
+    FROM pages),
+p AS (
+    SELECT page_id, url,
+           translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+    FROM u),
+r(host, path, action) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+           ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (
+    SELECT p.page_id, p.url, p.host, p.path, r.host || r.path AS rule, r.action,
+           row_number() OVER (PARTITION BY p.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS nth
+    FROM p LEFT JOIN r ON (p.host = r.host OR p.host LIKE '%.' || r.host) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule,
+       coalesce(action, CASE WHEN regexp_matches(lower(url), '/ads/|/login/|/cart/|sessionid=|/calendar/.*/day/')
+                             THEN 'block' ELSE 'allow' END) AS verdict
+FROM best WHERE nth = 1"""
+
+
 @query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    names = [r[0] for r in BASE]
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(names))
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select("doc_id", of("assign").alias("n_assign"), of("access").alias("n_access"), of("hex").alias("n_hex"),
+                        F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+@query
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "first_word", "last_word", "other_doc_id")
+
+
 @query
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"))
@@ -45,6 +103,25 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d"""
 
 
+@query
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a WARC record, a replica in which about one record in 256 has a
+    flipped byte (chosen by a hash of its id), and the audit's verdict on each page."""
+    pages = table(spark, sf_dir, "pages")
+    folder = shared_folder(spark, "warc")
+    files = write_warc(pages, f"{folder}/a")
+    copy_files(files, f"{folder}/a", f"{folder}/b", lambda key: hashlib.sha256(key.encode()).digest()[0] == 0x7F)
+    a = stored(record_table(files, f"{folder}/a"), "records")
+    b = stored(record_table(files, f"{folder}/b"), "records")
+    bad = audit(a, b).select("file", "nth", F.lit(False).alias("intact"))
+    return (a.join(bad, ["file", "nth"], "left")
+            .select(F.col("record_id").cast("long").alias("page_id"), F.coalesce("intact", F.lit(True)).alias("intact")))
+
+
+ORACLES["op6_warc_fixity"] = """
+SELECT page_id, substr(sha256(CAST(page_id AS VARCHAR)), 1, 2) <> '7f' AS intact FROM pages"""
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

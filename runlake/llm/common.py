@@ -8,12 +8,12 @@ back, which cuts lineage.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from runlake.session import ensure_checkpoint_dir, scratch_path
 
@@ -29,27 +29,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def identified(df: DataFrame, *columns: str, name: str = "rows") -> DataFrame:
-    """The named columns plus ``rid_file, rid_row`` (hash of the file, row in the file).
-
-    Works on tables read from Parquet; anything else is written to the shared
-    folder first.
-    """
+def on_files(df: DataFrame) -> DataFrame:
+    """``df`` if its rows have a place in files, else a stored copy, whose rows have."""
     try:
-        meta = df.metadataColumn("_metadata")
-        out = df.select(F.xxhash64(meta["file_path"]).alias(ROW_ID[0]), meta["row_index"].alias(ROW_ID[1]),
-                        *[df[c] for c in columns])
-        out.schema  # noqa: B018  resolve now
-        return out
-    except Exception:  # not a file source: no row position to take
-        if name == "rows-stored":
-            raise
-        return identified(stored(df, name), *columns, name="rows-stored")
-
-
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-              schema: str | T.StructType) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+        df.select(df.metadataColumn("_metadata")["row_index"]).schema  # noqa: B018  resolve now
+        return df
+    except AnalysisException:
+        return stored(df, "rows")
+
+
+def identified(df: DataFrame, *columns: str) -> DataFrame:
+    """``rid_file, rid_row`` (hash of the file, row in the file) and the named columns;
+    without names, ``row``: a struct of all columns, whatever they are called."""
+    df = on_files(df)
+    meta = df.metadataColumn("_metadata")
+    rest = [df[c] for c in columns] or [F.struct(*[df[c] for c in df.columns]).alias("row")]
+    return df.select(F.xxhash64(meta["file_path"]).alias(ROW_ID[0]), meta["row_index"].alias(ROW_ID[1]), *rest)
+
+
+def only_rows(df: DataFrame, rids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` (read from files) whose identity is among ``rids``, all columns;
+    with ``left_anti`` the others."""
+    return identified(df).join(rids.select(*ROW_ID), [*ROW_ID], how).select("row.*")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:

@@ -253,7 +253,7 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """One row per input row: rid_file, rid_row, doc_id, n_shingles, cls (equal sets),
-    component_id (smallest document id reachable by links)."""
+    label (the component's smallest class; blank rows share one), component_id (smallest document id reachable by links)."""
     texts = identified(docs, id_col, text_col)
     texts = texts.select(*ROW_ID, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = stored(texts.mapInArrow(_rows, "rid_file bigint, rid_row bigint, doc_id bigint, n_shingles bigint, "
@@ -324,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = marked.filter("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = marked.filter("n_shingles > 0").join(smallest, "label")
     blank = marked.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id"))
-    out = [*ROW_ID, "doc_id", "n_shingles", "cls", "component_id"]
+    out = [*ROW_ID, "doc_id", "n_shingles", "cls", "label", "component_id"]
     return named.select(*out).unionByName(blank.select(*out))
 
 
