@@ -109,10 +109,10 @@ def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     flipped byte (chosen by a hash of its id), and the audit's verdict on each page."""
     pages = table(spark, sf_dir, "pages")
     folder = shared_folder(spark, "warc")
-    files = write_warc(pages, f"{folder}/a")
-    copy_files(files, f"{folder}/a", f"{folder}/b", lambda key: hashlib.sha256(key.encode()).digest()[0] == 0x7F)
-    a = stored(record_table(files, f"{folder}/a"), "records")
-    b = stored(record_table(files, f"{folder}/b"), "records")
+    index = write_warc(pages, f"{folder}/a")
+    copy_files(index, f"{folder}/a", f"{folder}/b", lambda key: hashlib.sha256(key.encode()).digest()[0] == 0x7F)
+    a = stored(record_table(index, f"{folder}/a"), "records")
+    b = stored(record_table(index, f"{folder}/b"), "records")
     bad = audit(a, b).select("file", "nth", F.lit(False).alias("intact"))
     return (a.join(bad, ["file", "nth"], "left")
             .select(F.col("record_id").cast("long").alias("page_id"), F.coalesce("intact", F.lit(True)).alias("intact")))

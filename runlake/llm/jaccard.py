@@ -19,10 +19,12 @@ when 4 * intersection >= 3 * union, that is when their sets differ in at most
   A set whose shingles fell into fewer than H + 1 segments probes these, each such
   segment then standing for two differences. What still lacks some (a handful of tiny
   sets) is joined by single shingles, |r| / 4 + 1 of them.
-* Groups of near copies: keys first offer their members one leader (the smallest
+* Groups of near copies: keys first offer their members one leader (the most central
   class, then one that differs by key); linked members unite, and only pairs of
-  different components are compared after that. Every candidate left is verified, so
-  no link between components is lost, and a group costs in proportion to its size.
+  different components are candidates after that. Members of one group know their
+  difference from the leader they have in common (the pivot), which rules out nearly
+  all pairs that the leader did not unite by counts alone. Every candidate left is
+  verified, so no link between components is lost.
 * Verification intersects the two whole sets.
 
 Edge cases: words are cut at ASCII white space after lower-casing A-Z; fewer than five
@@ -233,13 +235,77 @@ def _rows(batches):
                                          ["rid_file", "rid_row", "doc_id", "n_shingles", "cls", "short"])
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets link."""
+#: Of a measured pair: 4 * intersection >= 3 * union.
+LINK = "4 * i >= 3 * (na + nb - i)"
+
+
+def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with their sizes na, nb and the intersection i of their whole sets."""
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("tokens").alias("ta")), "a")
     two = one.join(sets.select(F.col("cls").alias("b"), F.col("tokens").alias("tb")), "b")
-    na, nb = F.size("ta"), F.size("tb")
-    both = F.when(4 * F.least(na, nb) >= 3 * F.greatest(na, nb), F.size(F.array_intersect("ta", "tb"))).otherwise(0)
-    return two.select("a", "b", both.alias("i"), (na + nb).alias("s")).filter("4 * i >= 3 * (s - i)").select("a", "b")
+    return two.select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"),
+                      F.size(F.array_intersect("ta", "tb")).alias("i"))
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets link."""
+    return common(pairs, sets).filter(LINK).select("a", "b")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: DataFrame) -> DataFrame:
+    """Candidates by key in two components whose pivots differ (a class without one is its own)."""
+    known = members.join(pivot.select("cls", "pivot"), "cls", "left").withColumn("pivot", F.coalesce("pivot", "cls"))
+    p = probes.select("key", "cls", "deleted", "doubled").join(known, "cls")
+    q = places.select("key", "cls", "deleted").join(known, "cls")
+    spread = q.groupBy("key").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi"), F.min("label").alias("l"), F.max("label").alias("h"))
+    keep = spread.filter("lo <> hi and l <> h").select("key")
+    p, q = p.join(keep, "key"), q.join(keep, "key")
+    sides = (p.select("key", F.col("pivot").alias("pp"), F.col("label").alias("pl")).distinct()
+             .join(q.select("key", F.col("pivot").alias("qp"), F.col("label").alias("ql")).distinct(), "key")
+             .filter("pp <> qp and pl <> ql"))
+    out = (sides.join(p.select("key", F.col("pivot").alias("pp"), F.col("label").alias("pl"), F.col("cls").alias("pc"),
+                               F.col("deleted").alias("pd"), "doubled"), ["key", "pp", "pl"])
+           .join(q.select("key", F.col("pivot").alias("qp"), F.col("label").alias("ql"), F.col("cls").alias("qc"),
+                          F.col("deleted").alias("qd")), ["key", "qp", "ql"]))
+    # whole with whole always; whole with less one, either way, for classes that count such segments twice
+    return out.filter("not (pd and qd) and (doubled or not (pd or qd))").select(*_pair("pc", "qc")).distinct()
+
+
+def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates in two components around one pivot L. With more = s \\ L and less = L \\ s,
+    r and s differ in the symmetric differences of their mores and of their lesses. So
+    either they share a shingle that L has not, or |more_r| + |more_s| + ||less_r| - |less_s||
+    must not exceed the largest difference of a link. The second is joined by counts
+    (cells of equal more and less), so members that cannot link are never enumerated."""
+    own = pivot.select(F.col("pivot").alias("cls")).distinct().join(
+        sets.select("cls", F.size("tokens").alias("n")), "cls").select(
+        "cls", F.col("cls").alias("pivot"), "n", F.lit(0).alias("more"), F.lit(0).alias("less"))
+    # a pivot may itself have another pivot: it then stands in both groups
+    group = pivot.unionByName(own).join(members, "cls")
+    mixed = group.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("pivot")
+    group = stored(group.join(mixed, "pivot"), "pivot-groups")
+    cell = ["pivot", "label", "n", "more", "less"]
+    side = lambda t, x: t.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in t.columns if c != "pivot"])
+    cells = group.select(*cell).distinct()
+    near = side(cells, "r").join(side(cells, "s"), "pivot").filter(
+        "label_r < label_s and 7 * (more_r + more_s + abs(less_r - less_s)) <= n_r + n_s")
+    named = ["pivot", "label", "n", "more", "less"]
+    on = lambda x: ["pivot", *[f"{c}_{x}" for c in named[1:]]]
+    close = near.join(side(group, "r"), on("r")).join(side(group, "s"), on("s")).select(*_pair("cls_r", "cls_s"))
+    extra = (group.filter("more > 0").select("cls", "pivot", "label")
+             .join(sets.select("cls", F.col("tokens").alias("t")), "cls")
+             .join(sets.select(F.col("cls").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
+             .select("cls", "pivot", "label", F.explode(F.array_except("t", "tp")).alias("token")))
+    several = extra.groupBy("pivot", "token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("pivot", "token")
+    extra = stored(extra.join(several, ["pivot", "token"]), "pivot-extras")
+    share = (side(extra.select("pivot", "token", "cls", "label"), "r").withColumnRenamed("token_r", "token")
+             .join(side(extra.select("pivot", "token", "cls", "label"), "s").withColumnRenamed("token_s", "token"), ["pivot", "token"])
+             .filter("label_r < label_s").select(*_pair("cls_r", "cls_s")))
+    return close.unionByName(share).distinct()
 
 
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -270,9 +336,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .filter((F.col("need") > 0) | (F.col("lack") > 0))
               .withColumn("nth", F.row_number().over(own.orderBy(F.col("deleted"), F.col("sharers") == 0, "sharers", "key"))))
     probing = F.when(F.col("lack") > 0, F.lit(True)).otherwise(~F.col("deleted") & (F.col("nth") <= F.col("need")))
-    keys = stored(ranked.select("cls", "above", "deleted", "key", (F.col("lack") > 0).alias("doubled"),
+    keys = stored(ranked.select("cls", "above", "deleted", "key", (F.col("lack") > 0).alias("doubled"), "need",
                                 probing.alias("probe")), "chosen-keys")
-    probes, places = keys.filter("probe"), keys.filter("not above").select("cls", "deleted", "key")
+    probes, places = keys.filter("probe"), keys.filter("not above").select("cls", "deleted", "key", "need")
 
     # sets of the classes still in play, from one row each
     lone = rows.filter("short").select("cls").distinct()
@@ -288,36 +354,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = rows.groupBy("cls").agg(F.first("n_shingles").alias("n"))
 
     members = stored(alive.select("cls", F.col("cls").alias("label")), "members")
-    whole = places.filter("not deleted").select("key", "cls")
-    for turn in range(2):
-        # one leader for each key: the smallest class, then one that differs by key
-        rank = F.col("cls") if turn == 0 else F.xxhash64("key", "cls")
-        tagged = whole.join(members, "cls") if turn else whole.withColumn("label", F.col("cls"))
-        if turn:
-            mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-            tagged = tagged.join(mixed, "key")
-        leader = tagged.groupBy("key").agg(F.min(F.struct(rank.alias("r"), "cls", "label")).alias("lead"))
-        mine = probes.filter("not deleted").select("key", "cls").join(members, "cls")
-        star = (mine.join(leader, "key").filter("label <> lead.label")
-                .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct())
-        members = _relabel(members, _between(linked(star, sets), members))
+    whole = places.filter("not deleted").select("key", "cls", "need")
+    # first each key's most central class leads: it has the fewest segments of its own
+    lead = whole.groupBy("key").agg(F.min(F.struct((-F.col("need")).alias("r"), "cls")).alias("lead")).select("key", F.col("lead.cls").alias("lead"))
+    led = stored(probes.filter("not deleted").join(lead, "key").filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("k")), "led")
+    star = led.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+    measured = stored(common(star, sets), "measured")
+    members = _relabel(members, _between(measured.filter(LINK).select("a", "b"), members))
+    # a class's pivot: the leader it meets under most keys, if they share enough
+    pivot = led.groupBy("cls").agg(F.max(F.struct("k", "lead")).alias("best")).select("cls", F.col("best.lead").alias("pivot"))
+    pivot = (pivot.withColumn("a", F.least("cls", "pivot")).withColumn("b", F.greatest("cls", "pivot"))
+             .join(measured, ["a", "b"]).filter("i >= 0.4 * (na + nb - i)")
+             .select("cls", "pivot", F.when(F.col("cls") == F.col("a"), F.col("na")).otherwise(F.col("nb")).alias("n"),
+                     F.when(F.col("cls") == F.col("a"), F.col("nb")).otherwise(F.col("na")).alias("np"), "i"))
+    pivot = stored(pivot.select("cls", "pivot", "n", (F.col("n") - F.col("i")).alias("more"), (F.col("np") - F.col("i")).alias("less")), "pivots")
+    # then a leader that differs by key, for the members whose component is another
+    tagged = whole.join(members, "cls")
+    mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+    other = tagged.join(mixed, "key").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls").alias("r"), "cls", "label")).alias("lead"))
+    star = (probes.filter("not deleted").select("key", "cls").join(members, "cls").join(other, "key").filter("label <> lead.label")
+            .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct())
+    members = _relabel(members, _between(linked(star, sets), members))
     if fallback is not None:
         members = _relabel(members, _between(linked(fallback, sets), members))
 
-    # every candidate pair that still lies in two components
-    p = probes.select("key", "cls", "deleted", "doubled").join(members, "cls")
-    q = places.join(members, "cls")
-    sides = p.select("key", F.col("label").alias("la")).distinct().join(
-        q.select("key", F.col("label").alias("lb")).distinct(), "key").filter("la <> lb")
-    left = sides.join(p.select("key", F.col("label").alias("la"), F.col("cls").alias("pc"), F.col("deleted").alias("pd"), "doubled"), ["key", "la"])
-    pairs = left.join(q.select("key", F.col("label").alias("lb"), F.col("cls").alias("qc"), F.col("deleted").alias("qd")), ["key", "lb"])
-    # whole with whole always; whole with less one, either way, for classes that count such segments twice
-    pairs = (pairs.filter("not (pd and qd) and (doubled or not (pd or qd))")
-             .select(F.least("pc", "qc").alias("a"), F.greatest("pc", "qc").alias("b")).distinct())
-    pairs = (pairs.join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-             .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-             .filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))
-    members = _relabel(members, _between(linked(pairs, sets), members))
+    left = (_across(probes, places, members, pivot).unionByName(_around(members, pivot, sets)).distinct()
+            .join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
+            .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+            .filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))
+    members = _relabel(members, _between(linked(left, sets), members))
 
     marked = rows.join(members, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     marked = marked.select(*ROW_ID, "doc_id", "n_shingles", "cls", "label")

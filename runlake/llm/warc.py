@@ -1,20 +1,23 @@
 """Operator 6: WARC files and a Merkle fixity audit of their replicas.
 
-``write_warc`` writes records as WARC/1.1 files in ranges of their id, ``copy_files``
-makes a replica. ``record_table`` reads a folder of WARC files back: one row per
-record with its byte range and SHA-256. ``merkle_levels`` hashes each file's records,
-in order of offset, into a tree of ``fanout`` children a node; ``audit`` compares the
-replicas' roots and descends only below nodes that differ, a join per level on the
-few that are left, down to the damaged records.
+``write_warc`` writes records as WARC/1.1 files (each record a gzip member of its own)
+in ranges of their id and returns the index of their byte ranges; ``copy_files`` makes a
+replica and ``read_records`` parses files back. ``record_table`` hashes each indexed
+range of a replica. ``merkle_levels`` hashes each file's records, in order of offset,
+into a tree of ``fanout`` children a node; ``audit`` compares the replicas' roots and
+descends only below nodes that differ, a join per level on the few that are left, down
+to the damaged records.
 
 Edge cases: null url or payload is written as empty; repeated ids are separate
-records; a file that one replica lacks, or bytes that no longer parse, show as records
-missing on that side; empty tables give no files, no rows; other columns are not read.
+records; a file that one replica lacks, or that ends early, shows as records missing
+on that side; empty tables give no files, no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,8 +30,8 @@ from runlake.session import ensure_checkpoint_dir, scratch_path
 
 FANOUT = 16
 FILE_BYTES = 8 << 20
-FILES = "file string, n_records bigint, n_bytes bigint"
-RECORDS = "file string, nth bigint, offset bigint, length bigint, record_id string, sha256 string"
+INDEX = "file string, nth bigint, offset bigint, length bigint, record_id string"
+RECORDS = f"{INDEX}, sha256 string"
 
 
 def record(record_id: str, url: str, payload: bytes) -> bytes:
@@ -37,42 +40,37 @@ def record(record_id: str, url: str, payload: bytes) -> bytes:
     return head.encode() + payload + b"\r\n\r\n"
 
 
-def parse(data: bytes):
-    """(offset, length, record id) of each record; stops where the bytes are no record."""
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            return
-        head = dict(line.split(b": ", 1) for line in data[at:end].split(b"\r\n")[1:] if b": " in line)
-        try:
-            size = end + 4 + int(head[b"Content-Length"]) + 4 - at
-        except (KeyError, ValueError):
-            return
-        yield at, size, head.get(b"WARC-Record-ID", b"").decode("utf-8", "replace")[10:-1]
-        at += size
+def parse(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers and payload of one record's gzip member."""
+    head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
+    named = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    return named, rest[:int(named["Content-Length"])]
 
 
 def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html",
                file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Files in ascending id order; returns the stored list of files."""
+    """Files in ascending id order; returns the stored index, one row per record."""
 
     def write(batches):
-        task, held, size, n = TaskContext.get(), [], 0, 0
+        task, held, names, size, n = TaskContext.get(), [], [], 0, 0
 
         def close():
-            nonlocal held, size, n
-            name = f"pages-{task.partitionId():06d}-{n:05d}.warc"
-            written = store.put(f"{folder}/{name}", held, str(task.taskAttemptId()))
-            row = pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([written], pa.int64())],
-                                             ["file", "n_records", "n_bytes"])
-            held, size, n = [], 0, n + 1
+            nonlocal held, names, size, n
+            name = f"pages-{task.partitionId():06d}-{n:05d}.warc.gz"
+            store.put(f"{folder}/{name}", held, str(task.taskAttemptId()))
+            length = [len(h) for h in held]
+            offset = [0, *accumulate(length)][:-1]
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(held)), pa.array(range(len(held)), pa.int64()), pa.array(offset, pa.int64()),
+                 pa.array(length, pa.int64()), pa.array(names)], ["file", "nth", "offset", "length", "record_id"])
+            held, names, size, n = [], [], 0, n + 1
             return row
 
         for batch in slices(batches, "text"):
             for key, url, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 clean = " ".join((url or "").splitlines())
-                held.append(record(str(key), clean, (text or "").encode()))
+                held.append(gzip.compress(record(str(key), clean, (text or "").encode()), 1, mtime=0))
+                names.append(str(key))
                 size += len(held[-1])
                 if size >= file_bytes:
                     yield close()
@@ -81,50 +79,63 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
 
     rows = (pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[body_col].alias("text"))
             .repartitionByRange("id").sortWithinPartitions("id", "url", "text"))
-    return stored(rows.mapInArrow(write, FILES), "warc-files")
+    return stored(rows.mapInArrow(write, INDEX), "warc-index")
 
 
-def copy_files(files: DataFrame, source: str, target: str, damage=None) -> DataFrame:
-    """Copy the listed files; ``damage(record id) -> bool`` names records in whose
-    copy one byte is flipped (to rehearse an audit)."""
+def _files(index: DataFrame) -> DataFrame:
+    """A row per file with its records in order; a file is bounded by ``file_bytes`` and one record."""
+    return index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("nth", "offset", "length", "record_id"))).alias("records"))
+
+
+def copy_files(index: DataFrame, source: str, target: str, damage=None) -> int:
+    """Copy the indexed files and return how many; ``damage(record id) -> bool`` names
+    records in whose copy one byte is flipped (to rehearse an audit)."""
 
     def copy(batches):
         for batch in batches:
-            sizes = []
-            for name in batch.column(0).to_pylist():
+            for name, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = bytearray(store.get(f"{source}/{name}"))
-                if damage:
-                    for at, size, key in list(parse(bytes(data))):
-                        if damage(key):
-                            data[at + size - 5] ^= 1  # the payload's last byte, or its head's line end
-                sizes.append(store.put(f"{target}/{name}", [bytes(data)], str(TaskContext.get().taskAttemptId())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())],
-                                             ["file", "n_records", "n_bytes"])
+                for r in records if damage else ():
+                    if damage(r["record_id"]):
+                        data[r["offset"] + r["length"] // 2] ^= 1
+                store.put(f"{target}/{name}", [bytes(data)], str(TaskContext.get().taskAttemptId()))
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["file"])
 
-    return stored(files.repartition("file").mapInArrow(copy, FILES), "warc-copies")
+    return stored(_files(index).mapInArrow(copy, "file string"), "warc-copies").count()
 
 
-def record_table(files: DataFrame, folder: str) -> DataFrame:
-    """One row per record of the listed files (a file that is missing has none)."""
+def _each(index: DataFrame, folder: str, make, schema: str) -> DataFrame:
+    """``make(record row, its bytes)`` for every indexed record that the folder holds whole."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def read(batches):
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     data = store.get(f"{folder}/{name}")
                 except FileNotFoundError:
                     continue
-                found = list(parse(data))
-                for lo in range(0, len(found), 10_000):
-                    part = found[lo:lo + 10_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()),
-                         pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64()),
-                         pa.array([p[2] for p in part]),
-                         pa.array([hashlib.sha256(data[a:a + n]).hexdigest() for a, n, _ in part])],
-                        ["file", "nth", "offset", "length", "record_id", "sha256"])
-
-    return files.select("file").repartition("file").mapInArrow(read, RECORDS)
+                rows = [make({"file": name, **r}, data[r["offset"]:r["offset"] + r["length"]])
+                        for r in records if r["offset"] + r["length"] <= len(data)]
+                for lo in range(0, len(rows), 2_000):
+                    yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in rows[lo:lo + 2_000]])
+
+    return _files(index).mapInArrow(read, schema)
+
+
+def record_table(index: DataFrame, folder: str) -> DataFrame:
+    """One row per record that the replica holds, with the SHA-256 of its bytes."""
+    return _each(index, folder, lambda r, data: r | {"sha256": hashlib.sha256(data).hexdigest()}, RECORDS)
+
+
+def read_records(index: DataFrame, folder: str) -> DataFrame:
+    """record_id, url and payload of every record, from its own bytes."""
+
+    def make(r, data):
+        head, payload = parse(data)
+        return {"record_id": head["WARC-Record-ID"][10:-1], "url": head["WARC-Target-URI"], "payload": payload.decode()}
+
+    return _each(index, folder, make, "record_id string, url string, payload string")
 
 
 def merkle_levels(records: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
