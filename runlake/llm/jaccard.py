@@ -357,14 +357,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = places.filter("not deleted").select("key", "cls", "need")
     # first each key's most central class leads: it has the fewest segments of its own
     lead = whole.groupBy("key").agg(F.min(F.struct((-F.col("need")).alias("r"), "cls")).alias("lead")).select("key", F.col("lead.cls").alias("lead"))
-    led = stored(probes.filter("not deleted").join(lead, "key").filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("k")), "led")
-    star = led.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    measured = stored(common(star, sets), "measured")
+    led = whole.join(lead, "key").filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("k"))
+    # a class's pivot: the leader of most of its keys
+    led = stored(led.groupBy("cls").agg(F.max(F.struct("k", "lead")).alias("best")).select("cls", F.col("best.lead").alias("pivot")), "led")
+    measured = stored(common(led.select(*_pair("cls", "pivot")).distinct(), sets), "measured")
     members = _relabel(members, _between(measured.filter(LINK).select("a", "b"), members))
-    # a class's pivot: the leader it meets under most keys, if they share enough
-    pivot = led.groupBy("cls").agg(F.max(F.struct("k", "lead")).alias("best")).select("cls", F.col("best.lead").alias("pivot"))
-    pivot = (pivot.withColumn("a", F.least("cls", "pivot")).withColumn("b", F.greatest("cls", "pivot"))
-             .join(measured, ["a", "b"]).filter("i >= 0.4 * (na + nb - i)")
+    pivot = (led.select("cls", "pivot", *_pair("cls", "pivot")).join(measured, ["a", "b"]).filter("i >= 0.4 * (na + nb - i)")
              .select("cls", "pivot", F.when(F.col("cls") == F.col("a"), F.col("na")).otherwise(F.col("nb")).alias("n"),
                      F.when(F.col("cls") == F.col("a"), F.col("nb")).otherwise(F.col("na")).alias("np"), "i"))
     pivot = stored(pivot.select("cls", "pivot", "n", (F.col("n") - F.col("i")).alias("more"), (F.col("np") - F.col("i")).alias("less")), "pivots")
