@@ -261,7 +261,9 @@ def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: Dat
     known = members.join(pivot.select("cls", "pivot"), "cls", "left").withColumn("pivot", F.coalesce("pivot", "cls"))
     p = probes.select("key", "cls", "deleted", "doubled").join(known, "cls")
     q = places.select("key", "cls", "deleted").join(known, "cls")
-    spread = q.groupBy("key").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi"), F.min("label").alias("l"), F.max("label").alias("h"))
+    # both sides: a set that probes the band above does not lie in that band's places
+    both = p.select("key", "pivot", "label").unionByName(q.select("key", "pivot", "label"))
+    spread = both.groupBy("key").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi"), F.min("label").alias("l"), F.max("label").alias("h"))
     keep = spread.filter("lo <> hi and l <> h").select("key")
     p, q = p.join(keep, "key"), q.join(keep, "key")
     sides = (p.select("key", F.col("pivot").alias("pp"), F.col("label").alias("pl")).distinct()
