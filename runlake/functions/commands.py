@@ -11,7 +11,7 @@ SELECT_EQ_TOKEN = "--select="
 ALL_NODES = "*"
 SCHEDULE_FLAG = "--schedule"
 SCHEDULE_NAME_FLAG = "--schedule-name"
-DEFAULT_SCHEDULE_PREFIX = "dbt-server-"
+DEFAULT_SCHEDULE_PREFIX = "schedule-"
 JOB_ID_PREFIX = "u"
 FOLDER_DATE_FORMAT = "yyyy-MM-dd"
 
@@ -62,5 +62,5 @@ def job_id(run_id: Column | str) -> Column:
 
 
 def schedule_name(name: Column | str, run_id: Column | str) -> Column:
-    """The given schedule name, else ``dbt-server-<run id>``."""
+    """The given schedule name, else ``schedule-<run id>``."""
     return F.coalesce(_c(name), F.concat(F.lit(DEFAULT_SCHEDULE_PREFIX), _c(run_id)))

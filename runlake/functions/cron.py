@@ -1,8 +1,9 @@
 """Five-field cron text as column expressions.
 
 Each field becomes a sorted int array: ``*``, ``n``, ``a-b``, ``*/s``,
-``a-b/s``, ``a/s`` (a up to the field maximum) and comma lists of those.
-Weekday 0 and 7 are both Sunday.
+``a-b/s``, ``a/s`` (a up to the field maximum) and comma lists of those; months
+and weekdays also by name, and macros such as ``@daily``. Weekday 0 and 7 are
+both Sunday.
 """
 
 from __future__ import annotations
@@ -18,12 +19,30 @@ def _int(c: Column) -> Column:
     return c.try_cast("int")
 
 
+MACROS = {"@yearly": "0 0 1 1 *", "@annually": "0 0 1 1 *", "@monthly": "0 0 1 * *", "@weekly": "0 0 * * 0",
+          "@daily": "0 0 * * *", "@midnight": "0 0 * * *", "@hourly": "0 * * * *"}
+MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
+WEEKDAYS = "SUN MON TUE WED THU FRI SAT".split()
+
+
+def _numbered(field: Column, name: str) -> Column:
+    """Month and weekday names as numbers."""
+    names = {"month": [(n, i + 1) for i, n in enumerate(MONTHS)], "weekday": [(n, i) for i, n in enumerate(WEEKDAYS)]}
+    for word, n in names.get(name, ()):
+        field = F.regexp_replace(field, rf"(?i)\b{word}\b", str(n))
+    return field
+
+
 def field_values(field: Column, lo: int, hi: int) -> Column:
+    """Sorted values of a field; a range that ends before it starts wraps around.
+    Null when any item is no valid item."""
+    span = 7 if hi == 7 else hi - lo + 1
+
     def expand(item: Column) -> Column:
         parts = F.split(item, "/")
         base = F.element_at(parts, 1)
         has_step = F.size(parts) > 1
-        step = F.coalesce(_int(F.try_element_at(parts, F.lit(2))), F.lit(1))
+        step = F.when(has_step, _int(F.try_element_at(parts, F.lit(2)))).otherwise(F.lit(1))
         rng = F.split(base, "-")
         star = base == "*"
         a = F.when(star, F.lit(lo)).otherwise(_int(F.element_at(rng, 1)))
@@ -31,23 +50,35 @@ def field_values(field: Column, lo: int, hi: int) -> Column:
              .when(F.size(rng) > 1, _int(F.try_element_at(rng, F.lit(2))))
              .when(has_step, F.lit(hi))
              .otherwise(a))
-        return F.sequence(a, b, step)
+        valid = (F.size(parts) <= 2) & (F.size(rng) <= 2) & a.between(lo, hi) & b.between(lo, hi) & (step > 0)
+        to = F.when(a <= b, b).otherwise(b + span)
+        # a condition of its own inside the sequence: it must not fail on what is not valid
+        steps = F.sequence(F.when(valid, a), F.when(valid, to), F.when(valid, step))
+        return F.transform(steps, lambda x: F.when(x > hi, x - span).otherwise(x))
 
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(field, ","), expand))))
+    items = F.transform(F.split(field, ","), expand)
+    return F.when(~F.exists(items, lambda i: i.isNull()), F.array_sort(F.array_distinct(F.flatten(items))))
 
 
 def parse_cron(text: Column) -> Column:
     """struct<minute, hour, day, month, weekday, day_star, weekday_star> of int
-    arrays; the *_star flags tell whether the day fields start with ``*``."""
-    f = F.split(F.trim(text), r"\s+")
-    vals = {}
-    for i, (name, lo, hi) in enumerate(FIELDS):
-        vals[name] = field_values(F.element_at(f, i + 1), lo, hi)
-    weekday = F.array_distinct(F.transform(vals["weekday"], lambda x: F.pmod(x, F.lit(7))))
-    return F.struct(vals["minute"].alias("minute"), vals["hour"].alias("hour"), vals["day"].alias("day"),
-                    vals["month"].alias("month"), weekday.alias("weekday"),
-                    F.element_at(f, 3).startswith("*").alias("day_star"),
-                    F.element_at(f, 5).startswith("*").alias("weekday_star"))
+    arrays; the *_star flags tell whether the day fields start with ``*``. Macros
+    (``@daily``) stand for their five fields. Null when the text is no cron text."""
+    full = F.lower(F.trim(text))
+    five = F.trim(text)
+    for macro, meaning in MACROS.items():
+        five = F.when(full == macro, meaning).otherwise(five)
+    f = F.split(five, r"\s+")
+    at = lambda i: F.try_element_at(f, F.lit(i))
+    vals = {name: field_values(_numbered(at(i + 1), name), lo, hi) for i, (name, lo, hi) in enumerate(FIELDS)}
+    weekday = F.array_sort(F.array_distinct(F.transform(vals["weekday"], lambda x: F.pmod(x, F.lit(7)))))
+    whole = F.size(f) == 5
+    for v in vals.values():
+        whole = whole & v.isNotNull()
+    return F.when(whole, F.struct(
+        vals["minute"].alias("minute"), vals["hour"].alias("hour"), vals["day"].alias("day"),
+        vals["month"].alias("month"), weekday.alias("weekday"),
+        at(3).startswith("*").alias("day_star"), at(5).startswith("*").alias("weekday_star")))
 
 
 def fire_days(cron: Column, start: str, end: str, day_rule: str = "or") -> Column:

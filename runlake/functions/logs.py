@@ -28,7 +28,8 @@ def parse_entry(raw: Column | str, keep_tabs: bool = False) -> Column:
 
     ``ts`` is a UTC instant (TimestampType). The message is the *last* tab
     field, so a message holding tabs keeps only its last piece; with
-    ``keep_tabs=True`` fields 3.. are joined back instead.
+    ``keep_tabs=True`` fields 3.. are joined back instead. A line without tabs
+    or with a malformed time has null ``severity`` or ``ts``; see ``malformed``.
     """
     parts = F.split(_c(raw), FIELD_SEP)
     if keep_tabs:
@@ -36,13 +37,20 @@ def parse_entry(raw: Column | str, keep_tabs: bool = False) -> Column:
     else:
         message = F.element_at(parts, -1)
     return F.struct(
-        F.to_timestamp(F.element_at(parts, 1), TS_PARSE_FORMAT).alias("ts"),
-        F.element_at(parts, 2).alias("severity"),
+        F.try_to_timestamp(F.try_element_at(parts, F.lit(1)), F.lit(TS_PARSE_FORMAT)).alias("ts"),
+        F.try_element_at(parts, F.lit(2)).alias("severity"),
         F.regexp_extract(message, EMITTER_PATTERN, 1).alias("emitter"),
         message.alias("message"),
     )
 
 
+def malformed(raw: Column | str) -> Column:
+    """True for lines that are not time TAB severity TAB message."""
+    parts = F.split(_c(raw), FIELD_SEP)
+    ts = F.try_to_timestamp(F.try_element_at(parts, F.lit(1)), F.lit(TS_PARSE_FORMAT))
+    return F.coalesce((F.size(parts) < 3) | ts.isNull(), F.lit(True))
+
+
 def format_entry(ts: Column | str, severity: Column | str, message: Column | str) -> Column:
     """Stored text of one line; ``ts`` is rendered in the session time zone
     (UTC for every session this library builds) to whole seconds."""
@@ -60,12 +68,15 @@ def prefix_message(message: Column | str, log_format: Column | str) -> Column:
     return F.when(_c(log_format) == F.lit("json"), flat).otherwise(F.concat(F.lit(TEXT_PREFIX), flat))
 
 
-JSON_EVENT_SCHEMA = "level string, msg string"
+JSON_EVENT_SCHEMA = "info struct<level: string, msg: string>, level string, msg string"
 
 
 def json_event(text: Column | str) -> Column:
-    """struct<level, msg> of a JSON log event; null fields when absent or malformed."""
-    return F.from_json(_c(text), JSON_EVENT_SCHEMA)
+    """struct<level, msg> of a JSON log event, from its ``info`` object or else its
+    top level; null fields when absent or malformed."""
+    e = F.from_json(_c(text), JSON_EVENT_SCHEMA)
+    return F.struct(F.coalesce(e["info"]["level"], e["level"]).alias("level"),
+                    F.coalesce(e["info"]["msg"], e["msg"]).alias("msg"))
 
 
 def to_json_event(level: Column | str, msg: Column | str) -> Column:
@@ -73,11 +84,12 @@ def to_json_event(level: Column | str, msg: Column | str) -> Column:
     return F.to_json(F.struct(_c(level).alias("level"), _c(msg).alias("msg")))
 
 
-# Node-result lines look like
+# Node-result lines, with or without the emitter before them and cut off anywhere
+# inside the bracket, look like
 #   "2 of 8 OK loaded seed file test.test_seed ... [INSERT 1 in 0.51s]"
 #   "3 of 8 FAIL 1 not_null_my_first_dbt_model_id ... [FAIL 1 in 0.30s]"
-NODE_RESULT_PATTERN = (r"^(\d+) of (\d+) (OK|PASS|FAIL \d+|WARN \d+|ERROR|SKIP)"
-                       r" (.*?) \.\.\. \[([A-Z]+(?: \d+)?)(?: in (\d+(?:\.\d+)?)s)?\]?")
+NODE_RESULT_PATTERN = (r"^(?:\[[^\]]*\] )?(\d+) of (\d+) (OK|PASS|FAIL \d+|WARN \d+|ERROR|SKIP)"
+                       r" (.*?)\s*\.{3,}\s*\[([A-Z]+(?: \d+)?)(?: in (\d+(?:\.\d+)?)s)?")
 
 
 def with_node_result(df: DataFrame, line: str, out: str = "r") -> DataFrame:

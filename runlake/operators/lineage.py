@@ -137,13 +137,11 @@ def dag_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None
     roots = ids.join(e.select(F.col("child_id").alias("node_id")), "node_id", "left_anti")
     frontier = _ckpt(roots.withColumn("level", F.lit(0)))
     rounds = [frontier]
-    limit = max_rounds
+    limit = max_rounds if max_rounds is not None else ids.count() + 1
     level = 0
     while True:
         level += 1
-        if limit is None and level > 64:
-            limit = ids.count() + 1  # only deep graphs pay for the count
-        if limit is not None and level > limit:
+        if level > limit:
             raise RuntimeError("dag_levels: graph has a cycle reachable from a root")
         nxt = (frontier.join(e, frontier["node_id"] == e["parent_id"])
                .select(F.col("child_id").alias("node_id")).distinct()

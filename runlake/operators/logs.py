@@ -113,9 +113,14 @@ def read_since(lines: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFra
     size is <= cursor yields nothing and keeps its cursor; otherwise the cursor
     moves to size + 1 (past the newline that the next line will bring).
     """
-    off = with_byte_offsets(lines)
     c = cursors.select(F.col("run_id").alias("__run"), F.col("cursor").cast("bigint").alias("cursor"))
-    j = off.join(c, off["run_id"] == c["__run"], "inner").drop("__run")
+    # only runs that have a cursor are read further; their sizes decide which moved
+    wanted = lines.join(c.select("__run"), F.col("run_id") == F.col("__run"), "left_semi")
+    sizes = (wanted.groupBy(F.col("run_id").alias("__run"))
+             .agg((F.sum(F.octet_length("raw").cast("bigint") + 1) - 1).alias("size")))
+    moved = c.join(sizes, "__run").filter("size > cursor").select("__run", "cursor")
+    off = with_byte_offsets(wanted.join(moved.select("__run"), F.col("run_id") == F.col("__run"), "left_semi"))
+    j = off.join(moved, off["run_id"] == moved["__run"], "inner").drop("__run")
     end = F.col("start_byte") + F.col("n_bytes")
     tail_from = F.col("cursor") - F.col("start_byte")
     piece = F.when(F.col("start_byte") >= F.col("cursor"), F.col("raw")).otherwise(
@@ -123,9 +128,6 @@ def read_since(lines: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFra
     pieces = (j.filter(end >= F.col("cursor"))
               .select("run_id", "line_no", "start_byte", "cursor", piece.alias("piece"),
                       (tail_from > 0).alias("partial")))
-    sizes = (off.groupBy("run_id")
-             .agg((F.sum(F.col("n_bytes") + 1) - 1).alias("size")))
-    sizes = sizes.select(F.col("run_id").alias("__run"), "size")
     new = (cursors.select("run_id", F.col("cursor").cast("bigint").alias("cursor"))
            .join(sizes, F.col("run_id") == F.col("__run"), "left").drop("__run")
            .withColumn("size", F.coalesce(F.col("size"), F.lit(0).cast("bigint")))
@@ -158,7 +160,7 @@ def ordered_log(lines: DataFrame, state: DataFrame | None = None,
 
 
 # The job's own end markers (the docs' "END JOB" is never written).
-FINISH_MESSAGE = "[job] dbt-remote job finished"
+FINISH_MESSAGE = "[job] job finished"
 SUCCESS_MESSAGE = "[job] Command successfully executed"
 
 

@@ -19,11 +19,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Keys with more rows than this are cut into chunks by the changelog and log
-# operators; the rest are numbered in one window group each.
-HOT_ROWS = 10_000
-
-
 def _names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
 
@@ -36,18 +31,7 @@ def _group(keys: list[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys], F.col("__chunk").alias("__chunk"))
 
 
-def _chunk_only_hot(df: DataFrame, keys: list[str], chunk: Column, hot_rows: int) -> DataFrame:
-    """Set __chunk to ``chunk`` for keys with more than ``hot_rows`` rows and to
-    null for the rest, so cold keys are numbered in a single group and need no
-    offset. The hot-key list is broadcast: at most N / hot_rows keys can pass
-    the threshold, whatever the data."""
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-           .filter(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias("__hot")))
-    d = df.join(F.broadcast(hot), keys, "left")
-    return d.withColumn("__chunk", F.when(F.col("__hot"), chunk)).drop("__hot")
-
-
-def _attach_offsets(d: DataFrame, keys: list[str], name: str, only_chunked: bool = False) -> DataFrame:
+def _attach_offsets(d: DataFrame, keys: list[str], name: str) -> DataFrame:
     """``d`` has __g (the group struct), __chunk, __local and __tot (the
     chunk's total, from the same window partitioning). Per key, prefix-sum the
     chunk totals on the table of distinct groups and add the offset to
@@ -59,8 +43,6 @@ def _attach_offsets(d: DataFrame, keys: list[str], name: str, only_chunked: bool
     finds it small.
     """
     totals = d.select("__g", "__tot").dropDuplicates(["__g"])
-    if only_chunked:  # cold keys (null chunk) form one group each: offset 0
-        totals = totals.filter(F.col("__g")["__chunk"].isNotNull())
     key_struct = F.struct(*[F.col("__g")[k].alias(k) for k in keys])
     w_chunks = (Window.partitionBy(key_struct).orderBy(F.col("__g")["__chunk"])
                 .rowsBetween(Window.unboundedPreceding, -1))
@@ -71,41 +53,33 @@ def _attach_offsets(d: DataFrame, keys: list[str], name: str, only_chunked: bool
 
 
 def prefix_sum(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str],
-               value: Column, chunk: Column, name: str, inclusive: bool = True,
-               hot_rows: int | None = None) -> DataFrame:
+               value: Column, chunk: Column, name: str, inclusive: bool = True) -> DataFrame:
     """Add ``name`` = running sum of ``value`` per ``keys`` along ``order``.
 
     ``inclusive=False`` sums strictly preceding rows (0 for the first row).
-    ``chunk`` must be non-decreasing along ``order`` within a key. With
-    ``hot_rows``, only keys holding more rows than that are chunked.
+    ``chunk`` must be non-decreasing along ``order`` within a key.
     """
     keys = _names(keys)
-    d = df.withColumn("__chunk", chunk) if hot_rows is None else _chunk_only_hot(df, keys, chunk, hot_rows)
-    d = d.withColumn("__v", value).withColumn("__g", _group(keys))
+    d = df.withColumn("__chunk", chunk).withColumn("__v", value).withColumn("__g", _group(keys))
     w = Window.partitionBy("__g")
     end = Window.currentRow if inclusive else -1
     d = (d.withColumn("__local", F.coalesce(
         F.sum("__v").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, end)), F.lit(0)))
         .withColumn("__tot", F.sum("__v").over(w))
         .drop("__v"))
-    return _attach_offsets(d, keys, name, only_chunked=hot_rows is not None)
+    return _attach_offsets(d, keys, name)
 
 
 def ordinal(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column | str],
-            chunk: Column, name: str = "ordinal", hot_rows: int | None = None) -> DataFrame:
+            chunk: Column, name: str = "ordinal") -> DataFrame:
     """``row_number() over (partition by keys order by order)`` as a bigint,
-    computed per (key, chunk) plus the count of rows in earlier chunks.
-
-    ``hot_rows``: chunk only keys with more rows than that (one extra
-    aggregation on the keys); every other key is one group with no offset,
-    so for sparse data the offsets table shrinks to the hot keys' chunks."""
+    computed per (key, chunk) plus the count of rows in earlier chunks."""
     keys = _names(keys)
-    d = df.withColumn("__chunk", chunk) if hot_rows is None else _chunk_only_hot(df, keys, chunk, hot_rows)
-    d = d.withColumn("__g", _group(keys))
+    d = df.withColumn("__chunk", chunk).withColumn("__g", _group(keys))
     w = Window.partitionBy("__g")
     d = (d.withColumn("__local", F.row_number().over(w.orderBy(*order)))
          .withColumn("__tot", F.count(F.lit(1)).over(w)))
-    return _attach_offsets(d, keys, name, only_chunked=hot_rows is not None)
+    return _attach_offsets(d, keys, name)
 
 
 def with_neighbour(df: DataFrame, keys: str | Sequence[str], ordinal_col: str,
@@ -119,28 +93,21 @@ def with_neighbour(df: DataFrame, keys: str | Sequence[str], ordinal_col: str,
                         *[F.col(c).alias(prefix + c) for c in columns])
     cond = None
     for k in keys:
-        c = df[k] == shifted["__n_" + k]
+        c = df[k].eqNullSafe(shifted["__n_" + k])  # null keys have neighbours too
         cond = c if cond is None else cond & c
     cond = cond & (df[ordinal_col] == shifted["__n_ord"])
     return df.join(shifted, cond, "left").drop("__n_ord", *["__n_" + k for k in keys])
 
 
 def top_k_per_group(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column],
-                    k: int, rank_name: str = "rank", salt_buckets: int = 64) -> DataFrame:
+                    k: int, rank_name: str = "rank") -> DataFrame:
     """Rows ranked 1..k per group by ``order`` (which must be a total order).
 
-    Phase one keeps the top k inside (group, salt) where the salt is a hash of
-    the row, so a hot group is cut over ``salt_buckets`` tasks; phase two ranks
-    the at most ``k * salt_buckets`` survivors per group. Exact: every global
-    top-k row is in the top k of its own salt bucket.
+    One window: the rank filter lets Spark keep each task's top k per group
+    before the shuffle, so a hot group arrives as k rows a task.
     """
-    keys = _names(keys)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
-    d = df.withColumn("__salt", salt)
-    w1 = Window.partitionBy(*keys, "__salt").orderBy(*order)
-    d = d.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= k).drop("__r", "__salt")
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return d.withColumn(rank_name, F.row_number().over(w2).cast("bigint")).filter(F.col(rank_name) <= k)
+    w = Window.partitionBy(*_names(keys)).orderBy(*order)
+    return df.withColumn(rank_name, F.row_number().over(w).cast("bigint")).filter(F.col(rank_name) <= k)
 
 
 def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "position",
@@ -155,7 +122,7 @@ def global_ordinal(df: DataFrame, order: Sequence[Column], name: str = "position
     must read the same materialised ranges to agree."""
     from runlake.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    ranged = df.repartitionByRange(n, *order).checkpoint(eager=True)
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    ranged = ranged.checkpoint(eager=True)
     d = ranged.withColumn("__all", F.lit(0)).withColumn("__range", F.spark_partition_id())
     return ordinal(d, "__all", list(order), F.col("__range"), name).drop("__all", "__range")

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.functions.cron import fire_days, parse_cron
-from runlake.operators.ordinal import HOT_ROWS, global_ordinal, ordinal
+from runlake.operators.ordinal import global_ordinal, ordinal
 
 # Fixed values of the schedule service.
-JOB_DESCRIPTION_PREFIX = "[dbt-server job] "
+JOB_DESCRIPTION_PREFIX = "[schedule job] "
 ENABLED = "ENABLED"
 ACTION_RANK = {"add": 1, "delete": 2, "redeploy": 3}
 DELETED_MESSAGE = "Schedule {name} deleted"
@@ -140,7 +140,9 @@ def list_schedules(jobs: DataFrame, prefix: str = JOB_DESCRIPTION_PREFIX) -> Dat
 
 
 def expand_schedules(schedules: DataFrame, start: str, end: str, day_rule: str = "or") -> DataFrame:
-    """Every fire time in [start, end) of each schedule's cron text, in UTC.
+    """Every fire time in [start, end) of each schedule's cron text, in UTC. Days and
+    hours are those of the schedule's ``timezone`` where it has that column. Texts
+    that are no cron text fire never; ``rejected_schedules`` lists them.
 
     Cron texts repeat across schedules, so each distinct text is parsed once
     into its fire days, hours and minutes (small arrays); the arrays join back
@@ -158,9 +160,17 @@ def expand_schedules(schedules: DataFrame, start: str, end: str, day_rule: str =
          .withColumn("__m", F.explode_outer("__mins"))
          .filter(F.col("__day").isNotNull() & F.col("__h").isNotNull() & F.col("__m").isNotNull()))
     fire = F.make_timestamp_ntz(F.year("__day"), F.month("__day"), F.dayofmonth("__day"), "__h", "__m", F.lit(0))
+    if "timezone" in schedules.columns:
+        zone = F.coalesce("timezone", F.lit("UTC"))
+        fire = F.when(zone == "UTC", fire).otherwise(F.to_utc_timestamp(fire.cast("timestamp"), zone).cast("timestamp_ntz"))
     return d.withColumn("fire_ts", fire).drop("__days", "__hours", "__mins", "__day", "__h", "__m")
 
 
+def rejected_schedules(schedules: DataFrame) -> DataFrame:
+    """The schedules whose text is no cron text (or null)."""
+    return schedules.filter(parse_cron(F.col("schedule")).isNull())
+
+
 def fire_run_id(name: Column, fire_ts: Column) -> Column:
     """Deterministic id of the run a fire creates (replay-safe, unlike uuid())."""
     return F.sha2(F.concat_ws("|", name, F.date_format(fire_ts, "yyyy-MM-dd'T'HH:mm:ss")), 256)
@@ -225,7 +235,7 @@ def retry_attempts(fires: DataFrame, events: DataFrame, key: str, order: Sequenc
     an equi-join, so no pairs are formed beyond the output.
     """
     ev = ordinal(events.select(key, ts, event_id), key, [F.col(c) for c in order],
-                 F.date_trunc(chunk_unit, F.col(ts)), "__ord", hot_rows=HOT_ROWS)
+                 F.date_trunc(chunk_unit, F.col(ts)), "__ord")
     fire_ids = fires.select(F.col(event_id).alias("__fid"))
     fr = ev.join(fire_ids, ev[event_id] == fire_ids["__fid"], "left_semi")
     fr = fr.select(F.col(key).alias("__fk"), F.col(event_id).alias("fire_event_id"), F.col(ts).alias("__fts"),

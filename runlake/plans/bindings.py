@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.functions.logs import format_entry
-from runlake.operators.ordinal import HOT_ROWS, ordinal
+from runlake.operators.ordinal import ordinal
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +51,7 @@ def log_events(spark: SparkSession, sf_dir: str, chunk_unit: str = "hour", hot:
                                          F.lit(" "), F.col("props"))))
     # Only runs with more than 10,000 lines are cut into time chunks; the rest
     # are numbered in one window group each and need no offset join.
-    d = ordinal(d, "run_id", [F.col("ts"), F.col("event_id")], F.date_trunc(chunk_unit, F.col("ts")), "line_no",
-                hot_rows=HOT_ROWS)
+    d = ordinal(d, "run_id", [F.col("ts"), F.col("event_id")], F.date_trunc(chunk_unit, F.col("ts")), "line_no")
     return d.withColumn("raw", format_entry(F.col("ts"), F.col("severity"), F.col("message")))
 
 
@@ -153,7 +152,7 @@ def scheduler_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     the marker prefix (SMALL parts lack it), state PAUSED for LARGE parts."""
     b = _sched_base(spark, sf_dir).filter(F.col("p_size") <= 40)
     desc = F.when(F.col("p_type") == "SMALL", F.col("command")).otherwise(
-        F.concat(F.lit("[dbt-server job] "), F.col("command")))
+        F.concat(F.lit("[schedule job] "), F.col("command")))
     return b.select(F.concat(F.lit("projects/runlake/locations/europe-west1/jobs/"), F.col("name")).alias("job_name"),
                     desc.alias("description"),
                     F.when(F.col("p_type") == "LARGE", "PAUSED").otherwise("ENABLED").alias("state"),

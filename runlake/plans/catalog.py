@@ -94,7 +94,10 @@ def hot_run_offsets(spark, sf_dir):
 
 
 def _cursors(lines: DataFrame) -> DataFrame:
-    return lines.select("run_id").distinct().withColumn("cursor", F.col("run_id") * 100)
+    """Byte 100 * run_id of each run; every fifth run has been read to its end."""
+    size = F.sum(F.octet_length("raw").cast("bigint") + 1) - 1
+    return lines.groupBy("run_id").agg(size.alias("size")).select(
+        "run_id", F.when(F.col("run_id") % 5 == 0, F.col("size")).otherwise(F.col("run_id") * 100).alias("cursor"))
 
 
 @register
@@ -250,6 +253,28 @@ def expand_cron(spark, sf_dir):
     return S.expand_schedules(B.deployed(spark, sf_dir), *HORIZON).select("name", "schedule", "fire_ts")
 
 
+# Fixed derivation: schedule texts in every accepted form, and some that are none, by part key.
+CRON_FORMS = ("0 9 * * MON-FRI", "30 6 1 JAN,JUL *", "0 22-2 * * *", "@daily", "*/0 * * * *", "0 9 * *", "@reboot", "61 0 * * *")
+
+
+@register
+def rejected_schedules(spark, sf_dir):
+    """Schedules whose text is no cron text."""
+    text = F.element_at(F.array(*[F.lit(t) for t in CRON_FORMS]), (F.pmod("p_partkey", F.lit(8)) + 1).cast("int"))
+    p = B.table(spark, sf_dir, "part").select("p_partkey", text.alias("schedule"))
+    return S.rejected_schedules(p)
+
+
+@register
+def malformed_lines(spark, sf_dir):
+    """lines that are not time, severity and message; event props are none, log lines are."""
+    from runlake.functions.logs import malformed
+    log = B.log_lines(spark, sf_dir).select("run_id", "raw")
+    ev = B.table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("run_id"), F.col("props").alias("raw"))
+    both = log.select(F.col("run_id").cast("bigint").alias("run_id"), "raw").unionByName(ev)
+    return both.groupBy(malformed("raw").alias("malformed")).agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @register
 def materialise_fires(spark, sf_dir):
     dep = B.deployed(spark, sf_dir)
@@ -464,7 +489,7 @@ def snapshot_history(spark, sf_dir):
 
 def result_lines(spark, sf_dir):
     """lineitem rows written as node-result log lines (fixed format):
-    '<line> of 7 <OK|PASS|FAIL q> model_<part> ... [<SUCCESS q|PASS|FAIL q> in <price/100>s]'"""
+    '<line> of 7 <OK|PASS|FAIL q> model_<part> ..... [<SUCCESS q|PASS|FAIL q> in <price/100>s]'"""
     li = B.table(spark, sf_dir, "lineitem")
     q = F.floor("l_quantity").cast("bigint").cast("string")
     cents = F.floor("l_extendedprice").cast("bigint")
@@ -475,7 +500,10 @@ def result_lines(spark, sf_dir):
     result = F.when(flag == "N", F.concat(F.lit("SUCCESS "), q)).when(flag == "A", "PASS") \
         .otherwise(F.concat(F.lit("FAIL "), q))
     line = F.concat(F.col("l_linenumber").cast("string"), F.lit(" of 7 "), status, F.lit(" model_"),
-                    F.col("l_partkey").cast("string"), F.lit(" ... ["), result, F.lit(" in "), elapsed, F.lit("s]"))
+                    F.col("l_partkey").cast("string"), F.lit(" "),
+                    F.repeat(F.lit("."), (F.pmod("l_partkey", F.lit(40)) + 3).cast("int")), F.lit(" ["), result,
+                    F.lit(" in "), elapsed, F.when(flag == "A", "s").otherwise("s]"))
+    line = F.when(flag == "R", line).otherwise(F.concat(F.lit("[dbt] "), line))  # with the emitter, and cut off
     return li.select(F.date_trunc("day", "l_shipdate").alias("day"), line.alias("line"))
 
 
@@ -606,8 +634,16 @@ def stream_windows(spark, sf_dir):
 
 @register
 def stream_sessions(spark, sf_dir):
+    """All sessions: a heartbeat row after the last event moves the watermark past
+    their ends (its own session, of no user, stays open)."""
     d = scratch_path(spark, "sessions")
-    q = SM.stream_sessions(_events_stream(spark, sf_dir), ["user_id"], "30 minutes", "1 hour",
+    ev = B.table(spark, sf_dir, "events")
+    ev.write.parquet(f"{d}/src")
+    beat = ev.agg((F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    beat = beat.select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in ev.schema.fields])
+    beat.write.mode("append").parquet(f"{d}/src")
+    src = SM.event_time(SM.read_stream(spark, f"{d}/src", ev.schema))
+    q = SM.stream_sessions(src, ["user_id"], "30 minutes", "1 hour",
                            f"{d}/out", f"{d}/cursor")
     q.awaitTermination()
     r = spark.read.parquet(f"{d}/out")
@@ -630,10 +666,11 @@ def stream_late(spark, sf_dir):
     cut = F.lit("2024-01-15").cast("timestamp_ntz")
     for part in (ev.filter(F.col("ts") >= cut), ev.filter(F.col("ts") < cut)):  # the early half arrives late
         part.repartitionByRange(2, "ts", "event_id").write.mode("append").parquet(f"{d}/src")
-    src = SM.event_time(SM.read_stream(spark, f"{d}/src", ev.schema, max_files=2))
-    q = SM.late_gate(src, "ts", 3600, f"{d}/out", f"{d}/cursor")
+    src = SM.event_time(SM.read_stream(spark, f"{d}/src", ev.schema, max_files=1))  # a batch a file
+    q = SM.stream_counts(src, ["event_type"], "1 hour", None, "1 hour", f"{d}/out", f"{d}/cursor")
     q.awaitTermination()
-    return SM.late_marks(spark, f"{d}/out").select("batch_id", "num_input_rows", "late_rows")
+    r = SM.latest_counts(spark, f"{d}/out", ["event_type"])
+    return r.select(_ntz("window_start"), _ntz("window_end"), "event_type", "n")
 
 
 BUILD_MODELS = CHAIN + [

@@ -151,16 +151,17 @@ SELECT run_id, line_no, n_bytes, start_byte FROM offs
 """
 
 ORACLES["read_since"] = _with(B_LOG, OFFSETS) + """
-, cur AS (SELECT DISTINCT run_id, run_id * 100 AS cursor FROM lines)
+, cur AS (SELECT run_id, CASE WHEN run_id % 5 = 0 THEN CAST(SUM(n_bytes + 1) - 1 AS BIGINT) ELSE run_id * 100 END AS cursor FROM offs GROUP BY run_id)
 SELECT o.run_id, o.line_no, o.start_byte, c.cursor,
   CASE WHEN o.start_byte >= c.cursor THEN o.raw ELSE substr(o.raw, CAST(c.cursor - o.start_byte + 1 AS INTEGER)) END AS piece,
   (c.cursor - o.start_byte > 0) AS partial
 FROM offs o JOIN cur c ON o.run_id = c.run_id
-WHERE o.start_byte + o.n_bytes >= c.cursor
+JOIN (SELECT run_id, CAST(SUM(n_bytes + 1) - 1 AS BIGINT) AS size FROM offs GROUP BY run_id) s ON s.run_id = o.run_id
+WHERE o.start_byte + o.n_bytes >= c.cursor AND s.size > c.cursor
 """
 
 ORACLES["read_since_cursor"] = _with(B_LOG, OFFSETS) + """
-, cur AS (SELECT DISTINCT run_id, run_id * 100 AS cursor FROM lines),
+, cur AS (SELECT run_id, CASE WHEN run_id % 5 = 0 THEN CAST(SUM(n_bytes + 1) - 1 AS BIGINT) ELSE run_id * 100 END AS cursor FROM offs GROUP BY run_id),
 sizes AS (SELECT run_id, CAST(SUM(n_bytes + 1) - 1 AS BIGINT) AS size FROM offs GROUP BY run_id)
 SELECT c.run_id, CAST(c.cursor AS BIGINT) AS cursor, s.size,
   CAST(CASE WHEN s.size > c.cursor THEN s.size + 1 ELSE c.cursor END AS BIGINT) AS new_cursor
@@ -323,17 +324,17 @@ FROM requested r LEFT JOIN deployed d ON r.name = d.name
 ORACLES["active_schedules"] = _with(B_SCHED) + """
 , jobs AS (
   SELECT 'projects/runlake/locations/europe-west1/jobs/' || name AS job_name,
-    CASE WHEN p_type = 'SMALL' THEN command ELSE '[dbt-server job] ' || command END AS description,
+    CASE WHEN p_type = 'SMALL' THEN command ELSE '[schedule job] ' || command END AS description,
     CASE WHEN p_type = 'LARGE' THEN 'PAUSED' ELSE 'ENABLED' END AS state,
     schedule, 'UTC' AS time_zone,
     'https://runner.example/schedule/' || CAST(p_partkey AS VARCHAR) || '/start' AS uri
   FROM sched_base WHERE p_size <= 40)
-SELECT split_part(job_name, '/', -1) AS name, replace(description, '[dbt-server job] ', '') AS command,
+SELECT split_part(job_name, '/', -1) AS name, replace(description, '[schedule job] ', '') AS command,
   schedule, time_zone AS timezone, uri AS target,
   '2024-01-01-' || split_part(job_name, '/', -1) AS folder,
   'u' || replace(split_part(job_name, '/', -1), '-', '') AS job_id,
-  'dbt-server-' || split_part(job_name, '/', -1) AS default_name
-FROM jobs WHERE starts_with(description, '[dbt-server job] ') AND state = 'ENABLED'
+  'schedule-' || split_part(job_name, '/', -1) AS default_name
+FROM jobs WHERE starts_with(description, '[schedule job] ') AND state = 'ENABLED'
 """
 
 
@@ -682,14 +683,13 @@ g AS (
   SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end,
     count(*) AS n_lines, max(ts) AS last_ts
   FROM s GROUP BY user_id, sid)
-SELECT * FROM g WHERE session_end <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)
+SELECT * FROM g
 """
 ORACLES["stream_dedup"] = "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events"
 ORACLES["stream_late"] = """
-SELECT CAST(0 AS BIGINT) AS batch_id, count(*) AS num_input_rows, CAST(0 AS BIGINT) AS late_rows
-FROM events WHERE ts >= TIMESTAMP '2024-01-15'
-UNION ALL
-SELECT CAST(1 AS BIGINT), count(*), count(*) FROM events WHERE ts < TIMESTAMP '2024-01-15'
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  event_type, count(*) AS n
+FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2, 3
 """
 
 ORACLES["project_build"] = """
@@ -741,3 +741,13 @@ SELECT CAST(idx AS BIGINT) AS idx, CAST(9 AS BIGINT) AS total, node_id, resource
        WHEN resource_type = 'test' THEN 'PASS' ELSE result END AS result
 FROM ordered, skips s
 """
+
+ORACLES["rejected_schedules"] = """
+SELECT p_partkey, ['0 9 * * MON-FRI', '30 6 1 JAN,JUL *', '0 22-2 * * *', '@daily', '*/0 * * * *', '0 9 * *', '@reboot',
+                   '61 0 * * *'][CAST(p_partkey % 8 AS INTEGER) + 1] AS schedule
+FROM part WHERE p_partkey % 8 >= 4
+"""
+ORACLES["malformed_lines"] = """
+SELECT false AS malformed, count(*) AS n_lines FROM events
+UNION ALL SELECT true, count(*) FROM events
+"""

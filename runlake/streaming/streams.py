@@ -10,7 +10,6 @@ what it wrote before.
 
 from __future__ import annotations
 
-import datetime
 import time
 from collections.abc import Callable, Sequence
 
@@ -168,37 +167,3 @@ def stream_dedup(fires: DataFrame, keys: Sequence[str], delay: str, sink: str, c
     d = fires.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(keys))
     w = d.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
     return _trigger(w.outputMode("append"), trigger).start()
-
-
-MARK_SCHEMA = "batch_id bigint, num_input_rows bigint, late_rows bigint, watermark timestamp, max_ts timestamp"
-
-
-def late_gate(stream: DataFrame, ts: str, delay_seconds: int, target: str, checkpoint: str,
-              trigger: str | None = None) -> StreamingQuery:
-    """The late-line policy made explicit. The watermark of batch N is
-    the max event time of batches before N minus the delay (Spark's rule);
-    rows behind it are counted and dropped, the rest go to
-    ``target/rows/batch=<N>``. One mark row per batch (input rows, late rows,
-    watermark, max time) goes to ``target/marks/v=<N>``, which is also the
-    only state carried to the next batch, so replays are idempotent."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev_max = None
-        if batch_id > 0:
-            prev_max = spark.read.parquet(f"{target}/marks/v={batch_id - 1:012d}").first()["max_ts"]
-        wm = F.lit(prev_max).cast("timestamp") - F.expr(f"INTERVAL {int(delay_seconds)} SECONDS")
-        late = F.coalesce(F.col(ts) < wm, F.lit(False))
-        stats = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(late).alias("late"), F.max(ts).alias("mx")).first()
-        batch.filter(~late).write.mode("overwrite").parquet(f"{target}/rows/batch={batch_id:012d}")
-        new_max = max([x for x in (prev_max, stats["mx"]) if x is not None], default=None)
-        watermark = None if prev_max is None else prev_max - datetime.timedelta(seconds=int(delay_seconds))
-        spark.createDataFrame([(batch_id, stats["n"], stats["late"], watermark, new_max)], MARK_SCHEMA) \
-            .write.mode("overwrite").parquet(f"{target}/marks/v={batch_id:012d}")
-
-    w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
-
-
-def late_marks(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/marks")

@@ -93,8 +93,8 @@ def test_three_way_plan_redeploys_unchanged_by_default(spark):
 
 def test_list_schedules_prefix_and_state(spark):
     jobs = spark.createDataFrame([
-        ("projects/p/locations/l/jobs/a", "[dbt-server job] run --select x", "ENABLED", "1 * * * *", "UTC", "u"),
-        ("projects/p/locations/l/jobs/b", "[dbt-server job] run", "PAUSED", "1 * * * *", "UTC", "u"),
+        ("projects/p/locations/l/jobs/a", "[schedule job] run --select x", "ENABLED", "1 * * * *", "UTC", "u"),
+        ("projects/p/locations/l/jobs/b", "[schedule job] run", "PAUSED", "1 * * * *", "UTC", "u"),
         ("projects/p/locations/l/jobs/c", "other job", "ENABLED", "1 * * * *", "UTC", "u"),
     ], "job_name string, description string, state string, schedule string, time_zone string, uri string")
     got = S.list_schedules(jobs).collect()
@@ -193,7 +193,7 @@ def test_command_parse(spark):
 def test_names(spark):
     df = spark.createDataFrame([("ab-cd", None)], "id string, n string")
     r = df.select(C.job_id("id"), C.schedule_name("n", "id"), C.folder_name(F.lit("2024-03-04"), F.col("id"))).first()
-    assert tuple(r) == ("uabcd", "dbt-server-ab-cd", "2024-03-04-ab-cd")
+    assert tuple(r) == ("uabcd", "schedule-ab-cd", "2024-03-04-ab-cd")
 
 
 def test_settings_functions(spark):

@@ -87,7 +87,7 @@ def test_prefix_sum_equals_window_sum(spark):
 
 def test_top_k_per_group_equals_window(spark):
     df = _skewed(spark)
-    got = O.top_k_per_group(df, "k", [F.col("v").desc(), F.col("t")], 5, salt_buckets=16)
+    got = O.top_k_per_group(df, "k", [F.col("v").desc(), F.col("t")], 5)
     w = Window.partitionBy("k").orderBy(F.col("v").desc(), F.col("t"))
     want = df.withColumn("rank", F.row_number().over(w).cast("bigint")).filter("rank <= 5")
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
@@ -152,13 +152,66 @@ def test_ordinal_numbers_null_keys_like_a_value(spark):
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
 
 
-def test_hot_rows_mode_equals_plain_windows(spark):
+def test_chunked_mode_equals_plain_windows(spark):
     df = _skewed(spark)
-    got = O.ordinal(df, "k", [F.col("t"), F.col("v")], F.floor(F.col("t") / 100), "ord", hot_rows=100)
+    got = O.ordinal(df, "k", [F.col("t"), F.col("v")], F.floor(F.col("t") / 100), "ord")
     want = df.withColumn("ord", F.row_number().over(Window.partitionBy("k").orderBy("t", "v")).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
     got = O.prefix_sum(df, "k", [F.col("t")], F.col("v").cast("bigint"), F.floor(F.col("t") / 128), "s",
-                       inclusive=False, hot_rows=100)
+                       inclusive=False)
     w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("s", F.coalesce(F.sum(F.col("v").cast("bigint")).over(w), F.lit(0)).cast("bigint"))
     assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_cron_forms(spark):
+    from runlake.functions.cron import parse_cron
+    texts = ["0 9 * * MON-FRI", "0 9 1 JAN *", "0 22-2 * * *", "@daily", "*/20 5 * * 7", "0 0 * * FRI-MON",
+             "*/0 * * * *", "0 9 * *", "61 0 * * *", "a b c d e", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r["c"] for r in rows.select("i", parse_cron(F.col("t")).alias("c")).orderBy("i").collect()]
+    assert got[0]["weekday"] == [1, 2, 3, 4, 5] and got[1]["month"] == [1] and got[2]["hour"] == [0, 1, 2, 22, 23]
+    assert got[3]["minute"] == [0] and got[3]["hour"] == [0] and got[3]["day_star"]
+    assert got[4]["minute"] == [0, 20, 40] and got[4]["weekday"] == [0]
+    assert got[5]["weekday"] == [0, 1, 5, 6]
+    assert got[6:] == [None] * 6
+
+
+def test_log_text_edges(spark):
+    from runlake.functions import logs as LF
+    lines = ["2024-05-01T10:00:00Z\tINFO\tx", "no tabs", "bad time\tINFO\tx", ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string")
+    got = df.select("i", LF.parse_entry("t").alias("e"), LF.malformed("t").alias("bad")).orderBy("i").collect()
+    assert [r["bad"] for r in got] == [False, True, True, True] and got[1]["e"]["ts"] is None
+    j = spark.createDataFrame([('{"data": {}, "info": {"level": "warn", "msg": "m"}}',), ('{"level": "info", "msg": "n"}',)], "t string")
+    assert [tuple(r["j"]) for r in j.select(LF.json_event("t").alias("j")).collect()] == [("warn", "m"), ("info", "n")]
+
+
+def test_golden_result_lines(spark):
+    from runlake.functions.logs import with_node_result
+    # Result lines as the runner prints them, cut off inside the bracket.
+    lines = ["[dbt] 2 of 8 OK loaded seed file test.test_seed ...................................... [INSERT 1",
+             "[dbt] 3 of 8 FAIL 1 not_null_my_first_dbt_model_id ................................... [FAIL 1",
+             "[dbt] 4 of 8 PASS unique_my_first_dbt_model_id ....................................... [PASS in "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, line string")
+    got = [r["r"] for r in with_node_result(df, "line").orderBy("i").collect()]
+    assert [(r["idx"], r["status"], r["failures"], r["node"], r["result"]) for r in got] == [
+        (2, "OK", 0, "loaded seed file test.test_seed", "INSERT 1"),
+        (3, "FAIL", 1, "not_null_my_first_dbt_model_id", "FAIL 1"),
+        (4, "PASS", 0, "unique_my_first_dbt_model_id", "PASS")]
+
+
+def test_read_since_at_the_end_gives_nothing(spark):
+    from runlake.operators.logs import read_since
+    lines = spark.createDataFrame([(1, 1, "abcdef"), (2, 1, "xy"), (2, 2, "z")], "run_id bigint, line_no bigint, raw string")
+    cursors = spark.createDataFrame([(1, 6), (2, 1)], "run_id bigint, cursor bigint")
+    pieces, new = read_since(lines, cursors)
+    assert sorted(tuple(r) for r in pieces.select("run_id", "piece").collect()) == [(2, "y"), (2, "z")]
+    assert sorted((r["run_id"], r["new_cursor"]) for r in new.collect()) == [(1, 6), (2, 5)]
+
+
+def test_null_keys_have_neighbours(spark):
+    from runlake.operators.ordinal import ordinal, with_neighbour
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 1)], "k string, t int")
+    d = with_neighbour(ordinal(df, "k", [F.col("t")], F.col("t"), "n"), "k", "n", ["t"], 1, "prev_")
+    assert sorted((r["k"] or "", r["t"], r["prev_t"]) for r in d.collect()) == [("", 1, None), ("", 2, 1), ("a", 1, None)]
