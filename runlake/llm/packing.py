@@ -125,6 +125,14 @@ class Runs:
 
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
+    """The plan with the fewest sequences among those of ``groups`` groups, of a quarter
+    as many, and of none (rounding pays where large pieces are the better part, and
+    costs where there are too few small ones to fill what it leaves)."""
+    tried = [grouped_plan(counts, capacity, g) for g in (groups, max(groups // 4, 1), 0)]
+    return min(tried, key=lambda t: t[1])
+
+
+def grouped_plan(counts: np.ndarray, capacity: int, groups: int) -> tuple[np.ndarray, int]:
     """Runs (length, first rank, first sequence, per sequence, offset) for the
     histogram ``counts`` (index: length), and the number of sequences."""
     left, runs = counts.astype(np.int64).copy(), Runs(capacity)
@@ -134,7 +142,7 @@ def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
         left[capacity] = 0
     large = np.arange(capacity // LARGE_SHARE + 1, capacity)
     total = int(left[large].sum())
-    if total:
+    if total and groups:
         cumulative = np.cumsum(left[large])
         # group g: ranks [edges[g], edges[g + 1]) of the large pieces by length
         edges = np.unique((np.arange(groups + 1) * total) // groups)
