@@ -21,9 +21,9 @@ when 4 * intersection >= 3 * union, that is when their sets differ in at most
   sets) is joined by single shingles, |r| / 4 + 1 of them.
 * Groups of near copies: keys first offer their members one leader (the most central
   class, then one that differs by key); linked members unite, and only pairs of
-  different components are candidates after that. Members of one group know their
-  difference from the leader they have in common (the pivot), which rules out nearly
-  all pairs that the leader did not unite by counts alone. Every candidate left is
+  different components are candidates after that. Members that share a leader (the
+  pivot) are measured against what most of them hold, which rules out nearly all pairs
+  that the leader did not unite by counts alone. Every candidate left is
   verified, so no link between components is lost.
 * Verification intersects the two whole sets.
 
@@ -278,34 +278,39 @@ def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: Dat
 
 
 def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidates in two components around one pivot L. With more = s \\ L and less = L \\ s,
-    r and s differ in the symmetric differences of their mores and of their lesses. So
-    either they share a shingle that L has not, or |more_r| + |more_s| + ||less_r| - |less_s||
-    must not exceed the largest difference of a link. The second is joined by counts
-    (cells of equal more and less), so members that cannot link are never enumerated."""
-    own = pivot.select(F.col("pivot").alias("cls")).distinct().join(
-        sets.select("cls", F.size("tokens").alias("n")), "cls").select(
-        "cls", F.col("cls").alias("pivot"), "n", F.lit(0).alias("more"), F.lit(0).alias("less"))
+    """Candidates in two components around one pivot. Let L hold the shingles that more than
+    half of the group have, more = s \\ L and less = L \\ s. r and s differ in the symmetric
+    differences of their mores and of their lesses. So either they share a shingle that L
+    has not, or |more_r| + |more_s| + ||less_r| - |less_s|| must not exceed the largest
+    difference of a link. The second is joined by counts (cells of equal more and less), so
+    members that cannot link are never enumerated."""
+    own = pivot.select(F.col("pivot").alias("cls")).distinct().withColumn("pivot", F.col("cls"))
     # a pivot may itself have another pivot: it then stands in both groups
-    group = pivot.unionByName(own).join(members, "cls")
-    mixed = group.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("pivot")
+    group = pivot.select("cls", "pivot").unionByName(own).distinct().join(members, "cls")
+    mixed = group.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h"),
+                                       F.count("*").alias("size")).filter("l <> h").select("pivot", "size")
     group = stored(group.join(mixed, "pivot"), "pivot-groups")
+    held = group.join(sets, "cls").select("pivot", "cls", "label", "size", F.explode("tokens").alias("token"))
+    token = (held.groupBy("pivot", "token").agg(F.count("*").alias("c"), F.first("size").alias("size"),
+                                                F.min("label").alias("l"), F.max("label").alias("h"))
+             .select("pivot", "token", (2 * F.col("c") > F.col("size")).alias("usual"), (F.col("l") != F.col("h")).alias("several")))
+    usual = token.filter("usual").groupBy("pivot").agg(F.count("*").alias("usual"))
+    each = (held.select("pivot", "cls", "label", "token").join(token, ["pivot", "token"]).groupBy("pivot", "cls", "label")
+            .agg(F.count("*").cast("int").alias("n"), F.count_if("usual").cast("int").alias("kept"),
+                 F.collect_list(F.when(F.col("several") & ~F.col("usual"), F.col("token"))).alias("extra"))  # part of the set
+            .join(usual, "pivot", "left"))
+    group = stored(each.select("pivot", "cls", "label", "n", (F.col("n") - F.col("kept")).alias("more"),
+                               (F.coalesce("usual", F.lit(0)) - F.col("kept")).cast("int").alias("less"), "extra"), "pivot-counts")
     cell = ["pivot", "label", "n", "more", "less"]
     side = lambda t, x: t.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in t.columns if c != "pivot"])
-    cells = group.select(*cell).distinct()
+    cells, rows = group.select(*cell).distinct(), group.select(*cell, "cls")
     near = side(cells, "r").join(side(cells, "s"), "pivot").filter(
         "label_r < label_s and 7 * (more_r + more_s + abs(less_r - less_s)) <= n_r + n_s")
-    named = ["pivot", "label", "n", "more", "less"]
-    on = lambda x: ["pivot", *[f"{c}_{x}" for c in named[1:]]]
-    close = near.join(side(group, "r"), on("r")).join(side(group, "s"), on("s")).select(*_pair("cls_r", "cls_s"))
-    extra = (group.filter("more > 0").select("cls", "pivot", "label")
-             .join(sets.select("cls", F.col("tokens").alias("t")), "cls")
-             .join(sets.select(F.col("cls").alias("pivot"), F.col("tokens").alias("tp")), "pivot")
-             .select("cls", "pivot", "label", F.explode(F.array_except("t", "tp")).alias("token")))
-    several = extra.groupBy("pivot", "token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("pivot", "token")
-    extra = stored(extra.join(several, ["pivot", "token"]), "pivot-extras")
-    share = (side(extra.select("pivot", "token", "cls", "label"), "r").withColumnRenamed("token_r", "token")
-             .join(side(extra.select("pivot", "token", "cls", "label"), "s").withColumnRenamed("token_s", "token"), ["pivot", "token"])
+    on = lambda x: ["pivot", *[f"{c}_{x}" for c in cell[1:]]]
+    close = near.join(side(rows, "r"), on("r")).join(side(rows, "s"), on("s")).select(*_pair("cls_r", "cls_s"))
+    extra = group.select("pivot", "cls", "label", F.explode("extra").alias("token"))
+    share = (side(extra, "r").withColumnRenamed("token_r", "token")
+             .join(side(extra, "s").withColumnRenamed("token_s", "token"), ["pivot", "token"])
              .filter("label_r < label_s").select(*_pair("cls_r", "cls_s")))
     return close.unionByName(share).distinct()
 
@@ -364,10 +369,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     led = stored(led.groupBy("cls").agg(F.max(F.struct("k", "lead")).alias("best")).select("cls", F.col("best.lead").alias("pivot")), "led")
     measured = stored(common(led.select(*_pair("cls", "pivot")).distinct(), sets), "measured")
     members = _relabel(members, _between(measured.filter(LINK).select("a", "b"), members))
-    pivot = (led.select("cls", "pivot", *_pair("cls", "pivot")).join(measured, ["a", "b"]).filter("i >= 0.4 * (na + nb - i)")
-             .select("cls", "pivot", F.when(F.col("cls") == F.col("a"), F.col("na")).otherwise(F.col("nb")).alias("n"),
-                     F.when(F.col("cls") == F.col("a"), F.col("nb")).otherwise(F.col("na")).alias("np"), "i"))
-    pivot = stored(pivot.select("cls", "pivot", "n", (F.col("n") - F.col("i")).alias("more"), (F.col("np") - F.col("i")).alias("less")), "pivots")
+    pivot = (led.select("cls", "pivot", *_pair("cls", "pivot")).join(measured, ["a", "b"]).filter("i >= 0.4 * (na + nb - i)"))
+    pivot = stored(pivot.select("cls", "pivot"), "pivots")
     # then a leader that differs by key, for the members whose component is another
     tagged = whole.join(members, "cls")
     mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
