@@ -1,23 +1,25 @@
 """Operator 4: repeated passages by sparse suffix arrays.
 
-Suffixes are kept only where a text's content selects them: at the minimisers, the
-smallest of every ``SPAN`` consecutive hashes of ``GRAM`` words. Two texts that share
-``least`` words select the same place within the first SPAN of them, so from there on
-their suffixes agree in at least ``least - SPAN + 1`` words. Suffixes are ordered by
-a fingerprint of that prefix through Spark's shuffle; equal neighbours are suffixes
-that repeat. An aggregate of the smallest and largest document per prefix finds them,
-so a passage that a third of all texts share still costs one row per task.
-
-Where a suffix repeats in another document, matches are extended: to the left by each
-of up to SPAN - 1 words and to the right up to ``least``. The extended windows are
-compared the same way, and a document's matching windows run together into its
-maximal repeated spans.
+Suffixes are kept only where a text's content selects them: each window of ``least``
+words selects its minimiser, the smallest of its first ``SPAN`` hashes of ``GRAM``
+words. Equal windows select the same place, so their suffixes from there on agree in at
+least ``least - SPAN + 1`` words.
+
+* Order and neighbours: suffixes are dealt by a fingerprint of that prefix to buckets in
+  packed blocks, sorted there and compared with their neighbours. The answer goes back to
+  the chunk of rows that asked. A prefix of several rows in one slice of a task is known
+  to repeat: it is told once a slice, so a passage of a third of all texts stays small.
+* Extension: a run of windows that select the same suffix is a block, all that the suffix
+  can extend to, left and right. Blocks that repeat whole are hits as they are. Only those
+  that do not (the ends of passages) compare their single windows, with each other and
+  with one block of each repeated kind. A row's hits run together into maximal spans.
 
 Edge cases: words are cut at ASCII white space after lower-casing A-Z; null, empty and
 short texts have no passage; passages that repeat only inside one document row do not
-count, rows that repeat whole do; a null document id is kept as null; spans carry the
-smallest other document id that holds a part of them (null if it has none); an empty
-table gives no rows; other columns are not read.
+count, rows that repeat whole do; a null document id is kept as null; a span carries the
+document id of another row that holds a part of it (null if that row has none); an empty
+table gives no rows; other columns are not read. Prefixes, blocks, windows and rows are
+told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlake.llm.common import ROW_ID, identified, raw, slices, stored
 from runlake.llm.jaccard import mix
 
-LEAST, SPAN, GRAM = 50, 16, 8
+LEAST, SPAN, GRAM = 50, 30, 8
+#: Rows of a file that get their answers together.
+CHUNK = 16
+BUCKET_BYTES = 100 << 20
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15 | 1)
 INVERSE = _U(pow(int(BASE), -1, 1 << 64))
@@ -48,54 +54,123 @@ class Text:
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers)])
         self.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(self.n, INVERSE))])
 
-    def prints(self, starts: np.ndarray, size: int) -> np.ndarray:
-        """Fingerprints of the ``size`` words from each start: position does not matter."""
-        return mix((self.sums[starts + size] - self.sums[starts]) * self.down[starts] + _U(size))
+    def prints(self, starts: np.ndarray, size) -> np.ndarray:
+        """Fingerprints of ``size`` words from each start: position does not matter."""
+        return mix((self.sums[starts + size] - self.sums[starts]) * self.down[starts] + np.asarray(size).astype(np.uint64))
 
-    def minimisers(self) -> np.ndarray:
-        g = self.prints(np.arange(max(self.n - GRAM + 1, 0)), GRAM)
-        if len(g) < SPAN:
-            return np.zeros(0, np.int64)
-        view = np.lib.stride_tricks.sliding_window_view(g, SPAN)
-        return np.unique(np.arange(len(view)) + view.argmin(axis=1))
+    def blocks(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs of windows that select one suffix: first window, number of windows, suffix."""
+        if self.n < least:
+            return (np.zeros(0, np.int64),) * 3
+        g = self.prints(np.arange(self.n - GRAM + 1), GRAM)
+        view = np.lib.stride_tricks.sliding_window_view(g, SPAN)[:self.n - least + 1]
+        at = np.arange(len(view)) + view.argmin(axis=1)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        return first, np.diff(np.append(first, len(at))), at[first]
 
 
-def _out(batch, rows, columns, names):
-    take = pa.array(np.array(rows, np.int64))
-    return pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), *columns],
-                                      [*ROW_ID, "doc_id", *names])
+def _packed_marks(marks: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """Binary values: the marks from each cut to the next."""
+    ends = (np.append(cut, len(marks)) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(ends), pa.py_buffer(marks.astype("<u8").tobytes())])
 
 
-def _suffixes(batches, prefix: int):
-    """(row, prefix fingerprint) of the sparse suffixes, each once a row."""
-    for batch in slices(batches, "text"):
-        rows, marks = [], []
-        for i, t in enumerate(raw(batch.column(3))):
-            text = Text(t)
-            at = text.minimisers()
-            marks.append(np.unique(text.prints(at[at + prefix <= text.n], prefix)))
-            rows.append(np.full(len(marks[-1]), i))
-        take = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        yield _out(batch, take, [pa.array(np.concatenate(marks).view(np.int64))], ["mark"])
+ASKED = "bucket bigint, rid_file bigint, chunk bigint, marks binary"
+NAMES = ["bucket", "rid_file", "chunk", "marks"]
 
 
-def _windows(batches, prefix: int, least: int):
-    """(row, start, window fingerprint) of the extensions of a row's repeated suffixes."""
-    for batch in slices(batches, "text"):
-        rows, starts, marks = [], [], []
-        known = batch.column(4).to_pylist()
+def _suffixes(batches, least: int, buckets: int):
+    """Blocks of prefix fingerprints for each bucket: of a chunk's rows; with a null chunk
+    those known to repeat; and, in buckets below 0, what a chunk already knows."""
+    prefix = least - SPAN + 1
+    for batch in slices(batches, "text", 8 << 20):
+        marks, rows = [], []
         for i, t in enumerate(raw(batch.column(3))):
             text = Text(t)
-            at = text.minimisers()
-            at = at[at + prefix <= text.n]
-            hit = at[np.isin(text.prints(at, prefix).view(np.int64), np.array(known[i], np.int64))]
-            begin = np.unique((hit[:, None] - np.arange(SPAN)).ravel())
-            begin = begin[(begin >= 0) & (begin + least <= text.n)]
-            rows.append(np.full(len(begin), i))
-            starts.append(begin)
-            marks.append(text.prints(begin, least))
-        take = np.concatenate(rows)
-        yield _out(batch, take, [pa.array(np.concatenate(starts)), pa.array(np.concatenate(marks).view(np.int64))], ["start", "mark"])
+            marks.append(np.unique(text.prints(text.blocks(least)[2], prefix)))
+            rows.append(np.full(len(marks[-1]), i))
+        mark, row = np.concatenate(marks), np.concatenate(rows)
+        file, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy() // CHUNK
+        part = np.cumsum(np.concatenate([[False], (file[1:] != file[:-1]) | (chunk[1:] != chunk[:-1])]))
+        lead = np.searchsorted(part, np.arange(part[-1] + 1))  # a row of each part
+        _, inverse, width = np.unique(mark, return_inverse=True, return_counts=True)
+        known = width[inverse] > 1
+        bucket = (mark % _U(buckets)).astype(np.int64)
+        where = np.where(known, -1 - part[row] % buckets, bucket)
+        told = np.unique(mark[known])
+        home = (told % _U(buckets)).astype(np.int64)
+        order = np.lexsort((mark, where, part[row]))
+        m, w, p = mark[order], where[order], part[row][order]
+        fresh = np.ones(len(m), bool)
+        fresh[1:] = (m[1:] != m[:-1]) | (w[1:] != w[:-1]) | (p[1:] != p[:-1])
+        m, w, p = m[fresh], w[fresh], p[fresh]
+        cut = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (p[1:] != p[:-1])])) if len(m) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(w[cut]), pa.array(file[lead[p[cut]]]), pa.array(chunk[lead[p[cut]]]),
+                                          _packed_marks(m, cut)], NAMES)
+        order = np.argsort(home, kind="stable")
+        told, home = told[order], home[order]
+        cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])) if len(home) else np.zeros(0, np.int64)
+        none = pa.nulls(len(cut), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(home[cut]), none, none, _packed_marks(told, cut)], NAMES)
+
+
+def _neighbours(table: pa.Table) -> pa.Table:
+    """Of a bucket: the fingerprints of each chunk that another row has too."""
+    if table.num_rows and table.column("bucket")[0].as_py() < 0:
+        return table.select(NAMES[1:])
+    parts = [np.frombuffer(b, "<u8") for b in table.column("marks").to_pylist()]
+    mark = np.concatenate([np.zeros(0, np.uint64), *parts])
+    owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    told = np.asarray(table.column("chunk").is_null())[owner]
+    order = np.argsort(mark, kind="stable")
+    m, told, owner = mark[order], told[order], owner[order]
+    edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]])) if len(m) else np.zeros(0, np.int64)
+    # an entry of a chunk is one row; one that is told stands for several
+    total = np.add.reduceat(1 + told, edge) if len(m) else np.zeros(0, np.int64)
+    keep = np.flatnonzero((np.repeat(total, np.diff(np.append(edge, len(m)))) > 1) & ~told)
+    keep = keep[np.argsort(owner[keep], kind="stable")]
+    m, owner = m[keep], owner[keep]
+    cut = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(m) else np.zeros(0, np.int64)
+    kept = table.select(["rid_file", "chunk"]).take(pa.array(owner[cut]))
+    return kept.append_column("marks", _packed_marks(m, cut))
+
+
+def _squeezed(batches):
+    """Rows with their texts compressed, as these pass through the shuffle."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2),
+                                          pa.array([squeeze(t) for t in raw(batch.column(3))], pa.binary())],
+                                         [*ROW_ID, "doc_id", "text"])
+
+
+BLOCKS = "rid_file bigint, rid_row bigint, doc_id bigint, first bigint, windows bigint, block bigint, prints array<bigint>"
+
+
+def _blocks(batches, least: int):
+    """The blocks of a row's repeated suffixes, with the fingerprints of their windows."""
+    prefix, expand = least - SPAN + 1, zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "text", 1 << 20):
+        rows, starts, counts, whole, each = [], [], [], [], [np.zeros(0, np.uint64)]
+        for i in range(batch.num_rows):
+            text = Text(expand(batch.column(3)[i].as_py()))
+            first, count, at = text.blocks(least)
+            known = np.concatenate([np.frombuffer(b, "<u8") for b in batch.column(4)[i].as_py()])
+            hit = np.isin(text.prints(at, prefix), known)
+            first, count = first[hit], count[hit]
+            rows.append(np.full(len(first), i))
+            starts.append(first)
+            counts.append(count)
+            whole.append(text.prints(first, count + least - 1))
+            each.append(text.prints(np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum()), least))
+        count = np.concatenate(counts)
+        take = pa.array(np.concatenate(rows))
+        ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i).take(take) for i in range(3)), pa.array(np.concatenate(starts)), pa.array(count),
+             pa.array(np.concatenate(whole).view(np.int64)),
+             pa.ListArray.from_arrays(ends, pa.array(np.concatenate(each).view(np.int64)))],
+            [*ROW_ID, "doc_id", "first", "windows", "block", "prints"])
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,25 +178,41 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id
     last_word (exclusive), other_doc_id."""
     if least < SPAN + GRAM:
         raise ValueError("passages must be longer than a selection window")
-    prefix = least - SPAN + 1
     rows = identified(docs, id_col, text_col)
     rows = rows.select(*ROW_ID, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    kept = "rid_file bigint, rid_row bigint, doc_id bigint"
-    rid = F.struct(*ROW_ID)
-    suffixes = rows.mapInArrow(lambda b: _suffixes(b, prefix), f"{kept}, mark bigint")
-    # neighbours in suffix order: two different rows under one prefix
-    ends = [F.min(rid).alias("lo"), F.max(rid).alias("hi")]
-    repeated = stored(suffixes.groupBy("mark").agg(*ends).filter("lo <> hi").select("mark"), "repeated-suffixes")
-    found = suffixes.join(repeated, "mark").groupBy(*ROW_ID).agg(F.collect_list("mark").alias("marks"))  # bounded by the text
-    windows = stored(rows.join(found, [*ROW_ID]).select(*ROW_ID, "doc_id", "text", "marks")
-                     .mapInArrow(lambda b: _windows(b, prefix, least), f"{kept}, start bigint, mark bigint"), "extended-windows")
-    # the two smallest distinct ids under a window, so that each row can name another
-    one = windows.groupBy("mark").agg(*ends, F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).filter("lo <> hi")
-    hits = windows.join(one.select("mark", "d1", "d2"), "mark").select(
-        *ROW_ID, "doc_id", "start", F.when(F.col("d1") != F.col("doc_id"), F.col("d1")).otherwise(F.col("d2")).alias("other"))
-    by_row = Window.partitionBy(*ROW_ID).orderBy("start")
-    fresh = (F.col("start") > F.lag("start").over(by_row) + least).cast("int")
-    numbered = hits.withColumn("fresh", F.coalesce(fresh, F.lit(1))).withColumn("span", F.sum("fresh").over(by_row))
-    return (numbered.groupBy(*ROW_ID, "doc_id", "span")
-            .agg(F.min("start").alias("first_word"), (F.max("start") + least).alias("last_word"), F.min("other").alias("other_doc_id"))
-            .drop("span"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = int(max(64, size // BUCKET_BYTES))
+    asked = rows.mapInArrow(lambda b: _suffixes(b, least, buckets), ASKED)
+    found = stored(asked.groupBy("bucket").applyInArrow(_neighbours, "rid_file bigint, chunk bigint, marks binary"), "repeated-suffixes")
+    found = found.groupBy("rid_file", "chunk").agg(F.collect_list("marks").alias("marks"))  # bounded by the texts of a chunk
+    squeezed = (rows.mapInArrow(_squeezed, "rid_file bigint, rid_row bigint, doc_id bigint, text binary")
+                .withColumn("chunk", F.floor(F.col("rid_row") / CHUNK)))
+    blocks = stored(squeezed.join(found, ["rid_file", "chunk"]).select(*ROW_ID, "doc_id", "text", "marks")
+                    .mapInArrow(lambda b: _blocks(b, least), BLOCKS), "blocks").withColumn("row", F.xxhash64(*ROW_ID))
+
+    place = [*ROW_ID, "doc_id", "first", "last", "other"]
+    other = F.when(F.col("lo") != F.col("row"), F.col("lo")).otherwise(F.col("hi")).alias("other")
+    twice = stored(blocks.groupBy("block").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi"), "repeated-blocks")
+    # whole blocks are hits; windows are left to the others, and to one block of each kind
+    compared = stored(blocks.join(twice, "block", "left").select(
+        *ROW_ID, "doc_id", "row", "first", "windows", "lo", "hi",
+        F.when(F.col("lo").isNull() | (F.col("row") == F.col("lo")), F.col("prints")).alias("prints")), "compared-blocks")
+    whole = compared.filter("lo is not null").select(
+        *ROW_ID, "doc_id", "first", (F.col("first") + F.col("windows") - 1).alias("last"), other)
+    windows = compared.filter("prints is not null").select(
+        *ROW_ID, "doc_id", "row", "first", "lo", "hi", F.posexplode("prints").alias("nth", "mark"))
+    pairs = stored(windows.groupBy("mark").agg(F.min(F.coalesce("lo", "row")).alias("lo"), F.max(F.coalesce("hi", "row")).alias("hi"),
+                                               F.max(F.col("lo").isNull()).alias("open"))
+                   .filter("open and lo <> hi").drop("open"), "repeated-windows")
+    single = (windows.filter("lo is null").drop("lo", "hi").join(pairs, "mark")
+              .select(*ROW_ID, "doc_id", (F.col("first") + F.col("nth")).alias("first"), other)
+              .withColumn("last", F.col("first")))
+    hits = whole.select(*place).unionByName(single.select(*place))
+    by_row = Window.partitionBy(*ROW_ID).orderBy("first", "last")
+    before = F.max("last").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.coalesce((F.col("first") > before + least).cast("int"), F.lit(1))
+    spans = (hits.withColumn("fresh", fresh).withColumn("span", F.sum("fresh").over(by_row))
+             .groupBy(*ROW_ID, "doc_id", "span")
+             .agg(F.min("first").alias("first_word"), (F.max("last") + least).alias("last_word"), F.min("other").alias("other")))
+    named = rows.select(F.xxhash64(*ROW_ID).alias("other"), F.col("doc_id").alias("other_doc_id"))
+    return spans.join(named, "other", "left").drop("other", "span")

@@ -305,9 +305,8 @@ def test_secret_ledger(spark, tmp_path, empty):
     assert scan_secrets(empty).count() == 0
 
 
-def test_repeated_passages(docs, empty):
-    from runlake.llm.repeats import repeated_passages
-    rows = _rows(docs)
+def _passages(rows):
+    """Maximal runs of 50-word windows that another row holds too, by brute force."""
     seen = {}
     for i, (_, t) in enumerate(rows):
         w = _lower(t).split()
@@ -323,11 +322,39 @@ def test_repeated_passages(docs, empty):
                 else:
                     spans.append([k, k + 50])
         want += [(str(d), *s) for s in spans]
+    return sorted(want)
+
+
+def test_repeated_passages(docs, empty):
+    from runlake.llm.repeats import repeated_passages
     got = [(str(r["doc_id"]), r["first_word"], r["last_word"]) for r in repeated_passages(docs).collect()]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == _passages(_rows(docs))
     assert repeated_passages(empty).count() == 0
 
 
+def test_repeated_passages_that_end_inside_others(spark):
+    """Windows that are shared only in part of what two other rows share whole."""
+    from runlake.llm.repeats import repeated_passages
+    r = np.random.default_rng(11)
+    prose = lambda n: [f"w{x}" for x in r.integers(0, 3000, n)]
+    base = prose(900)
+    rows = [base, [*prose(7), *base, *prose(30)]]
+    for i in range(60):
+        a = int(r.integers(0, 840))
+        rows.append([*prose(int(r.integers(0, 40))), *base[a:a + int(r.integers(45, 120))], *prose(int(r.integers(0, 40)))])
+    for i in range(10):
+        w = list(base)
+        for j in r.integers(0, 900, 4 * i):
+            w[j] = f"e{i}x{j}"
+        rows.append([*w, *w[100:180]])  # repeats inside one row
+    alone = prose(200)
+    rows.append([*alone, *alone])
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(x["doc_id"]), x["first_word"], x["last_word"]) for x in found) == _passages(rows)
+    assert all(x["other_doc_id"] != x["doc_id"] for x in found)
+
+
 def test_warc_audit(spark, tmp_path):
     from runlake.llm.common import stored
     from runlake.llm.warc import audit, copy_files, read_records, record_table, write_warc
