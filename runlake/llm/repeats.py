@@ -63,8 +63,12 @@ class Text:
         if self.n < least:
             return (np.zeros(0, np.int64),) * 3
         g = self.prints(np.arange(self.n - GRAM + 1), GRAM)
-        view = np.lib.stride_tricks.sliding_window_view(g, SPAN)[:self.n - least + 1]
-        at = np.arange(len(view)) + view.argmin(axis=1)
+        at, width = np.arange(len(g)), 1
+        while width < SPAN:  # the leftmost smallest of each ``width`` hashes, widths doubling up to SPAN
+            step = min(width, SPAN - width)
+            left, right = at[:len(at) - step], at[step:]
+            at, width = np.where(g[left] <= g[right], left, right), width + step
+        at = at[:self.n - least + 1]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         return first, np.diff(np.append(first, len(at))), at[first]
 
