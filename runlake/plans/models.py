@@ -14,6 +14,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,7 +110,9 @@ RESULTS_SCHEMA = ("idx bigint, total bigint, node_id string, resource_type strin
 def build(spark: SparkSession, project: Project, root: str, select: list[str] | None = None) -> DataFrame:
     """Build seeds, models and checks in dependency order; returns the result
     table (idx, total, node_id, resource_type, status, failures, rows, result,
-    elapsed). ``select``: node names to build (None = all)."""
+    elapsed). A node that cannot be built has the status ERROR and the first line of
+    its error as result; its descendants are skipped. ``select``: node names to build
+    (None = all)."""
     seeds = load_seeds(spark, project.seeds_dir) if project.seeds_dir else {}
     nodes, edges = project_graph(spark, project, sorted(seeds))
     levels = G.dag_levels(nodes, edges)
@@ -127,31 +130,34 @@ def build(spark: SparkSession, project: Project, root: str, select: list[str] |
     for idx, (node_id, rtype, name) in enumerate(order, start=1):
         t0 = time.time()
         failures, rows, status, result = 0, None, "OK", ""
-        if node_id in skip:
-            status, result = "SKIP", "SKIP"
-        elif rtype == "seed":
-            df = materialise(spark, name, seeds[name], "table", root)
-            rows = df.count()
-            result = f"INSERT {rows}"
-        elif rtype == "model":
-            m = models[name]
-            how = model_config(m, project)
-            df = materialise(spark, name, spark.sql(m.sql), how, root)
-            if how == "table":
+        try:
+            if node_id in skip:
+                status, result = "SKIP", "SKIP"
+            elif rtype == "seed":
+                df = materialise(spark, name, seeds[name], "table", root)
                 rows = df.count()
-                result = f"SELECT {rows}"
+                result = f"INSERT {rows}"
+            elif rtype == "model":
+                m = models[name]
+                how = model_config(m, project)
+                df = materialise(spark, name, spark.sql(m.sql), how, root)
+                if how == "table":
+                    rows = df.count()
+                    result = f"SELECT {rows}"
+                else:
+                    result = "CREATE VIEW"
             else:
-                result = "CREATE VIEW"
-        else:
-            c = checks[name]
-            r = K.run_checks({c.model: spark.table(c.model)}, [(c.model, c.column, c.check)]).first()
-            failures = int(r["failures"])
-            status = "PASS" if failures == 0 else f"FAIL {failures}"
-            result = status
-            if failures:
-                failed.append(node_id)
-                fs = spark.createDataFrame([(f,) for f in failed], "node_id string")
-                skip = {r2["node_id"] for r2 in G.skipped(edges, fs).select("node_id").collect()}
+                c = checks[name]
+                r = K.run_checks({c.model: spark.table(c.model)}, [(c.model, c.column, c.check)]).first()
+                failures = int(r["failures"])
+                status = "PASS" if failures == 0 else f"FAIL {failures}"
+                result = status
+        except PySparkException as e:  # of this node; the others go on
+            status, result = "ERROR", f"ERROR {str(e).splitlines()[0]}"
+        if failures or status == "ERROR":
+            failed.append(node_id)
+            fs = spark.createDataFrame([(f,) for f in failed], "node_id string")
+            skip = {r2["node_id"] for r2 in G.skipped(edges, fs).select("node_id").collect()}
         results.append((idx, total, node_id, rtype, status, failures, rows, result,
                         round(time.time() - t0, 2)))
     return spark.createDataFrame(results, RESULTS_SCHEMA)

@@ -34,6 +34,16 @@ SAMPLE = M.Project(
 )
 
 
+def test_build_goes_on_after_a_broken_model(spark):
+    project = M.Project("broken", [M.Model("lost", "select * from no_such_table_here"),
+                                   M.Model("after_lost", "select * from lost", depends_on=("lost",)),
+                                   M.Model("sound", "select 1 as id", materialized="table")])
+    got = {r["node_id"]: r for r in M.build(spark, project, scratch_path(spark, "broken")).collect()}
+    assert {k: r["status"] for k, r in got.items()} == {
+        "model.lost": "ERROR", "model.after_lost": "SKIP", "model.sound": "OK"}
+    assert "no_such_table_here" in got["model.lost"]["result"] and got["model.sound"]["rows"] == 1
+
+
 def test_build_sample_project(spark):
     res = M.build(spark, SAMPLE, scratch_path(spark, "build"))
     rows = {r["node_id"]: r for r in res.collect()}
