@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,5 +82,19 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with their column ``text`` compressed (null as empty), for the shuffle."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in slices(batches, "text"):
+        at = batch.schema.get_field_index("text")
+        yield batch.set_column(at, "text", pa.array([pack(t) for t in raw(batch.column(at))], pa.binary()))
+
+
+def expanded(column: pa.Array) -> list[bytes]:
+    """The texts of a column that ``squeezed`` made."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(b) for b in column.to_pylist()]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -41,14 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import ROW_ID, identified, raw, slices, stored
+from runlake.llm.common import ROW_ID, expanded, identified, raw, slices, squeezed, stored
 from runlake.llm.components import components
 
 WIDTH = 5
 SLACK = 1.2
 #: Sets up to this size index one-deletion neighbourhoods.
 SMALL = 63
-BUCKET_KEYS = 400_000
+BUCKET_KEYS = 1_000_000
 #: A key with more classes than this in one slice of a task is known to be shared there.
 LOCAL_SHARED = 64
 _U = np.uint64
@@ -145,13 +145,38 @@ class Signatures:
         self.short = np.unique(np.concatenate(short)) if short else np.zeros(0, np.int64)
 
 
-BLOCK = "bucket int, high binary, low binary, cls binary, flags binary"
+BLOCK = "bucket bigint, place bigint, low binary, slot binary, cls binary, traits binary"
 SHARED = "cls bigint, above boolean, deleted boolean, lack int, key bigint, sharers bigint, sharers_x bigint"
 
 
+def _packed(rows: np.ndarray, bucket: np.ndarray, place: np.ndarray, keys: np.ndarray, run: np.ndarray,
+            cls: np.ndarray, traits: np.ndarray) -> pa.RecordBatch:
+    """A block for each place: of every key its low 32 bits and a slot, of every slot its class and traits."""
+    by = rows[np.argsort(place[rows], kind="stable")]
+    at, of = place[by], run[by]
+    start = np.ones(len(by), bool)
+    start[1:] = at[1:] != at[:-1]
+    fresh = start.copy()
+    fresh[1:] |= of[1:] != of[:-1]
+    cut, slots = np.flatnonzero(start), np.flatnonzero(fresh)
+    begin = np.searchsorted(slots, cut)  # of each block, its first slot
+    slot = np.cumsum(fresh) - 1 - np.repeat(begin, np.diff(np.append(cut, len(by))))
+    kind = "<u2" if len(slot) == 0 or slot.max() < 1 << 16 else "<u4"
+
+    def glued(values, starts):
+        ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
+
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[by[cut]]), pa.array(at[cut]), glued(keys[by].astype("<u4"), cut), glued(slot.astype(kind), cut),
+         glued(cls[of[slots]].astype("<i8"), begin), glued(traits[of[slots]].astype("<i4"), begin)],
+        ["bucket", "place", "low", "slot", "cls", "traits"])
+
+
 def _index(batches, buckets: int):
-    """Blocks of (key, class, flags | lack << 2) for each bucket; keys known to be shared
-    go to a pseudo-bucket below 0, but for two rows that tell the others."""
+    """Blocks of keys for each bucket, with their classes and traits (flags | lack << 2); keys
+    known to be shared go to a pseudo-bucket below 0, but for two rows that tell the others.
+    Within a bucket 32 bits name a key: two that coincide count as shared, no more than that."""
     for batch in slices(batches, "text", 8 << 20):
         tokens, bounds = shingle_sets(raw(batch.column(0)))
         cls = set_hashes(tokens, bounds)
@@ -159,34 +184,37 @@ def _index(batches, buckets: int):
         n = np.diff(bounds)[once]
         take = np.repeat(bounds[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         sig = Signatures(tokens[take], np.concatenate([[0], np.cumsum(n)]), cls[once])
-        packed = (sig.flags | (sig.lack.astype(np.int32) << 2)).astype("<i4")
-        bucket = ((sig.keys >> _U(48)) * _U(buckets) >> _U(16)).astype(np.int64) if buckets <= 1 << 16 else (sig.keys % _U(buckets)).astype(np.int64)
+        traits = (sig.flags | (sig.lack.astype(np.int32) << 2)).astype(np.int32)
+        change = np.ones(len(traits), bool)
+        change[1:] = (sig.cls[1:] != sig.cls[:-1]) | (traits[1:] != traits[:-1])
+        run, first = np.cumsum(change) - 1, np.flatnonzero(change)
+        place = ((sig.keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
         order = np.argsort(sig.keys, kind="stable")
         k = sig.keys[order]
         edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         width = np.diff(np.append(edge, len(k)))
-        place = np.arange(len(k)) - np.repeat(edge, width)
+        nth = np.arange(len(k)) - np.repeat(edge, width)
         hot = np.zeros(len(k), bool)
         hot[order] = np.repeat(width, width) > LOCAL_SHARED
         told = np.ones(len(k), bool)
-        told[order] = ~((np.repeat(width, width) > LOCAL_SHARED) & (place >= 2))
-        known = -1 - (bucket * 31 + int(cls[0]) % 97) % buckets  # spread over pseudo-buckets
-        for rows, where in ((np.flatnonzero(told), bucket), (np.flatnonzero(hot), known)):
-            by = rows[np.argsort(where[rows], kind="stable")]
-            cut = np.flatnonzero(np.diff(where[by], prepend=np.iinfo(np.int64).min))
-            for a, b in zip(cut, np.append(cut[1:], len(by))):
-                at = by[a:b]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([where[at[0]]], pa.int32()), pa.array([(sig.keys[at] >> _U(32)).astype("<u4").tobytes()]),
-                     pa.array([sig.keys[at].astype("<u4").tobytes()]), pa.array([sig.cls[at].astype("<i8").tobytes()]),
-                     pa.array([packed[at].tobytes()])], ["bucket", "high", "low", "cls", "flags"])
+        told[order] = ~((np.repeat(width, width) > LOCAL_SHARED) & (nth >= 2))
+        known = -1 - (place * 31 + int(cls[0]) % 97) % buckets  # spread over pseudo-buckets
+        for rows, bucket in ((np.flatnonzero(told), place), (np.flatnonzero(hot), known)):
+            yield _packed(rows, bucket, place, sig.keys, run, sig.cls[first], traits[first])
 
 
 def _share(table: pa.Table) -> pa.Table:
     """Of a bucket: the rows whose key another class has too, with how many do."""
-    glue = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-    keys = (glue("high", "<u4").astype(np.uint64) << _U(32)) | glue("low", "<u4").astype(np.uint64)
-    cls, packed = glue("cls", "<i8"), glue("flags", "<i4")
+    low, slot, cls, traits = ([np.frombuffer(b, kind) for b in table.column(name).to_pylist()]
+                              for name, kind in (("low", "<u4"), ("slot", "u1"), ("cls", "<i8"), ("traits", "<i4")))
+    slot = [x.view("<u2" if len(x) == 2 * len(y) else "<u4") for x, y in zip(slot, low)]
+    many = [len(x) for x in low]
+    base = np.cumsum([0, *map(len, cls)])[:-1]
+    at = np.concatenate([np.zeros(0, np.int64), *slot]).astype(np.int64) + np.repeat(base, many).astype(np.int64)
+    keys = np.concatenate([np.zeros(0, np.uint32), *low]).astype(np.uint64)
+    keys |= np.repeat(table.column("place").to_numpy(), many).astype(np.uint64) << _U(32)
+    cls = np.concatenate([np.zeros(0, np.int64), *cls])[at]
+    packed = np.concatenate([np.zeros(0, np.int32), *traits])[at]
     known = bool(len(keys)) and table.column("bucket")[0].as_py() < 0
     order = np.argsort(keys, kind="stable")
     k = keys[order]
@@ -217,11 +245,11 @@ def _share(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches):
-    for batch in slices(batches, "text"):
-        tokens, bounds = shingle_sets(raw(batch.column(1)))
+    for batch in slices(batches, "text", 1 << 20):
+        tokens, bounds = shingle_sets(expanded(batch.column(2)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))],
-            ["cls", "tokens"])
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))],
+            ["cls", "keyed", "tokens"])
 
 
 def _rows(batches):
@@ -347,17 +375,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                 probing.alias("probe")), "chosen-keys")
     probes, places = keys.filter("probe"), keys.filter("not above").select("cls", "deleted", "key", "need")
 
-    # sets of the classes still in play, from one row each
-    lone = rows.filter("short").select("cls").distinct()
+    # sets of the classes still in play, from one row each, in one pass with those that
+    # sets of too few segments may link with
     alive = keys.select("cls").distinct()
-    least = F.min(F.struct(*ROW_ID)).alias("rid")
-    fallback = None
-    if not lone.isEmpty():
-        fallback = stored(_by_shingle(texts, rows), "short-pairs")
+    wanted = alive.withColumn("keyed", F.lit(True))
+    span = rows.filter("short").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")).first()
+    if span["lo"] is not None:
+        near = rows.filter((F.col("n_shingles") * 4 >= 3 * span["lo"]) & (F.col("n_shingles") * 3 <= 4 * span["hi"]))
+        wanted = wanted.unionByName(near.select("cls", F.lit(False).alias("keyed"))).groupBy("cls").agg(F.max("keyed").alias("keyed"))
+    reps = (rows.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct(*ROW_ID)).alias("rid"), F.first("keyed").alias("keyed"))
+            .select("cls", "keyed", "rid.*"))
+    every = stored(texts.select(*ROW_ID, "text").mapInArrow(squeezed, "rid_file bigint, rid_row bigint, text binary")
+                   .join(reps, [*ROW_ID]).select("cls", "keyed", "text")
+                   .mapInArrow(_sets, "cls bigint, keyed boolean, tokens array<bigint>"), "shingle-sets")
+    sets, fallback = every.filter("keyed").select("cls", "tokens"), None
+    if span["lo"] is not None:
+        fallback = stored(_by_shingle(every, rows, span["lo"], span["hi"]), "short-pairs")
         alive = alive.unionByName(fallback.select(F.col("a").alias("cls"))).unionByName(fallback.select(F.col("b").alias("cls"))).distinct()
-    reps = rows.join(alive, "cls", "left_semi").groupBy("cls").agg(least).select("cls", "rid.*")
-    sets = stored(texts.select(*ROW_ID, "text").join(reps, [*ROW_ID]).select("cls", "text")
-                  .mapInArrow(_sets, "cls bigint, tokens array<bigint>"), "shingle-sets")
     sizes = rows.groupBy("cls").agg(F.first("n_shingles").alias("n"))
 
     members = stored(alive.select("cls", F.col("cls").alias("label")), "members")
@@ -379,7 +413,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct())
     members = _relabel(members, _between(linked(star, sets), members))
     if fallback is not None:
-        members = _relabel(members, _between(linked(fallback, sets), members))
+        members = _relabel(members, _between(linked(fallback, every), members))
 
     left = (_across(probes, places, members, pivot).unionByName(_around(members, pivot, sets)).distinct()
             .join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
@@ -403,14 +437,11 @@ def _between(links: DataFrame, members: DataFrame) -> DataFrame:
     return stored(links.join(la, "a").join(lb, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "label-links")
 
 
-def _by_shingle(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Candidate pairs of the classes whose segments are too few: a partner of r shares one
-    of any |r| / 4 + 1 shingles of r. Only rows of a size that can be a partner are read."""
-    span = rows.filter("short").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi")).first()
-    near = rows.filter((F.col("n_shingles") * 4 >= 3 * span["lo"]) & (F.col("n_shingles") * 3 <= 4 * span["hi"]))
-    one = near.groupBy("cls").agg(F.min(F.struct(*ROW_ID)).alias("rid"), F.max("short").alias("short")).select("cls", "short", "rid.*")
-    sets = stored(texts.select(*ROW_ID, "text").join(one, [*ROW_ID]).select("cls", "text")
-                  .mapInArrow(_sets, "cls bigint, tokens array<bigint>"), "near-sets")
+def _by_shingle(sets: DataFrame, rows: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Candidate pairs of the classes whose segments are too few (of ``lo`` to ``hi`` shingles):
+    a partner of r shares one of any |r| / 4 + 1 shingles of r."""
+    size = F.size("tokens")
+    sets = sets.filter((size * 4 >= 3 * lo) & (size * 3 <= 4 * hi))
     short = rows.filter("short").select("cls").distinct()
     probe = (sets.join(short, "cls", "left_semi")
              .select(F.col("cls").alias("r"), F.explode(F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 4).cast("int") + 1)).alias("t")))

@@ -27,11 +27,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlake.llm.common import ROW_ID, identified, raw, slices, stored
+from runlake.llm.common import ROW_ID, expanded, identified, raw, slices, squeezed, stored
 from runlake.llm.jaccard import mix
 
 LEAST, SPAN, GRAM = 50, 30, 8
@@ -139,25 +138,16 @@ def _neighbours(table: pa.Table) -> pa.Table:
     return kept.append_column("marks", _packed_marks(m, cut))
 
 
-def _squeezed(batches):
-    """Rows with their texts compressed, as these pass through the shuffle."""
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    for batch in slices(batches, "text"):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2),
-                                          pa.array([squeeze(t) for t in raw(batch.column(3))], pa.binary())],
-                                         [*ROW_ID, "doc_id", "text"])
-
-
 BLOCKS = "rid_file bigint, rid_row bigint, doc_id bigint, first bigint, windows bigint, block bigint, prints array<bigint>"
 
 
 def _blocks(batches, least: int):
     """The blocks of a row's repeated suffixes, with the fingerprints of their windows."""
-    prefix, expand = least - SPAN + 1, zstandard.ZstdDecompressor().decompress
+    prefix = least - SPAN + 1
     for batch in slices(batches, "text", 1 << 20):
         rows, starts, counts, whole, each = [], [], [], [], [np.zeros(0, np.uint64)]
-        for i in range(batch.num_rows):
-            text = Text(expand(batch.column(3)[i].as_py()))
+        for i, t in enumerate(expanded(batch.column(3))):
+            text = Text(t)
             first, count, at = text.blocks(least)
             known = np.concatenate([np.frombuffer(b, "<u8") for b in batch.column(4)[i].as_py()])
             hit = np.isin(text.prints(at, prefix), known)
@@ -189,9 +179,9 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id
     asked = rows.mapInArrow(lambda b: _suffixes(b, least, buckets), ASKED)
     found = stored(asked.groupBy("bucket").applyInArrow(_neighbours, "rid_file bigint, chunk bigint, marks binary"), "repeated-suffixes")
     found = found.groupBy("rid_file", "chunk").agg(F.collect_list("marks").alias("marks"))  # bounded by the texts of a chunk
-    squeezed = (rows.mapInArrow(_squeezed, "rid_file bigint, rid_row bigint, doc_id bigint, text binary")
-                .withColumn("chunk", F.floor(F.col("rid_row") / CHUNK)))
-    blocks = stored(squeezed.join(found, ["rid_file", "chunk"]).select(*ROW_ID, "doc_id", "text", "marks")
+    texts = (rows.mapInArrow(squeezed, "rid_file bigint, rid_row bigint, doc_id bigint, text binary")
+             .withColumn("chunk", F.floor(F.col("rid_row") / CHUNK)))
+    blocks = stored(texts.join(found, ["rid_file", "chunk"]).select(*ROW_ID, "doc_id", "text", "marks")
                     .mapInArrow(lambda b: _blocks(b, least), BLOCKS), "blocks").withColumn("row", F.xxhash64(*ROW_ID))
 
     place = [*ROW_ID, "doc_id", "first", "last", "other"]
