@@ -399,8 +399,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # first each key's most central class leads: it has the fewest segments of its own
     lead = whole.groupBy("key").agg(F.min(F.struct((-F.col("need")).alias("r"), "cls")).alias("lead")).select("key", F.col("lead.cls").alias("lead"))
     led = whole.join(lead, "key").filter("cls <> lead").groupBy("cls", "lead").agg(F.count("*").alias("k"))
-    # a class's pivot: the leader of most of its keys
-    led = stored(led.groupBy("cls").agg(F.max(F.struct("k", "lead")).alias("best")).select("cls", F.col("best.lead").alias("pivot")), "led")
+    # a class's pivot: of the leaders of at least half as many of its keys as any other, the
+    # one that leads most classes, so that a group has few pivots
+    led = stored(led, "leaders")
+    best = led.groupBy("cls").agg(F.max(F.struct("k", "lead")).alias("best"))
+    votes = best.groupBy(F.col("best.lead").alias("lead")).agg(F.count("*").alias("votes"))
+    led = led.join(best, "cls").filter("2 * k >= best.k").select("cls", "lead", "k").join(votes, "lead")
+    led = stored(led.groupBy("cls").agg(F.max(F.struct("votes", "k", "lead")).alias("best"))
+                 .select("cls", F.col("best.lead").alias("pivot")), "led")
     measured = stored(common(led.select(*_pair("cls", "pivot")).distinct(), sets), "measured")
     members = _relabel(members, _between(measured.filter(LINK).select("a", "b"), members))
     pivot = (led.select("cls", "pivot", *_pair("cls", "pivot")).join(measured, ["a", "b"]).filter("i >= 0.4 * (na + nb - i)"))
