@@ -20,9 +20,23 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: A run of plain, escaped and quoted text; a quote that is never closed is plain text.
+PIECE = r"""'[^']*'|"(?:[^"\\]|\\.)*"|\\.|[^\s'"\\]+|['"\\]"""
+
+
 def split_args(command: Column | str) -> Column:
-    """Whitespace tokens of a command (no shell quoting)."""
-    return F.split(F.trim(_c(command)), r"\s+")
+    r"""Tokens of a command, split at white space as a shell does: single quotes keep all,
+    double quotes all but ``\"`` and ``\\``, a backslash the next character. A blank
+    command has no tokens."""
+    def plain(piece: Column) -> Column:
+        inner = F.substring(piece, F.lit(2), F.length(piece) - 2)
+        return (F.when(piece.rlike(r"(?s)^'.*'$"), inner)
+                .when(piece.rlike(r'(?s)^".*"$') & (F.length(piece) > 1), F.regexp_replace(inner, r'\\(["\\])', "$1"))
+                .when(piece.startswith("\\") & (F.length(piece) > 1), F.substring(piece, 2, 1)).otherwise(piece))
+
+    tokens = F.regexp_extract_all(_c(command), F.lit(f"(?s)(?:{PIECE})+"), F.lit(0))
+    return F.transform(tokens, lambda t: F.array_join(
+        F.transform(F.regexp_extract_all(t, F.lit(f"(?s){PIECE}"), F.lit(0)), plain), ""))
 
 
 def parse_command(command: Column | str, strict: bool = False) -> Column:
@@ -41,7 +55,7 @@ def parse_command(command: Column | str, strict: bool = False) -> Column:
         eq = F.filter(args, lambda a: a.startswith(SELECT_EQ_TOKEN) & (F.length(a) > n))
         sel = sel.when(F.size(eq) > 0, F.substring(F.element_at(eq, 1), n + 1, 1 << 30))
     sel = sel.when(F.array_contains(args, SELECT_EQ_TOKEN), F.lit("")).otherwise(F.lit(ALL_NODES))
-    return F.struct(F.element_at(args, 1).alias("verb"), sel.alias("selection"), args.alias("args"))
+    return F.struct(F.try_element_at(args, F.lit(1)).alias("verb"), sel.alias("selection"), args.alias("args"))
 
 
 def with_flag(args: Column | str, flag: str, value: Column | str) -> Column:

@@ -189,6 +189,16 @@ def test_dag_levels_rejects_rooted_cycle(spark):
     assert {r["node_id"] for r in G.closure(edges, nodes.filter("node_id = 'a'")).collect()} == {"b", "c"}
 
 
+def test_command_quotes(spark):
+    import shlex
+    texts = ["run --select 'a b'", 'run  --vars "{x: 1}"\t--select m', 'a"b c"d', "it\\'s", '"say \\"no\\" to \\\\ it"',
+             "''", "'a\"b'", '"a\'b"', "a\\ b", " x ", '"\\x"', "a '' b"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    assert [list(r["a"]) for r in df.select(C.split_args("c").alias("a")).collect()] == [shlex.split(t) for t in texts]
+    odd = spark.createDataFrame([("",), (None,), ("a 'b",)], "c string").select(C.split_args("c").alias("a"), C.parse_command("c")["verb"].alias("v"))
+    assert [(r["a"], r["v"]) for r in odd.collect()] == [([], None), (None, None), (["a", "'b"], "a")]
+
+
 def test_command_parse(spark):
     df = spark.createDataFrame([("run --select m1",), ("run --select=",), ("run --select=m2",), ("build",),
                                 ("run --select",)], "c string")
