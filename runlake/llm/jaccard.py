@@ -390,7 +390,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .mapInArrow(_sets, "cls bigint, keyed boolean, tokens array<bigint>"), "shingle-sets")
     sets, fallback = every.filter("keyed").select("cls", "tokens"), None
     if span["lo"] is not None:
-        fallback = stored(_by_shingle(every, rows, span["lo"], span["hi"]), "short-pairs")
+        size = F.size("tokens")
+        tiny = every.filter((size * 4 >= 3 * span["lo"]) & (size * 3 <= 4 * span["hi"]))
+        fallback = stored(_by_shingle(tiny, rows), "short-pairs")
         alive = alive.unionByName(fallback.select(F.col("a").alias("cls"))).unionByName(fallback.select(F.col("b").alias("cls"))).distinct()
     sizes = rows.groupBy("cls").agg(F.first("n_shingles").alias("n"))
 
@@ -419,7 +421,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct())
     members = _relabel(members, _between(linked(star, sets), members))
     if fallback is not None:
-        members = _relabel(members, _between(linked(fallback, every), members))
+        members = _relabel(members, _between(linked(fallback, tiny), members))
 
     left = (_across(probes, places, members, pivot).unionByName(_around(members, pivot, sets)).distinct()
             .join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
@@ -443,11 +445,9 @@ def _between(links: DataFrame, members: DataFrame) -> DataFrame:
     return stored(links.join(la, "a").join(lb, "b").filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct(), "label-links")
 
 
-def _by_shingle(sets: DataFrame, rows: DataFrame, lo: int, hi: int) -> DataFrame:
-    """Candidate pairs of the classes whose segments are too few (of ``lo`` to ``hi`` shingles):
-    a partner of r shares one of any |r| / 4 + 1 shingles of r."""
-    size = F.size("tokens")
-    sets = sets.filter((size * 4 >= 3 * lo) & (size * 3 <= 4 * hi))
+def _by_shingle(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Candidate pairs of the classes whose segments are too few: a partner of r shares one
+    of any |r| / 4 + 1 shingles of r. ``sets``: all of a size that can be a partner."""
     short = rows.filter("short").select("cls").distinct()
     probe = (sets.join(short, "cls", "left_semi")
              .select(F.col("cls").alias("r"), F.explode(F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 4).cast("int") + 1)).alias("t")))
