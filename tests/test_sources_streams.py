@@ -11,7 +11,7 @@ from runlake.sources import logs as SL
 from runlake.sources.files import list_artifacts
 from runlake.sources.seeds import load_seeds
 from runlake.streaming import streams as SM
-from tests.conftest import FIXTURES
+from tests.conftest import FIXTURES, SMALL
 
 FIX = os.path.join(FIXTURES, "logs")
 
@@ -129,3 +129,33 @@ def test_log_counts_prunes_by_run_date(spark):
     e = L.parse_lines(lines).withColumn("run_date", F.to_date(F.lit("2024-01-01")))
     assert L.log_counts(e, "2024-01-01", 1).filter("gid = 7").first()["n_lines"] == lines.count()
     assert L.log_counts(e, "2023-12-01", 1).count() == 0  # nothing in the window: no rows at all
+
+
+def test_late_windows_do_not_hang_on_files(spark, monkeypatch):
+    """Arrivals of many files, each arrival's later ranges the older files: only the late arrival is dropped."""
+    from runlake.plans import catalog
+    read = SM.read_stream
+
+    def later_ranges_first(spark, path, *a, **b):
+        folder = path.replace("file:", "")
+        time = {f: os.path.getmtime(f"{folder}/{f}") for f in os.listdir(folder) if f.startswith("part-")}
+        arrivals = {}
+        for f in sorted(time, key=time.get):
+            arrivals.setdefault(f[len("part-00000-"):][:36], []).append(f)  # by the write's id
+        for i, files in enumerate(arrivals.values()):
+            assert len(files) > 2
+            for j, f in enumerate(sorted(files, reverse=True)):
+                os.utime(f"{folder}/{f}", (min(time.values()) - 1000 + 100 * i + j,) * 2)
+        return read(spark, path, *a, **b)
+
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    monkeypatch.setattr(SM, "read_stream", later_ranges_first)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", events.count() // 10)
+    try:
+        got = catalog.QUERIES["stream_late"](spark, SMALL)
+        hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("window_start")
+        want = events.filter("ts >= '2024-01-15'").groupBy(hour, "event_type").agg(F.count("*").alias("n"))
+        got = got.select(*want.columns)
+        assert want.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
