@@ -126,9 +126,8 @@ class Runs:
 
 def plan(counts: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
     """The plan with the fewest sequences among those of ``groups`` groups, of a quarter
-    as many, and of none (rounding pays where large pieces are the better part, and
-    costs where there are too few small ones to fill what it leaves)."""
-    tried = [grouped_plan(counts, capacity, g) for g in (groups, max(groups // 4, 1), 0)]
+    and of one and a half times as many: more round less, fewer leave fewer patterns unfinished."""
+    tried = [grouped_plan(counts, capacity, g) for g in (groups, max(groups // 4, 1), groups * 3 // 2)]
     return min(tried, key=lambda t: t[1])
 
 
@@ -146,6 +145,8 @@ def grouped_plan(counts: np.ndarray, capacity: int, groups: int) -> tuple[np.nda
         cumulative = np.cumsum(left[large])
         # group g: ranks [edges[g], edges[g + 1]) of the large pieces by length
         edges = np.unique((np.arange(groups + 1) * total) // groups)
+        if np.count_nonzero(left[large]) <= groups:  # a group a length: nothing to round
+            edges = np.unique(np.append(0, cumulative))
         sizes = large[np.searchsorted(cumulative, edges[1:])]
         queues: dict[int, list[list[int]]] = {}
         for lo, hi, size in zip(edges[:-1], edges[1:], sizes):

@@ -140,6 +140,30 @@ def test_packing_plan_is_valid_and_tight(seed):
         assert n <= lengths.sum() / 1024 * 1.02 + 2
 
 
+@pytest.mark.parametrize("lengths", [np.random.default_rng(0).integers(1, 1025, 20_000), np.repeat([600, 400, 3], 3000)])
+def test_packing_plan_is_of_linear_grouping(lengths, monkeypatch):
+    """Also where best fit alone would need fewer sequences, the plan comes from configurations."""
+    from runlake.llm import packing
+    solved, made, grouped, program = [], [], packing.grouped_plan, packing.configurations
+    monkeypatch.setattr(packing, "configurations", lambda *a: solved.append(a) or program(*a))
+
+    def spied(*a):
+        solved.clear()
+        made.append((grouped(*a), bool(solved)))
+        return made[-1][0]
+
+    monkeypatch.setattr(packing, "grouped_plan", spied)
+    rows, _ = packing.plan(np.bincount(lengths, minlength=1025))
+    assert [by for (found, _), by in made if found is rows] == [True]
+
+
+def test_packing_groups_of_one_length_round_nothing():
+    from runlake.llm.packing import grouped_plan
+    counts = np.bincount(np.random.default_rng(1).choice([1024, 600, 400, 3], 9000), minlength=1025)
+    more = max(int(counts[600]), -(-int(counts[400] + counts[600]) // 2))  # pairs hold the threes as well
+    assert grouped_plan(counts, 1024, 64)[1] == counts[1024] + more
+
+
 # ------------------------------------------------------------------ 5
 @pytest.mark.parametrize("bits, split", [(31, 4 << 20), (2, 4 << 20), (31, 100), (1, 50)])
 def test_exact_duplicates(docs, empty, bits, split):
