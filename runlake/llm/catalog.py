@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ from runlake.llm.common import stored, table
 from runlake.llm.decontam import contamination
 from runlake.llm.exact_dedup import exact_duplicates
 from runlake.llm.jaccard import near_duplicates
+from runlake.llm.lexical_search import ranked_search
 from runlake.llm.packing import pack_documents
+from runlake.llm.periodic_runs import best_run, periodic_runs
 from runlake.llm.repeats import repeated_passages
 from runlake.llm.secret_scan import BASE, scan_secrets
 from runlake.llm.token_files import token_files
@@ -176,3 +180,54 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files(table(spark, sf_dir, "documents"))
     return files.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+    FROM documents),
+b AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS t
+    FROM benchmark),
+totals AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, len(w)::BIGINT AS n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY ALL),
+weights AS (
+    SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT t, count(*) AS df FROM tf WHERE t IN (SELECT t FROM b) GROUP BY t), totals),
+scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+    FROM b JOIN tf USING (t) JOIN weights USING (t), totals GROUP BY item_id, doc_id),
+placed AS (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
+
+
+def collapsed_words(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The contract's rewriting: of one document in ten the words from a on repeat with period p."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null document id leaves its words as they are."""
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=collapsed_words)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    found = found.withColumn("best", best_run(F.col("runs")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+                        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+                        F.sha2(F.array_join(F.transform(line, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+                        F.sha2("collapsed", 256).alias("collapsed_sha256"))
