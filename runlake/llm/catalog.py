@@ -15,6 +15,7 @@ from runlake.llm.decontam import contamination
 from runlake.llm.exact_dedup import exact_duplicates
 from runlake.llm.jaccard import near_duplicates
 from runlake.llm.lexical_search import ranked_search
+from runlake.llm.main_text import main_texts
 from runlake.llm.packing import pack_documents
 from runlake.llm.periodic_runs import best_run, periodic_runs
 from runlake.llm.repeats import repeated_passages
@@ -210,6 +211,13 @@ placed AS (
 SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
 
 
+
+@query
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_texts(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def collapsed_words(doc_id: int | None, n: int) -> np.ndarray | None:
     """The contract's rewriting: of one document in ten the words from a on repeat with period p."""
     h = zlib.crc32(str(doc_id).encode())
