@@ -62,9 +62,12 @@ class Block:
         self.windows = np.zeros((len(owners), width), np.int64)
         for i, w in enumerate(owners):
             self.windows[i, :len(w)] = w
-        own = [sorted(x for x in o if x is not None) for o in owners.values()]
-        self.item_at = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int64)
-        self.items = np.array([x for o in own for x in o], np.int64)
+        # windows with the same owners share a set of items
+        sets: dict[tuple, int] = {}
+        self.set_of = np.array([sets.setdefault(tuple(sorted(x for x in o if x is not None)), len(sets))
+                                for o in owners.values()], np.int64)
+        self.item_at = np.cumsum([0] + [len(o) for o in sets]).astype(np.int64)
+        self.items = np.array([x for o in sets for x in o], np.int64)
         self.shortest = int(self.lengths.min(initial=width))
         self.base = len(self.vocabulary) + 1
         # all shingles of the windows, by shingle width (a window shorter than a shingle is its own)
@@ -177,10 +180,29 @@ FOUND = ("rid_file bigint, rid_row bigint, doc_id bigint, n_words bigint, "
          "spans array<struct<first: int, last: int>>, items array<bigint>")
 
 
-def _match(batches, block: Block, index):
+#: Word ids, or pairs of a document and an item, that a task holds at a time (one document at least).
+HELD = 1_000_000
+
+
+def _cuts(sizes: np.ndarray, held: int) -> list[tuple[int, int]]:
+    """Neighbouring rows whose sizes add up to ``held`` at most (one row at least)."""
+    out, start, n = [], 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if n and n + size > held:
+            out.append((start, i))
+            start, n = i, 0
+        n += size
+    return [*out, (start, len(sizes))] if len(sizes) else out
+
+
+def _parts(batches, column: int):
     for batch in batches:
-        if not batch.num_rows:
-            continue
+        for lo, hi in _cuts(batch.column(column).value_lengths().to_numpy(zero_copy_only=False), HELD):
+            yield batch.slice(lo, hi - lo)
+
+
+def _match(batches, block: Block, index):
+    for batch in _parts(batches, 5):
         id_list, start_list = batch.column(5), batch.column(4)
         bounds = id_list.offsets.to_numpy().astype(np.int64)
         bounds = bounds - bounds[0]
@@ -214,18 +236,26 @@ def _match(batches, block: Block, index):
         np.add.at(cover, begin + block.lengths[win], -1)
         edge = np.diff(np.concatenate([[0], (np.cumsum(cover) > 0).astype(np.int8)]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        span_doc = doc_of(first)
-        n = np.diff(block.item_at)[win]
-        owner = np.repeat(block.item_at[win] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs = np.unique(np.stack([np.repeat(doc_of(begin), n), block.items[owner]]), axis=1) if len(begin) else np.zeros((2, 0), np.int64)
         rows = batch.num_rows
-        at = lambda x: pa.array(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=rows))]).astype(np.int32))
-        spans = pa.StructArray.from_arrays([pa.array(position[first].astype(np.int32)),
-                                            pa.array((position[last - 1] + 1).astype(np.int32))], ["first", "last"])
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(4)), pa.ListArray.from_arrays(at(span_doc), spans),
-             pa.ListArray.from_arrays(at(pairs[0].astype(np.int64)), pa.array(pairs[1]))],
-            ["rid_file", "rid_row", "doc_id", "n_words", "spans", "items"])
+        at = lambda x, n: np.concatenate([[0], np.cumsum(np.bincount(x, minlength=n))]).astype(np.int32)
+        bound = at(doc_of(first), rows)
+        spans = pa.ListArray.from_arrays(pa.array(bound), pa.StructArray.from_arrays(
+            [pa.array(position[first].astype(np.int32)), pa.array((position[last - 1] + 1).astype(np.int32))], ["first", "last"]))
+        # each set of items once a document, and only then its items
+        wide = len(block.item_at)
+        doc, owned = np.divmod(np.unique(doc_of(begin) * wide + block.set_of[win]), wide)
+        size = np.diff(block.item_at)[owned]
+        for lo, hi in _cuts(np.bincount(doc, weights=size, minlength=rows).astype(np.int64), HELD):
+            a, b = np.searchsorted(doc, [lo, hi])
+            n = size[a:b]
+            take = np.repeat(block.item_at[owned[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            order = np.lexsort((block.items[take], np.repeat(doc[a:b] - lo, n)))
+            of, item = np.repeat(doc[a:b] - lo, n)[order], block.items[take][order]
+            new = np.append(True, (np.diff(of) > 0) | (np.diff(item) != 0))[:len(of)]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).slice(lo, hi - lo) for i in range(4)), spans.slice(lo, hi - lo),
+                 pa.ListArray.from_arrays(pa.array(at(of[new], hi - lo)), pa.array(item[new]))],
+                ["rid_file", "rid_row", "doc_id", "n_words", "spans", "items"])
 
 
 def _merge(batches):
