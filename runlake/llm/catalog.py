@@ -170,10 +170,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without an id is not held out (it teaches nothing either)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     network = train(docs, table(spark, sf_dir, "labels"))
     return score_documents(docs, network).select(
-        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score",
+        "doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

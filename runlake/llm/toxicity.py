@@ -15,7 +15,8 @@ Edge cases: null and empty texts have one window of no words and get its score (
 number from 0 to 1); documents without a label are scored but teach nothing;
 labels that repeat, conflict or are null: each pair of row and label teaches, nulls
 do not; with labels of one class only the score is that of an untrained output; an
-empty table gives no rows; all columns of the input pass through under their names.
+empty table gives no rows; all columns of the input pass through under their names; a
+row without an id is scored and teaches nothing.
 """
 
 from __future__ import annotations
@@ -31,11 +32,11 @@ from pyspark.sql import types as T
 from runlake.llm.common import raw, slices
 from runlake.llm.decontam import words
 
-WINDOW, STEP = 32, 24
+WINDOW, STEP = 32, 8
 WORD_ROWS = GRAM_ROWS = 1 << 15
 WORD_DIM = GRAM_DIM = 8
 HIDDEN, ATTENTION = 12, 8
-MAX_DOCUMENTS, MAX_CHARS = 2400, 20_000
+MAX_DOCUMENTS, MAX_CHARS = 3000, 40_000
 EPOCHS = 5
 #: Gradient steps of an epoch, at least: few labels are passed over more often.
 LEAST_STEPS = 90
@@ -296,10 +297,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_D
 
 def train(docs: DataFrame, labels: DataFrame, max_documents: int = MAX_DOCUMENTS, label_col: str = "toxic",
           epochs: int = EPOCHS) -> Network:
-    rows = training_rows(docs, labels, max_documents, label_col=label_col).collect()
-    rows.sort(key=lambda r: (r["pick"], r["text"]))
+    """The network, fitted in one task over the bounded sample; only its weights come back."""
+
+    def fit(batches):
+        rows = [r for b in batches for r in zip(b.column(2).to_pylist(), raw(b.column(0)), b.column(1).to_pylist())]
+        rows.sort()
+        network = Network()
+        network.fit([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64), epochs)
+        names = list(network.p)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([network.p[k].tobytes() for k in names], pa.binary())], ["name", "weights"])
+
+    rows = training_rows(docs, labels, max_documents, label_col=label_col)
     network = Network()
-    network.fit([(r["text"] or "").encode() for r in rows], np.array([r["label"] for r in rows], np.int64), epochs)
+    for name, weights in rows.coalesce(1).mapInArrow(fit, "name string, weights binary").collect():  # about 2 MB
+        network.p[name] = np.frombuffer(bytes(weights), np.float32).reshape(network.p[name].shape).copy()
     return network
 
 
