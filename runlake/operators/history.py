@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlake.operators.ordinal import ordinal, top_k_per_group, with_neighbour
+from runlake.operators.ordinal import top_k_per_group
+from runlake.operators.ranges import ROWS, Ranged
 
 
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
@@ -25,28 +26,24 @@ def slowest_nodes(results: DataFrame, group: str | Sequence[str], k: int,
 
 
 def snapshot_from_changelog(changes: DataFrame, key: str, ts: str, seq: str, tracked: Sequence[str],
-                            chunk: Column | None = None) -> DataFrame:
+                            rows: int = ROWS) -> DataFrame:
     """Type-2 history from a full changelog (key, ts, seq, tracked...).
 
     A version starts at each row whose tracked values differ (null-safe) from
     the key's previous row; ``valid_to`` is the next version's start and
-    ``is_current`` marks the open version. Neighbours are equi-joins on
-    skew-safe ordinals, so a key with a huge history is spread over tasks.
+    ``is_current`` marks the open version. One shuffle by (key, rank range), so
+    a key with a huge history is spread over tasks (``ranges.Ranged``).
     """
-    chunk = chunk if chunk is not None else F.date_trunc("day", F.col(ts))
-    d = ordinal(changes.select(key, ts, seq, *tracked), key, [F.col(ts), F.col(seq)], chunk, "__o")
-    d = with_neighbour(d, key, "__o", list(tracked), 1, "__p_")
-    same = None
+    d = Ranged(changes.select(key, ts, seq, *tracked).withColumn("__row", F.lit(True)), key, [ts, seq], rows)
+    d = d.neighbours(before={"__had": "__row", **{f"__p_{c}": c for c in tracked}})
+    same = F.col("__had").isNotNull()
     for c in tracked:
-        eq = F.col(c).eqNullSafe(F.col("__p_" + c))
-        same = eq if same is None else same & eq
-    first = F.col("__o") == 1
-    versions = d.filter(first | ~same).select(key, ts, seq, *tracked)
-    v = ordinal(versions, key, [F.col(ts), F.col(seq)], chunk, "version")
-    v = with_neighbour(v, key, "version", [ts], -1, "__n_")
-    return v.select(key, "version", *tracked, F.col(ts).alias("valid_from"),
-                    F.col("__n_" + ts).alias("valid_to"),
-                    F.col("__n_" + ts).isNull().alias("is_current"), F.col(seq).alias("from_seq"))
+        same = same & F.col(c).eqNullSafe(F.col(f"__p_{c}"))
+    d = d.with_column("__new", ~same)
+    d = d.running("version", F.col("__new").cast("long")).following("__next", F.when(F.col("__new"), F.struct(ts)))
+    return d.result().filter("__new").select(
+        key, "version", *tracked, F.col(ts).alias("valid_from"), F.col(f"__next.{ts}").alias("valid_to"),
+        F.col("__next").isNull().alias("is_current"), F.col(seq).alias("from_seq"))
 
 
 def snapshot(current: DataFrame, history: DataFrame, key: str, tracked: Sequence[str], as_of: str) -> DataFrame:
@@ -55,7 +52,8 @@ def snapshot(current: DataFrame, history: DataFrame, key: str, tracked: Sequence
 
     ``history`` has (key, tracked..., valid_from, valid_to) with valid_to null
     for open rows; ``current`` has (key, tracked...). One full outer join on
-    the key between the open rows and the current rows.
+    the key between the open rows and the current rows; a null key is a key
+    like any other.
     """
     vt = history.schema["valid_to"].dataType
     at = F.lit(as_of).cast(vt)
@@ -64,7 +62,9 @@ def snapshot(current: DataFrame, history: DataFrame, key: str, tracked: Sequence
         key, *[F.col(c).alias("__h_" + c) for c in tracked], F.col("valid_from").alias("__h_from"),
         F.lit(True).alias("__in_h"))
     c = current.select(key, *tracked, F.lit(True).alias("__in_c"))
-    j = h.join(c, key, "full_outer")
+    # equality of a struct that is never null: nulls match, and the join stays an equi-join
+    h, c = (x.withColumn("__key", F.struct(F.col(key).alias("k"))).drop(key) for x in (h, c))
+    j = h.join(c, "__key", "full_outer").withColumn(key, F.col("__key.k"))
     in_h = F.coalesce(F.col("__in_h"), F.lit(False))
     in_c = F.coalesce(F.col("__in_c"), F.lit(False))
     same = None

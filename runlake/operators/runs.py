@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlake.operators.ordinal import ordinal, with_neighbour
+from runlake.operators.ranges import ROWS, Ranged
 
 # The fields of a run record and the statuses the job writes.
 STATE_FIELDS = ("run_status", "user_command", "log_starting_byte", "cloud_storage_folder")
@@ -56,18 +56,16 @@ def live_runs(state: DataFrame) -> DataFrame:
     return state.filter(F.col("run_status").isin(*LIVE_STATUSES))
 
 
-def status_transitions(status_events: DataFrame, chunk: Column | None = None) -> DataFrame:
+def status_transitions(status_events: DataFrame, rows: int = ROWS) -> DataFrame:
     """Per status write: previous status, time until the next write and
     whether the change is legal.
 
     ``status_events`` has (run_id, seq, ts, run_status). Order per run is (ts,
-    seq). Neighbours come from equi-joins on (run_id, ordinal ± 1), so one hot
-    run does not become one task. ``chunk`` defaults to the day of ts.
+    seq). One shuffle by (run, rank range), so one hot run does not become one
+    task (``ranges.Ranged``).
     """
-    chunk = chunk if chunk is not None else F.date_trunc("day", F.col("ts"))
-    d = ordinal(status_events, "run_id", [F.col("ts"), F.col("seq")], chunk, "__ord")
-    d = with_neighbour(d, "run_id", "__ord", ["run_status"], 1, "prev_")
-    d = with_neighbour(d, "run_id", "__ord", ["ts"], -1, "next_")
+    d = Ranged(status_events, "run_id", ["ts", "seq"], rows).neighbours(
+        before={"prev_run_status": "run_status"}, after={"next_ts": "ts"}).result()
     spark = status_events.sparkSession
     allowed = F.broadcast(spark.createDataFrame(ALLOWED_TRANSITIONS, "__a_prev string, __a_cur string")
                           .withColumn("__a_ok", F.lit(True)))

@@ -4,15 +4,16 @@ expansion into fire times and fire/run matching."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+import zoneinfo
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.functions.cron import fire_days, parse_cron
-from runlake.operators.ordinal import global_ordinal, ordinal
+from runlake.operators.ordinal import global_ordinal
+from runlake.operators.ranges import ROWS, Ranged
 
-# Fixed values of the schedule service.
 JOB_DESCRIPTION_PREFIX = "[schedule job] "
 ENABLED = "ENABLED"
 ACTION_RANK = {"add": 1, "delete": 2, "redeploy": 3}
@@ -139,10 +140,20 @@ def list_schedules(jobs: DataFrame, prefix: str = JOB_DESCRIPTION_PREFIX) -> Dat
         "schedule", F.col("time_zone").alias("timezone"), F.col("uri").alias("target"))
 
 
+def known_zones(spark: SparkSession) -> DataFrame:
+    """The zone names that schedules may have (about 600 rows)."""
+    return spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones() | {"Z"})], "timezone string")
+
+
 def expand_schedules(schedules: DataFrame, start: str, end: str, day_rule: str = "or") -> DataFrame:
-    """Every fire time in [start, end) of each schedule's cron text, in UTC. Days and
-    hours are those of the schedule's ``timezone`` where it has that column. Texts
-    that are no cron text fire never; ``rejected_schedules`` lists them.
+    """Every fire time in the UTC horizon [start, end) of each schedule's cron text.
+
+    Days and hours are those of the schedule's ``timezone`` (null: UTC) where it has
+    that column: fires are made for the local days that the horizon touches, one more
+    on either side, turned into UTC and cut to the horizon. A local time that a zone
+    skips (clocks go forward) does not fire; one that it has twice fires once, at the
+    earlier instant. Texts that are no cron text and unknown zones fire never;
+    ``rejected_schedules`` lists them.
 
     Cron texts repeat across schedules, so each distinct text is parsed once
     into its fire days, hours and minutes (small arrays); the arrays join back
@@ -150,25 +161,45 @@ def expand_schedules(schedules: DataFrame, start: str, end: str, day_rule: str =
     schedule row then generates its own fires with ``explode``: no pairs
     beyond the output itself.
     """
-    texts = schedules.select("schedule").distinct().withColumn("__cron", parse_cron(F.col("schedule")))
-    texts = texts.select("schedule", fire_days(F.col("__cron"), start, end, day_rule).alias("__days"),
-                         F.col("__cron.hour").alias("__hours"), F.col("__cron.minute").alias("__mins"))
+    zoned = "timezone" in schedules.columns
+    first, last = (dt.date.fromisoformat(str(x)[:10]) for x in (start, end))
+    days = [str(first - dt.timedelta(1)), str(last + dt.timedelta(2))] if zoned else [str(first), str(last + dt.timedelta(1))]
+    texts = parse_cron(schedules).filter("ok").select(
+        "schedule", fire_days(*days, day_rule).alias("__days"), F.col("hour").alias("__hours"), F.col("minute").alias("__mins"))
     d = schedules.join(texts, "schedule", "inner")
+    if zoned:
+        zones = known_zones(schedules.sparkSession).select(F.col("timezone").alias("__zone"))
+        d = d.join(F.broadcast(zones), d["timezone"] == zones["__zone"], "left")  # about 600 rows
+        d = d.filter(F.col("__zone").isNotNull() | F.col("timezone").isNull())
     # explode_outer + null filter: a plain explode lets the optimizer infer a
     # size(__days) > 0 filter and push the whole parse below the distinct.
     d = (d.withColumn("__day", F.explode_outer("__days")).withColumn("__h", F.explode_outer("__hours"))
          .withColumn("__m", F.explode_outer("__mins"))
          .filter(F.col("__day").isNotNull() & F.col("__h").isNotNull() & F.col("__m").isNotNull()))
     fire = F.make_timestamp_ntz(F.year("__day"), F.month("__day"), F.dayofmonth("__day"), "__h", "__m", F.lit(0))
-    if "timezone" in schedules.columns:
-        zone = F.coalesce("timezone", F.lit("UTC"))
-        fire = F.when(zone == "UTC", fire).otherwise(F.to_utc_timestamp(fire.cast("timestamp"), zone).cast("timestamp_ntz"))
-    return d.withColumn("fire_ts", fire).drop("__days", "__hours", "__mins", "__day", "__h", "__m")
+    d = d.withColumn("fire_ts", fire)
+    if zoned:
+        # an unknown zone never reaches the conversion, which would end the job on it
+        zone, local = F.coalesce("__zone", F.lit("UTC")), F.col("fire_ts").cast("timestamp")
+        utc = F.to_utc_timestamp(local, zone)
+        d = d.withColumn("fire_ts", F.when(zone == "UTC", F.col("fire_ts")).when(
+            F.from_utc_timestamp(utc, zone) == local, utc.cast("timestamp_ntz")))
+    horizon = [F.lit(x).cast("timestamp_ntz") for x in (start, end)]
+    return (d.filter((F.col("fire_ts") >= horizon[0]) & (F.col("fire_ts") < horizon[1]))
+            .drop("__days", "__hours", "__mins", "__day", "__h", "__m", "__zone"))
 
 
 def rejected_schedules(schedules: DataFrame) -> DataFrame:
-    """The schedules whose text is no cron text (or null)."""
-    return schedules.filter(parse_cron(F.col("schedule")).isNull())
+    """The schedules whose text is no cron text (or null), or whose zone is unknown;
+    each distinct text is parsed once."""
+    bad = parse_cron(schedules).select(F.struct("schedule").alias("__text"), (~F.col("ok")).alias("__bad"))
+    d = schedules.withColumn("__text", F.struct("schedule")).join(bad, "__text").drop("__text")
+    if "timezone" not in schedules.columns:
+        return d.filter("__bad").drop("__bad")
+    zones = known_zones(schedules.sparkSession).select(F.col("timezone").alias("__zone"))
+    d = d.join(F.broadcast(zones), d["timezone"] == zones["__zone"], "left")
+    return (d.filter(F.col("__bad") | F.col("timezone").isNotNull() & F.col("__zone").isNull())
+            .drop("__bad", "__zone"))
 
 
 def fire_run_id(name: Column, fire_ts: Column) -> Column:
@@ -185,37 +216,25 @@ def materialise_fires(fires: DataFrame, base_state: DataFrame, key: str = "name"
 
 
 def fire_adherence(fires: DataFrame, runs: DataFrame, key: str, tolerance_s: int | None = None,
-                   chunk_unit: str = "day") -> DataFrame:
+                   rows: int = ROWS) -> DataFrame:
     """For each fire (key, fire_ts): the first run (key, run_ts) started at or
     after it and before the key's next fire, else ``missed``.
 
     As-of match without a range join and in one pass over each input: fires
     and runs are merged per key in time order (a fire sorts before a run at
-    the same instant); every row takes the latest fire at or before it as a
-    running max computed per (key, chunk of time) plus the max of earlier
-    chunks; one aggregation per (key, latest fire) then gives each fire its
-    first run.
+    the same instant); every row takes the latest fire at or before it, within
+    ranges of neighbouring ranks (``ranges.Ranged``); one aggregation per (key,
+    latest fire) then gives each fire its first run.
     """
     ftype = fires.schema["fire_ts"].dataType
-    f = fires.select(F.col(key).alias("__k"), F.col("fire_ts").alias("__t"), F.lit(0).alias("__kind"),
-                     F.col("fire_ts").alias("__fire"))
-    r = runs.select(F.col(key).alias("__k"), F.col("run_ts").cast(ftype).alias("__t"), F.lit(1).alias("__kind"),
-                    F.lit(None).cast(ftype).alias("__fire"))
-    u = f.unionByName(r).withColumn("__chunk", F.date_trunc(chunk_unit, "__t"))
-    w = Window.partitionBy("__k", "__chunk")
-    u = (u.withColumn("__local", F.max("__fire").over(
-            w.orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-         .withColumn("__top", F.max("__fire").over(w)))
-    tops = u.select("__k", "__chunk", "__top").dropDuplicates(["__k", "__chunk"])
-    w_prev = Window.partitionBy("__k").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("__k", "__chunk", F.max("__top").over(w_prev).alias("__before"))
-    u = u.join(tops, ["__k", "__chunk"], "left").withColumn("__last", F.greatest("__local", "__before"))
+    f = fires.select(F.col(key).alias("__key"), F.col("fire_ts").alias("__t"), F.lit(0).alias("__kind"))
+    r = runs.select(F.col(key).alias("__key"), F.col("run_ts").cast(ftype).alias("__t"), F.lit(1).alias("__kind"))
+    u = Ranged(f.unionByName(r), "__key", ["__t", "__kind"], rows)
+    u = u.latest("__last", F.when(F.col("__kind") == 0, F.col("__t"))).result()
     g = (u.filter(F.col("__last").isNotNull())
-         .groupBy("__k", "__last")
-         .agg(F.min(F.when(F.col("__kind") == 1, F.col("__t"))).alias("first_run_ts"),
-              F.min("__kind").alias("__has_fire")))
-    out = g.filter(F.col("__has_fire") == 0).select(F.col("__k").alias(key), F.col("__last").alias("fire_ts"),
-                                                    "first_run_ts")
+         .groupBy("__key", "__last")
+         .agg(F.min(F.when(F.col("__kind") == 1, F.col("__t"))).alias("first_run_ts")))
+    out = g.select(F.col("__key").alias(key), F.col("__last").alias("fire_ts"), "first_run_ts")
     delay = F.unix_timestamp("first_run_ts") - F.unix_timestamp("fire_ts")
     ok = F.col("first_run_ts").isNotNull()
     if tolerance_s is not None:
@@ -224,27 +243,30 @@ def fire_adherence(fires: DataFrame, runs: DataFrame, key: str, tolerance_s: int
             .withColumn("status", F.when(ok, "on_time" if tolerance_s is not None else "ran").otherwise("missed")))
 
 
-def retry_attempts(fires: DataFrame, events: DataFrame, key: str, order: Sequence[str],
-                   ts: str, event_id: str, max_s: int = MAX_RETRY_SECONDS, retries: int = RETRY_COUNT,
-                   chunk_unit: str = "hour") -> DataFrame:
-    """Attempts following each fire: the next ``retries + 1`` events of the same
-    key whose start is within ``max_s`` seconds of the fire.
-
-    ``fires`` is a subset of ``events`` (same columns). Events get a skew-safe
-    ordinal per key; attempt k of a fire is the event at ordinal + k, found by
-    an equi-join, so no pairs are formed beyond the output.
-    """
-    ev = ordinal(events.select(key, ts, event_id), key, [F.col(c) for c in order],
-                 F.date_trunc(chunk_unit, F.col(ts)), "__ord")
-    fire_ids = fires.select(F.col(event_id).alias("__fid"))
-    fr = ev.join(fire_ids, ev[event_id] == fire_ids["__fid"], "left_semi")
-    fr = fr.select(F.col(key).alias("__fk"), F.col(event_id).alias("fire_event_id"), F.col(ts).alias("__fts"),
-                   F.explode(F.sequence(F.lit(1), F.lit(retries + 1))).alias("attempt"), "__ord")
-    fr = fr.withColumn("__want", F.col("__ord") + F.col("attempt")).drop("__ord")
-    a = ev.select(F.col(key).alias("__ak"), F.col("__ord").alias("__aord"),
-                  F.col(event_id).alias("attempt_event_id"), F.col(ts).alias("__ats"))
-    j = fr.join(a, (fr["__fk"] == a["__ak"]) & (fr["__want"] == a["__aord"]), "inner")
-    delay_us = F.unix_micros(F.col("__ats").cast("timestamp")) - F.unix_micros(F.col("__fts").cast("timestamp"))
-    return (j.withColumn("delay_us", delay_us).filter(F.col("delay_us") <= max_s * 1_000_000)
-            .select(F.col("__fk").alias(key), "fire_event_id", F.col("attempt").cast("bigint").alias("attempt"),
-                    "attempt_event_id", "delay_us"))
+def retry_attempts(fires: DataFrame, starts: DataFrame, key: str, fire_ts: str = "fire_ts", start_ts: str = "run_ts",
+                   start_id: str = "start_id", max_s: int = MAX_RETRY_SECONDS, retries: int = RETRY_COUNT,
+                   rows: int = ROWS) -> DataFrame:
+    """Attempts of each fire: the first ``retries + 1`` starts of its key from the fire
+    on and within ``max_s`` seconds (the first one is the run, the others its retries).
+
+    ``fires`` (key, fire_ts) and ``starts`` (key, run_ts, start_id) are merged per key in
+    time order and the starts numbered (``ranges.Ranged``), so a fire knows how many
+    starts lie before it; attempt k is the start with that number + k, found by an
+    equi-join on (key, number). No pairs are formed beyond ``retries + 1`` a fire,
+    however many starts a key has in the interval, and a hot key spreads by number.
+    A null key matches the null key."""
+    ttype = starts.schema[start_ts].dataType
+    f = fires.select(F.col(key).alias("__key"), F.col(fire_ts).cast(ttype).alias("__t"), F.lit(0).alias("__kind"),
+                     F.lit(None).cast("long").alias("__id"))
+    s = starts.select(F.col(key).alias("__key"), F.col(start_ts).alias("__t"), F.lit(1).alias("__kind"),
+                      F.col(start_id).cast("long").alias("__id"))
+    u = Ranged(f.unionByName(s), "__key", ["__t", "__kind", "__id"], rows)
+    u = u.running("__n", F.when(F.col("__kind") == 1, 1)).result()
+    wanted = u.filter(F.col("__kind") == 0).select(
+        "__key", F.col("__t").alias("__fire"), "__n", F.explode(F.sequence(F.lit(1), F.lit(retries + 1))).alias("attempt"))
+    wanted = wanted.select(F.struct("__key", (F.col("__n") + F.col("attempt")).alias("__n")).alias("__at"), "__key", "__fire", "attempt")
+    found = u.filter(F.col("__kind") == 1).select(F.struct("__key", "__n").alias("__at"), "__id", "__t")
+    delay = F.unix_micros(F.col("__t").cast("timestamp")) - F.unix_micros(F.col("__fire").cast("timestamp"))
+    return (wanted.join(found, "__at").withColumn("delay_us", delay).filter(F.col("delay_us") <= max_s * 1_000_000)
+            .select(F.col("__key").alias(key), F.col("__fire").alias(fire_ts), F.col("attempt").cast("bigint").alias("attempt"),
+                    F.col("__id").alias(start_id), F.col("__t").alias(start_ts), "delay_us"))

@@ -49,8 +49,6 @@ def log_events(spark: SparkSession, sf_dir: str, chunk_unit: str = "hour", hot:
          .withColumn("emitter", emitter)
          .withColumn("message", F.concat(F.lit("["), emitter, F.lit("] "), F.col("event_type"),
                                          F.lit(" "), F.col("props"))))
-    # Only runs with more than 10,000 lines are cut into time chunks; the rest
-    # are numbered in one window group each and need no offset join.
     d = ordinal(d, "run_id", [F.col("ts"), F.col("event_id")], F.date_trunc(chunk_unit, F.col("ts")), "line_no")
     return d.withColumn("raw", format_entry(F.col("ts"), F.col("severity"), F.col("message")))
 
@@ -105,24 +103,33 @@ def run_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 #   the requested command of a PROMO part is a build instead of a run, and a
 #   STANDARD part asks with the --select=<model> form
 #   cron text by part type:
-#     ECONOMY  <size mod 60> <key mod 24> * * *
-#     SMALL    */15 <key mod 24> * * 1-5
-#     MEDIUM   <size> 9-17/4 * * *
-#     LARGE    0 <key mod 24> 1,15 * *
-#     PROMO    30 6 * * 0,6
+#     ECONOMY  <size mod 60> <key mod 24> * * *, but @daily where the size divides by 10
+#     SMALL    */15 <key mod 24> * * MON-FRI
+#     MEDIUM   <size> 21-3/2 * * *
+#     LARGE    0 <key mod 24> 1,15 jan-JUN *
+#     PROMO    30 6 * * 0,Sat
 #     STANDARD <size mod 60> <key mod 24> 4 * 6
+#   zone by part key mod 5: UTC, Europe/Paris, America/New_York, Asia/Kolkata, none
+ZONES = ("UTC", "Europe/Paris", "America/New_York", "Asia/Kolkata", None)
+
+
 def _cron(p: DataFrame) -> Column:
     m = F.pmod(F.col("p_size"), F.lit(60)).cast("string")
     h = F.pmod(F.col("p_partkey"), F.lit(24)).cast("string")
     t = F.col("p_type")
-    return (F.when(t == "ECONOMY", F.concat_ws(" ", m, h, F.lit("* * *")))
-            .when(t == "SMALL", F.concat_ws(" ", F.lit("*/15"), h, F.lit("* * 1-5")))
-            .when(t == "MEDIUM", F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("9-17/4 * * *")))
-            .when(t == "LARGE", F.concat_ws(" ", F.lit("0"), h, F.lit("1,15 * *")))
-            .when(t == "PROMO", F.lit("30 6 * * 0,6"))
+    return (F.when((t == "ECONOMY") & (F.col("p_size") % 10 == 0), "@daily")
+            .when(t == "ECONOMY", F.concat_ws(" ", m, h, F.lit("* * *")))
+            .when(t == "SMALL", F.concat_ws(" ", F.lit("*/15"), h, F.lit("* * MON-FRI")))
+            .when(t == "MEDIUM", F.concat_ws(" ", F.col("p_size").cast("string"), F.lit("21-3/2 * * *")))
+            .when(t == "LARGE", F.concat_ws(" ", F.lit("0"), h, F.lit("1,15 jan-JUN *")))
+            .when(t == "PROMO", F.lit("30 6 * * 0,Sat"))
             .otherwise(F.concat_ws(" ", m, h, F.lit("4 * 6"))))
 
 
+def _zone() -> Column:
+    return F.element_at(F.array(*[F.lit(z) for z in ZONES]), (F.pmod("p_partkey", F.lit(len(ZONES))) + 1).cast("int"))
+
+
 def _sched_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     return p.select(
@@ -135,7 +142,7 @@ def _sched_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """deployed(name, command, schedule, timezone, target, schedule_key)."""
     b = _sched_base(spark, sf_dir).filter(F.col("p_size") <= 40)
-    return b.select("name", "command", "schedule", F.lit("UTC").alias("timezone"),
+    return b.select("name", "command", "schedule", _zone().alias("timezone"),
                     F.lit("prod").alias("target"), F.col("p_partkey").alias("schedule_key"))
 
 
@@ -161,6 +168,42 @@ def scheduler_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.lit("/start")).alias("uri"))
 
 
+# ---------------------------------------------------------------- B-hot
+# Fixed derivation of rows with a hot key: the first two kinds of five go to key 0, all within
+# the hour from 2024-01-10 08:00, the third has no key; the others keep their own.
+def hot_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events as starts (schedule_key, run_ts, start_id): views and clicks are of key 0 and
+    lie in one hour, signups have no key."""
+    ev = table(spark, sf_dir, "events")
+    hot = F.col("event_type").isin("view", "click")
+    hour = F.lit("2024-01-10 08:00:00").cast("timestamp_ntz")
+    key = F.when(hot, F.lit(0).cast("bigint")).when(F.col("event_type") != "signup", F.col("user_id").cast("bigint"))
+    ts = F.when(hot, hour + F.make_dt_interval(secs=F.pmod("event_id", F.lit(3600)))).otherwise(F.col("ts"))
+    return ev.select(key.alias("schedule_key"), ts.alias("run_ts"), F.col("event_id").alias("start_id"), "event_type")
+
+
+def hot_fires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as fires (schedule_key, fire_ts): one a second or more of key 0 in the hot hour,
+    some without a key, the others of their customer in January 2024."""
+    o = table(spark, sf_dir, "orders")
+    hot, none = F.col("o_orderkey") % 5 < 2, F.col("o_orderkey") % 5 == 2
+    key = F.when(hot, F.lit(0).cast("bigint")).when(~none, F.col("o_custkey").cast("bigint"))
+    base = F.when(hot, F.lit("2024-01-10 08:00:00")).otherwise(F.lit("2024-01-01 00:00:00")).cast("timestamp_ntz")
+    secs = F.when(hot, F.pmod("o_orderkey", F.lit(3600))).otherwise(F.pmod(F.col("o_orderkey") * 37, F.lit(2_592_000)))
+    return o.select(key.alias("schedule_key"), (base + F.make_dt_interval(secs=secs)).alias("fire_ts")).distinct()
+
+
+def hot_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as status writes (run_id, seq, ts, run_status, priority) with the same hot key."""
+    o = table(spark, sf_dir, "orders")
+    hot, none = F.col("o_orderkey") % 5 < 2, F.col("o_orderkey") % 5 == 2
+    key = F.when(hot, F.lit(0).cast("bigint")).when(~none, F.col("o_custkey").cast("bigint"))
+    hour = F.lit("1998-01-10 08:00:00").cast("timestamp_ntz")
+    ts = F.when(hot, hour + F.make_dt_interval(secs=F.pmod("o_orderkey", F.lit(600)))).otherwise(F.col("o_orderdate"))
+    return o.select(key.alias("run_id"), F.col("o_orderkey").alias("seq"), ts.alias("ts"),
+                    _status(F.col("o_orderstatus")).alias("run_status"), F.col("o_orderpriority").alias("priority"))
+
+
 # ---------------------------------------------------------------- B-graph
 # Fixed derivation of a pipeline graph from parts: node p_partkey, parent
 # floor(p_partkey / 2) for keys above 1 (a binary tree with roots 0 and 1).

@@ -296,9 +296,36 @@ def fire_adherence(spark, sf_dir):
 
 @register
 def retry_attempts(spark, sf_dir):
-    ev = B.table(spark, sf_dir, "events")
-    fires = ev.filter(F.col("event_type") == "error")
-    return S.retry_attempts(fires, ev, "user_id", ["ts", "event_id"], "ts", "event_id")
+    """The expanded fires and the events that started runs, two tables."""
+    fires = S.expand_schedules(B.deployed(spark, sf_dir), *HORIZON).select("schedule_key", "fire_ts")
+    starts = B.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("schedule_key"), F.col("ts").alias("run_ts"), F.col("event_id").alias("start_id"))
+    return S.retry_attempts(fires, starts, "schedule_key")
+
+
+#: A key of more rows than this is cut into rank ranges in the queries with a hot key.
+HOT_RANGE_ROWS = 1000
+
+
+@register
+def hot_adherence(spark, sf_dir):
+    """J8 where two fifths of the rows have one key and lie in one hour, and some have no key."""
+    found = S.fire_adherence(B.hot_fires(spark, sf_dir), B.hot_starts(spark, sf_dir), "schedule_key", rows=HOT_RANGE_ROWS)
+    return found.select("schedule_key", "fire_ts", "first_run_ts", F.col("delay_s").cast("double").alias("delay_s"), "status")
+
+
+@register
+def hot_retries(spark, sf_dir):
+    """J9 with the same hot key: many starts within two minutes of every fire."""
+    return S.retry_attempts(B.hot_fires(spark, sf_dir), B.hot_starts(spark, sf_dir), "schedule_key", rows=HOT_RANGE_ROWS)
+
+
+@register
+def hot_transitions(spark, sf_dir):
+    """W3 with the same hot key."""
+    writes = B.hot_writes(spark, sf_dir).drop("priority")
+    t = R.status_transitions(writes, rows=HOT_RANGE_ROWS)
+    return t.withColumn("secs_in_status", F.col("secs_in_status").cast("double"))
 
 
 @register
@@ -487,6 +514,28 @@ def snapshot_history(spark, sf_dir):
     return H.snapshot_from_changelog(o, "o_custkey", "o_orderdate", "o_orderkey", ["o_orderstatus", "o_orderpriority"])
 
 
+@register
+def hot_snapshot(spark, sf_dir):
+    """W6 with two fifths of the changes under one key within one hour, and a null key."""
+    v = H.snapshot_from_changelog(B.hot_writes(spark, sf_dir), "run_id", "ts", "seq", ["run_status", "priority"], rows=HOT_RANGE_ROWS)
+    return v
+
+
+@register
+def snapshot_step(spark, sf_dir):
+    """W6 as a step: the customers of every second nation have moved to the next one, those
+    of nation 7 are gone; open rows of customers without a balance have a null key."""
+    c = B.table(spark, sf_dir, "customer")
+    key = F.when(F.col("c_custkey") != 1, F.col("c_custkey"))
+    start = F.lit("2023-06-01").cast("timestamp_ntz")
+    history = c.select(key.alias("k"), "c_nationkey", "c_mktsegment", start.alias("valid_from"),
+                       F.when(F.col("c_custkey") % 11 == 0, F.lit("2023-09-01").cast("timestamp_ntz")).alias("valid_to"))
+    moved = F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey"))
+    current = c.filter(F.col("c_nationkey") != 7).select(
+        key.alias("k"), F.when(F.col("c_custkey") != 1, moved).otherwise(F.col("c_nationkey")).alias("c_nationkey"), "c_mktsegment")
+    return H.snapshot(current, history, "k", ["c_nationkey", "c_mktsegment"], "2024-01-01").withColumn("k", F.col("k").cast("double"))
+
+
 def result_lines(spark, sf_dir):
     """lineitem rows written as node-result log lines (fixed format):
     '<line> of 7 <OK|PASS|FAIL q> model_<part> ..... [<SUCCESS q|PASS|FAIL q> in <price/100>s]'"""

@@ -201,8 +201,8 @@ ORACLES["status_compaction"] = _with(B_STATE) + """
 SELECT run_id, run_status, user_command, log_starting_byte FROM run_state
 """
 
-ORACLES["status_transitions"] = _with(B_STATE) + """
-, t AS (
+TRANSITIONS = """
+t AS (
   SELECT run_id, seq, ts, run_status,
     lag(run_status) OVER (PARTITION BY run_id ORDER BY ts, seq) AS prev_status,
     lead(ts) OVER (PARTITION BY run_id ORDER BY ts, seq) AS next_ts
@@ -215,6 +215,7 @@ SELECT t.run_id, t.seq, t.ts, t.run_status, t.prev_status, t.next_ts,
        ELSE a.a_prev IS NOT NULL END AS allowed
 FROM t LEFT JOIN allowed a ON t.prev_status = a.a_prev AND t.run_status = a.a_cur
 """
+ORACLES["status_transitions"] = _with(B_STATE, TRANSITIONS)
 
 ORACLES["status_pivot"] = _with(B_STATE) + """
 , g AS (
@@ -244,16 +245,17 @@ B_SCHED = """
 sched_base AS (
   SELECT p_partkey, p_size, p_type, p_name || '-' || CAST(p_partkey AS VARCHAR) AS name,
     'run --select ' || replace(lower(p_brand), 'brand#', 'model_') AS command,
-    CASE p_type
-      WHEN 'ECONOMY' THEN CAST(p_size % 60 AS VARCHAR) || ' ' || CAST(p_partkey % 24 AS VARCHAR) || ' * * *'
-      WHEN 'SMALL' THEN '*/15 ' || CAST(p_partkey % 24 AS VARCHAR) || ' * * 1-5'
-      WHEN 'MEDIUM' THEN CAST(p_size AS VARCHAR) || ' 9-17/4 * * *'
-      WHEN 'LARGE' THEN '0 ' || CAST(p_partkey % 24 AS VARCHAR) || ' 1,15 * *'
-      WHEN 'PROMO' THEN '30 6 * * 0,6'
-      ELSE CAST(p_size % 60 AS VARCHAR) || ' ' || CAST(p_partkey % 24 AS VARCHAR) || ' 4 * 6' END AS schedule
+    CASE WHEN p_type = 'ECONOMY' AND p_size % 10 = 0 THEN '@daily'
+         WHEN p_type = 'ECONOMY' THEN CAST(p_size % 60 AS VARCHAR) || ' ' || CAST(p_partkey % 24 AS VARCHAR) || ' * * *'
+         WHEN p_type = 'SMALL' THEN '*/15 ' || CAST(p_partkey % 24 AS VARCHAR) || ' * * MON-FRI'
+         WHEN p_type = 'MEDIUM' THEN CAST(p_size AS VARCHAR) || ' 21-3/2 * * *'
+         WHEN p_type = 'LARGE' THEN '0 ' || CAST(p_partkey % 24 AS VARCHAR) || ' 1,15 jan-JUN *'
+         WHEN p_type = 'PROMO' THEN '30 6 * * 0,Sat'
+         ELSE CAST(p_size % 60 AS VARCHAR) || ' ' || CAST(p_partkey % 24 AS VARCHAR) || ' 4 * 6' END AS schedule
   FROM part),
 deployed AS (
-  SELECT name, command, schedule, 'UTC' AS timezone, 'prod' AS target, p_partkey AS schedule_key
+  SELECT name, command, schedule, ['UTC', 'Europe/Paris', 'America/New_York', 'Asia/Kolkata', NULL][p_partkey % 5 + 1] AS timezone,
+    'prod' AS target, p_partkey AS schedule_key, p_type, p_size
   FROM sched_base WHERE p_size <= 40),
 requested AS (
   SELECT name, CASE p_type WHEN 'PROMO' THEN replace(command, 'run ', 'build ')
@@ -338,37 +340,81 @@ FROM jobs WHERE starts_with(description, '[schedule job] ') AND state = 'ENABLED
 """
 
 
-def _cron_field(f: str, lo: int, hi: int) -> str:
-    base = "split_part(it, '/', 1)"
-    return f"""list_sort(list_distinct(flatten(list_transform(string_split({f}, ','), lambda it:
-      generate_series(
-        CASE WHEN {base} = '*' THEN {lo} ELSE CAST(split_part({base}, '-', 1) AS INTEGER) END,
-        CASE WHEN {base} = '*' THEN {hi}
-             WHEN strpos({base}, '-') > 0 THEN CAST(split_part({base}, '-', 2) AS INTEGER)
-             WHEN strpos(it, '/') > 0 THEN {hi}
-             ELSE CAST(split_part({base}, '-', 1) AS INTEGER) END,
-        CASE WHEN strpos(it, '/') > 0 THEN CAST(split_part(it, '/', 2) AS INTEGER) ELSE 1 END)))))"""
-
-
-FIRES = f"""
+# What each derived cron text means, written down by part type rather than parsed.
+FIRES = """
 cron AS (
-  SELECT *, {_cron_field("split_part(schedule, ' ', 1)", 0, 59)} AS c_min,
-    {_cron_field("split_part(schedule, ' ', 2)", 0, 23)} AS c_hour,
-    {_cron_field("split_part(schedule, ' ', 3)", 1, 31)} AS c_day,
-    {_cron_field("split_part(schedule, ' ', 4)", 1, 12)} AS c_month,
-    list_transform({_cron_field("split_part(schedule, ' ', 5)", 0, 7)}, lambda x: x % 7) AS c_wday,
-    starts_with(split_part(schedule, ' ', 3), '*') OR starts_with(split_part(schedule, ' ', 5), '*') AS any_star
+  SELECT *, p_type = 'ECONOMY' AND p_size % 10 = 0 AS daily,
+    CASE WHEN p_type = 'ECONOMY' AND p_size % 10 = 0 THEN [0]
+         WHEN p_type = 'SMALL' THEN [0, 15, 30, 45] WHEN p_type = 'MEDIUM' THEN [p_size]
+         WHEN p_type = 'LARGE' THEN [0] WHEN p_type = 'PROMO' THEN [30] ELSE [p_size % 60] END AS c_min,
+    CASE WHEN p_type = 'ECONOMY' AND p_size % 10 = 0 THEN [0]
+         WHEN p_type = 'MEDIUM' THEN [21, 23, 1, 3] WHEN p_type = 'PROMO' THEN [6] ELSE [schedule_key % 24] END AS c_hour
   FROM deployed),
-days AS (SELECT CAST(d AS DATE) AS d FROM generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) g(d)),
+days AS (SELECT CAST(d AS DATE) AS d FROM generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-02', INTERVAL 1 DAY) g(d)),
 fire_days AS (
   SELECT c.*, days.d FROM cron c, days
-  WHERE list_contains(c.c_month, month(days.d))
-    AND CASE WHEN c.any_star THEN list_contains(c.c_day, day(days.d)) AND list_contains(c.c_wday, dayofweek(days.d))
-             ELSE list_contains(c.c_day, day(days.d)) OR list_contains(c.c_wday, dayofweek(days.d)) END),
-fires AS (
-  SELECT name, schedule, schedule_key, command,
-    CAST(d AS TIMESTAMP) + to_hours(CAST(h AS BIGINT)) + to_minutes(CAST(m AS BIGINT)) AS fire_ts
-  FROM (SELECT *, unnest(c_hour) AS h FROM fire_days) x, unnest(x.c_min) AS u(m))
+  WHERE CASE c.p_type WHEN 'SMALL' THEN dayofweek(days.d) BETWEEN 1 AND 5
+                      WHEN 'LARGE' THEN day(days.d) IN (1, 15) AND month(days.d) BETWEEN 1 AND 6
+                      WHEN 'PROMO' THEN dayofweek(days.d) IN (0, 6)
+                      WHEN 'ECONOMY' THEN true WHEN 'MEDIUM' THEN true
+                      ELSE day(days.d) = 4 OR dayofweek(days.d) = 6 END),
+local_fires AS (
+  SELECT name, schedule, schedule_key, command, coalesce(timezone, 'UTC') AS zone,
+    CAST(d AS TIMESTAMP) + to_hours(CAST(h AS BIGINT)) + to_minutes(CAST(m AS BIGINT)) AS local_ts
+  FROM (SELECT *, unnest(c_hour) AS h FROM fire_days) x, unnest(x.c_min) AS u(m)),
+fires AS MATERIALIZED (
+  SELECT name, schedule, schedule_key, command, fire_ts
+  FROM (SELECT *, timezone('UTC', timezone(zone, local_ts)) AS fire_ts FROM local_fires)
+  WHERE fire_ts >= TIMESTAMP '2024-01-01' AND fire_ts < TIMESTAMP '2024-01-31')
+"""
+
+# As-of: a run belongs to the fire that lies at or before it and has no later one before the run.
+ADHERENCE = """
+next_fires AS MATERIALIZED (
+  SELECT schedule_key, fire_ts, lead(fire_ts) OVER (PARTITION BY schedule_key ORDER BY fire_ts) AS next_ts
+  FROM (SELECT DISTINCT schedule_key, fire_ts FROM fires)),
+matched AS (
+  SELECT f.schedule_key, f.fire_ts, min(r.run_ts) AS first_run_ts
+  FROM next_fires f JOIN runs r ON coalesce(r.schedule_key, -1) = coalesce(f.schedule_key, -1)
+   AND r.run_ts >= f.fire_ts AND r.run_ts < coalesce(f.next_ts, TIMESTAMP '9999-01-01')
+  GROUP BY f.schedule_key, f.fire_ts)
+SELECT f.schedule_key, f.fire_ts, m.first_run_ts,
+  CAST(CAST(floor(epoch(m.first_run_ts)) AS BIGINT) - CAST(floor(epoch(f.fire_ts)) AS BIGINT) AS DOUBLE) AS delay_s,
+  CASE WHEN m.first_run_ts IS NOT NULL THEN 'ran' ELSE 'missed' END AS status
+FROM next_fires f LEFT JOIN matched m ON f.schedule_key IS NOT DISTINCT FROM m.schedule_key AND f.fire_ts = m.fire_ts
+"""
+
+RETRIES = """
+tries AS (
+  SELECT f.schedule_key, f.fire_ts, r.start_id, r.run_ts,
+    row_number() OVER (PARTITION BY f.schedule_key, f.fire_ts ORDER BY r.run_ts, r.start_id) AS attempt
+  FROM (SELECT DISTINCT schedule_key, fire_ts FROM fires) f JOIN runs r ON coalesce(r.schedule_key, -1) = coalesce(f.schedule_key, -1)
+   AND r.run_ts >= f.fire_ts AND r.run_ts <= f.fire_ts + INTERVAL 120 SECOND)
+SELECT schedule_key, fire_ts, attempt, start_id, run_ts, epoch_us(run_ts) - epoch_us(fire_ts) AS delay_us
+FROM tries WHERE attempt <= 3
+"""
+
+B_HOT = """
+runs AS MATERIALIZED (
+  SELECT CASE WHEN event_type IN ('view', 'click') THEN 0 WHEN event_type <> 'signup' THEN user_id END AS schedule_key,
+    CASE WHEN event_type IN ('view', 'click') THEN TIMESTAMP '2024-01-10 08:00:00' + to_seconds(CAST(event_id % 3600 AS BIGINT))
+         ELSE ts END AS run_ts, event_id AS start_id
+  FROM events),
+fires AS MATERIALIZED (
+  SELECT DISTINCT CASE WHEN o_orderkey % 5 < 2 THEN 0 WHEN o_orderkey % 5 > 2 THEN o_custkey END AS schedule_key,
+    CASE WHEN o_orderkey % 5 < 2 THEN TIMESTAMP '2024-01-10 08:00:00' + to_seconds(CAST(o_orderkey % 3600 AS BIGINT))
+         ELSE TIMESTAMP '2024-01-01' + to_seconds(CAST((o_orderkey * 37) % 2592000 AS BIGINT)) END AS fire_ts
+  FROM orders)
+"""
+
+B_HOT_WRITES = """
+status_ev AS (
+  SELECT CASE WHEN o_orderkey % 5 < 2 THEN 0 WHEN o_orderkey % 5 > 2 THEN o_custkey END AS run_id, o_orderkey AS seq,
+    CASE WHEN o_orderkey % 5 < 2 THEN TIMESTAMP '1998-01-10 08:00:00' + to_seconds(CAST(o_orderkey % 600 AS BIGINT))
+         ELSE o_orderdate END AS ts,
+    CASE o_orderstatus WHEN 'P' THEN 'running' WHEN 'O' THEN 'success' WHEN 'F' THEN 'failed' END AS run_status,
+    o_orderpriority AS priority
+  FROM orders)
 """
 
 ORACLES["expand_cron"] = _with(B_SCHED, FIRES) + """
@@ -383,25 +429,12 @@ SELECT f.name, f.fire_ts, 'base-' || f.name AS base_run_id, 'scheduled' AS run_s
 FROM fires f
 """
 
-ORACLES["fire_adherence"] = _with(B_SCHED, FIRES) + """
-, runs AS (SELECT user_id AS schedule_key, ts AS run_ts FROM events),
-matched AS (
-  SELECT r.schedule_key, f.fire_ts, min(r.run_ts) AS first_run_ts
-  FROM runs r ASOF JOIN fires f ON r.schedule_key = f.schedule_key AND r.run_ts >= f.fire_ts
-  GROUP BY r.schedule_key, f.fire_ts)
-SELECT f.schedule_key, f.fire_ts, m.first_run_ts,
-  CAST(CAST(floor(epoch(m.first_run_ts)) AS BIGINT) - CAST(floor(epoch(f.fire_ts)) AS BIGINT) AS DOUBLE) AS delay_s,
-  CASE WHEN m.first_run_ts IS NOT NULL THEN 'ran' ELSE 'missed' END AS status
-FROM fires f LEFT JOIN matched m ON f.schedule_key = m.schedule_key AND f.fire_ts = m.fire_ts
-"""
-
-ORACLES["retry_attempts"] = """
-WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)
-SELECT f.user_id, f.event_id AS fire_event_id, CAST(a.rn - f.rn AS BIGINT) AS attempt,
-  a.event_id AS attempt_event_id, epoch_us(a.ts) - epoch_us(f.ts) AS delay_us
-FROM e f JOIN e a ON a.user_id = f.user_id AND a.rn BETWEEN f.rn + 1 AND f.rn + 3
-WHERE f.event_type = 'error' AND a.ts <= f.ts + INTERVAL 120 SECOND
-"""
+_RUNS = "runs AS (SELECT user_id AS schedule_key, ts AS run_ts, event_id AS start_id FROM events)"
+ORACLES["fire_adherence"] = _with(B_SCHED, FIRES, _RUNS, ADHERENCE)
+ORACLES["retry_attempts"] = _with(B_SCHED, FIRES, _RUNS, RETRIES)
+ORACLES["hot_transitions"] = _with(B_HOT_WRITES, TRANSITIONS)
+ORACLES["hot_adherence"] = _with(B_HOT, ADHERENCE)
+ORACLES["hot_retries"] = _with(B_HOT, RETRIES)
 
 ORACLES["command_parse"] = _with(B_SCHED) + """
 , a AS (SELECT name, command, schedule, string_split(trim(command), ' ') AS args FROM requested),
@@ -624,6 +657,38 @@ SELECT o_custkey, row_number() OVER w AS version, o_orderstatus, o_orderpriority
 FROM v WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 """
 
+ORACLES["hot_snapshot"] = _with(B_HOT_WRITES) + """
+, o AS (
+  SELECT *, row_number() OVER w AS rn, lag(run_status) OVER w AS p_status, lag(priority) OVER w AS p_prio
+  FROM status_ev WINDOW w AS (PARTITION BY run_id ORDER BY ts, seq)),
+v AS (SELECT * FROM o WHERE rn = 1 OR run_status IS DISTINCT FROM p_status OR priority IS DISTINCT FROM p_prio)
+SELECT run_id, row_number() OVER w AS version, run_status, priority, ts AS valid_from, lead(ts) OVER w AS valid_to,
+  lead(ts) OVER w IS NULL AS is_current, seq AS from_seq
+FROM v WINDOW w AS (PARTITION BY run_id ORDER BY ts, seq)
+"""
+
+ORACLES["snapshot_step"] = """
+WITH h AS (
+  SELECT CASE WHEN c_custkey <> 1 THEN c_custkey END AS k, c_nationkey, c_mktsegment,
+    CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '2023-09-01' END AS valid_to FROM customer),
+c AS (
+  SELECT CASE WHEN c_custkey <> 1 THEN c_custkey END AS k,
+    CASE WHEN c_custkey <> 1 AND c_nationkey % 2 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS c_nationkey, c_mktsegment
+  FROM customer WHERE c_nationkey <> 7),
+open_rows AS (SELECT * FROM h WHERE valid_to IS NULL),
+rows AS (
+  SELECT k, c_nationkey, c_mktsegment, TIMESTAMP '2023-06-01' AS valid_from, valid_to FROM h WHERE valid_to IS NOT NULL
+  UNION ALL
+  SELECT o.k, o.c_nationkey, o.c_mktsegment, TIMESTAMP '2023-06-01',
+    CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.k IS NOT DISTINCT FROM o.k AND c.c_nationkey = o.c_nationkey) THEN NULL
+         ELSE TIMESTAMP '2024-01-01' END
+  FROM open_rows o
+  UNION ALL
+  SELECT c.k, c.c_nationkey, c.c_mktsegment, TIMESTAMP '2024-01-01', NULL FROM c
+  WHERE NOT EXISTS (SELECT 1 FROM open_rows o WHERE o.k IS NOT DISTINCT FROM c.k AND o.c_nationkey = c.c_nationkey))
+SELECT CAST(k AS DOUBLE) AS k, c_nationkey, c_mktsegment, valid_from, valid_to FROM rows
+"""
+
 ORACLES["node_results"] = """
 WITH l AS (
   SELECT date_trunc('day', l_shipdate) AS day, l_linenumber, l_partkey, l_returnflag,

@@ -121,7 +121,7 @@ def test_cron_day_rule(spark, rule, expected):
 
 def test_cron_fields(spark):
     df = spark.createDataFrame([("*/15 9-17/4 1,15 * 0,7",)], "s string")
-    r = df.select(cron.parse_cron(F.col("s")).alias("c")).first()["c"]
+    r = cron.parse_cron(df, "s").first()
     assert r["minute"] == [0, 15, 30, 45] and r["hour"] == [9, 13, 17]
     assert r["day"] == [1, 15] and r["month"] == list(range(1, 13)) and r["weekday"] == [0]
 
@@ -228,7 +228,7 @@ def test_settings_functions(spark):
 
 def test_cron_step_forms(spark):
     df = spark.createDataFrame([("5/20 1-5/2 */10 2-3 1-5",)], "s string")
-    r = df.select(cron.parse_cron(F.col("s")).alias("c")).first()["c"]
+    r = cron.parse_cron(df, "s").first()
     assert r["minute"] == [5, 25, 45] and r["hour"] == [1, 3, 5]
     assert r["day"] == [1, 11, 21, 31] and r["month"] == [2, 3] and r["weekday"] == [1, 2, 3, 4, 5]
     assert r["day_star"] and not r["weekday_star"]  # a field starting with * counts as unrestricted

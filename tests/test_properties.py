@@ -169,7 +169,8 @@ def test_cron_forms(spark):
     texts = ["0 9 * * MON-FRI", "0 9 1 JAN *", "0 22-2 * * *", "@daily", "*/20 5 * * 7", "0 0 * * FRI-MON",
              "*/0 * * * *", "0 9 * *", "61 0 * * *", "a b c d e", "", None]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = [r["c"] for r in rows.select("i", parse_cron(F.col("t")).alias("c")).orderBy("i").collect()]
+    parsed = {r["t"]: r for r in parse_cron(rows, "t").collect()}
+    got = [parsed[t] if parsed[t]["ok"] else None for t in texts]
     assert got[0]["weekday"] == [1, 2, 3, 4, 5] and got[1]["month"] == [1] and got[2]["hour"] == [0, 1, 2, 22, 23]
     assert got[3]["minute"] == [0] and got[3]["hour"] == [0] and got[3]["day_star"]
     assert got[4]["minute"] == [0, 20, 40] and got[4]["weekday"] == [0]
