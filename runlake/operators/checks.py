@@ -92,3 +92,35 @@ def profile(df: DataFrame, approx: bool = True) -> DataFrame:
     return a.selectExpr("n_rows", expr).select(
         "column", "n_rows", "n_nulls", F.col("n_distinct").cast("bigint").alias("n_distinct"),
         "min_num", "max_num", "min_str", "max_str")
+
+
+#: Standard error of the distinct counts of ``profile_sketches`` (2 ** 12 registers).
+SKETCH_BITS, DISTINCT_ERROR = 12, 0.0163
+
+
+def profile_sketches(df: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """Mergeable profile: one row per value of ``parts`` and column with rows, nulls, a
+    HyperLogLog sketch of the distinct values, and the least and greatest value (numbers as
+    double, others as text). Stored once per part of the data (a day, a run), the rows of any
+    set of parts add up by ``merge_profiles`` without another look at the data."""
+    numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+    columns = [(c, t in numeric or t.startswith("decimal")) for c, t in df.dtypes if c not in parts]
+    aggs, stack = [F.count(F.lit(1)).alias("n_rows")], []
+    for i, (c, is_num) in enumerate(columns):
+        text = F.col(c).cast("string")
+        edge = F.col(c).cast("double") if is_num else text
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"n{i}"), F.hll_sketch_agg(text, F.lit(SKETCH_BITS)).alias(f"s{i}"),
+                 F.min(edge).alias(f"lo{i}"), F.max(edge).alias(f"hi{i}")]
+        none = "CAST(NULL AS STRING), CAST(NULL AS STRING)" if is_num else "CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)"
+        stack.append(f"'{c}', n{i}, s{i}, " + (f"lo{i}, hi{i}, {none}" if is_num else f"{none}, lo{i}, hi{i}"))
+    return df.groupBy(*parts).agg(*aggs).selectExpr(
+        *parts, "n_rows", f"stack({len(columns)}, {', '.join(stack)}) as (column, n_nulls, sketch, min_num, max_num, min_str, max_str)")
+
+
+def merge_profiles(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The profile of all parts together (per ``by``): distinct counts are estimates with the
+    standard error ``DISTINCT_ERROR``, the rest is exact."""
+    return sketches.groupBy(*by, "column").agg(
+        F.sum("n_rows").alias("n_rows"), F.sum("n_nulls").alias("n_nulls"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"), F.min("min_num").alias("min_num"),
+        F.max("max_num").alias("max_num"), F.min("min_str").alias("min_str"), F.max("max_str").alias("max_str"))

@@ -17,6 +17,17 @@ def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     return df.orderBy(*order).limit(k)
 
 
+def first_match(wanted: DataFrame, candidates: DataFrame, key: str, rank: Sequence[str]) -> DataFrame:
+    """Of every wanted key the first of its candidates by ``rank`` (a total order), all their
+    columns; null where it has none. One aggregation, combined map-side: no sort of a key's
+    candidates. A null key has the candidates of the null key."""
+    rest = [c for c in candidates.columns if c != key]
+    best = (candidates.groupBy(F.struct(F.col(key).alias("k")).alias("__key"))
+            .agg(F.min_by(F.struct(*rest), F.struct(*rank)).alias("__best")))
+    found = wanted.withColumn("__key", F.struct(F.col(key).alias("k"))).join(best, "__key", "left")
+    return found.select(*wanted.columns, *[F.col(f"__best.{c}").alias(c) for c in rest])
+
+
 def slowest_nodes(results: DataFrame, group: str | Sequence[str], k: int,
                   elapsed: str = "elapsed", tiebreak: Sequence[str] = ("node",)) -> DataFrame:
     """Top ``k`` results per group by elapsed time (desc), ties by ``tiebreak``;

@@ -9,6 +9,7 @@ The driver only sees whether the frontier is empty.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -25,11 +26,11 @@ MANIFEST_SCHEMA = ("struct<nodes: map<string, struct<resource_type: string, name
                    "config: map<string, string>>>>")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Manifest JSON file(s) -> nodes(node_id, resource_type, name, root_path,
     depends_on, config). Parsed with a fixed schema (inference would make one
-    column per node id); each file is one document."""
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", MANIFEST_SCHEMA).alias("m"))
+    column per node id); each file is one document, or each line (``per_line``)."""
+    doc = spark.read.text(path, wholetext=not per_line).select(F.from_json("value", MANIFEST_SCHEMA).alias("m"))
     n = doc.select(F.explode("m.nodes").alias("node_id", "n"))
     return n.select("node_id", "n.resource_type", "n.name", "n.root_path",
                     F.coalesce(F.col("n.depends_on.nodes"), F.array().cast("array<string>")).alias("depends_on"),
@@ -120,37 +121,134 @@ def skipped(edges: DataFrame, failed: DataFrame) -> DataFrame:
     return closure(edges, failed, "down")
 
 
-def dag_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
+class CycleError(RuntimeError):
+    """The graph has a cycle; ``nodes`` are some of those on it."""
+
+    def __init__(self, nodes: list[str]):
+        super().__init__(f"the graph has a cycle through {', '.join(map(str, nodes))}")
+        self.nodes = nodes
+
+
+def _peel(ids: DataFrame, e: DataFrame, src: str, dst: str) -> list[DataFrame]:
+    """Rounds of nodes whose neighbours over ``src`` are all peeled, the round's number as
+    ``level``. Every edge is followed once; what a round hands on is the table of nodes that
+    still wait for some of their edges."""
+    degree = e.groupBy(F.col(dst).alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
+    frontier = _ckpt(ids.join(degree, "node_id", "left_anti").withColumn("level", F.lit(0)))
+    rounds, waiting, level = [], None, 0
+    while not frontier.isEmpty():
+        rounds.append(frontier)
+        level += 1
+        reached = (frontier.select(F.col("node_id").alias(src)).join(e, src)
+                   .groupBy(F.col(dst).alias("node_id")).agg(F.count(F.lit(1)).alias("n")))
+        if waiting is None:
+            now = reached.join(degree, "node_id").select("node_id", (F.col("degree") - F.col("n")).alias("left"))
+        else:
+            new = reached.join(waiting, "node_id", "left_anti").join(degree, "node_id").select("node_id", F.col("degree").alias("left"))
+            both = waiting.unionByName(new).unionByName(reached.select("node_id", (-F.col("n")).alias("left")))
+            now = both.groupBy("node_id").agg(F.sum("left").alias("left"))
+        now = _ckpt(now)
+        frontier = now.filter(F.col("left") == 0).select("node_id", F.lit(level).alias("level"))
+        waiting = now.filter(F.col("left") > 0)
+    return rounds
+
+
+def dag_levels(nodes: DataFrame, edges: DataFrame, on_cycle: str = "raise") -> DataFrame:
     """Level of every node = length of the longest path from a root (a node
     without parents).
 
-    Round k holds the distinct nodes that some path of exactly k edges
-    reaches from a root; round k+1 is their children. A node's level is the
-    last round it appears in. Each round is one join of a checkpointed
-    frontier with the edges. A frontier that never empties means a cycle
-    reachable from a root: more rounds than nodes raises. Nodes reachable
-    only through an unrooted cycle get a null level."""
+    In-degree peeling: a node leaves, with the round's number as its level, when
+    all its parents have left; rounds are bounded by the depth. Nodes that never
+    leave lie on a cycle or behind one: ``on_cycle='raise'`` raises ``CycleError``
+    with nodes on the cycle, ``'null'`` gives them a null level. Edges of nodes
+    that are not in ``nodes`` count as those of a node that never leaves, so only
+    edges between known nodes are looked at."""
+    checkpoint_dir(nodes.sparkSession)
+    ids, e = _graph(nodes, edges)
+    rounds = _peel(ids, e, "parent_id", "child_id")
+    levels = ids.join(_union(rounds, like=ids.withColumn("level", F.lit(0))), "node_id", "left")
+    if on_cycle == "raise" and not levels.filter(F.col("level").isNull()).isEmpty():
+        raise CycleError([r["node_id"] for r in _on_cycles(ids, e, rounds).orderBy("node_id").limit(10).collect()])
+    return levels
+
+
+def _graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct node ids, and the distinct edges between them, written once."""
+    ids = _ckpt(nodes.select("node_id").distinct())
+    e = edges.select("parent_id", "child_id").distinct()
+    for end in ("parent_id", "child_id"):
+        e = e.join(ids.select(F.col("node_id").alias(end)), end, "left_semi")
+    return ids, _ckpt(e.select("parent_id", "child_id"))
+
+
+def _on_cycles(ids: DataFrame, e: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """Of the nodes that peeling left over, those that peeling from the other end leaves too."""
+    left = ids.join(_union(rounds, like=ids).select("node_id"), "node_id", "left_anti")
+    inner = e
+    for end in ("parent_id", "child_id"):
+        inner = inner.join(left.select(F.col("node_id").alias(end)), end, "left_semi")
+    left, inner = _ckpt(left), _ckpt(inner.select("parent_id", "child_id"))
+    back = _peel(left, inner, "child_id", "parent_id")
+    return left.join(_union(back, like=left).select("node_id"), "node_id", "left_anti")
+
+
+def cycle_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes (node_id) on a cycle, or between two cycles."""
+    checkpoint_dir(nodes.sparkSession)
+    ids, e = _graph(nodes, edges)
+    return _on_cycles(ids, e, _peel(ids, e, "parent_id", "child_id"))
+
+
+_SELECTOR = re.compile(r"(?:(\d*)(\+))?([^+\s]+?)(?:(\+)(\d*))?")
+#: Stands for no bound on the depth of a walk.
+UNBOUNDED = 1 << 30
+
+
+def parse_selectors(texts: str | Sequence[str]) -> list[tuple[str, int, int]]:
+    """(name, steps up, steps down) of selectors: ``name``, ``+name`` (and all it needs),
+    ``name+`` (and all that need it), ``2+name``, ``name+1``; a text may hold several."""
+    out = []
+    for word in " ".join([texts] if isinstance(texts, str) else texts).split():
+        m = _SELECTOR.fullmatch(word)
+        if m is None:
+            raise ValueError(f"not a selector: {word!r}")
+        up = int(m[1]) if m[1] else UNBOUNDED if m[2] else 0
+        down = int(m[5]) if m[5] else UNBOUNDED if m[4] else 0
+        out.append((m[3], up, down))
+    return out
+
+
+def select_with_graph(nodes: DataFrame, edges: DataFrame, selectors: str | Sequence[str]) -> DataFrame:
+    """The nodes that any of the selectors names or reaches (``parse_selectors``); ``*`` in a
+    name stands for any text.
+
+    One walk serves all selectors and both sides: its state is (node, side, steps left),
+    with the most steps any selector leaves at that node, so a node is expanded again only
+    when a selector reaches it with more steps to go. What has been seen is one compacted
+    table."""
     spark = nodes.sparkSession
     checkpoint_dir(spark)
-    e = edges.select("parent_id", "child_id").distinct().persist(StorageLevel.MEMORY_AND_DISK)
-    ids = nodes.select("node_id").distinct()
-    roots = ids.join(e.select(F.col("child_id").alias("node_id")), "node_id", "left_anti")
-    frontier = _ckpt(roots.withColumn("level", F.lit(0)))
-    rounds = [frontier]
-    limit = max_rounds if max_rounds is not None else ids.count() + 1
-    level = 0
+    wanted = parse_selectors(selectors)
+    if not wanted:
+        return nodes.limit(0)
+    rows = [("^" + ".*".join(map(re.escape, name.split("*"))) + "$", up, down) for name, up, down in wanted]
+    table = F.broadcast(spark.createDataFrame(rows, "__pattern string, __up int, __down int"))  # a row per selector given
+    hit = nodes.select("node_id", "name").join(table, F.expr("name RLIKE __pattern"))
+    seen = hit.select("node_id", F.explode(F.array(F.struct(F.lit("up").alias("side"), F.col("__up").alias("left")),
+                                                   F.struct(F.lit("down").alias("side"), F.col("__down").alias("left")))).alias("s"))
+    seen = _ckpt(seen.groupBy("node_id", "s.side").agg(F.max("s.left").alias("left")))
+    e = edges.select("parent_id", "child_id").distinct()
+    e = _ckpt(e.select(F.col("child_id").alias("node_id"), F.lit("up").alias("side"), F.col("parent_id").alias("to"))
+              .unionByName(e.select(F.col("parent_id").alias("node_id"), F.lit("down").alias("side"), F.col("child_id").alias("to"))))
+    frontier = seen
     while True:
-        level += 1
-        if level > limit:
-            raise RuntimeError("dag_levels: graph has a cycle reachable from a root")
-        nxt = (frontier.join(e, frontier["node_id"] == e["parent_id"])
-               .select(F.col("child_id").alias("node_id")).distinct()
-               .withColumn("level", F.lit(level)))
-        nxt = _ckpt(nxt)
-        if nxt.isEmpty():
-            break
-        rounds.append(nxt)
-        frontier = nxt
-    e.unpersist()
-    levels = _union(rounds).groupBy("node_id").agg(F.max("level").alias("level"))
-    return ids.join(levels, "node_id", "left")
+        reached = (frontier.filter(F.col("left") > 0).join(e, ["node_id", "side"])
+                   .select(F.col("to").alias("node_id"), "side", (F.when(F.col("left") == UNBOUNDED, UNBOUNDED)
+                                                                  .otherwise(F.col("left") - 1)).alias("left"))
+                   .groupBy("node_id", "side").agg(F.max("left").alias("left")))
+        old = seen.select("node_id", "side", F.col("left").alias("__old"))
+        frontier = _ckpt(reached.join(old, ["node_id", "side"], "left")
+                         .filter(F.col("__old").isNull() | (F.col("left") > F.col("__old"))).drop("__old"))
+        if frontier.isEmpty():
+            return nodes.join(seen.select("node_id").distinct(), "node_id", "left_semi")
+        seen = _ckpt(seen.unionByName(frontier).groupBy("node_id", "side").agg(F.max("left").alias("left")))

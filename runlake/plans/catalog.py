@@ -55,11 +55,14 @@ def flatten_newlines(spark, sf_dir):
 @register
 def json_fields(spark, sf_dir):
     """fields of JSON text. Each event's props (``{"k": n}``) gives k, and
-    the event written as a JSON log event (level, msg) is read back."""
+    the event written as a JSON log event (level, msg) is read back, those with an
+    even id from the nested form (info.level, info.msg beside data)."""
     ev = B.table(spark, sf_dir, "events")
     k = F.from_json("props", "k bigint")["k"]
     level = F.lower(B.severity_of(F.col("event_type"), F.col("value")))
-    j = LF.json_event(LF.to_json_event(level, F.concat_ws(" ", "event_type", "props")))
+    msg = F.concat_ws(" ", "event_type", "props")
+    nested = F.to_json(F.struct(F.struct("value", "user_id").alias("data"), F.struct(level.alias("level"), msg.alias("msg")).alias("info")))
+    j = LF.json_event(F.when(F.col("event_id") % 2 == 0, nested).otherwise(LF.to_json_event(level, msg)))
     return ev.select("event_id", k.alias("k"), j["level"].alias("level"), j["msg"].alias("msg"))
 
 
@@ -80,6 +83,27 @@ def level_filter(spark, sf_dir):
     return visible.select("run_id", "line_no", "severity", "event_rank", "min_rank")
 
 
+@register
+def hidden_lines(spark, sf_dir):
+    """P5, the other half: lines below their run's level, or whose severity has no rank."""
+    _, hidden = L.split_by_level(_entries(spark, sf_dir), B.run_levels(spark, sf_dir))
+    return hidden.select("run_id", "line_no", "severity")
+
+
+@register
+def override_levels(spark, sf_dir):
+    """Each run's overrides are part of its state record, and its log level comes
+    from there."""
+    from runlake.operators.runs import compact
+    from runlake.sources import state as SST
+    runs = B.run_levels(spark, sf_dir).select(
+        "run_id", F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("build").alias("user_command"),
+        F.map_filter(F.create_map(F.lit("log_level"), F.col("log_level"), F.lit("target"), F.lit("dev")), lambda _, v: v.isNotNull()).alias("overrides"))
+    state = SST.run_overrides(compact(SST.new_run_events(runs), ("run_status", SST.OVERRIDES)))
+    visible, _ = L.split_by_level(_entries(spark, sf_dir), state.select("run_id", "log_level"))
+    return visible.groupBy("run_id", "min_rank").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 @register
 def byte_offsets(spark, sf_dir):
     return L.with_byte_offsets(B.log_lines(spark, sf_dir)).select("run_id", "line_no", "n_bytes", "start_byte")
@@ -387,6 +411,19 @@ def profile_columns(spark, sf_dir):
     return K.profile(_customer_with_nulls(spark, sf_dir), approx=False)
 
 
+@register
+def profile_merged(spark, sf_dir):
+    """A9 from stored sketches of each order year: exact but for the distinct counts, which
+    lie within four standard errors of the exact ones."""
+    o = B.table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    d = scratch_path(spark, "sketches")
+    K.profile_sketches(o, ["year"]).write.partitionBy("year").parquet(d)
+    merged = K.merge_profiles(spark.read.parquet(d))
+    exact = K.profile(o.drop("year"), approx=False).select("column", F.col("n_distinct").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= 4 * K.DISTINCT_ERROR * F.col("exact") + 1
+    return merged.join(exact, "column").select("column", "n_rows", "n_nulls", "min_num", "max_num", "min_str", "max_str", near.alias("near"))
+
+
 # ---------------------------------------------------------------- lineage
 from runlake.operators import lineage as G  # noqa: E402
 
@@ -396,6 +433,45 @@ def dag_levels(spark, sf_dir):
     return G.dag_levels(B.graph_nodes(spark, sf_dir), B.graph_edges(spark, sf_dir))
 
 
+def _cyclic(spark, sf_dir):
+    """The graph with an edge back from node 40 to its parent 20."""
+    return B.graph_edges(spark, sf_dir).unionByName(
+        spark.createDataFrame([("n40", "n20")], "parent_id string, child_id string"))
+
+
+@register
+def dag_levels_cyclic(spark, sf_dir):
+    """B5 with a cycle: its nodes and what lies behind it have no level."""
+    nodes, edges = B.graph_nodes(spark, sf_dir), _cyclic(spark, sf_dir)
+    on_cycle = G.cycle_nodes(nodes, edges).withColumn("on_cycle", F.lit(True))
+    levels = G.dag_levels(nodes, edges, on_cycle="null").join(on_cycle, "node_id", "left")
+    return levels.select("node_id", F.col("level").cast("double").alias("level"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
+
+
+@register
+def graph_selectors(spark, sf_dir):
+    """Selectors with graph operators, one walk for all of them."""
+    nodes = B.graph_nodes(spark, sf_dir).withColumn("name", F.col("node_id"))
+    return G.select_with_graph(nodes, B.graph_edges(spark, sf_dir), ["+n77 2+n150", "n5+", "n9+1 n3 no_such+"]).select("node_id")
+
+
+@register
+def manifest_levels(spark, sf_dir):
+    """Manifests of the graph's nodes (a document a thousand keys), read back into
+    nodes, edges and levels."""
+    d = scratch_path(spark, "manifests")
+    parents = B.graph_edges(spark, sf_dir).groupBy(F.col("child_id").alias("node_id")).agg(F.collect_list("parent_id").alias("nodes"))
+    n = B.graph_nodes(spark, sf_dir).join(parents, "node_id", "left")
+    value = F.struct("resource_type", "name", "root_path", F.struct(F.coalesce("nodes", F.array().cast("array<string>")).alias("nodes"))
+                     .alias("depends_on"), F.create_map(F.lit("materialized"), F.lit("table")).alias("config"))
+    docs = (n.groupBy(F.floor(F.col("p_partkey") / 1000).alias("doc"))
+            .agg(F.map_from_entries(F.collect_list(F.struct(F.col("node_id"), value))).alias("nodes")))
+    docs.select(F.to_json(F.struct("nodes")).alias("value")).write.text(d)
+    nodes = G.read_manifest(spark, d, per_line=True)
+    levels = G.dag_levels(nodes, G.edges_from_nodes(nodes))
+    return levels.join(nodes, "node_id").select("node_id", "level", "resource_type", "root_path", F.col("config")["materialized"].alias("how"))
+
+
 @register
 def skip_propagation(spark, sf_dir):
     failed = B.graph_nodes(spark, sf_dir).filter(F.col("p_size") == 1).select("node_id")
@@ -563,6 +639,15 @@ def node_results(spark, sf_dir):
     return top.select("day", "rank", "idx", "total", "status", "failures", "node", "result", "elapsed")
 
 
+@register
+def first_match(spark, sf_dir):
+    """Of every customer the first urgent order by date, none for some."""
+    o = B.table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1")).select(
+        F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_orderdate")
+    c = B.table(spark, sf_dir, "customer").select("c_custkey")
+    return H.first_match(c, o, "c_custkey", ["o_orderdate", "o_orderkey"]).withColumn("o_orderkey", F.col("o_orderkey").cast("double"))
+
+
 @register
 def top_revenue_runs(spark, sf_dir):
     """Global top 10 runs by total order value (a top-k report)."""
@@ -574,7 +659,9 @@ def top_revenue_runs(spark, sf_dir):
 # ---------------------------------------------------------------- sources, sinks, models
 from runlake.plans import models as M  # noqa: E402
 from runlake.session import scratch_path  # noqa: E402
+from runlake.sources.files import list_artifacts  # noqa: E402
 from runlake.sources import logs as SL  # noqa: E402
+from runlake.sources import objects as SO  # noqa: E402
 from runlake.sources import seeds as SS  # noqa: E402
 from runlake.sources import state as SST  # noqa: E402
 from runlake.sources import tables as STB  # noqa: E402
@@ -628,16 +715,58 @@ def model_chain(spark, sf_dir):
     project = M.Project("chain", CHAIN)
     root = scratch_path(spark, "models")
     for m in CHAIN:
-        M.materialise(spark, m.name, spark.sql(m.sql), M.model_config(m, project), root)
+        M.materialise(spark, m.name, spark.sql(m.sql), M.model_config(m, project), root, m.cluster_by)
     return spark.table("customer_orders")
 
 
+@register
+def run_point_lookup(spark, sf_dir):
+    """The run state as a catalog table clustered by run, one run looked up in it
+    (the scan reads one bucket)."""
+    state = R.compact(B.run_events(spark, sf_dir), B_STATE_FIELDS)
+    table = STB.save_table(state, "run_state_clustered", scratch_path(spark, "tables"), "run_id")
+    return R.get_run(table, 7)
+
+
+@register
+def log_objects_roundtrip(spark, sf_dir):
+    """One text object ``<run id>.txt`` per run, written and read."""
+    d = scratch_path(spark, "objects")
+    SO.write_log_objects(B.log_lines(spark, sf_dir), d)
+    return SL.read_log_text(spark, d).withColumn("run_id", F.col("run_id").cast("bigint"))
+
+
+@register
+def null_removal(spark, sf_dir):
+    """P4 as a model over a relation with nulls."""
+    _customer_with_nulls(spark, sf_dir).createOrReplaceTempView("customer_with_nulls")
+    model = M.Model("customer_known", "SELECT c_custkey, c_nationkey FROM customer_with_nulls WHERE c_nationkey IS NOT NULL")
+    return M.materialise(spark, model.name, spark.sql(model.sql), "view", "")[0]
+
+
+@register
+def object_listing(spark, sf_dir):
+    """Names and sizes of the objects below a folder; nothing is read."""
+    d = scratch_path(spark, "listing")
+    SO.write_log_objects(B.log_lines(spark, sf_dir), d)
+    return list_artifacts(spark, d).select("rel_path", "base_name", "folder", "length")
+
+
+@register
+def seed_listing(spark, sf_dir):
+    """The CSV files of a listing, whatever the case of the suffix."""
+    suffix = F.element_at(F.array(*[F.lit(x) for x in (".csv", ".CSV", ".csv.gz", ".txt")]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    files = B.table(spark, sf_dir, "customer").select(F.concat(F.col("c_name"), suffix).alias("base_name"))
+    return A.seed_files(files)
+
+
 @register
 def clone_check(spark, sf_dir):
     return STB.clone_table(spark, B.table(spark, sf_dir, "region"), scratch_path(spark, "clone"), as_path=True)
 
 
 # ---------------------------------------------------------------- streaming
+from runlake.streaming import growing as SG  # noqa: E402
 from runlake.streaming import streams as SM  # noqa: E402
 
 
@@ -657,17 +786,33 @@ def stream_tail(spark, sf_dir):
     return spark.read.parquet(f"{d}/out").select("run_id", "line_no", "raw")
 
 
+@register
+def tail_growing(spark, sf_dir):
+    """Objects that grow over three rounds; consumer a polls after each of them,
+    consumer b once at the end."""
+    d = scratch_path(spark, "growing")
+    lines = B.log_lines(spark, sf_dir)
+    for upto in (20, 45, None):
+        SO.write_log_objects(lines if upto is None else lines.filter(F.col("line_no") <= upto), f"{d}/objects")
+        SG.poll(spark, f"{d}/objects", f"{d}/a")
+    SG.poll(spark, f"{d}/objects", f"{d}/b")
+    a, b = (SG.read_tail(spark, f"{d}/{c}").withColumn("consumer", F.lit(c)) for c in "ab")
+    return a.unionByName(b).select("consumer", F.col("run_id").cast("bigint").alias("run_id"), "line_no", "raw", "batch")
+
+
 @register
 def stream_status(spark, sf_dir):
     d = scratch_path(spark, "status")
     ev = B.run_events(spark, sf_dir)
     early = ev.filter(F.col("ts") < F.lit("1998-01-01").cast("timestamp_ntz"))
     late = ev.filter(F.col("ts") >= F.lit("1998-01-01").cast("timestamp_ntz"))
-    for part in (early, late):  # two arrivals, in time order
+    for part in (early, late):  # two arrivals, in time order; the changes of the first become the base
         part.repartitionByRange(2, "run_id", "seq").write.mode("append").parquet(f"{d}/src")
-    src = SM.read_stream(spark, f"{d}/src", spark.read.parquet(f"{d}/src").schema, max_files=2)
-    q = SM.stream_state(src, f"{d}/state", f"{d}/cursor")
-    q.awaitTermination()
+        src = SM.read_stream(spark, f"{d}/src", spark.read.parquet(f"{d}/src").schema)
+        q = SM.stream_state(src, f"{d}/state", f"{d}/cursor")
+        q.awaitTermination()
+        if part is early:
+            SM.compact_state(spark, f"{d}/state")
     return SM.state_table(spark, f"{d}/state", B_STATE_FIELDS)
 
 
@@ -710,17 +855,20 @@ def stream_dedup(spark, sf_dir):
 
 @register
 def stream_late(spark, sf_dir):
+    """The windows, and how many rows came behind the watermark."""
     d = scratch_path(spark, "late")
     ev = B.table(spark, sf_dir, "events")
-    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    cut, read = F.lit("2024-01-15").cast("timestamp_ntz"), 0
     for part in (ev.filter(F.col("ts") >= cut), ev.filter(F.col("ts") < cut)):  # the early half arrives late
         part.repartitionByRange(2, "ts", "event_id").write.mode("append").parquet(f"{d}/src")
         # a batch an arrival, whatever its files and their times: the cursor keeps the watermark
         src = SM.event_time(SM.read_stream(spark, f"{d}/src", ev.schema))
         q = SM.stream_counts(src, ["event_type"], "1 hour", None, "1 hour", f"{d}/out", f"{d}/cursor")
         q.awaitTermination()
+        read += SM.input_rows(q)
     r = SM.latest_counts(spark, f"{d}/out", ["event_type"])
-    return r.select(_ntz("window_start"), _ntz("window_end"), "event_type", "n")
+    return r.select(_ntz("window_start"), _ntz("window_end"), "event_type", "n",
+                    F.lit(SM.late_rows(r, read)).cast("bigint").alias("n_late"))
 
 
 BUILD_MODELS = CHAIN + [

@@ -3,24 +3,25 @@
 A model is a record (name, SQL text, materialisation, parents); its SQL
 names parents directly (``ref`` is just the view name). ``build`` works out
 the levels of the project graph with the lineage operators, then runs each
-node as Spark jobs: seeds load, models materialise as a table (written
-Parquet, registered as a view) or a view, checks aggregate. Descendants of a
-failed node are skipped. The driver only loops over node names.
+node as Spark jobs: seeds load, models materialise as a catalog table or a
+view, checks aggregate. Row counts and null checks of tables are observed while
+they are written. Descendants of a failed node are skipped. The driver only
+loops over node names.
 """
 
 from __future__ import annotations
 
 import time
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from runlake.operators import checks as K
 from runlake.operators import lineage as G
 from runlake.sources.seeds import load_seeds
+from runlake.sources.tables import publish, write_version
 
 MATERIALIZATIONS = ("table", "view")
 
@@ -31,6 +32,7 @@ class Model:
     sql: str
     materialized: str | None = None  # None: the project default
     depends_on: tuple[str, ...] = ()
+    cluster_by: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -67,18 +69,21 @@ def model_config(model: Model, project: Project) -> str:
     return m
 
 
-def materialise(spark: SparkSession, name: str, df: DataFrame, how: str, root: str) -> DataFrame:
-    """``table``: write Parquet under ``root/name/<build>`` (a new folder per
-    build, never overwriting what readers may hold) and register the view;
-    ``view``: register the plan as a view."""
-    if how == "table":
-        path = f"{root.rstrip('/')}/{name}/{uuid.uuid4().hex}"
-        df.write.mode("errorifexists").parquet(path)
-        out = spark.read.parquet(path)
-    else:
-        out = df
-    out.createOrReplaceTempView(name)
-    return out
+def materialise(spark: SparkSession, name: str, df: DataFrame, how: str, root: str,
+                cluster_by: tuple[str, ...] = (), not_null: tuple[str, ...] = ()) -> tuple[DataFrame, dict[str, int]]:
+    """``table``: write a version of the catalog table ``name`` below ``root`` and publish
+    it (``sources.tables``); it outlives the session. ``view``: register the plan as a
+    view. Returns the relation and what was observed while a table was written: ``rows``,
+    and the nulls of each column of ``not_null`` under its name; no second scan."""
+    if how == "view":
+        df.createOrReplaceTempView(name)
+        return df, {}
+    seen = Observation()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"),
+                         *[F.count_if(F.col(c).isNull()).alias(f"null {c}") for c in not_null])
+    version = write_version(counted, name, root, cluster_by)
+    found = {k.removeprefix("null "): int(v) for k, v in seen.get.items()}
+    return publish(spark, name, version), found
 
 
 def project_graph(spark: SparkSession, project: Project, seed_names: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -92,9 +97,11 @@ def project_graph(spark: SparkSession, project: Project, seed_names: list[str])
     edges = []
     for m in project.models:
         for p in m.depends_on:
-            edges.append((kind[p], f"model.{m.name}"))
+            if p in kind:  # the model's own SQL fails on a parent that nobody knows
+                edges.append((kind[p], f"model.{m.name}"))
     for c in project.checks:
-        edges.append((kind[c.model], f"test.{c.name}"))
+        if c.model in kind:
+            edges.append((kind[c.model], f"test.{c.name}"))
         for m in project.models:
             if c.model in m.depends_on:
                 edges.append((f"test.{c.name}", f"model.{m.name}"))
@@ -123,41 +130,45 @@ def build(spark: SparkSession, project: Project, root: str, select: list[str] |
     order = [(r["node_id"], r["resource_type"], r["name"]) for r in plan.collect()]
     models = {m.name: m for m in project.models}
     checks = {c.name: c for c in project.checks}
+    parents: dict[str, list[str]] = {}
+    for r in edges.collect():
+        parents.setdefault(r["child_id"], []).append(r["parent_id"])
     total = len(order)
-    failed: list[str] = []
-    skip: set[str] = set()
+    blocked: set[str] = set()  # failed nodes and, as the order reaches them, their descendants
+    nulls: dict[tuple[str, str], int] = {}  # of (model, column), observed while the model was written
     results = []
     for idx, (node_id, rtype, name) in enumerate(order, start=1):
         t0 = time.time()
         failures, rows, status, result = 0, None, "OK", ""
+        required = tuple(c.column for c in project.checks if c.model == name and c.check == "not_null") if rtype != "test" else ()
         try:
-            if node_id in skip:
+            if not blocked.isdisjoint(parents.get(node_id, ())):
                 status, result = "SKIP", "SKIP"
+                blocked.add(node_id)
             elif rtype == "seed":
-                df = materialise(spark, name, seeds[name], "table", root)
-                rows = df.count()
+                _, seen = materialise(spark, name, seeds[name], "table", root, not_null=required)
+                rows = seen["rows"]
                 result = f"INSERT {rows}"
             elif rtype == "model":
                 m = models[name]
                 how = model_config(m, project)
-                df = materialise(spark, name, spark.sql(m.sql), how, root)
-                if how == "table":
-                    rows = df.count()
-                    result = f"SELECT {rows}"
-                else:
-                    result = "CREATE VIEW"
+                _, seen = materialise(spark, name, spark.sql(m.sql), how, root, m.cluster_by, required)
+                rows = seen.get("rows")
+                result = f"SELECT {rows}" if how == "table" else "CREATE VIEW"
             else:
                 c = checks[name]
-                r = K.run_checks({c.model: spark.table(c.model)}, [(c.model, c.column, c.check)]).first()
-                failures = int(r["failures"])
+                if (c.model, c.column) in nulls and c.check == "not_null":
+                    failures = nulls[c.model, c.column]
+                else:
+                    failures = int(K.run_checks({c.model: spark.table(c.model)}, [(c.model, c.column, c.check)]).first()["failures"])
                 status = "PASS" if failures == 0 else f"FAIL {failures}"
                 result = status
-        except PySparkException as e:  # of this node; the others go on
+            if rtype != "test" and rows is not None:
+                nulls.update({(name, c): seen[c] for c in required})
+        except (PySparkException, ValueError, KeyError) as e:  # of this node; the others go on
             status, result = "ERROR", f"ERROR {str(e).splitlines()[0]}"
         if failures or status == "ERROR":
-            failed.append(node_id)
-            fs = spark.createDataFrame([(f,) for f in failed], "node_id string")
-            skip = {r2["node_id"] for r2 in G.skipped(edges, fs).select("node_id").collect()}
+            blocked.add(node_id)
         results.append((idx, total, node_id, rtype, status, failures, rows, result,
                         round(time.time() - t0, 2)))
     return spark.createDataFrame(results, RESULTS_SCHEMA)

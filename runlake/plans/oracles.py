@@ -139,6 +139,25 @@ LEFT JOIN sev r ON upper(COALESCE(l.log_level, 'info')) = r.name
 WHERE s.registered_rank >= COALESCE(r.registered_rank, 20)
 """
 
+ORACLES["hidden_lines"] = _with(B_LOG, SEVERITY_DIM, RUN_LEVELS) + """
+SELECT e.run_id, e.line_no, e.severity
+FROM entries e
+LEFT JOIN sev s ON upper(e.severity) = s.name
+LEFT JOIN levels l ON e.run_id = l.run_id
+LEFT JOIN sev r ON upper(COALESCE(l.log_level, 'info')) = r.name
+WHERE NOT coalesce(s.registered_rank >= COALESCE(r.registered_rank, 20), false)
+"""
+
+ORACLES["override_levels"] = _with(B_LOG, SEVERITY_DIM, RUN_LEVELS) + """
+SELECT e.run_id, CAST(COALESCE(r.registered_rank, 20) AS INTEGER) AS min_rank, count(*) AS n_lines
+FROM entries e
+LEFT JOIN sev s ON upper(e.severity) = s.name
+LEFT JOIN levels l ON e.run_id = l.run_id
+LEFT JOIN sev r ON upper(COALESCE(l.log_level, 'info')) = r.name
+WHERE s.registered_rank >= COALESCE(r.registered_rank, 20)
+GROUP BY 1, 2
+"""
+
 ORACLES["byte_offsets"] = _with(B_LOG, OFFSETS) + """
 SELECT run_id, line_no, n_bytes, start_byte FROM offs
 """
@@ -727,6 +746,21 @@ WITH recent_orders AS (
 SELECT c.c_custkey, c.c_mktsegment, r.id FROM recent_orders r
 JOIN customer c ON c.c_custkey = r.o_custkey WHERE c.c_mktsegment = 'BUILDING'
 """
+ORACLES["null_removal"] = _with(CUST_NULLS) + "SELECT c_custkey, c_nationkey FROM cust WHERE c_nationkey IS NOT NULL"
+ORACLES["object_listing"] = _with(B_LOG) + """
+SELECT CAST(run_id AS VARCHAR) || '.txt' AS rel_path, CAST(run_id AS VARCHAR) || '.txt' AS base_name, '' AS folder,
+  CAST(sum(strlen(raw) + 1) AS BIGINT) AS length
+FROM lines GROUP BY run_id
+"""
+ORACLES["seed_listing"] = """
+SELECT c_name || ['.csv', '.CSV', '.csv.gz', '.txt'][c_custkey % 4 + 1] AS base_name FROM customer WHERE c_custkey % 4 < 2
+"""
+ORACLES["first_match"] = """
+SELECT c_custkey, CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderdate
+FROM customer LEFT JOIN (
+  SELECT o_custkey, o_orderkey, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth
+  FROM orders WHERE starts_with(o_orderpriority, '1')) o ON o_custkey = c_custkey AND nth = 1
+"""
 ORACLES["clone_check"] = "SELECT * FROM region"
 
 # ---------------------------------------------------------------- streaming (batch equivalents)
@@ -753,9 +787,63 @@ SELECT * FROM g
 ORACLES["stream_dedup"] = "SELECT DISTINCT user_id, event_type, date_trunc('hour', ts) AS hour FROM events"
 ORACLES["stream_late"] = """
 SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
-  event_type, count(*) AS n
+  event_type, count(*) AS n, (SELECT count(*) FROM events WHERE ts < TIMESTAMP '2024-01-15') AS n_late
 FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1, 2, 3
 """
+ORACLES["tail_growing"] = _with(B_LOG) + """
+SELECT 'a' AS consumer, run_id, line_no, raw,
+  CAST(CASE WHEN line_no <= 20 THEN 0 WHEN line_no <= 45 THEN 1 ELSE 2 END AS BIGINT) AS batch FROM lines
+UNION ALL SELECT 'b', run_id, line_no, raw, 0 FROM lines
+"""
+ORACLES["log_objects_roundtrip"] = _with(B_LOG) + "SELECT CAST(run_id AS BIGINT) AS run_id, line_no, raw FROM lines"
+ORACLES["run_point_lookup"] = _with(B_STATE) + "SELECT run_id, run_status, user_command, log_starting_byte FROM run_state WHERE run_id = 7"
+
+ORACLES["dag_levels_cyclic"] = "WITH RECURSIVE " + _with(B_GRAPH)[5:] + """
+, behind(node_id) AS (
+  SELECT 'n20' UNION SELECT e.child_id FROM behind b JOIN gedges e ON e.parent_id = b.node_id),
+lv(node_id, level) AS (
+  SELECT node_id, 0 FROM gnodes WHERE node_id NOT IN (SELECT child_id FROM gedges)
+  UNION ALL
+  SELECT e.child_id, lv.level + 1 FROM lv JOIN gedges e ON e.parent_id = lv.node_id)
+SELECT node_id, CASE WHEN node_id NOT IN (SELECT node_id FROM behind) THEN CAST(max(level) AS DOUBLE) END AS level,
+  node_id IN ('n20', 'n40') AS on_cycle
+FROM lv GROUP BY node_id
+"""
+
+ORACLES["graph_selectors"] = "WITH RECURSIVE " + _with(B_GRAPH)[5:] + """
+, up(node_id, left_) AS (
+  SELECT * FROM (VALUES ('n77', 99), ('n150', 2))
+  UNION SELECT e.parent_id, up.left_ - 1 FROM up JOIN gedges e ON e.child_id = up.node_id WHERE up.left_ > 0),
+down(node_id, left_) AS (
+  SELECT * FROM (VALUES ('n5', 99), ('n9', 1))
+  UNION SELECT e.child_id, down.left_ - 1 FROM down JOIN gedges e ON e.parent_id = down.node_id WHERE down.left_ > 0)
+SELECT node_id FROM gnodes
+WHERE node_id IN (SELECT node_id FROM up UNION ALL SELECT node_id FROM down) OR node_id = 'n3'
+"""
+
+ORACLES["manifest_levels"] = "WITH RECURSIVE " + _with(B_GRAPH)[5:] + """
+, lv(node_id, level) AS (
+  SELECT node_id, 0 FROM gnodes WHERE node_id NOT IN (SELECT child_id FROM gedges)
+  UNION ALL
+  SELECT e.child_id, lv.level + 1 FROM lv JOIN gedges e ON e.parent_id = lv.node_id)
+SELECT g.node_id, CAST(max(level) AS INTEGER) AS level, any_value(resource_type) AS resource_type,
+  any_value(root_path) AS root_path, 'table' AS how
+FROM lv JOIN gnodes g ON g.node_id = lv.node_id GROUP BY g.node_id
+"""
+
+
+def _merged(col: str, numeric: bool) -> str:
+    lo = f"CAST(min({col}) AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    hi = f"CAST(max({col}) AS DOUBLE)" if numeric else "CAST(NULL AS DOUBLE)"
+    text = f"strftime({col}, '%Y-%m-%d %H:%M:%S')" if col == "o_orderdate" else f"CAST({col} AS VARCHAR)"
+    los, his = ("CAST(NULL AS VARCHAR)",) * 2 if numeric else (f"min({text})", f"max({text})")
+    return (f"SELECT '{col}' AS column, count(*) AS n_rows, count(*) FILTER (WHERE {col} IS NULL) AS n_nulls, "
+            f"{lo} AS min_num, {hi} AS max_num, {los} AS min_str, {his} AS max_str, true AS near FROM orders")
+
+
+ORACLES["profile_merged"] = " UNION ALL ".join([
+    _merged("o_orderkey", True), _merged("o_custkey", True), _merged("o_orderstatus", False), _merged("o_totalprice", True),
+    _merged("o_orderdate", False), _merged("o_orderpriority", False)])
 
 ORACLES["project_build"] = """
 WITH recent_orders AS (

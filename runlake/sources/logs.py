@@ -52,8 +52,8 @@ def write_log_text(lines: DataFrame, path: str, partitions: int | None = None) -
     """log_lines as text: a ``run_id=<id>`` folder per run, lines in order.
     Range partitioning on (run_id, line_no) splits a huge run over several
     tasks whose part files follow each other in name order."""
-    n = partitions or lines.sparkSession.sparkContext.defaultParallelism
-    (lines.repartitionByRange(n, "run_id", "line_no").sortWithinPartitions("run_id", "line_no")
+    n = [partitions] if partitions else []  # else as adaptive execution sizes them
+    (lines.repartitionByRange(*n, "run_id", "line_no").sortWithinPartitions("run_id", "line_no")
      .select("run_id", "raw").write.partitionBy("run_id").text(path))
 
 
@@ -94,7 +94,7 @@ def append_log_lines(lines: DataFrame, path: str, partitions: int | None = None)
     partitioning on (run_date, run_id, line_no) writes few files per date,
     each sorted by run (row-group stats prune run lookups), and splits a hot
     run over several tasks."""
-    n = partitions or lines.sparkSession.sparkContext.defaultParallelism
+    n = [partitions] if partitions else []
     (lines.select("run_id", "line_no", "raw", "run_date")
-     .repartitionByRange(n, "run_date", "run_id", "line_no")
+     .repartitionByRange(*n, "run_date", "run_id", "line_no")
      .write.mode("append").partitionBy("run_date").parquet(path))

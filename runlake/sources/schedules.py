@@ -8,12 +8,11 @@ REQUESTED_SCHEMA = "name string, command string, schedule string"
 
 
 def read_schedule_specs(spark: SparkSession, path: str) -> DataFrame:
-    """A YAML file (small, read on the driver) or a JSON-lines/Parquet table
-    of (name, command, schedule) read by Spark."""
+    """A YAML document, or a JSON-lines/Parquet table of (name, command, schedule); all are
+    read by Spark, from any store it knows. The one YAML document is parsed on the driver."""
     if path.endswith((".yaml", ".yml")):
         import yaml
-        with open(path) as f:
-            spec = yaml.safe_load(f) or {}
+        spec = yaml.safe_load(spark.read.text(path, wholetext=True).first()["value"]) or {}
         rows = [(name, v.get("command"), v.get("schedule")) for name, v in spec.items()]
         return spark.createDataFrame(rows, REQUESTED_SCHEMA)
     if path.endswith((".json", ".jsonl")):

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from runlake.operators.ordinal import ordinal
 from runlake.operators.runs import LIVE_STATUSES, compact
+from runlake.streaming.growing import committed
 
 
 def _trigger(writer, trigger: str | None):
@@ -38,30 +38,6 @@ def read_stream(spark: SparkSession, path: str, schema: StructType, glob: str |
     return r.parquet(path)
 
 
-def tail_text_logs(spark: SparkSession, path: str, sink: str, checkpoint: str,
-                   trigger: str | None = None) -> StreamingQuery:
-    """G1 over the runner's own layout, one text object ``<run_id>.txt`` per
-    run: each new object is read once (a file source never splits a file
-    across micro-batches), its lines numbered in object order inside
-    ``foreachBatch`` (where the batch is a static DataFrame) and written to
-    ``sink/batch=<id>`` as log_lines. Appends to an object already read are
-    not seen by a file source: live runs should write new objects or use the
-    Parquet sink."""
-    df = spark.readStream.option("recursiveFileLookup", "true").text(path).select(
-        F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+?)(\.txt)?$", 1).alias("run_id"),
-        F.struct(F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("__block"),
-        F.col("value").alias("raw"))
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        b = batch.withColumn("__pos", F.monotonically_increasing_id())
-        b = ordinal(b, "run_id", [F.col("__block"), F.col("__pos")], F.col("__block"), "line_no")
-        (b.select("run_id", "line_no", "raw", F.lit(batch_id).cast("bigint").alias("batch_id"))
-         .write.mode("overwrite").parquet(f"{sink}/batch={batch_id:012d}"))
-
-    w = df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return _trigger(w, trigger).start()
-
-
 def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): reinterpret the UTC wall
     clock as an instant in the (UTC) session zone."""
@@ -82,7 +58,8 @@ def follow(spark: SparkSession, source: str, schema: StructType, sink: str, chec
     terminal. Each poll drains what arrived (``availableNow``) with this
     consumer's cursor, then reads the run's status; only ``pending`` and
     ``running`` keep the tail going (so does a run with no state yet), any
-    other status ends it after a last drain. Returns the number of polls."""
+    other status ends it after a last drain. Returns the number of polls; raises
+    TimeoutError when ``max_polls`` did not reach the end."""
     polls = 0
     while True:
         polls += 1
@@ -92,7 +69,7 @@ def follow(spark: SparkSession, source: str, schema: StructType, sink: str, chec
         if st is not None and st["run_status"] not in LIVE_STATUSES:
             return polls
         if max_polls is not None and polls >= max_polls:
-            return polls
+            raise TimeoutError(f"run {run_id} was still live after {polls} polls")
         time.sleep(poll_seconds)
 
 
@@ -115,10 +92,39 @@ def stream_state(events: DataFrame, target: str, checkpoint: str, trigger: str |
     return _trigger(w, trigger).start()
 
 
+def compact_state(spark: SparkSession, target: str) -> int:
+    """Fold the changes of ``stream_state`` into a base: the last write per (run, field) up to
+    the last finished batch, as ``<target>-base/batch=<id>``. Its success marker is the switch:
+    readers take the newest finished base and the changes after it, so what they read follows
+    the size of the state, and one that began before the switch keeps what it read. Returns the
+    batch the base reaches to (-1: no changes yet). Older folders stay until they are vacuumed."""
+    last = committed(target.rsplit("/", 1)[0], target.rsplit("/", 1)[1])
+    if last >= 0 and last > _base(target):
+        (_changes(spark, target).filter(F.col("batch") <= last).groupBy("run_id", "field")
+         .agg(F.max_by(F.struct("seq", "ts", "value", "batch_id"), "batch_id").alias("w"))
+         .select("run_id", "field", "w.seq", "w.ts", "w.value", "w.batch_id")
+         .write.mode("overwrite").parquet(f"{target}-base/batch={last:012d}"))
+    return last
+
+
+def _base(target: str) -> int:
+    head, name = target.rsplit("/", 1)
+    return committed(head, f"{name}-base")
+
+
+def _changes(spark: SparkSession, target: str) -> DataFrame:
+    """The newest base and the changes after it; ``batch`` is the folder's number."""
+    base = _base(target)
+    changes = spark.read.parquet(target).withColumn("batch", F.col("batch").cast("long")).filter(F.col("batch") > base)
+    if base < 0:
+        return changes
+    folder = f"{target}-base/batch={base:012d}"
+    return changes.unionByName(spark.read.parquet(folder).withColumn("batch", F.lit(base).cast("long")))
+
+
 def state_table(spark: SparkSession, target: str, fields: Sequence[str]) -> DataFrame:
     """Current run state: the latest emitted row per (run, field), pivoted."""
-    changes = spark.read.parquet(target)
-    last = (changes.groupBy("run_id", "field")
+    last = (_changes(spark, target).groupBy("run_id", "field")
             .agg(F.max_by(F.struct("seq", "ts", "value"), "batch_id").alias("w"))
             .select("run_id", "w.seq", "w.ts", "field", "w.value"))
     return compact(last, fields)
@@ -128,9 +134,10 @@ def stream_counts(entries: DataFrame, keys: Sequence[str], size: str, slide: str
                   target: str, checkpoint: str, ts: str = "ts", trigger: str | None = None) -> StreamingQuery:
     """Tumbling (or sliding) window counts per key with a watermark, in
     update mode: every micro-batch appends the windows it changed, tagged with
-    its batch id; ``latest_counts`` keeps the last value per window."""
+    its batch id; ``latest_counts`` keeps the last value per window. The rows that
+    come in are observed (``input_rows``)."""
     win = F.window(ts, size, slide) if slide else F.window(ts, size)
-    agg = (entries.withWatermark(ts, delay).groupBy(win.alias("window"), *keys)
+    agg = (entries.observe(INPUT, F.count(F.lit(1)).alias("rows")).withWatermark(ts, delay).groupBy(win.alias("window"), *keys)
            .agg(F.count(F.lit(1)).alias("n")))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -142,6 +149,22 @@ def stream_counts(entries: DataFrame, keys: Sequence[str], size: str, slide: str
     return _trigger(w, trigger).start()
 
 
+#: The observation of the rows a stream reads.
+INPUT = "input"
+
+
+def input_rows(query: StreamingQuery) -> int:
+    """Rows that a finished ``stream_counts`` query has read, late ones among them (of its last
+    ``spark.sql.streaming.numRecentProgressUpdates`` micro-batches)."""
+    return sum(p.observedMetrics[INPUT]["rows"] for p in query.recentProgress if INPUT in p.observedMetrics)
+
+
+def late_rows(counts: DataFrame, read: int) -> int:
+    """Of ``read`` input rows those that are in none of the (tumbling) windows: they came
+    behind the watermark."""
+    return read - (counts.agg(F.sum("n")).first()[0] or 0)
+
+
 def latest_counts(spark: SparkSession, target: str, keys: Sequence[str]) -> DataFrame:
     d = spark.read.parquet(target)
     return (d.groupBy("window_start", "window_end", *keys)
