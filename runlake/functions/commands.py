@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed values of the runner's command and naming conventions.
+# Flags of the runner's commands, and this library's own default names.
 SELECT_FLAG = "--select"
 SELECT_EQ_TOKEN = "--select="
 ALL_NODES = "*"

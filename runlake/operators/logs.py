@@ -159,7 +159,7 @@ def ordered_log(lines: DataFrame, state: DataFrame | None = None,
     return out
 
 
-# The job's own end markers (the docs' "END JOB" is never written).
+# The end markers that this library takes by default (the docs' "END JOB" is never written).
 FINISH_MESSAGE = "[job] job finished"
 SUCCESS_MESSAGE = "[job] Command successfully executed"
 

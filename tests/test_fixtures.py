@@ -184,8 +184,8 @@ def test_manifest_nodes_edges_and_seed_root(spark):
 def test_dag_levels_rejects_rooted_cycle(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "node_id string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "parent_id string, child_id string")
-    with pytest.raises(RuntimeError):
-        G.dag_levels(nodes, edges, max_rounds=10)
+    with pytest.raises(G.CycleError):
+        G.dag_levels(nodes, edges)
     assert {r["node_id"] for r in G.closure(edges, nodes.filter("node_id = 'a'")).collect()} == {"b", "c"}
 
 
