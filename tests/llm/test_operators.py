@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
@@ -68,7 +69,11 @@ def test_encoder_equals_the_library(name):
     texts = [t or "" for t in TEXTS] + odd
     coder = encoder(name)
     ids, at = coder.encode(pa.array(texts))
-    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    library.encode_special_tokens = True  # as the vocabularies' README sets it
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == want
     assert coder.encode(pa.array([], pa.string()))[1].tolist() == [0]
 
@@ -278,6 +283,28 @@ def test_contamination(spark, docs, empty, block):
     assert len(none) == len(rows) and not any(r["spans"] for r in none)
 
 
+def test_a_passage_of_many_items_in_many_documents():
+    """A third of 10,000 documents and all of 1000 items hold one passage: items are listed per
+    document, in bounded parts, not per hit."""
+    from runlake.llm import decontam as D
+    passage = [f"p{i}" for i in range(60)]
+    block = D.Block([(i, [w.encode() for w in [f"own{i}", *passage]]) for i in range(1000)])
+    assert len(block.item_at) - 1 == 1001 and len(block.set_of) == len(block.windows) == 1051
+    r = np.random.default_rng(1)
+    texts = [" ".join([*r.choice(["x", "y", "p3"], 5), *(passage if i % 3 == 0 else ()), "z"]) for i in range(10_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(range(10_000)), pa.array(range(10_000)), pa.array(texts)],
+                                       ["rid_file", "rid_row", "doc_id", "text"])
+    runs = list(D._runs(iter([batch]), block))
+    counts = {k: np.ones(len(v), np.int64) for k, v in block.shingles.items()}
+    seen, largest = 0, 0
+    for part in D._match(iter(runs), block, block.index(counts)):
+        largest = max(largest, len(part.column(5).flatten()))
+        for doc, spans, items in zip(part.column(2).to_pylist(), part.column(4).to_pylist(), part.column(5)):
+            seen += 1
+            assert len(items) == (1000 if doc % 3 == 0 else 0) and [(s["first"], s["last"]) for s in spans] == [(5, 65)] * (doc % 3 == 0)
+    assert seen == 10_000 and largest <= D.HELD
+
+
 # ------------------------------------------------------------------ 1, 3, 4, 6
 def test_url_rules(spark):
     from runlake.llm.catalog import URL_PATTERNS, URL_RULES
@@ -424,6 +451,41 @@ def test_network_gradients():
         v[i] = old
 
 
+def test_network_equals_loops():
+    """The forward pass against one written word by word and unit by unit."""
+    from runlake.llm import toxicity as X
+    net = X.Network(3)
+    texts = [b"one two three two", b"", b"alpha " * 40, b"word" + b" other words here" * 9]
+    batch = X.Batch(texts)
+    windows, best = net.score(batch)
+    ws = X.Words(batch.distinct)
+    vectors = net.vectors(ws).astype(np.float64)
+    p, h = {k: v.astype(np.float64) for k, v in net.p.items()}, X.HIDDEN
+    sig = lambda a: 1 / (1 + np.exp(-a))
+
+    def pass_over(xs, d):
+        state, out = np.zeros(h), []
+        for x in xs:
+            a, u = x @ p["W" + d] + p["b" + d], state @ p["U" + d]
+            new = np.empty(h)
+            for i in range(h):
+                z, r = sig(a[i] + u[i]), sig(a[h + i] + u[h + i])
+                c = math.tanh(a[2 * h + i] + r * u[2 * h + i])
+                new[i] = (1 - z) * c + z * state[i]
+            state = new
+            out.append(state)
+        return out
+
+    for k, window in enumerate(batch.windows):
+        xs = [vectors[w - 1] for w in window if w]
+        both = [np.concatenate(s) for s in zip(pass_over(xs, "f"), pass_over(xs[::-1], "b")[::-1])]
+        weight = [math.exp(sum(math.tanh(sum(s * a)) * v for a, v in zip(p["A"].T, p["v"]))) for s in both]
+        pooled = sum((w / sum(weight) * s for w, s in zip(weight, both)), np.zeros(2 * h))
+        assert abs(pooled @ p["o"] + p["c"][0] - windows[k]) < 1e-4
+    assert [max(windows[batch.doc == i]) for i in range(len(texts))] == best.tolist()
+    assert X.window_starts(100).tolist() == [*range(0, 68, X.STEP), 68] and X.STEP <= 8
+
+
 def test_toxicity(spark, docs, empty):
     from runlake.llm.toxicity import score_documents, train
     r = np.random.default_rng(5)
