@@ -171,6 +171,9 @@ def expand_schedules(schedules: DataFrame, start: str, end: str, day_rule: str =
         zones = known_zones(schedules.sparkSession).select(F.col("timezone").alias("__zone"))
         d = d.join(F.broadcast(zones), d["timezone"] == zones["__zone"], "left")  # about 600 rows
         d = d.filter(F.col("__zone").isNotNull() | F.col("timezone").isNull())
+    # a schedule grows to thousands of fires: deal the short table out first, by a number that
+    # adaptive execution, which sees its bytes only, does not lower
+    d = d.repartition(int(schedules.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # explode_outer + null filter: a plain explode lets the optimizer infer a
     # size(__days) > 0 filter and push the whole parse below the distinct.
     d = (d.withColumn("__day", F.explode_outer("__days")).withColumn("__h", F.explode_outer("__hours"))
