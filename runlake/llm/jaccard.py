@@ -22,8 +22,8 @@ when 4 * intersection >= 3 * union, that is when their sets differ in at most
 * Groups of near copies: keys first offer their members one leader (the most central
   class, then one that differs by key); linked members unite, and only pairs of
   different components are candidates after that. Members that share a leader (the
-  pivot) are measured against what most of them hold, which rules out nearly all pairs
-  that the leader did not unite by counts alone. Every candidate left is
+  pivot), near or not, are measured against what most of them hold: counts alone, and the
+  rarest of what they hold besides, rule out nearly all pairs that the leader did not unite. Every candidate left is
   verified, so no link between components is lost.
 * Verification intersects the two whole sets.
 
@@ -310,8 +310,10 @@ def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
     half of the group have, more = s \\ L and less = L \\ s. r and s differ in the symmetric
     differences of their mores and of their lesses. So either they share a shingle that L
     has not, or |more_r| + |more_s| + ||less_r| - |less_s|| must not exceed the largest
-    difference of a link. The second is joined by counts (cells of equal more and less), so
-    members that cannot link are never enumerated."""
+    difference of a link. The first is a prefix-filtered join: the rarest of a member's
+    shared extras, less the overlap that every partner must have, bounded by the counts.
+    The second is joined by counts (cells of equal more and less). So members that cannot
+    link are hardly enumerated. Any grouping is right; a group of near copies is cheap."""
     own = pivot.select(F.col("pivot").alias("cls")).distinct().withColumn("pivot", F.col("cls"))
     # a pivot may itself have another pivot: it then stands in both groups
     group = pivot.select("cls", "pivot").unionByName(own).distinct().join(members, "cls")
@@ -321,28 +323,48 @@ def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
     held = group.join(sets, "cls").select("pivot", "cls", "label", "size", F.explode("tokens").alias("token"))
     token = (held.groupBy("pivot", "token").agg(F.count("*").alias("c"), F.first("size").alias("size"),
                                                 F.min("label").alias("l"), F.max("label").alias("h"))
-             .select("pivot", "token", (2 * F.col("c") > F.col("size")).alias("usual"), (F.col("l") != F.col("h")).alias("several")))
+             .select("pivot", "token", "c", (2 * F.col("c") > F.col("size")).alias("usual"), (F.col("l") != F.col("h")).alias("several")))
     usual = token.filter("usual").groupBy("pivot").agg(F.count("*").alias("usual"))
     each = (held.select("pivot", "cls", "label", "token").join(token, ["pivot", "token"]).groupBy("pivot", "cls", "label")
             .agg(F.count("*").cast("int").alias("n"), F.count_if("usual").cast("int").alias("kept"),
-                 F.collect_list(F.when(F.col("several") & ~F.col("usual"), F.col("token"))).alias("extra"))  # part of the set
+                 F.sort_array(F.collect_list(F.when(F.col("several") & ~F.col("usual"), F.struct("c", "token")))).alias("extra"))  # part of the set
             .join(usual, "pivot", "left"))
     group = stored(each.select("pivot", "cls", "label", "n", (F.col("n") - F.col("kept")).alias("more"),
                                (F.coalesce("usual", F.lit(0)) - F.col("kept")).cast("int").alias("less"), "extra"), "pivot-counts")
     cell = ["pivot", "label", "n", "more", "less"]
     side = lambda t, x: t.select("pivot", *[F.col(c).alias(f"{c}_{x}") for c in t.columns if c != "pivot"])
-    cells, rows = group.select(*cell).distinct(), group.select(*cell, "cls")
+    # more_r alone must not exceed the largest difference, n_r / 3
+    few = group.filter("3 * more <= n")
+    cells, rows = few.select(*cell).distinct(), few.select(*cell, "cls")
     near = side(cells, "r").join(side(cells, "s"), "pivot").filter(
         "label_r < label_s and 7 * (more_r + more_s + abs(less_r - less_s)) <= n_r + n_s")
     on = lambda x: ["pivot", *[f"{c}_{x}" for c in cell[1:]]]
     close = near.join(side(rows, "r"), on("r")).join(side(rows, "s"), on("s")).select(*_pair("cls_r", "cls_s"))
-    extra = group.select("pivot", "cls", "label", F.explode("extra").alias("token"))
+    # partners of r share at least more_r - n_r / 3 of its extras, so one of its rarest others plus one
+    needed = F.greatest(F.lit(1), F.ceil(F.col("more") - F.col("n") / 3)).cast("int")
+    held_back = F.greatest(F.lit(0), F.size("extra") - needed + 1).cast("int")
+    extra = group.select(*cell, "cls", F.size("extra").alias("own"), F.posexplode(F.slice("extra", F.lit(1), held_back)).alias("nth", "e"))
+    # of two that share extras, the first shared one has all others behind it on both sides
+    extra = extra.select(*cell, "cls", (F.col("own") - F.col("nth")).alias("rest"), F.col("e.token").alias("token"))
     share = (side(extra, "r").withColumnRenamed("token_r", "token")
              .join(side(extra, "s").withColumnRenamed("token_s", "token"), ["pivot", "token"])
-             .filter("label_r < label_s").select(*_pair("cls_r", "cls_s")))
+             .filter("label_r < label_s and 7 * (more_r + more_s - 2 * least(rest_r, rest_s) + abs(less_r - less_s)) <= n_r + n_s")
+             .select(*_pair("cls_r", "cls_s")))
     return close.unionByName(share).distinct()
 
 
+def _one_group(pivot: DataFrame) -> DataFrame:
+    """Groups (cls, pivot) from (cls, pivot, near): pivots that are near to pivots of their own
+    are taken as one, so that a large group's members meet by counts and rare extras, and not
+    by the keys of several pivots."""
+    chain = pivot.filter("near").join(pivot.select(F.col("pivot").alias("cls")).distinct(), "cls")
+    if chain.isEmpty():
+        return pivot.select("cls", "pivot")
+    root = components(chain, "cls", "pivot").select(F.col("v").alias("pivot"), F.col("label").alias("root"))
+    return stored(pivot.join(root, "pivot", "left").select("cls", F.coalesce("root", "pivot").alias("pivot"))
+                  .filter("cls <> pivot"), "groups")
+
+
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
     """``members`` (cls, label) after uniting the labels that ``links`` (a, b: labels) join."""
     if links.isEmpty():
@@ -411,8 +433,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                  .select("cls", F.col("best.lead").alias("pivot")), "led")
     measured = stored(common(led.select(*_pair("cls", "pivot")).distinct(), sets), "measured")
     members = _relabel(members, _between(measured.filter(LINK).select("a", "b"), members))
-    pivot = (led.select("cls", "pivot", *_pair("cls", "pivot")).join(measured, ["a", "b"]).filter("i >= 0.4 * (na + nb - i)"))
-    pivot = stored(pivot.select("cls", "pivot"), "pivots")
+    pivot = led.select("cls", "pivot", *_pair("cls", "pivot")).join(measured, ["a", "b"])
+    pivot = _one_group(stored(pivot.select("cls", "pivot", F.expr("i >= 0.4 * (na + nb - i)").alias("near")), "pivots"))
     # then a leader that differs by key, for the members whose component is another
     tagged = whole.join(members, "cls")
     mixed = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
@@ -446,11 +468,16 @@ def _between(links: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def _by_shingle(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """Candidate pairs of the classes whose segments are too few: a partner of r shares one
-    of any |r| / 4 + 1 shingles of r. ``sets``: all of a size that can be a partner."""
+    """Candidate pairs of the classes whose segments are too few: partners share one of the
+    |r| / 4 + 1 shingles of r and one of the |s| / 4 + 1 of s that fewest sets have, so a
+    common shingle meets only where a set has hardly any other. ``sets``: all of a size that
+    can be a partner."""
     short = rows.filter("short").select("cls").distinct()
-    probe = (sets.join(short, "cls", "left_semi")
-             .select(F.col("cls").alias("r"), F.explode(F.slice("tokens", F.lit(1), F.floor(F.size("tokens") / 4).cast("int") + 1)).alias("t")))
-    every = sets.select(F.col("cls").alias("s"), F.explode("tokens").alias("t"))
-    return (probe.join(every, "t").filter("r <> s")
+    every = sets.select("cls", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    every = every.join(every.groupBy("t").agg(F.count("*").alias("c")), "t")
+    rare = Window.partitionBy("cls").orderBy("c", "t")  # part of one small set
+    every = every.withColumn("nth", F.row_number().over(rare)).filter("nth <= floor(n / 4) + 1 and c > 1").select("cls", "n", "t")
+    probe = every.join(short, "cls", "left_semi").select(F.col("cls").alias("r"), F.col("n").alias("nr"), "t")
+    return (probe.join(every.select(F.col("cls").alias("s"), F.col("n").alias("ns"), "t"), "t")
+            .filter("r <> s and 4 * least(nr, ns) >= 3 * greatest(nr, ns)")
             .select(F.least("r", "s").alias("a"), F.greatest("r", "s").alias("b")).distinct())
