@@ -383,8 +383,10 @@ def test_repeated_passages(docs, empty):
     assert repeated_passages(empty).count() == 0
 
 
-def test_repeated_passages_that_end_inside_others(spark):
-    """Windows that are shared only in part of what two other rows share whole."""
+@pytest.mark.parametrize("hot_rows", [4096, 8, 1])
+def test_repeated_passages_that_end_inside_others(spark, hot_rows):
+    """Windows that are shared only in part of what two other rows share whole, by sorted
+    suffixes, by hot prefixes, and some by either."""
     from runlake.llm.repeats import repeated_passages
     r = np.random.default_rng(11)
     prose = lambda n: [f"w{x}" for x in r.integers(0, 3000, n)]
@@ -401,7 +403,7 @@ def test_repeated_passages_that_end_inside_others(spark):
     alone = prose(200)
     rows.append([*alone, *alone])
     rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
-    found = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    found = repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), hot_rows=hot_rows).collect()
     assert sorted((str(x["doc_id"]), x["first_word"], x["last_word"]) for x in found) == _passages(rows)
     assert all(x["other_doc_id"] != x["doc_id"] for x in found)
 
