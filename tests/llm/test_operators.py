@@ -308,10 +308,10 @@ def test_a_passage_of_many_items_in_many_documents():
 # ------------------------------------------------------------------ 1, 3, 4, 6
 def test_url_rules(spark):
     from runlake.llm.catalog import URL_PATTERNS, URL_RULES
-    from runlake.llm.url_filter import judge_urls
+    from runlake.llm.url_filter import judge_urls, rule_table
     urls = [None, "", "no scheme", "http://", "HTTP://EXAMPLE.com/en/x", "http://www.example.com/en/x?a=/b#c", "https://notexample.com/en/",
             "http://a.b.net/es/1", "http://net/fr/", "http://x.net/en/", "http://x.org/ads/1", "http://a://b.com/q", "http://example.com",
-            "http://x.com?p=/en/", "ftp://Sub.Example.COM:80/en/", "http://x.net/ES/"]
+            "http://x.com?p=/en/", "ftp://Sub.Example.COM:80/en/", "http://x.net/ES/", "http://x.org/" + "a/" * 100_000 + "ads/"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls + urls[:6])], "page_id bigint, url string, token int")
     rows = judge_urls(pages, URL_RULES + URL_PATTERNS).collect()
 
@@ -331,6 +331,13 @@ def test_url_rules(spark):
     assert [g[0] for g in got] == sorted(range(len(urls) + 6)) and [g[1:] for g in got] == [want(u) for u in urls + urls[:6]]
     assert judge_urls(pages.limit(0), URL_RULES).count() == 0
     assert {r["verdict"] for r in judge_urls(pages, [], "block").collect()} == {"block"}
+    listed = [(r["action"], *r["rule"].partition("/")[::2]) for r in URL_RULES]
+    listed = [(a, h, f"/{p}", None) for a, h, p in listed] + [(r["action"], None, None, r["rule"]) for r in URL_PATTERNS]
+    listed += [listed[0], (None, "net", "/", None), ("block", None, None, None), ("block", "com", "/", "*")]  # one again, three no rules
+    rules = rule_table(spark.createDataFrame(listed, "action string, host string, path string, pattern string"))
+    assert sorted(judge_urls(pages, rules).collect(), key=str) == sorted(rows, key=str)
+    rooted = rule_table(spark.createDataFrame([("block", "net", None, None)], "action string, host string, path string, pattern string"))
+    assert {r["page_id"] for r in judge_urls(pages, rooted).collect() if r["rule"] == "net/"} == {7, 8, 9, 15}
 
 
 def test_secret_ledger(spark, tmp_path, empty):
