@@ -14,6 +14,7 @@ from runlake.functions import logs as LF
 from runlake.functions.logs import to_local
 from runlake.operators import logs as L
 from runlake.plans import bindings as B
+from runlake.sources import schedules as SD
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -226,6 +227,17 @@ def version_mismatch(spark, sf_dir):
 HORIZON = ("2024-01-01", "2024-01-31")
 
 
+@register
+def schedule_specs(spark, sf_dir):
+    """The requested schedules as YAML documents and as JSON lines, read back."""
+    d = scratch_path(spark, "specs")
+    requested = B.requested(spark, sf_dir)
+    SD.write_schedule_specs(requested, f"{d}/specs.yaml")
+    requested.write.json(f"{d}/specs.jsonl")
+    read = [SD.read_schedule_specs(spark, f"{d}/specs.{kind}").withColumn("kind", F.lit(kind)) for kind in ("yaml", "jsonl")]
+    return read[0].unionByName(read[1])
+
+
 @register
 def schedule_diff(spark, sf_dir):
     return S.schedule_diff(B.deployed(spark, sf_dir), B.requested(spark, sf_dir), "always")
@@ -770,11 +782,6 @@ from runlake.streaming import growing as SG  # noqa: E402
 from runlake.streaming import streams as SM  # noqa: E402
 
 
-def _events_stream(spark, sf_dir):
-    schema = B.table(spark, sf_dir, "events").schema
-    return SM.event_time(SM.read_stream(spark, sf_dir, schema, glob="events.parquet"))
-
-
 @register
 def stream_tail(spark, sf_dir):
     d = scratch_path(spark, "tail")
@@ -816,12 +823,24 @@ def stream_status(spark, sf_dir):
     return SM.state_table(spark, f"{d}/state", B_STATE_FIELDS)
 
 
+def _arrivals(spark, sf_dir, folder):
+    """The events in three arrivals, each a stream's source: a third of the time each, but events
+    of even ids come up to half an hour early, so hours are open from one arrival to the next."""
+    ev = B.table(spark, sf_dir, "events")
+    first, last = ev.agg(F.min("ts"), F.max("ts")).first()
+    early = F.col("ts") - F.when(F.col("event_id") % 2 == 0, F.expr("INTERVAL 30 MINUTES")).otherwise(F.expr("INTERVAL 0 MINUTES"))
+    cuts = [first + (last - first) * k / 3 for k in (1, 2)] if first else []
+    arrival = sum(((early >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for k in range(len(cuts) + 1):
+        ev.filter(arrival == k).write.mode("append").parquet(folder)
+        yield SM.event_time(SM.read_stream(spark, folder, ev.schema))
+
+
 @register
 def stream_windows(spark, sf_dir):
     d = scratch_path(spark, "windows")
-    q = SM.stream_counts(_events_stream(spark, sf_dir), ["event_type"], "1 hour", None, "1 hour",
-                         f"{d}/out", f"{d}/cursor")
-    q.awaitTermination()
+    for events in _arrivals(spark, sf_dir, f"{d}/src"):
+        SM.stream_counts(events, ["event_type"], "1 hour", None, "1 hour", f"{d}/out", f"{d}/cursor").awaitTermination()
     r = SM.latest_counts(spark, f"{d}/out", ["event_type"])
     return r.select(_ntz("window_start"), _ntz("window_end"), "event_type", "n")
 
@@ -847,9 +866,9 @@ def stream_sessions(spark, sf_dir):
 @register
 def stream_dedup(spark, sf_dir):
     d = scratch_path(spark, "dedup")
-    fires = _events_stream(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
-    q = SM.stream_dedup(fires, ["user_id", "event_type", "hour"], "1 hour", f"{d}/out", f"{d}/cursor")
-    q.awaitTermination()
+    for events in _arrivals(spark, sf_dir, f"{d}/src"):
+        fires = events.withColumn("hour", F.date_trunc("hour", "ts"))
+        SM.stream_dedup(fires, ["user_id", "event_type", "hour"], "2 hours", f"{d}/out", f"{d}/cursor").awaitTermination()
     return spark.read.parquet(f"{d}/out").select("user_id", "event_type", _ntz("hour"))
 
 

@@ -297,6 +297,9 @@ diff AS (
 """
 
 
+ORACLES["schedule_specs"] = _with(B_SCHED) + """
+SELECT r.name, r.command, r.schedule, k.kind FROM requested r, (VALUES ('yaml'), ('jsonl')) AS k(kind)
+"""
 ORACLES["schedule_diff"] = _with(B_SCHED, _diff(False)) + """
 SELECT name, action, command, schedule,
   CAST(CASE action WHEN 'add' THEN 1 WHEN 'delete' THEN 2 ELSE 3 END AS INTEGER) AS action_rank

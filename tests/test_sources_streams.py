@@ -147,3 +147,20 @@ def test_late_windows_do_not_hang_on_files(spark, monkeypatch):
         assert want.count() and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_schedule_specs_as_yaml_documents(spark, tmp_path):
+    """Any text as a value, several documents, entries that are no mapping, and none."""
+    from runlake.sources.schedules import read_schedule_specs, write_schedule_specs
+    rows = [(f"s{i}", f"run --select m{i}", "0 1 * * *") for i in range(20)]
+    rows += [("a: b # c", 'say "hi": {x}', "*/5 * * * *"), ("é\n\tq'", None, "- 1"), ("yes", "null", None), ("2024-01-01", "", "1")]
+    written = spark.createDataFrame([*rows, (None, "lost", "1")], "name string, command string, schedule string")
+    path = str(tmp_path / "specs.yaml")
+    write_schedule_specs(written, path, entries=2)
+    assert len(list((tmp_path / "specs.yaml").glob("*.txt"))) >= 12
+    key = lambda r: str(tuple(r))
+    assert sorted(map(tuple, read_schedule_specs(spark, path).collect()), key=key) == sorted(rows, key=key)
+    (tmp_path / "odd.yml").write_text("one: 3\ntwo:\nthree: {command: 7, schedule: [1]}\n")
+    (tmp_path / "none.yml").write_text("")
+    assert sorted(map(tuple, read_schedule_specs(spark, str(tmp_path / "*.yml")).collect())) == [
+        ("one", None, None), ("three", "7", "[1]"), ("two", None, None)]
