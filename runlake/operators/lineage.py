@@ -80,31 +80,38 @@ def closure(edges: DataFrame, start: DataFrame, direction: str = "down",
     shortest distance ``depth``; start nodes themselves are not returned.
     ``direction='down'`` follows parent -> child, ``'up'`` child -> parent.
 
-    Breadth-first: each round joins only the newest frontier with the edges
-    and anti-joins everything seen (a union of checkpointed frontiers), so
-    every node is expanded once and cycles end the walk."""
+    Breadth-first: each round joins the newest frontier with the edges, so every node
+    is expanded once, every edge followed once, and cycles end the walk. Of what has been
+    seen a round reads and hands on only the nodes that can be met again: those with edges
+    into them that were not followed yet. Edges with a null end lead nowhere."""
     spark = edges.sparkSession
     checkpoint_dir(spark)
     src, dst = ("parent_id", "child_id") if direction == "down" else ("child_id", "parent_id")
-    e = edges.select(F.col(src).alias("__src"), F.col(dst).alias("node_id")).distinct() \
+    e = edges.select(F.col(src).alias("__src"), F.col(dst).alias("node_id")).dropna().distinct() \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    seeds = start.select("node_id").distinct()
-    frontier = _ckpt(seeds.withColumn("depth", F.lit(0)))
-    rounds = [frontier]
+    degree = e.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree")).persist(StorageLevel.MEMORY_AND_DISK)
+    seeds = _ckpt(start.select("node_id").distinct())
+    frontier, waiting = seeds, seeds.join(degree, "node_id").select("node_id", F.col("degree").alias("left"))
+    rounds: list[DataFrame] = []
     depth = 0
     while True:
         depth += 1
         if max_rounds is not None and depth > max_rounds:
             raise RuntimeError(f"closure did not finish in {max_rounds} rounds")
-        seen = _union(rounds).select("node_id")
-        nxt = frontier.select(F.col("node_id").alias("__src")).join(e, "__src").select("node_id").distinct()
-        new = _ckpt(nxt.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
+        reached = (frontier.select(F.col("node_id").alias("__src")).join(e, "__src")
+                   .groupBy("node_id").agg(F.count(F.lit(1)).alias("n")))
+        new = (reached.join(waiting, "node_id", "left_anti").join(degree, "node_id")
+               .select("node_id", (F.col("degree") - F.col("n")).alias("left"), F.lit(True).alias("fresh")))
+        old = (waiting.join(reached, "node_id", "left")
+               .select("node_id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.lit(False).alias("fresh")))
+        now = _ckpt(new.unionByName(old))
+        frontier, waiting = now.filter("fresh").select("node_id"), now.filter("left > 0").select("node_id", "left")
+        if frontier.isEmpty():
             break
-        rounds.append(new)
-        frontier = new
+        rounds.append(frontier.withColumn("depth", F.lit(depth)))
     e.unpersist()
-    return _union(rounds[1:], like=frontier).join(seeds, "node_id", "left_anti")
+    degree.unpersist()
+    return _union(rounds, like=seeds.withColumn("depth", F.lit(0)))
 
 
 def _union(parts: list[DataFrame], like: DataFrame | None = None) -> DataFrame:

@@ -113,3 +113,26 @@ def test_profiles_merge(spark):
     got = {r["column"]: r for r in K.merge_profiles(sketches).collect()}
     assert abs(got["id"]["n_distinct"] - 30_000) < 4 * K.DISTINCT_ERROR * 30_000 and abs(got["t"]["n_distinct"] - 100) <= 7
     assert got["x"]["n_nulls"] == 10_000 and got["id"]["max_num"] == 29_999 and got["t"]["min_str"] == "0" and got["id"]["n_rows"] == 30_000
+
+
+def test_closure_of_graphs_with_cycles(spark):
+    """Shortest distances by breadth-first search; self-loops, repeated edges, null ends,
+    start nodes on cycles and start nodes that no edge names."""
+    import random
+    from runlake.operators.lineage import closure
+    for seed in range(3):
+        r = random.Random(seed)
+        pairs = [(f"n{r.randrange(40)}", f"n{r.randrange(40)}") for _ in range(55)]
+        pairs += [("n1", "n1"), pairs[0], (None, "n2"), ("n3", None), (None, None)]
+        start = [f"n{r.randrange(40)}" for _ in range(3)] + ["elsewhere", None]
+        edges = spark.createDataFrame(pairs, "parent_id string, child_id string")
+        for way in ("down", "up"):
+            follow = [(a, b) if way == "down" else (b, a) for a, b in pairs if a and b]
+            depth, todo = dict.fromkeys(start, 0), list(start)
+            for node in todo:
+                for a, b in follow:
+                    if a == node and b not in depth:
+                        depth[b] = depth[node] + 1
+                        todo.append(b)
+            found = closure(edges, spark.createDataFrame([(n,) for n in start], "node_id string"), way).collect()
+            assert sorted((x["node_id"], x["depth"]) for x in found) == sorted((n, d) for n, d in depth.items() if d)
