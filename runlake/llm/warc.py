@@ -10,7 +10,8 @@ to the damaged records.
 
 Edge cases: null url or payload is written as empty; repeated ids are separate
 records; a file that one replica lacks, or that ends early, shows as records missing
-on that side; empty tables give no files, no rows; other columns are not read.
+on that side; a very long record is written whole (a file exceeds its size by one record at
+most); empty tables give no files, no rows; other columns are not read.
 """
 
 from __future__ import annotations

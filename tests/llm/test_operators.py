@@ -437,6 +437,23 @@ def test_warc_audit(spark, tmp_path):
     assert write_warc(pages.limit(0), str(tmp_path / "d")).count() == 0
 
 
+def test_columns_that_clash_with_the_operators_own(spark, tmp_path):
+    """Extra columns named like those that secret scans and WARC files make, and a very long record."""
+    from runlake.llm.secret_scan import scan_secrets
+    from runlake.llm.warc import read_records, write_warc
+    texts = [(1, "token=abcdefgh"), (2, None), (2, "token=abcdefgh")]
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    clash = rows.select("*", *[F.lit(7).alias(c) for c in ("sha", "at", "kind", "place", "start", "stop", "spans", "seen", "missing", "rule")])
+    key = lambda r: (r["doc_id"], r["sha"], str(r["spans"]))
+    plain, extra = (sorted(map(key, scan_secrets(d, str(tmp_path / n)).collect())) for d, n in ((rows, "x"), (clash, "y")))
+    assert plain == extra and len(plain) == 3
+    pages = spark.createDataFrame([(1, "u", "é" * 3_000_000), (2, "v", "b"), (None, None, None)], "page_id bigint, url string, html string")
+    clash = pages.select("*", *[F.lit(7).alias(c) for c in ("file", "nth", "offset", "length", "record_id", "sha256", "payload", "id", "body")])
+    index = write_warc(clash, str(tmp_path / "w"))
+    back = sorted((r["record_id"], r["payload"]) for r in read_records(index, str(tmp_path / "w")).collect())
+    assert back == sorted((str(r["page_id"]), r["html"] or "") for r in pages.collect())
+
+
 # ------------------------------------------------------------------ 9
 def test_network_gradients():
     from runlake.llm import toxicity as X
