@@ -103,3 +103,14 @@ def test_snapshot_step_keeps_a_null_key(spark):
     cur = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
     out = H.snapshot(cur, hist, "k", ["v"], "2024-02-01 00:00:00").collect()
     assert len(out) == 2 and all(r["valid_to"] is None for r in out)
+
+
+def test_ranges_are_no_more_than_the_rows_ask_for_and_frames_grow(spark):
+    """No range of a few rows each, and no frame that is gone through again for every row."""
+    df = spark.range(1500).select(F.lit("hot").alias("k"), F.lit(1).cast("bigint").alias("t"), F.col("id").alias("n"))
+    d = Ranged(df, "k", ["t", "n"], rows=1000)
+    assert 1 < d.df.select("__g").distinct().count() <= 6
+    d = d.neighbours(after={"nn": "n"}).following("f", F.when(F.col("n") % 100 == 0, F.col("n")))
+    assert "unboundedfollowing" not in d.result()._jdf.queryExecution().executedPlan().toString().lower()
+    got = {r["n"]: (r["nn"], r["f"]) for r in d.result().collect()}
+    assert got == {n: (n + 1 if n < 1499 else None, (n // 100 + 1) * 100 if n < 1400 else None) for n in range(1500)}
