@@ -2,9 +2,10 @@
 root_path, ...) and ``edges`` (parent_id, child_id).
 
 Graph walks are frontier loops: each round is one join of the new frontier
-with the edges, an anti-join against what is known, and a reliable
-``checkpoint()`` into the session's shared checkpoint folder to cut lineage.
-The driver only sees whether the frontier is empty.
+with the edges and an aggregation with what waits; its outcome is written to
+the session's shared checkpoint folder, which cuts lineage. The edges lie dealt
+and sorted by the end they are followed from. The driver only sees whether the
+frontier is empty: the rounds broadcast nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlake.session import checkpoint_dir
+from runlake.session import checkpoint_dir, scratch_path
 
 # Fixed value: seeds run with their files in the working directory.
 SEED_ROOT_PATH = "."
@@ -71,7 +72,35 @@ def retry_set(nodes: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def _ckpt(df: DataFrame) -> DataFrame:
-    return df.checkpoint(eager=True)
+    """The rows, written once below the shared folder."""
+    path = scratch_path(df.sparkSession, "graph")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Edges in a partition of ``_followed``.
+EDGES = 100_000
+
+
+def _followed(e: DataFrame, src: str, dst: str) -> DataFrame:
+    """Written, distinct edges as (__src, node_id, and ``degree``, the edges into node_id), kept
+    dealt and sorted by ``__src``, so that a round moves its frontier and no edges."""
+    n = 1 + e.count() // EDGES
+    e = e.select(F.col(src).alias("__src"), F.col(dst).alias("node_id"))
+    degree = e.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree")).hint("merge")
+    return e.join(degree, "node_id").repartition(n, "__src").sortWithinPartitions("__src").persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _round(frontier: DataFrame, e: DataFrame, waiting: DataFrame | None) -> DataFrame:
+    """(node_id, left, fresh): the nodes that wait and those the frontier leads into, with the
+    edges into them not followed yet; ``fresh`` where the node did not wait before."""
+    # the edges first: of the two, the rows of a key on the right are the ones held
+    met = e.join(frontier.select(F.col("node_id").alias("__src")).hint("merge"), "__src") \
+        .select("node_id", "degree", F.lit(1).alias("n"), F.lit(None).cast("long").alias("was"))
+    if waiting is not None:
+        met = met.unionByName(waiting.select("node_id", F.lit(None).cast("long").alias("degree"), F.lit(0).alias("n"), F.col("left").alias("was")))
+    return met.groupBy("node_id").agg((F.coalesce(F.max("was"), F.max("degree")) - F.sum("n")).alias("left"),
+                                      F.max("was").isNull().alias("fresh"))
 
 
 def closure(edges: DataFrame, start: DataFrame, direction: str = "down",
@@ -87,30 +116,22 @@ def closure(edges: DataFrame, start: DataFrame, direction: str = "down",
     spark = edges.sparkSession
     checkpoint_dir(spark)
     src, dst = ("parent_id", "child_id") if direction == "down" else ("child_id", "parent_id")
-    e = edges.select(F.col(src).alias("__src"), F.col(dst).alias("node_id")).dropna().distinct() \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    degree = e.groupBy("node_id").agg(F.count(F.lit(1)).alias("degree")).persist(StorageLevel.MEMORY_AND_DISK)
+    e = _followed(_ckpt(edges.select(src, dst).dropna().distinct()), src, dst)
     seeds = _ckpt(start.select("node_id").distinct())
-    frontier, waiting = seeds, seeds.join(degree, "node_id").select("node_id", F.col("degree").alias("left"))
+    degree = e.groupBy("node_id").agg(F.max("degree").alias("left"))
+    frontier, waiting = seeds, _ckpt(degree.join(seeds.hint("merge"), "node_id").select("node_id", "left"))
     rounds: list[DataFrame] = []
     depth = 0
     while True:
         depth += 1
         if max_rounds is not None and depth > max_rounds:
             raise RuntimeError(f"closure did not finish in {max_rounds} rounds")
-        reached = (frontier.select(F.col("node_id").alias("__src")).join(e, "__src")
-                   .groupBy("node_id").agg(F.count(F.lit(1)).alias("n")))
-        new = (reached.join(waiting, "node_id", "left_anti").join(degree, "node_id")
-               .select("node_id", (F.col("degree") - F.col("n")).alias("left"), F.lit(True).alias("fresh")))
-        old = (waiting.join(reached, "node_id", "left")
-               .select("node_id", (F.col("left") - F.coalesce("n", F.lit(0))).alias("left"), F.lit(False).alias("fresh")))
-        now = _ckpt(new.unionByName(old))
+        now = _ckpt(_round(frontier, e, waiting))
         frontier, waiting = now.filter("fresh").select("node_id"), now.filter("left > 0").select("node_id", "left")
         if frontier.isEmpty():
             break
         rounds.append(frontier.withColumn("depth", F.lit(depth)))
     e.unpersist()
-    degree.unpersist()
     return _union(rounds, like=seeds.withColumn("depth", F.lit(0)))
 
 
@@ -140,23 +161,16 @@ def _peel(ids: DataFrame, e: DataFrame, src: str, dst: str) -> list[DataFrame]:
     """Rounds of nodes whose neighbours over ``src`` are all peeled, the round's number as
     ``level``. Every edge is followed once; what a round hands on is the table of nodes that
     still wait for some of their edges."""
-    degree = e.groupBy(F.col(dst).alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
-    frontier = _ckpt(ids.join(degree, "node_id", "left_anti").withColumn("level", F.lit(0)))
+    e = _followed(e, src, dst)
+    frontier = _ckpt(ids.join(e.select("node_id").distinct().hint("merge"), "node_id", "left_anti").withColumn("level", F.lit(0)))
     rounds, waiting, level = [], None, 0
     while not frontier.isEmpty():
         rounds.append(frontier)
         level += 1
-        reached = (frontier.select(F.col("node_id").alias(src)).join(e, src)
-                   .groupBy(F.col(dst).alias("node_id")).agg(F.count(F.lit(1)).alias("n")))
-        if waiting is None:
-            now = reached.join(degree, "node_id").select("node_id", (F.col("degree") - F.col("n")).alias("left"))
-        else:
-            new = reached.join(waiting, "node_id", "left_anti").join(degree, "node_id").select("node_id", F.col("degree").alias("left"))
-            both = waiting.unionByName(new).unionByName(reached.select("node_id", (-F.col("n")).alias("left")))
-            now = both.groupBy("node_id").agg(F.sum("left").alias("left"))
-        now = _ckpt(now)
+        now = _ckpt(_round(frontier, e, waiting).drop("fresh"))
         frontier = now.filter(F.col("left") == 0).select("node_id", F.lit(level).alias("level"))
         waiting = now.filter(F.col("left") > 0)
+    e.unpersist()
     return rounds
 
 
