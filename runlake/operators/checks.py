@@ -72,12 +72,12 @@ def profile(df: DataFrame, approx: bool = True) -> DataFrame:
     """Per column: rows, nulls, distinct values, and min/max (numeric columns
     as double, others as text). One aggregation over the relation, then an
     unpivot. Distinct counts are HyperLogLog sketches by default (mergeable
-    partial aggregates); ``approx=False`` gives exact counts, which Spark
-    plans as one expand of every row per column."""
+    partial aggregates); ``approx=False`` gives exact counts, one grouping by
+    each column alone: a task holds the values of one column, not of all."""
     numeric = {"tinyint", "smallint", "int", "bigint", "float", "double"}
     aggs, stack = [F.count(F.lit(1)).alias("n_rows")], []
     for i, (c, t) in enumerate(df.dtypes):
-        distinct = F.approx_count_distinct(c) if approx else F.count_distinct(c)
+        distinct = F.approx_count_distinct(c) if approx else F.lit(0)
         is_num = t in numeric or t.startswith("decimal")
         aggs += [F.count_if(F.col(c).isNull()).alias(f"n{i}"), distinct.alias(f"d{i}")]
         if is_num:
@@ -87,9 +87,16 @@ def profile(df: DataFrame, approx: bool = True) -> DataFrame:
             aggs += [F.min(F.col(c).cast("string")).alias(f"lo{i}"), F.max(F.col(c).cast("string")).alias(f"hi{i}")]
             stack.append(f"'{c}', n{i}, d{i}, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), lo{i}, hi{i}")
     a = df.agg(*aggs)
+    exact = None
+    for c in df.columns if not approx else []:
+        one = df.select(F.col(c).alias("v")).distinct().agg(F.count("v").alias("__exact")).withColumn("column", F.lit(c))
+        exact = one if exact is None else exact.unionByName(one)
     expr = (f"stack({len(stack)}, {', '.join(stack)}) as "
             "(column, n_nulls, n_distinct, min_num, max_num, min_str, max_str)")
-    return a.selectExpr("n_rows", expr).select(
+    a = a.selectExpr("n_rows", expr)
+    if exact is not None:
+        a = a.drop("n_distinct").join(exact.withColumnRenamed("__exact", "n_distinct"), "column")
+    return a.select(
         "column", "n_rows", "n_nulls", F.col("n_distinct").cast("bigint").alias("n_distinct"),
         "min_num", "max_num", "min_str", "max_str")
 

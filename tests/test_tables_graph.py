@@ -136,3 +136,23 @@ def test_closure_of_graphs_with_cycles(spark):
                         todo.append(b)
             found = closure(edges, spark.createDataFrame([(n,) for n in start], "node_id string"), way).collect()
             assert sorted((x["node_id"], x["depth"]) for x in found) == sorted((n, d) for n, d in depth.items() if d)
+
+
+def test_rounds_of_a_walk_broadcast_nothing_and_move_no_edges(spark):
+    """What a round sends to the driver does not grow with the frontier; the edges stay dealt by
+    the end they are followed from."""
+    nodes, e = _graph(spark, [(0, i) for i in range(1, 50)] + [(i, 50) for i in range(1, 50)], 51)
+    edges = G._followed(G._ckpt(e), "parent_id", "child_id")
+    now = G._ckpt(G._round(nodes.filter("node_id = 'n000'").select("node_id"), edges, None))
+    assert {(r["node_id"], r["left"], r["fresh"]) for r in now.collect()} == {(f"n{i:03d}", 0, True) for i in range(1, 50)}
+    plan = G._round(now.select("node_id"), edges, now.select("node_id", "left"))._jdf.queryExecution().executedPlan().toString()
+    above = plan.split("InMemoryRelation")[0]
+    assert "Broadcast" not in plan and above.count("Exchange hashpartitioning(__src") == 1
+    edges.unpersist()
+
+
+def test_exact_profiles_group_by_one_column_at_a_time(spark):
+    df = spark.createDataFrame([(1, "a", 0.0), (1, "b", -0.0), (None, "b", float("nan")), (2, None, float("nan"))], "i int, t string, x double")
+    p = K.profile(df, approx=False)
+    assert "Expand" not in p._jdf.queryExecution().executedPlan().toString()  # a row a column, each with all values
+    assert {(r["column"], r["n_rows"], r["n_nulls"], r["n_distinct"]) for r in p.collect()} == {("i", 4, 1, 2), ("t", 4, 1, 2), ("x", 4, 0, 2)}
