@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import zoneinfo
 
 import pytest
 from pyspark.sql import Window
@@ -114,3 +115,23 @@ def test_ranges_are_no_more_than_the_rows_ask_for_and_frames_grow(spark):
     assert "unboundedfollowing" not in d.result()._jdf.queryExecution().executedPlan().toString().lower()
     got = {r["n"]: (r["nn"], r["f"]) for r in d.result().collect()}
     assert got == {n: (n + 1 if n < 1499 else None, (n // 100 + 1) * 100 if n < 1400 else None) for n in range(1500)}
+
+
+def test_fires_of_zones_with_and_without_a_change_of_clocks(spark):
+    zones = ["UTC", "Asia/Kolkata", "Europe/Paris", "America/New_York", "Australia/Lord_Howe", None, "none/such"]
+    df = spark.createDataFrame([(f"{z}", "15,45 * * * *", z) for z in zones], "name string, schedule string, timezone string")
+    for start, end, steady in (("2024-03-29", "2024-04-01", {"UTC": 0, "Asia/Kolkata": 19800, "Europe/Paris": None, "America/New_York": -14400,
+                                                             "Australia/Lord_Howe": 39600}),
+                               ("2024-11-02", "2024-11-05", {"UTC": 0, "Asia/Kolkata": 19800, "Europe/Paris": 3600, "America/New_York": None,
+                                                             "Australia/Lord_Howe": 39600})):
+        first, last = dt.datetime.fromisoformat(start), dt.datetime.fromisoformat(end)
+        assert {r["__zone"]: r["__shift"] for r in S._zone_shifts(df, start, end).collect()} == steady
+        want, t = set(), first
+        while t < last:
+            for z in zones[:-1]:
+                local = t.replace(tzinfo=dt.UTC).astimezone(zoneinfo.ZoneInfo(z or "UTC"))
+                if local.minute in (15, 45) and not local.fold:  # twice: the earlier one
+                    want.add((f"{z}", t))
+            t += dt.timedelta(minutes=15)
+        got = [(r["name"], r["fire_ts"]) for r in S.expand_schedules(df, start, end).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
