@@ -74,11 +74,13 @@ def poll(spark: SparkSession, path: str, consumer: str, finished: DataFrame | No
     lines = spark.read.parquet(raw)
     per = lines.groupBy("object", "range_no").agg(F.count(F.lit(1)).alias("n"), F.max("end_byte").alias("end_byte"))
     w = Window.partitionBy("object").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # ranges, not lines
-    offsets = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    numbered = (lines.join(offsets.select("object", "range_no", "before"), ["object", "range_no"])
-                .join(known, "object", "left")
-                .select("run_id", (F.coalesce("__l", F.lit(0)) + F.col("before") + F.col("pos") + 1).alias("line_no"), "raw"))
-    numbered.write.mode("overwrite").parquet(f"{consumer}/lines/batch={number:012d}")
+    offsets = per.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).filter("range_no > 0")
+    line_no = lambda before: (F.col("lines_read") + before + F.col("pos") + 1).alias("line_no")
+    # lines of an object's first range have none before them: only longer parts are joined
+    first = lines.filter("range_no = 0").select("run_id", line_no(F.lit(0)), "raw")
+    later = (lines.filter("range_no > 0").join(offsets.select("object", "range_no", "before"), ["object", "range_no"])
+             .select("run_id", line_no(F.col("before")), "raw"))
+    first.unionByName(later).write.mode("overwrite").parquet(f"{consumer}/lines/batch={number:012d}")
     read = per.groupBy("object").agg(F.sum("n").alias("n"), F.max("end_byte").alias("end_byte"))
     moved = parts.join(read, "object", "left").select(
         "object", "run_id", F.coalesce("end_byte", "bytes_read").alias("bytes_read"),

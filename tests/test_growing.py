@@ -101,6 +101,26 @@ def test_objects_are_written_one_a_run(spark):
     assert sorted((r["run_id"], r["size"]) for r in SO.list_objects(spark, d).collect()) == [(k, 10 * 4 + 20 * 5) for k in "abc"]
 
 
+def test_objects_in_folders_are_listed_and_read_by_tasks(spark, monkeypatch):
+    monkeypatch.setattr(SO, "RANGE_BYTES", 16)
+    d, a = scratch_path(spark, "g6"), scratch_path(spark, "g6-a")
+    want = {f"r{k}": [f"{k}:{i}" for i in range(k + 1)] for k in range(40)}
+    lines = spark.createDataFrame([(k, i, t) for k, v in want.items() for i, t in enumerate(v)] + [(None, 0, "x")],
+                                  "run_id string, line_no bigint, raw string")
+    for upto in (5, 99):  # the second replaces the first
+        SO.write_log_objects(lines.filter(F.col("line_no") < upto), d, folders=8)
+        found = SO.list_objects(spark, d)
+        assert sorted((r["run_id"], r["size"]) for r in found.collect()) == sorted(
+            (k, sum(len(t) + 1 for t in v[:upto])) for k, v in want.items())  # .txt is hidden
+        assert "binaryFile" not in found._jdf.queryExecution().toString()
+        SG.poll(spark, d, a)
+        assert _tail(spark, a) == {k: v[:upto] for k, v in want.items()}
+    assert len([f for f in os.listdir(d.replace("file:", ""))]) == 8
+    again = SO.list_objects(spark, d)
+    os.remove(found.first()["object"].replace("file:", ""))
+    assert again.count() == 40 and SO.list_objects(spark, d).count() == 39  # a listing is made once
+
+
 def test_compacted_state_under_a_reader(spark):
     d = scratch_path(spark, "g5")
     schema = "run_id bigint, seq bigint, ts timestamp, field string, value string"
