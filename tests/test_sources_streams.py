@@ -4,11 +4,13 @@ files, appends that continue line numbers, listing, and per-consumer cursors."""
 import os
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from runlake.operators import logs as L
 from runlake.session import scratch_path
 from runlake.sources import logs as SL
+from runlake.sources import objects as O
 from runlake.sources.files import list_artifacts
 from runlake.sources.seeds import load_seeds
 from runlake.streaming import streams as SM
@@ -33,6 +35,36 @@ def test_text_layout_keeps_order_when_a_run_spans_files(spark):
     assert back.exceptAll(lines).count() == 0 and lines.exceptAll(back).count() == 0
 
 
+@pytest.mark.parametrize("size", [7, 1 << 20])
+def test_text_layout_keeps_every_run_id(spark, monkeypatch, size):
+    monkeypatch.setattr(O, "RANGE_BYTES", size)
+    ids = [None, "", "007", "08", "1.10", "a/b%c=1", "x+y z", "é?"]
+    want = sorted((r or "~", i + 1, f"{r} {i}" if i else "") for r in ids if r for i in range(5))
+    lines = spark.createDataFrame([(r, i, f"{r} {i}" if i else None) for r in ids for i in range(5)], "run_id string, line_no bigint, raw string")
+    for folders in (1, 4):
+        d = scratch_path(spark, "t-ids")
+        SL.write_log_text(lines, d, partitions=3, folders=folders)
+        got = [(r["run_id"], r["line_no"], r["raw"]) for r in SL.read_log_text(spark, d, run_id_from="partition").collect()]
+        assert sorted(r for r in got if r[0] is not None) == want  # as written: numbers and points stay texts
+        assert sorted(r[1] for r in got if r[0] is None) == list(range(1, 11))  # no run and the empty one share a folder
+        assert all(r["size"] for r in O.list_files(spark, d).collect())
+        with pytest.raises(AnalysisException):
+            SL.write_log_text(lines, d)
+    plain = spark.read.text(d).filter("run_id is not null")  # Spark's own names
+    assert {r["run_id"] for r in plain.collect()} == {r for r in ids if r}
+
+
+def test_text_layout_splits_lines_as_before(spark):
+    d = scratch_path(spark, "t-ends")
+    os.makedirs(d.replace("file:", "") + "/run_id=1")
+    for name, data in (("part-0.txt", b"a\r\nb\rc\n"), ("part-1.txt", b"\nd\r\re"), ("part-2.txt", b""), (".part-3.tmp", b"x\n")):
+        with open(f"{d}/run_id=1/{name}".replace("file:", ""), "wb") as f:
+            f.write(data)
+    got = SL.read_log_text(spark, d, run_id_from="partition").orderBy("line_no").collect()
+    assert [(r["line_no"], r["raw"]) for r in got] == list(enumerate(["a", "b", "c", "", "d", "", "e"], 1))
+    assert [r["value"] for r in spark.read.text(d).collect()].count("") == 2
+
+
 def test_append_continues_line_numbers(spark):
     d = scratch_path(spark, "t-append")
     runs = spark.createDataFrame([("r1", "2024-01-02 10:00:00"), ("r2", "2024-01-02 11:00:00")], "run_id string, t string") \
