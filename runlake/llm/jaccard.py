@@ -22,9 +22,10 @@ when 4 * intersection >= 3 * union, that is when their sets differ in at most
 * Groups of near copies: keys first offer their members one leader (the most central
   class, then one that differs by key); linked members unite, and only pairs of
   different components are candidates after that. Members that share a leader (the
-  pivot), near or not, are measured against what most of them hold: counts alone, and the
-  rarest of what they hold besides, rule out nearly all pairs that the leader did not unite. Every candidate left is
-  verified, so no link between components is lost.
+  pivot), near or not, are measured against what most of them hold: counts alone, and the rarest
+  of what they hold besides, rule out nearly all pairs that the leader did not unite. A key with
+  many members around several pivots does not join them: they meet by their rarest shingles.
+  Every candidate left is verified, so no link between components is lost.
 * Verification intersects the two whole sets.
 
 Edge cases: words are cut at ASCII white space after lower-casing A-Z; fewer than five
@@ -51,6 +52,8 @@ SMALL = 63
 BUCKET_KEYS = 1_000_000
 #: A key with more classes than this in one slice of a task is known to be shared there.
 LOCAL_SHARED = 64
+#: A key joins its two sides as such if their pairs are at most so many times its rows.
+FEW = 8
 _U = np.uint64
 
 
@@ -284,16 +287,22 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: DataFrame) -> DataFrame:
-    """Candidates by key in two components whose pivots differ (a class without one is its own)."""
+def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates by key in two components whose pivots differ (a class without one is its own).
+    Only a key with few of one side or the other is joined as such: its pairs are at most
+    ``FEW`` times its rows. The classes of all other keys meet by their rarest shingles."""
     known = members.join(pivot.select("cls", "pivot"), "cls", "left").withColumn("pivot", F.coalesce("pivot", "cls"))
     p = probes.select("key", "cls", "deleted", "doubled").join(known, "cls")
     q = places.select("key", "cls", "deleted").join(known, "cls")
     # both sides: a set that probes the band above does not lie in that band's places
-    both = p.select("key", "pivot", "label").unionByName(q.select("key", "pivot", "label"))
-    spread = both.groupBy("key").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi"), F.min("label").alias("l"), F.max("label").alias("h"))
-    keep = spread.filter("lo <> hi and l <> h").select("key")
-    p, q = p.join(keep, "key"), q.join(keep, "key")
+    both = (p.select("key", "pivot", "label", F.lit(1).alias("p"), F.lit(0).alias("q"))
+            .unionByName(q.select("key", "pivot", "label", F.lit(0).alias("p"), F.lit(1).alias("q"))))
+    spread = both.groupBy("key").agg(F.min("pivot").alias("lo"), F.max("pivot").alias("hi"), F.min("label").alias("l"),
+                                     F.max("label").alias("h"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    keep = stored(spread.filter("lo <> hi and l <> h and p > 0 and q > 0").select("key", F.expr(f"p * q > {FEW} * (p + q)").alias("many")), "keys-across")
+    p, q = stored(p.join(keep, "key"), "probes-across"), stored(q.join(keep, "key"), "places-across")
+    crowd = p.filter("many").select("cls", "pivot", "label").unionByName(q.filter("many").select("cls", "pivot", "label")).distinct()
+    p, q = p.filter("not many"), q.filter("not many")
     sides = (p.select("key", F.col("pivot").alias("pp"), F.col("label").alias("pl")).distinct()
              .join(q.select("key", F.col("pivot").alias("qp"), F.col("label").alias("ql")).distinct(), "key")
              .filter("pp <> qp and pl <> ql"))
@@ -302,7 +311,28 @@ def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: Dat
            .join(q.select("key", F.col("pivot").alias("qp"), F.col("label").alias("ql"), F.col("cls").alias("qc"),
                           F.col("deleted").alias("qd")), ["key", "qp", "ql"]))
     # whole with whole always; whole with less one, either way, for classes that count such segments twice
-    return out.filter("not (pd and qd) and (doubled or not (pd or qd))").select(*_pair("pc", "qc")).distinct()
+    out = out.filter("not (pd and qd) and (doubled or not (pd or qd))").select(*_pair("pc", "qc"))
+    return out.unionByName(_crowded(crowd, sets)).distinct()
+
+
+def _crowded(crowd: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidates among the classes (cls, pivot, label) of keys that many hold, in two components
+    and around two pivots. Linked sets share three quarters of either, so if r's shingles are
+    ordered by how many hold them, one of the rarest ``own - ceil(3 n / 4) + 1`` of the ``own``
+    that classes of another pivot hold too is shared; and behind the first one that two share
+    there must be enough on both sides. A passage that all have is thus no reason to meet."""
+    held = crowd.join(sets, "cls").select("cls", "pivot", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    token = (held.groupBy("token").agg(F.count("*").alias("c"), F.min("pivot").alias("lo"), F.max("pivot").alias("hi"))
+             .filter("lo <> hi").select("token", "c"))
+    each = (held.join(token, "token").groupBy("cls", "pivot", "label", "n")
+            .agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("shared")))  # part of the set
+    least = F.expr("size(shared) - cast(ceil(3 * n / 4) as int) + 1")
+    rare = (each.filter(least > 0).select("cls", "pivot", "label", "n", F.size("shared").alias("own"), F.posexplode(F.slice("shared", F.lit(1), least)).alias("nth", "s"))
+            .select("cls", "pivot", "label", "n", (F.col("own") - F.col("nth")).alias("rest"), F.col("s.token").alias("token")))
+    side = lambda x: rare.select("token", *[F.col(c).alias(f"{c}_{x}") for c in rare.columns if c != "token"])
+    return (side("r").join(side("s"), "token")
+            .filter("label_r < label_s and pivot_r <> pivot_s and 7 * least(rest_r, rest_s) >= 3 * (n_r + n_s)")
+            .select(*_pair("cls_r", "cls_s")).distinct())
 
 
 def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
@@ -445,7 +475,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if fallback is not None:
         members = _relabel(members, _between(linked(fallback, tiny), members))
 
-    left = (_across(probes, places, members, pivot).unionByName(_around(members, pivot, sets)).distinct()
+    left = (_across(probes, places, members, pivot, sets).unionByName(_around(members, pivot, sets)).distinct()
             .join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
             .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
             .filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))

@@ -248,6 +248,46 @@ def test_near_duplicates_in_large_groups(spark):
     assert sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in found) == sorted(_components(rows))
 
 
+@pytest.mark.parametrize("few", [0, J.FEW])
+def test_classes_of_a_crowded_key_meet_by_rare_shingles(spark, few, monkeypatch):
+    """Sets around one passage, each with a partner in another component and around another pivot."""
+    monkeypatch.setattr(J, "FEW", few)
+    r = np.random.default_rng(5)
+    sets = {}
+    for k in range(40):
+        own = list(range(100)) + [1000 + 500 * k + i for i in range(int(r.integers(60, 200)))]
+        sets[2 * k] = own
+        cut = len(own) // 7 if k % 2 else len(own) // 3  # half of the partners link
+        sets[2 * k + 1] = own[:len(own) - cut]
+    links = {(a, b) for a, b in itertools.combinations(sets, 2)
+             if 4 * len(set(sets[a]) & set(sets[b])) >= 3 * len(set(sets[a]) | set(sets[b]))}
+    assert {(2 * k, 2 * k + 1) for k in range(1, 40, 2)} <= links
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    probes = table([(c, True, False, 7, False, 1) for c in sets], "cls bigint, above boolean, deleted boolean, key bigint, doubled boolean, need int")
+    members = table([(c, c) for c in sets], "cls bigint, label bigint")
+    pivot = table([(c, 1000 + c % 2) for c in sets], "cls bigint, pivot bigint")
+    found = J._across(probes, probes.select("cls", "deleted", "key", "need"), members, pivot,
+                      table([(c, t) for c, t in sets.items()], "cls bigint, tokens array<bigint>"))
+    got = {(x["a"], x["b"]) for x in found.collect()}
+    apart = {(a, b) for a, b in links if a % 2 != b % 2}
+    assert apart <= got and len(got) <= 120  # all pairs of two pivots were 1,600
+
+
+def test_near_duplicates_by_rare_shingles_only(spark, monkeypatch):
+    monkeypatch.setattr(J, "FEW", 0)
+    r = np.random.default_rng(12)
+    passage, rows, n = [f"p{i}" for i in range(90)], [], 0
+    for _ in range(60):
+        base = passage + [f"v{i}" for i in r.integers(0, 5000, int(r.integers(10, 90)))]
+        for _ in range(int(r.integers(1, 4))):
+            w = list(base)
+            for _ in range(int(r.integers(0, 5))):
+                w[int(r.integers(0, len(w)))] = f"e{int(r.integers(0, 40))}"
+            rows.append((n := n + 1, " ".join(w)))
+    found = J.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((str(x["doc_id"]), x["n_shingles"], str(x["component_id"])) for x in found) == sorted(_components(rows))
+
+
 # ------------------------------------------------------------------ 7
 def _contamination(rows, items, width=10):
     split = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", _lower(t))
