@@ -552,6 +552,21 @@ def test_network_equals_loops():
     assert X.window_starts(100).tolist() == [*range(0, 68, X.STEP), 68] and X.STEP <= 8
 
 
+def test_scoring_states_are_those_of_training():
+    """Windows whole and not, saturated gates too: the fast states are those that training runs over."""
+    from runlake.llm import toxicity as X
+    net, r = X.Network(5), np.random.default_rng(5)
+    for scale in (1, 60):
+        project = (r.normal(0, scale, (50, 3 * X.HIDDEN))).astype(np.float32)
+        for low in (0, 1):  # 0 is no word
+            index = r.integers(low, 50, (X.WINDOW, 300))
+            got = net._states(net._gates(project), net.p["Uf"], index)
+            assert np.abs(got - net._run(project, net.p["Uf"], index, None)).max() < 1e-5
+    batch = X.Batch([t.encode() for t in TEXTS if t])
+    slow, fast = net.score(batch, apart=False), net.score(batch)
+    assert np.allclose(slow[0], fast[0], atol=1e-5) and np.allclose(slow[1], fast[1], atol=1e-5)
+
+
 def test_toxicity(spark, docs, empty):
     from runlake.llm.toxicity import score_documents, train
     r = np.random.default_rng(5)
