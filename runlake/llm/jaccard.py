@@ -26,7 +26,11 @@ when 4 * intersection >= 3 * union, that is when their sets differ in at most
   of what they hold besides, rule out nearly all pairs that the leader did not unite. A key with
   many members around several pivots does not join them: they meet by their rarest shingles.
   Every candidate left is verified, so no link between components is lost.
-* Verification intersects the two whole sets.
+* Verification intersects the two whole sets of a pair, if their parity sketches do not rule the
+  link out: a bit of a sketch tells whether an odd number of shingles fell there, so two sets differ in
+  at least as many shingles as their sketches in bits.
+* Texts travel once, and only those of classes that may have a partner (and a few that share their
+  mark in a bitmap of fixed size): a task drops the others before the shuffle.
 
 Edge cases: words are cut at ASCII white space after lower-casing A-Z; fewer than five
 words are one shingle; a null, empty or blank text has no set, links with nothing and
@@ -54,6 +58,8 @@ BUCKET_KEYS = 1_000_000
 LOCAL_SHARED = 64
 #: A key joins its two sides as such if their pairs are at most so many times its rows.
 FEW = 8
+#: Bits that mark rows wanted; they bound what is broadcast (4 MB), not what is found.
+MARKS = 1 << 25
 _U = np.uint64
 
 
@@ -247,12 +253,47 @@ def _share(table: pa.Table) -> pa.Table:
                      "sharers": others[keep].astype(np.int64), "sharers_x": others_x[keep].astype(np.int64)})
 
 
+def parities(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of all sets, in words of 64 bits one after the other, and the bounds. A set has at least
+    a bit a shingle, their number a power of two; folding the halves makes the next smaller sketch."""
+    n = np.diff(bounds)
+    bits = np.left_shift(np.int64(64), np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64))
+    at = np.concatenate([[0], np.cumsum(bits)])
+    place = ((tokens >> _U(20)) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64) + np.repeat(at[:-1], n)
+    odd = (np.bincount(place, minlength=at[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8"), at // 64
+
+
 def _sets(batches):
+    lists = lambda at, values: pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))
     for batch in slices(batches, "text", 1 << 20):
         tokens, bounds = shingle_sets(expanded(batch.column(2)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))],
-            ["cls", "keyed", "tokens"])
+        words, at = parities(tokens, bounds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(bounds).astype(np.int32)),
+                                          lists(at, words), lists(bounds, tokens)], ["cls", "keyed", "n", "parity", "tokens"])
+
+
+def _mark():
+    return F.pmod(F.xxhash64(*ROW_ID), F.lit(MARKS)).cast("long")
+
+
+def _marks(rids: DataFrame) -> np.ndarray:
+    """A bitmap of ``MARKS`` bits with those of the rows ``rids`` set."""
+    size = 32768  # bits of one of Spark's bitmaps
+    parts = (rids.select(_mark().alias("mark")).groupBy(F.floor(F.col("mark") / size).alias("part"))
+             .agg(F.bitmap_construct_agg(F.col("mark") % size).alias("bits")))
+    out = np.zeros((MARKS // size, size // 8), np.uint8)
+    for part, bits in parts.collect():
+        out[part] = np.frombuffer(bytes(bits), np.uint8)
+    return out.ravel()
+
+
+def _marked(batches, marks: np.ndarray):
+    """The rows whose bit (``mark``, the last column) is set, without it."""
+    for batch in batches:
+        mark = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+        kept = batch.filter(pa.array((marks[mark >> 3] >> (mark & 7).astype(np.uint8) & 1) > 0))
+        yield kept.select(range(batch.num_columns - 1))
 
 
 def _rows(batches):
@@ -278,9 +319,24 @@ def common(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                       F.size(F.array_intersect("ta", "tb")).alias("i"))
 
 
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sizes and sketches allow a link: sets that link differ in
+    at most (na + nb) / 7 shingles. By sizes one sketch is at most twice as long as the other."""
+    side = lambda x: sets.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    differ = lambda x, y: F.zip_with(x, y, lambda u, v: u.bitwiseXOR(v))
+
+    def folded(x, other):
+        half = F.size(other)
+        return F.when(F.size(x) > half, differ(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half))).otherwise(F.col(x))
+
+    bits = F.aggregate(differ(folded("pa", "pb"), folded("pb", "pa")), F.lit(0), lambda n, w: n + F.bit_count(w))
+    return (pairs.join(side("a"), "a").filter("na > 0").join(side("b"), "b").filter("4 * least(na, nb) >= 3 * greatest(na, nb)")
+            .filter(7 * bits <= F.col("na") + F.col("nb")).select("a", "b"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets link."""
-    return common(pairs, sets).filter(LINK).select("a", "b")
+    return common(stored(likely(pairs, sets), "likely-pairs"), sets).filter(LINK).select("a", "b")
 
 
 def _pair(x: str, y: str) -> list:
@@ -321,7 +377,7 @@ def _crowded(crowd: DataFrame, sets: DataFrame) -> DataFrame:
     ordered by how many hold them, one of the rarest ``own - ceil(3 n / 4) + 1`` of the ``own``
     that classes of another pivot hold too is shared; and behind the first one that two share
     there must be enough on both sides. A passage that all have is thus no reason to meet."""
-    held = crowd.join(sets, "cls").select("cls", "pivot", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    held = crowd.join(sets.select("cls", "tokens"), "cls").select("cls", "pivot", "label", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     token = (held.groupBy("token").agg(F.count("*").alias("c"), F.min("pivot").alias("lo"), F.max("pivot").alias("hi"))
              .filter("lo <> hi").select("token", "c"))
     each = (held.join(token, "token").groupBy("cls", "pivot", "label", "n")
@@ -350,7 +406,7 @@ def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
     mixed = group.groupBy("pivot").agg(F.min("label").alias("l"), F.max("label").alias("h"),
                                        F.count("*").alias("size")).filter("l <> h").select("pivot", "size")
     group = stored(group.join(mixed, "pivot"), "pivot-groups")
-    held = group.join(sets, "cls").select("pivot", "cls", "label", "size", F.explode("tokens").alias("token"))
+    held = group.join(sets.select("cls", "tokens"), "cls").select("pivot", "cls", "label", "size", F.explode("tokens").alias("token"))
     token = (held.groupBy("pivot", "token").agg(F.count("*").alias("c"), F.first("size").alias("size"),
                                                 F.min("label").alias("l"), F.max("label").alias("h"))
              .select("pivot", "token", "c", (2 * F.col("c") > F.col("size")).alias("usual"), (F.col("l") != F.col("h")).alias("several")))
@@ -437,16 +493,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = wanted.unionByName(near.select("cls", F.lit(False).alias("keyed"))).groupBy("cls").agg(F.max("keyed").alias("keyed"))
     reps = (rows.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct(*ROW_ID)).alias("rid"), F.first("keyed").alias("keyed"))
             .select("cls", "keyed", "rid.*"))
-    every = stored(texts.select(*ROW_ID, "text").mapInArrow(squeezed, "rid_file bigint, rid_row bigint, text binary")
+    reps = stored(reps, "wanted-rows")
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(reps))
+    every = stored(texts.select(*ROW_ID, "text", _mark().alias("mark"))
+                   .mapInArrow(lambda b: squeezed(_marked(b, marks.value)), "rid_file bigint, rid_row bigint, text binary")
                    .join(reps, [*ROW_ID]).select("cls", "keyed", "text")
-                   .mapInArrow(_sets, "cls bigint, keyed boolean, tokens array<bigint>"), "shingle-sets")
-    sets, fallback = every.filter("keyed").select("cls", "tokens"), None
+                   .mapInArrow(_sets, "cls bigint, keyed boolean, n int, parity array<bigint>, tokens array<bigint>"), "shingle-sets")
+    sets, fallback = every.filter("keyed").drop("keyed"), None
     if span["lo"] is not None:
         size = F.size("tokens")
         tiny = every.filter((size * 4 >= 3 * span["lo"]) & (size * 3 <= 4 * span["hi"]))
         fallback = stored(_by_shingle(tiny, rows), "short-pairs")
         alive = alive.unionByName(fallback.select(F.col("a").alias("cls"))).unionByName(fallback.select(F.col("b").alias("cls"))).distinct()
-    sizes = rows.groupBy("cls").agg(F.first("n_shingles").alias("n"))
 
     members = stored(alive.select("cls", F.col("cls").alias("label")), "members")
     whole = places.filter("not deleted").select("key", "cls", "need")
@@ -475,10 +533,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if fallback is not None:
         members = _relabel(members, _between(linked(fallback, tiny), members))
 
-    left = (_across(probes, places, members, pivot, sets).unionByName(_around(members, pivot, sets)).distinct()
-            .join(sizes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a")
-            .join(sizes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
-            .filter("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b"))
+    left = _across(probes, places, members, pivot, sets).unionByName(_around(members, pivot, sets)).distinct()
     members = _relabel(members, _between(linked(left, sets), members))
 
     marked = rows.join(members, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

@@ -232,6 +232,45 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, small, slack):
     assert J.near_duplicates(empty).count() == 0
 
 
+def test_sketches_rule_out_no_link():
+    """Of sets near and far, across the sizes where a sketch doubles: at most as many bits differ as shingles."""
+    r = np.random.default_rng(11)
+    for n in (1, 5, 60, 64, 65, 90, 128, 500, 1023, 1025):
+        one = np.unique(J.mix(r.integers(1, 1 << 60, n).astype(np.uint64)))
+        for change in (0, 1, n // 4, n):
+            two = np.unique(np.concatenate([one[change:], J.mix(r.integers(1, 1 << 60, change + n // 5).astype(np.uint64))]))
+            words, at = J.parities(np.concatenate([one, two]), np.array([0, len(one), len(one) + len(two)]))
+            x, y = words[:at[1]], words[at[1]:]
+            if len(x) > len(y):
+                x, y = y, x
+            while len(y) > len(x):
+                y = y[:len(y) // 2] ^ y[len(y) // 2:]
+            assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(one, two))
+
+
+def test_likely_pairs(spark):
+    """Equal and near sets stay, unlike ones and those of other sizes leave before the sets are read."""
+    r = np.random.default_rng(12)
+    base = J.mix(r.integers(1, 1 << 60, 126).astype(np.uint64))
+    new = lambda n: J.mix(r.integers(1, 1 << 60, n).astype(np.uint64))
+    sets = [base, np.concatenate([base, new(6)]), np.concatenate([base[63:], new(63)]), base[:60], np.zeros(0, np.uint64)]
+    words, at = J.parities(np.concatenate(sets), np.cumsum([0, *map(len, sets)]))
+    rows = [(i, len(s), words[at[i]:at[i + 1]].tolist(), s.view(np.int64).tolist()) for i, s in enumerate(sets)]
+    table = spark.createDataFrame(rows, "cls bigint, n int, parity array<bigint>, tokens array<bigint>")
+    pairs = spark.createDataFrame(list(itertools.combinations(range(5), 2)), "a bigint, b bigint")
+    assert [tuple(p) for p in J.likely(pairs, table).collect()] == [(0, 1)]
+    assert [tuple(p) for p in J.linked(pairs, table).collect()] == [(0, 1)]
+
+
+def test_only_marked_rows_travel(spark):
+    """A row that is wanted is never dropped; nearly all others are."""
+    rids = spark.range(2000).select(F.xxhash64("id").alias("rid_file"), F.col("id").alias("rid_row"))
+    marks = J._marks(rids.filter("rid_row % 50 = 0"))
+    left = rids.select("*", J._mark().alias("mark")).mapInArrow(lambda b: J._marked(b, marks), "rid_file bigint, rid_row bigint")
+    left = {r.rid_row for r in left.collect()}
+    assert set(range(0, 2000, 50)) <= left and len(left) < 60
+
+
 def test_near_duplicates_in_large_groups(spark):
     """Random edits of a few texts of many sizes: chains, hubs, and pairs just above and below the bound."""
     r = np.random.default_rng(11)
