@@ -56,6 +56,8 @@ SMALL = 63
 BUCKET_KEYS = 1_000_000
 #: A key with more classes than this in one slice of a task is known to be shared there.
 LOCAL_SHARED = 64
+#: Shingles whose signatures a task computes at once.
+AT_ONCE = 1 << 17
 #: A key joins its two sides as such if their pairs are at most so many times its rows.
 FEW = 8
 #: Bits that mark rows wanted; they bound what is broadcast (4 MB), not what is found.
@@ -154,6 +156,17 @@ class Signatures:
         self.short = np.unique(np.concatenate(short)) if short else np.zeros(0, np.int64)
 
 
+def signatures(tokens: np.ndarray, bounds: np.ndarray, cls: np.ndarray, pick: np.ndarray, at_once: int = AT_ONCE):
+    """Which sets, and their signatures: those of ``pick``, some at a time (about ``at_once`` shingles, one set
+    at least). So what a task holds besides the keys follows the longest text, not its slice."""
+    size = np.diff(bounds)[pick]
+    part = (np.cumsum(size) - size) // at_once
+    for some in np.split(np.arange(len(pick)), np.flatnonzero(np.diff(part)) + 1) if len(pick) else ():
+        n = size[some]
+        take = np.repeat(bounds[pick[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield pick[some], Signatures(tokens[take], np.concatenate([[0], np.cumsum(n)]), cls[pick[some]])
+
+
 BLOCK = "bucket bigint, place bigint, low binary, slot binary, cls binary, traits binary"
 SHARED = "cls bigint, above boolean, deleted boolean, lack int, key bigint, sharers bigint, sharers_x bigint"
 
@@ -177,7 +190,7 @@ def _packed(rows: np.ndarray, bucket: np.ndarray, place: np.ndarray, keys: np.nd
         return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(values.tobytes())])
 
     return pa.RecordBatch.from_arrays(
-        [pa.array(bucket[by[cut]]), pa.array(at[cut]), glued(keys[by].astype("<u4"), cut), glued(slot.astype(kind), cut),
+        [pa.array(bucket[by[cut]].astype(np.int64)), pa.array(at[cut].astype(np.int64)), glued(keys[by].astype("<u4"), cut), glued(slot.astype(kind), cut),
          glued(cls[of[slots]].astype("<i8"), begin), glued(traits[of[slots]].astype("<i4"), begin)],
         ["bucket", "place", "low", "slot", "cls", "traits"])
 
@@ -190,26 +203,37 @@ def _index(batches, buckets: int):
         tokens, bounds = shingle_sets(raw(batch.column(0)))
         cls = set_hashes(tokens, bounds)
         _, once = np.unique(cls, return_index=True)
-        n = np.diff(bounds)[once]
-        take = np.repeat(bounds[once] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        sig = Signatures(tokens[take], np.concatenate([[0], np.cumsum(n)]), cls[once])
-        traits = (sig.flags | (sig.lack.astype(np.int32) << 2)).astype(np.int32)
-        change = np.ones(len(traits), bool)
-        change[1:] = (sig.cls[1:] != sig.cls[:-1]) | (traits[1:] != traits[:-1])
-        run, first = np.cumsum(change) - 1, np.flatnonzero(change)
-        place = ((sig.keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-        order = np.argsort(sig.keys, kind="stable")
-        k = sig.keys[order]
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        parts = [none], [none]  # whole segments, and those less one: of a key's rows, whole ones tell the others
+        for _, sig in signatures(tokens, bounds, cls, once):
+            traits = (sig.flags | (sig.lack.astype(np.int32) << 2)).astype(np.int32)
+            for deleted in (0, 1):
+                rows = np.flatnonzero((sig.flags >> 1) == deleted)
+                parts[deleted].append((sig.keys[rows], sig.cls[rows], traits[rows]))
+        tag = int(cls[0]) % 97
+        del tokens
+        keys, cls, traits = (np.concatenate(x) for x in zip(*parts[0], *parts[1]))
+        del parts
+        change = np.ones(len(keys), bool)
+        change[1:] = (cls[1:] != cls[:-1]) | (traits[1:] != traits[:-1])
+        run, cls, traits = np.cumsum(change, dtype=np.int32) - np.int32(1), cls[change], traits[change]
+        place = ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int32)
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
         edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
         width = np.diff(np.append(edge, len(k)))
-        nth = np.arange(len(k)) - np.repeat(edge, width)
-        hot = np.zeros(len(k), bool)
-        hot[order] = np.repeat(width, width) > LOCAL_SHARED
-        told = np.ones(len(k), bool)
-        told[order] = ~((np.repeat(width, width) > LOCAL_SHARED) & (nth >= 2))
-        known = -1 - (place * 31 + int(cls[0]) % 97) % buckets  # spread over pseudo-buckets
+        del k
+        many = np.repeat(width > LOCAL_SHARED, width)
+        hot = np.zeros(len(keys), bool)
+        hot[order] = many
+        many[edge] = False
+        many[(edge + 1)[width > 1]] = False  # all but two of a key that many hold
+        told = np.ones(len(keys), bool)
+        told[order] = ~many
+        del order, edge, width, many
+        known = -1 - (place * np.int64(31) + tag) % buckets  # spread over pseudo-buckets
         for rows, bucket in ((np.flatnonzero(told), place), (np.flatnonzero(hot), known)):
-            yield _packed(rows, bucket, place, sig.keys, run, sig.cls[first], traits[first])
+            yield _packed(rows, bucket, place, keys, run, cls, traits)
 
 
 def _share(table: pa.Table) -> pa.Table:
@@ -301,7 +325,8 @@ def _rows(batches):
         tokens, bounds = shingle_sets(raw(batch.column(3)))
         cls = set_hashes(tokens, bounds)
         short = np.zeros(len(cls), bool)
-        short[Signatures(tokens, bounds, cls).short] = True
+        for some, sig in signatures(tokens, bounds, cls, np.arange(len(cls))):
+            short[some[sig.short]] = True
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.diff(bounds)),
                                           pa.array(cls), pa.array(short)],
                                          ["rid_file", "rid_row", "doc_id", "n_shingles", "cls", "short"])

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -232,6 +233,35 @@ def test_near_duplicates(spark, docs, empty, monkeypatch, small, slack):
     assert J.near_duplicates(empty).count() == 0
 
 
+def test_signatures_in_parts():
+    """Computed some sets at a time, signatures are those of all sets at once."""
+    r = np.random.default_rng(3)
+    tokens, bounds = J.shingle_sets([b" ".join(b"v%d" % i for i in r.integers(0, 500, n)) for n in (0, 3, 70, 9, 300, 0, 40, 1200, 6)])
+    cls = J.set_hashes(tokens, bounds)
+    whole = J.Signatures(tokens, bounds, cls)
+    rows = lambda s: [*zip(s.keys.tolist(), s.cls.tolist(), s.flags.tolist(), s.lack.tolist())]
+    for at_once in (1, 100, 1 << 17):
+        parts = list(J.signatures(tokens, bounds, cls, np.arange(len(cls)), at_once))
+        assert sorted(x for _, s in parts for x in rows(s)) == sorted(rows(whole))
+        assert sorted(i for some, s in parts for i in some[s.short]) == whole.short.tolist()
+        assert [i for some, _ in parts for i in some] == list(range(len(cls))) and (len(parts) > 1) == (at_once < 1 << 17)
+    assert list(J.signatures(tokens, bounds, cls, np.arange(0))) == []
+
+
+def test_index_of_a_slice_holds_little_besides_its_keys():
+    """A slice of 8 MB of text: with its signatures all at once, 142 MB were allocated."""
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in r.integers(0, 90_000, 600)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    tracemalloc.start()
+    try:
+        keys = sum(len(b) // 4 for block in J._index(iter([batch]), 32) for b in block.column(2).to_pylist())
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert keys > 500_000 and most < 80e6
+
+
 def test_sketches_rule_out_no_link():
     """Of sets near and far, across the sizes where a sketch doubles: at most as many bits differ as shingles."""
     r = np.random.default_rng(11)
