@@ -29,6 +29,8 @@ when 4 * intersection >= 3 * union, that is when their sets differ in at most
 * Verification intersects the two whole sets of a pair, if their parity sketches do not rule the
   link out: a bit of a sketch tells whether an odd number of shingles fell there, so two sets differ in
   at least as many shingles as their sketches in bits.
+* Each kind of candidates is written apart: one plan of all would be planned and described anew
+  after each of its stages, in the driver's memory.
 * Texts travel once, and only those of classes that may have a partner (and a few that share their
   mark in a bitmap of fixed size): a task drops the others before the shuffle.
 
@@ -372,7 +374,7 @@ def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: Dat
     """Candidates by key in two components whose pivots differ (a class without one is its own).
     Only a key with few of one side or the other is joined as such: its pairs are at most
     ``FEW`` times its rows. The classes of all other keys meet by their rarest shingles."""
-    known = members.join(pivot.select("cls", "pivot"), "cls", "left").withColumn("pivot", F.coalesce("pivot", "cls"))
+    known = stored(members.join(pivot.select("cls", "pivot"), "cls", "left").withColumn("pivot", F.coalesce("pivot", "cls")), "members-pivots")
     p = probes.select("key", "cls", "deleted", "doubled").join(known, "cls")
     q = places.select("key", "cls", "deleted").join(known, "cls")
     # both sides: a set that probes the band above does not lie in that band's places
@@ -392,8 +394,10 @@ def _across(probes: DataFrame, places: DataFrame, members: DataFrame, pivot: Dat
            .join(q.select("key", F.col("pivot").alias("qp"), F.col("label").alias("ql"), F.col("cls").alias("qc"),
                           F.col("deleted").alias("qd")), ["key", "qp", "ql"]))
     # whole with whole always; whole with less one, either way, for classes that count such segments twice
-    out = out.filter("not (pd and qd) and (doubled or not (pd or qd))").select(*_pair("pc", "qc"))
-    return out.unionByName(_crowded(crowd, sets)).distinct()
+    out = stored(out.filter("not (pd and qd) and (doubled or not (pd or qd))").select(*_pair("pc", "qc")).distinct(), "pairs-by-key")
+    if keep.filter("many").isEmpty():
+        return out
+    return out.unionByName(stored(_crowded(crowd, sets), "pairs-of-crowds"))
 
 
 def _crowded(crowd: DataFrame, sets: DataFrame) -> DataFrame:
@@ -450,7 +454,7 @@ def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
     near = side(cells, "r").join(side(cells, "s"), "pivot").filter(
         "label_r < label_s and 7 * (more_r + more_s + abs(less_r - less_s)) <= n_r + n_s")
     on = lambda x: ["pivot", *[f"{c}_{x}" for c in cell[1:]]]
-    close = near.join(side(rows, "r"), on("r")).join(side(rows, "s"), on("s")).select(*_pair("cls_r", "cls_s"))
+    close = stored(near.join(side(rows, "r"), on("r")).join(side(rows, "s"), on("s")).select(*_pair("cls_r", "cls_s")).distinct(), "pairs-by-counts")
     # partners of r share at least more_r - n_r / 3 of its extras, so one of its rarest others plus one
     needed = F.greatest(F.lit(1), F.ceil(F.col("more") - F.col("n") / 3)).cast("int")
     held_back = F.greatest(F.lit(0), F.size("extra") - needed + 1).cast("int")
@@ -460,8 +464,8 @@ def _around(members: DataFrame, pivot: DataFrame, sets: DataFrame) -> DataFrame:
     share = (side(extra, "r").withColumnRenamed("token_r", "token")
              .join(side(extra, "s").withColumnRenamed("token_s", "token"), ["pivot", "token"])
              .filter("label_r < label_s and 7 * (more_r + more_s - 2 * least(rest_r, rest_s) + abs(less_r - less_s)) <= n_r + n_s")
-             .select(*_pair("cls_r", "cls_s")))
-    return close.unionByName(share).distinct()
+             .select(*_pair("cls_r", "cls_s")).distinct())
+    return close.unionByName(stored(share, "pairs-by-extras"))
 
 
 def _one_group(pivot: DataFrame) -> DataFrame:
@@ -524,6 +528,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .mapInArrow(lambda b: squeezed(_marked(b, marks.value)), "rid_file bigint, rid_row bigint, text binary")
                    .join(reps, [*ROW_ID]).select("cls", "keyed", "text")
                    .mapInArrow(_sets, "cls bigint, keyed boolean, n int, parity array<bigint>, tokens array<bigint>"), "shingle-sets")
+    marks.destroy()
     sets, fallback = every.filter("keyed").drop("keyed"), None
     if span["lo"] is not None:
         size = F.size("tokens")
@@ -554,7 +559,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = tagged.join(mixed, "key").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "cls").alias("r"), "cls", "label")).alias("lead"))
     star = (probes.filter("not deleted").select("key", "cls").join(members, "cls").join(other, "key").filter("label <> lead.label")
             .select(F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct())
-    members = _relabel(members, _between(linked(star, sets), members))
+    members = _relabel(members, _between(linked(stored(star, "pairs-by-leader"), sets), members))
     if fallback is not None:
         members = _relabel(members, _between(linked(fallback, tiny), members))
 

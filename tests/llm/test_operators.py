@@ -262,6 +262,19 @@ def test_index_of_a_slice_holds_little_besides_its_keys():
     assert keys > 500_000 and most < 80e6
 
 
+def test_plans_of_near_duplicates_are_small(spark, docs, monkeypatch):
+    """The driver plans and describes a plan anew after each of its stages: none joins all kinds of candidates."""
+    lines = {}
+
+    def stored(df, name, write=J.stored):
+        lines[name] = max(lines.get(name, 0), df._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return write(df, name)
+
+    monkeypatch.setattr(J, "stored", stored)
+    J.near_duplicates(docs, bucket_keys=50)
+    assert lines["likely-pairs"] < 40 and max(lines.values()) < 80, lines
+
+
 def test_sketches_rule_out_no_link():
     """Of sets near and far, across the sizes where a sketch doubles: at most as many bits differ as shingles."""
     r = np.random.default_rng(11)
